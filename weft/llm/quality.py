@@ -41,7 +41,7 @@ RULES = (
     Rule(0, "short", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "n_lines >= 5 and 100 * n_dup_lines > 30 * n_lines"),
     Rule(4, "word_length", "n_words > 0 and (word_chars < 3 * n_words or word_chars > 12 * n_words)"),
     Rule(5, "exclamations", "10 * n_exclaims > 3 * n_words"),
 )

@@ -1,10 +1,12 @@
 """The queries of this subpackage and the SQL beside them."""
 
-from weft.llm import chat, quality, sharding, sql
+from weft.llm import chat, quality, repeats, sharding, sql
 
 QUERIES = {
+    "op1_substring_dedup": repeats.op1,
     "op2_quality_rules": quality.op2,
+    "op4_suffix_array_dedup": repeats.op4,
     "op6_chat_formatting": chat.op6,
     "op8_sharding": sharding.op8,
 }
-SQL = {"op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6}
+SQL = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6}

@@ -15,7 +15,7 @@ m as (select w.doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '{W}',
         coalesce(c.n, 0)::bigint n_repeat_words, len(ls)::bigint n_lines, length(regexp_replace(t, '[^!]', '', 'g'))::bigint n_exclaims
       from w left join c on w.doc_id = c.doc_id),
 f as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end
-        + case when 10 * n_symbols > n_words then 4 else 0 end + case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end
+        + case when 10 * n_symbols > n_words then 4 else 0 end + case when n_lines >= 5 and 100 * n_dup_lines > 30 * n_lines then 8 else 0 end
         + case when n_words > 0 and (word_chars < 3 * n_words or word_chars > 12 * n_words) then 16 else 0 end
         + case when 10 * n_exclaims > 3 * n_words then 32 else 0 end)::bigint fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 base_failed, fail_bits = 0 kept, fail_bits, n_lines, n_exclaims from f
@@ -35,3 +35,13 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || t ||
   coalesce(min(pos) filter (where bad), min(n) filter (where pos = n - 1 and r <> 'assistant'))::bigint as bad_turn
 from f group by conv_id
 """
+
+OP1 = f"""
+with d as (select row_number() over () k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{W}'), lambda x: x <> '') ws from documents),
+g as (select k, i, array_to_string(ws[i:i + 34], ' ') g from (select k, ws, unnest(range(1, len(ws) - 33)) i from d)),
+r as (select k, i from (select k, i, count(*) over (partition by g) n from g) where n > 1),
+j as (select d.k, d.doc_id, x.j, x.w from d, unnest(list_zip(range(1, len(ws) + 1), ws)) t(x2), lateral (select x2[1] j, x2[2] w) x),
+m as (select j.*, max(r.i) over (partition by j.k order by j.j rows between 34 preceding and current row) is not null gone from j left join r on j.k = r.k and j.j = r.i)
+select d.doc_id, len(d.ws)::bigint n_words, coalesce(a.n_removed, 0)::bigint n_removed, sha256(coalesce(a.kept, '')) kept_sha256
+from d left join (select k, count(*) filter (where gone) n_removed, string_agg(w, ' ' order by j) filter (where not gone) kept from m group by k) a on d.k = a.k
+"""
