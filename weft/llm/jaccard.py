@@ -174,10 +174,11 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80
     indexed = scratch.keep(docs.select("key", "text", "doc_id").mapInArrow(_index(n, num, den), "key long, doc_id long, n long, v long, e int, sigs array<long>"), "index")
     rows = indexed.select("doc_id", "n", "v")
     exploded = indexed.select("v", "n", "e", F.explode("sigs").alias("sig"))
-    often = exploded.groupBy("sig").agg(F.count("*").alias("_c")).where("_c > 1").select("sig")
+    often = scratch.keep(exploded.groupBy("sig").agg(F.count("*").alias("_c")).where("_c > 1").select("sig"), "often")
     members = exploded.join(often, "sig").groupBy("sig", "v").agg(F.min("n").alias("n"), F.min("e").alias("e"))
     members = scratch.keep(members, "members")
-    sizes = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    scratch.drop("often")
+    sizes = scratch.keep(members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     frequent = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("c"), "sig"))
     members = members.join(sizes, "sig").withColumn("_r", frequent).where("_r > e").select("sig", "v", "n", "c")
     groups = scratch.keep(members, "groups")
@@ -202,7 +203,7 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80
         full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
         return scratch.keep(full.mapInArrow(_verify(n, num, den), "a long, b long, ok boolean"), label)
 
-    best = groups.groupBy("sig").agg(F.max(F.struct("score", "v", "n")).alias("x")).select("sig", F.col("x.v").alias("p"), F.col("x.n").alias("pn"))
+    best = scratch.keep(groups.groupBy("sig").agg(F.max(F.struct("score", "v", "n")).alias("x")).select("sig", F.col("x.v").alias("p"), F.col("x.n").alias("pn")), "pivots")
     tested = verify(groups.join(best, "sig"), "tested-0")
     links = tested.where("ok").select("a", "b")
     lo, hi, i = 0, 8, 0

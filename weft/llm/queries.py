@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL beside them."""
 
-from weft.llm import chat, jaccard, quality, repeats, sharding, sql, tokenids, warc
+from weft.llm import chat, decontaminate, jaccard, quality, repeats, sharding, sql, tokenids, warc
 
 QUERIES = {
     "op1_substring_dedup": repeats.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_chat_formatting": chat.op6,
     "op7_ngram_jaccard_join": jaccard.op7,
     "op8_sharding": sharding.op8,
+    "op9_decontamination": decontaminate.op9,
     "op10_warc": warc.op10,
 }
 SQL = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6}
