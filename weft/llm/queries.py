@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL beside them."""
 
-from weft.llm import chat, decontaminate, jaccard, quality, repeats, sharding, sql, tokenids, warc
+from weft.llm import chat, decontaminate, jaccard, mixing, quality, repeats, sharding, sql, tokenids, warc
 
 QUERIES = {
     "op1_substring_dedup": repeats.op1,
     "op2_quality_rules": quality.op2,
     "op3_token_ids": tokenids.op3,
     "op4_suffix_array_dedup": repeats.op4,
+    "op5_mixing": mixing.op5,
     "op6_chat_formatting": chat.op6,
     "op7_ngram_jaccard_join": jaccard.op7,
     "op8_sharding": sharding.op8,
