@@ -79,9 +79,10 @@ def typed_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed: int) -> Da
     """T09. As uniform_negatives, but of the type of the edge's end. nodes: label, type, id dense in its type; edges: edge, dst."""
     sizes = nodes.groupBy("type").agg(F.count("*").alias("n"))
     x = edges.join(nodes.select(F.col("label").alias("dst"), "type"), "dst").join(sizes, "type")
-    x = x.select("edge", "type", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    own = [c for c in ("edge", "src") if c in edges.columns]
+    x = x.select(*own, "type", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
     x = x.withColumn("id", F.pmod(draw(F.lit(seed), F.col("edge"), F.col("i")), F.col("n")))
-    return x.join(nodes, ["type", "id"]).select("edge", "i", F.col("label").alias("negative"))
+    return x.join(nodes, ["type", "id"]).select(*own, "i", F.col("label").alias("negative"))
 
 
 def partner_free_negatives(edges: DataFrame, train: DataFrame, nodes: DataFrame, k: int, seed: int, tries: int = 16) -> DataFrame:
@@ -89,10 +90,10 @@ def partner_free_negatives(edges: DataFrame, train: DataFrame, nodes: DataFrame,
 
     tries x k drawn candidates stand for the pool, so a source is never paired with all nodes of a type.
     """
-    some = typed_negatives(edges.select("edge", "dst"), nodes, k * tries, seed).join(edges.select("edge", "src"), "edge").where("negative <> src")
+    some = typed_negatives(edges.select("edge", "src", "dst"), nodes, k * tries, seed).where("negative <> src")
     free = some.join(train.select("src", F.col("dst").alias("negative")).distinct(), ["src", "negative"], "left_anti")
-    first = free.groupBy("edge", "negative").agg(F.min("i").alias("i"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("edge").orderBy("i"))).where(F.col("r") <= k).select("edge", "negative")
+    first = free.groupBy("edge", "src", "negative").agg(F.min("i").alias("i"))
+    return first.withColumn("r", F.row_number().over(Window.partitionBy("edge", "src").orderBy("i", "negative"))).where(F.col("r") <= k).select("edge", "negative")
 
 
 def recent_in(edges: DataFrame, k: int) -> DataFrame:

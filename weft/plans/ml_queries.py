@@ -86,7 +86,7 @@ def t09(spark, d):
     return splits.typed_negatives(timed(spark, d).select("edge", "dst"), typed(spark), 2, 5)
 
 
-@query("t10_partner_free_negatives", f"with {_E}, {_N}, z as (select type, count(*) c from n group by type), c as (select edge, src, m.label negative, min(i) i from e join n on dst = n.label join z on z.type = n.type, range(32) r(i) join n m on m.type = n.type and m.id = {_D.format('6, edge, i')} % c where m.label <> src and (src, m.label) not in (select src, dst from e) group by edge, src, m.label) select edge, negative from c qualify row_number() over (partition by edge order by i) <= 2")
+@query("t10_partner_free_negatives", f"with {_E}, {_N}, z as (select type, count(*) c from n group by type), c as (select edge, src, m.label negative, min(i) i from e join n on dst = n.label join z on z.type = n.type, range(32) r(i) join n m on m.type = n.type and m.id = {_D.format('6, edge, i')} % c where m.label <> src and (src, m.label) not in (select src, dst from e) group by edge, src, m.label) select edge, negative from c qualify row_number() over (partition by edge, src order by i, negative) <= 2")
 def t10(spark, d):
     e = timed(spark, d)
     return splits.partner_free_negatives(e, e, typed(spark), 2, 6)
