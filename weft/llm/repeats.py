@@ -10,6 +10,7 @@ unique keys, or a pass over texts; no group is collected, however many rows shar
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import compress
 
@@ -61,16 +62,19 @@ def _scan(unit: Unit):
 def recurring_runs(docs: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
     """h, ctx, key, start, n of each run whose anchor occurs at least twice."""
     a = scratch.keep(docs.select("key", "text").mapInArrow(_scan(unit), "h long, ctx long, key long, start int, n int"), "anchors")
-    often = a.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    often = scratch.keep(a.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "often")
     b = scratch.keep(a.join(often, "h"), "recurring")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "often")
     return b
 
 
-def distinct_runs(recurring: DataFrame) -> DataFrame:
-    """h, ctx, c (times it occurs), key (of one text that has it), n, n_ctx (distinct runs with that anchor)."""
-    g = recurring.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min("key").alias("key"), F.min("n").alias("n"))
-    return g.join(g.groupBy("h").agg(F.count("*").alias("n_ctx")), "h")
+def distinct_runs(recurring: DataFrame, scratch: Scratch) -> DataFrame:
+    """h, ctx, c (times it occurs), key (of one text that has it), n, n_ctx (distinct runs with that anchor).
+
+    Both sides of the join are tables, not aggregates, so that Spark can split an anchor that has very many runs.
+    """
+    g = scratch.keep(recurring.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min("key").alias("key"), F.min("n").alias("n")), "distinct")
+    return g.join(scratch.keep(g.groupBy("h").agg(F.count("*").alias("n_ctx")), "per-anchor"), "h")
 
 
 def _fetch(unit: Unit):
@@ -249,7 +253,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, n: int = 35, k: int = 8
     unit, scratch = Unit("words", n, k), Scratch(spark)
     docs = keyed(docs)
     recurring = recurring_runs(docs, unit, scratch)
-    fetched = scratch.keep(fetch(docs, distinct_runs(recurring), unit), "passages")
+    fetched = scratch.keep(fetch(docs, distinct_runs(recurring, scratch), unit), "passages")
     shards = fetched.join(confirm(fetched), ["h", "ctx"], "left").select("h", "ctx", "c", "n", "seg", "at")
     located = scratch.keep(shards.mapInArrow(_automata(n, shard_words), "h long, ctx long, rel int, len int"), "located")
     scratch.drop("passages")
@@ -289,74 +293,128 @@ def multikey_sort(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
+def stretch(n: int) -> int:
+    """How many windows of one anchor are compared as one where possible. At an edge of a passage this takes about n / stretch
+    comparisons of stretches and then stretch of windows, fewest near the root of n."""
+    return 32
+
+
+def _place(rows):
+    """The rows' bytes end to end with their hasher, each row's base, anchor offset and anchor hash."""
+    lens = np.array([len(r[5]) for r in rows])
+    base = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(_I)
+    span = tk.Hasher(tk.byte_tokens(np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)))
+    return span, base, np.array([r[4] for r in rows], dtype=_I), np.array([r[0] for r in rows], dtype=_I).view(np.uint64)
+
+
+def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and rank within it of each of sizes.sum() things."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+_BUCKET = "h long, ctx long, c long, rel int, cnt int, core long, whole long, wins array<long>"
+
+
+def _bucket_rows(h, ctx, c, rel, cnt, core=None, whole=None, wins=None):
+    n = len(rel)
+    none = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays([
+        pa.array(h), pa.array(ctx), pa.array(c), pa.array(rel.astype(np.int32)), pa.array(cnt.astype(np.int32)), none if core is None else core, none if whole is None else whole, pa.nulls(n, pa.list_(pa.int64())) if wins is None else wins,
+    ], ["h", "ctx", "c", "rel", "cnt", "core", "whole", "wins"])
+
+
+def _settle(rows, n: int):
+    """Spans of windows that start twice within these rows, by sorting all their windows."""
+    span, base, off, h = _place(rows)
+    owner, rel = _ragged(np.array([r[3] for r in rows]))
+    pos = base[owner] + rel
+    place = tk.mix(h[owner] ^ tk.mix((off[owner] - rel).astype(np.uint64)))
+    ends = [e for e in (8, 64) if e < n] + [n]
+    order, same = multikey_sort([place] + [span(pos + a, pos + e) for a, e in zip([0, *ends[:-1]], ends)])
+    group = np.cumsum(~same) - 1
+    times = np.bincount(group, weights=np.array([min(r[2], 2) for r in rows])[owner][order])
+    twice = np.zeros(len(owner), dtype=bool)
+    twice[order] = times[group] > 1
+    flat = np.flatnonzero(twice)
+    new = np.concatenate(([True], (np.diff(flat) != 1) | (owner[flat][1:] != owner[flat][:-1]))) if len(flat) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    o = owner[flat[first]]
+    ids, ctx, c = (np.array([r[i] for r in rows], dtype=_I) for i in (0, 1, 2))
+    return _bucket_rows(ids[o], ctx[o], c[o], rel[flat[first]], np.diff(np.concatenate((first, [len(flat)]))))
+
+
+def _outer(rows, n: int):
+    """Stretches of windows for the comparison across buckets: what all windows of the stretch share (core), all of it
+    where the stretch is whole, and the windows' own hashes."""
+    step = stretch(n)
+    span, base, off, h = _place(rows)
+    count = np.array([r[3] for r in rows], dtype=_I)
+    high, low = off, off - count + 1  # distance of the anchor from the first and from the last window's start
+    per = high // step - low // step + 1
+    owner, k = _ragged(per)
+    j = high[owner] // step - k
+    top, bottom = np.minimum(high[owner], (j + 1) * step - 1), np.maximum(low[owner], j * step)
+    rel, cnt = high[owner] - top, top - bottom + 1
+    anchor = base[owner] + off[owner]
+    tag = tk.mix(h[owner] ^ tk.mix(j.astype(np.uint64)))
+    core = tk.mix(tag ^ span(anchor - j * step, np.maximum(anchor - j * step, anchor - (j + 1) * step + 1 + n)))
+    full = cnt == step
+    whole = tk.mix(tag ^ ~span(anchor - top, anchor - bottom + n))
+    win_owner, w = _ragged(cnt)
+    pos = (anchor - top)[win_owner] + w
+    wins = tk.mix(tk.mix(h[owner][win_owner] ^ tk.mix((top[win_owner] - w).astype(np.uint64))) ^ span(pos, pos + n))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cnt))).astype(np.int32)), pa.array(wins.view(_I)))
+    ids, ctx, c = (np.array([r[i] for r in rows], dtype=_I)[owner] for i in (0, 1, 2))
+    return _bucket_rows(ids, ctx, c, rel, cnt, pa.array(core.view(_I)), pa.array(whole.view(_I), mask=~full), lists)
+
+
 def _buckets(n: int, sort_windows: int, group_runs: int):
     """Sort a bucket's suffixes and find windows that start twice. Anchors that may be cut by the bucket's ends, or that have very many runs, go to the comparison across buckets."""
 
-    def settle(rows, outer: bool):
-        """rows: (h, ctx, c, n, off, seg). Yields (h, ctx, rel, len) spans, or (h, ctx, rel, key) windows if outer."""
-        lens = np.array([len(r[5]) for r in rows])
-        base = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        count = np.array([r[3] for r in rows])
-        data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
-        span = tk.Hasher(tk.byte_tokens(data))
-        owner = np.repeat(np.arange(len(rows)), count)
-        rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        pos = base[owner] + rel
-        h = np.array([r[0] for r in rows], dtype=_I).view(np.uint64)
-        off = np.array([r[4] for r in rows])
-        place = tk.mix(h[owner] ^ tk.mix((off[owner] - rel).astype(np.uint64)))
-        if outer:
-            return owner, rel, tk.mix(place ^ span(pos, pos + n))
-        ends = [e for e in (8, 64) if e < n] + [n]
-        keys = [place] + [span(pos + a, pos + e) for a, e in zip([0, *ends[:-1]], ends)]
-        order, same = multikey_sort(keys)
-        group = np.cumsum(~same) - 1
-        weight = np.array([min(r[2], 2) for r in rows])[owner]
-        times = np.bincount(group, weights=weight[order])
-        twice = np.zeros(len(owner), dtype=bool)
-        twice[order] = times[group] > 1
-        return owner, rel, twice
-
-    def batch(rows, outer):
-        owner, rel, x = settle(rows, outer)
-        h, ctx, c = (np.array([r[i] for r in rows], dtype=_I) for i in (0, 1, 2))
-        if outer:
-            return pa.RecordBatch.from_arrays([pa.array(h[owner]), pa.array(ctx[owner]), pa.array(c[owner]), pa.array(rel.astype(np.int32)), pa.nulls(len(rel), pa.int32()), pa.array(x.view(_I))], ["h", "ctx", "c", "rel", "len", "win"])
-        flat = np.flatnonzero(x)
-        new = np.concatenate(([True], (np.diff(flat) != 1) | (owner[flat][1:] != owner[flat][:-1]))) if len(flat) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        size = np.diff(np.concatenate((first, [len(flat)])))
-        o = owner[flat[first]]
-        return pa.RecordBatch.from_arrays([pa.array(h[o]), pa.array(ctx[o]), pa.array(c[o]), pa.array(rel[flat[first]].astype(np.int32)), pa.array((size + n - 1).astype(np.int32)), pa.nulls(len(o), pa.int64())], ["h", "ctx", "c", "rel", "len", "win"])
-
     def run(batches):
-        held, size, group, first = [], 0, [], True
+        held, size, group, outside = [], 0, [], True
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
-                row = row[:6]
+            for row in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if group and row[0] != group[-1][0]:
-                    if first:
-                        yield batch(group, True)
+                    if outside:
+                        yield _outer(group, n)
                     else:
                         held += group
                         size += sum(r[3] for r in group)
-                    first, group = False, []
+                    outside, group = False, []
                     if size >= sort_windows:
-                        yield batch(held, False)
+                        yield _settle(held, n)
                         held, size = [], 0
-                elif len(group) >= group_runs:  # the whole of this anchor is compared outside: its number of runs says so
-                    yield batch(group, True)
-                    group = []
-                    first = True
+                elif len(group) >= group_runs:
+                    yield _outer(group, n)
+                    group, outside = [], True
                 group.append(row)
         if held:
-            yield batch(held, False)
+            yield _settle(held, n)
         if group:
-            yield batch(group, True)
+            yield _outer(group, n)
 
     return run
 
 
+def across_buckets(rows: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """h, ctx, rel, len of repeated spans among the stretches that buckets could not settle alone.
+
+    A whole stretch that occurs twice is settled as one, and stands as evidence once; other stretches are taken apart into
+    windows only if what all their windows share occurs twice.
+    """
+    o = rows.where("core is not null")
+    equal = scratch.keep(o.where("whole is not null").groupBy("h", "whole").agg(F.sum("c").alias("times"), F.min("ctx").alias("one")), "stretches")
+    o = scratch.keep(o.join(equal, ["h", "whole"], "left").withColumn("settled", F.coalesce(F.col("times") > 1, F.lit(False))), "outer")
+    shared = scratch.keep(o.groupBy("h", "core").agg(F.sum("c").alias("_c")).where("_c > 1").select("h", "core"), "cores")
+    apart = o.where("not settled or ctx = one").join(shared, ["h", "core"])
+    w = apart.select("h", "ctx", "settled", F.when(F.col("settled"), 2).otherwise(F.col("c")).alias("c"), "rel", F.posexplode("wins").alias("i", "win"))
+    often = scratch.keep(w.groupBy("h", "win").agg(F.sum("c").alias("_c")).where("_c > 1").select("h", "win"), "windows")
+    single = w.where("not settled").join(often, ["h", "win"]).select("h", "ctx", (F.col("rel") + F.col("i")).cast("int").alias("rel"), F.lit(n).alias("len"))
+    return o.where("settled").select("h", "ctx", "rel", (F.col("cnt") + n - 1).alias("len")).unionByName(single)
+
+
 def repeated_bytes(spark: SparkSession, docs: DataFrame, n: int = 400, k: int = 16) -> DataFrame:
     """Operator 4. Remove every byte covered by a string of n bytes that also starts elsewhere.
 
@@ -373,17 +431,15 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, n: int = 400, k: int =
     unit, scratch = Unit("bytes", n, k), Scratch(spark)
     docs = keyed(docs)
     recurring = recurring_runs(docs, unit, scratch)
-    runs = scratch.keep(distinct_runs(recurring), "runs")
+    runs = scratch.keep(distinct_runs(recurring, scratch), "runs")
     fetched = fetch(docs, runs.where("n_ctx > 1"), unit)
     lead = F.expr(f"substring(seg, off + 1, {k})")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = fetched.select("h", "ctx", "c", "n", "off", "seg", lead.alias("lead")).repartitionByRange(parts, "lead", "ctx").sortWithinPartitions("lead", "h", "ctx")
-    sorted_ = scratch.keep(ranged.mapInArrow(_buckets(n, SORT_WINDOWS, GROUP_RUNS), "h long, ctx long, c long, rel int, len int, win long"), "buckets")
-    outer = sorted_.where("win is not null")
-    often = outer.groupBy("h", "win").agg(F.sum("c").alias("_c")).where("_c > 1").select("h", "win")
-    across = outer.join(often, ["h", "win"]).select("h", "ctx", "rel", F.lit(n).alias("len"))
+    sorted_ = scratch.keep(ranged.mapInArrow(_buckets(n, SORT_WINDOWS, GROUP_RUNS), _BUCKET), "buckets")
+    alone = sorted_.where("core is null").select("h", "ctx", "rel", (F.col("cnt") + n - 1).alias("len"))
     whole = runs.where("n_ctx = 1").select("h", "ctx", F.lit(0).alias("rel"), (F.col("n") + n - 1).alias("len"))
-    located = sorted_.where("win is null").select("h", "ctx", "rel", "len").unionByName(across).unionByName(whole)
+    located = alone.unionByName(across_buckets(sorted_, n, scratch)).unionByName(whole)
     return cut(docs, spans_by_text(recurring, located), unit)
 
 
