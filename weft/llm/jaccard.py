@@ -8,8 +8,9 @@ of the signatures they make. The slack is spent twice, by orders that all sets s
 are left out before the shuffle, as many as a set's own size allows, and each set skips its e most frequent signatures.
 
 Sets that are equal are one vertex. Candidates within a signature's group are checked against a pivot first (the set that
-shares most signatures with others), then, only where a group still spans several components, against more and more
-pivots, until every group is one component or every member was a pivot. Each candidate is verified on whole texts.
+shares most signatures with others). Groups that then still span several components are gathered into clusters, whose
+members meet in blocks: each task holds a bounded block of profiles and streams the cluster past it, and only pairs that
+sizes and profiles allow go on. Each pair that goes on is verified on whole texts.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer than n words make one
 shingle of all; rows with one id are rows of their own; null ids pass through, and a component of null ids only has a
@@ -166,6 +167,59 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+#: Sets that are held at once while the rest of their cluster streams past them, and the buckets of a set's profile.
+BLOCK = 512
+BUCKETS = 512
+_PROFILE = "cluster long, v long, n long, label long, block long, blocks long, profile binary"
+
+
+def _profile(n: int):
+    """Number of shingles in each of BUCKETS buckets (at most 255): two sets differ in at least as many shingles as their profiles."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for _, _, data, offs in tk.texts(b.column(6)):
+                for u in shingle_sets(data, offs, n):
+                    c = np.bincount((u & _U(BUCKETS - 1)).astype(_I), minlength=BUCKETS)
+                    out.append(np.minimum(c, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(out, pa.binary())], _PROFILE.replace(" long", "").replace(" binary", "").split(", "))
+
+    return run
+
+
+def _near(num: int, den: int):
+    """From rows sorted by (cluster, meets, kind): pairs of a held set and a passing one that profiles and sizes allow."""
+
+    def run(batches):
+        key, held = None, []
+        block = None
+        for b in batches:
+            cluster, meets, kind, v, n, label = (b.column(i).to_pylist() for i in range(6))
+            a, z = [], []
+            for i in range(len(v)):
+                mine = (cluster[i], meets[i])
+                if mine != key:
+                    key, held, block = mine, [], None
+                profile = np.frombuffer(b.column(6)[i].as_buffer(), dtype=np.uint8)
+                if kind[i] == 0:
+                    held.append((v[i], n[i], label[i], profile))
+                    continue
+                if block is None:
+                    block = [np.array([x[j] for x in held], dtype=_I) for j in range(3)] + [np.stack([x[3] for x in held]).astype(np.int16)]
+                hv, hn, hl, hp = block
+                both = hn + n[i]
+                at = np.flatnonzero((hl != label[i]) & (num * hn <= den * n[i]) & (num * n[i] <= den * hn))
+                if len(at):
+                    apart = np.abs(hp[at] - profile.astype(np.int16)).sum(axis=1)
+                    at = at[apart * (den + num) <= (den - num) * both[at]]
+                    a += np.minimum(hv[at], v[i]).tolist()
+                    z += np.maximum(hv[at], v[i]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def join_classes(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links with Jaccard num / den or more) of every row."""
     ship(spark)
@@ -192,37 +246,31 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80
     texts = docs.select("key", "text").join(involved.hint("shuffle_hash"), "key").groupBy("v").agg(F.first("text").alias("text"))
     texts = scratch.keep(texts, "texts")
 
-    close = (F.col("n") * num <= F.col("pn") * den) & (F.col("pn") * num <= F.col("n") * den)
-    links, tested = None, None
-
     def verify(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = pairs.where("v <> p").where(close).select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         ta, tb = texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), texts.select(F.col("v").alias("b"), F.col("text").alias("tb"))
         full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return scratch.keep(full.mapInArrow(_verify(n, num, den), "a long, b long, ok boolean"), label)
+        return scratch.keep(full.mapInArrow(_verify(n, num, den), "a long, b long, ok boolean"), label).where("ok").select("a", "b")
 
     best = scratch.keep(groups.groupBy("sig").agg(F.max(F.struct("score", "v", "n")).alias("x")).select("sig", F.col("x.v").alias("p"), F.col("x.n").alias("pn")), "pivots")
-    tested = verify(groups.join(best, "sig"), "tested-0")
-    links = tested.where("ok").select("a", "b")
-    lo, hi, i = 0, 8, 0
-    while True:
-        i += 1
-        scratch.drop(*[x for x in scratch.paths if x.startswith("open-")])
-        labels = components(links, scratch, f"cc{i}")
-        label = F.coalesce("label", "v")
-        placed = groups.join(labels, "v", "left").select("sig", "v", "n", "score", label.alias("label"))
-        open_ = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where(f"x <> y and c > {lo}").select("sig")
-        left = scratch.keep(placed.join(open_, "sig"), f"open-{i}")
-        if not left.limit(1).count():
-            break
-        ranked = left.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "v")))
-        pivots = ranked.where(f"_r > {lo} and _r <= {hi}").select("sig", F.col("v").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-        more = verify(left.join(pivots, "sig").where("label <> pl"), f"tested-{i}")
-        tested = tested.unionByName(more)
-        links = tested.where("ok").select("a", "b")
-        lo, hi = hi, hi * 4
+    close = (F.col("n") * num <= F.col("pn") * den) & (F.col("pn") * num <= F.col("n") * den)
+    pairs = groups.join(best, "sig").where("v <> p").where(close).select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    links = verify(pairs, "links-0")
+    labels = components(links, scratch, "first")
+
+    # groups that still span several components, gathered into clusters of sets that may yet be linked
+    placed = groups.join(labels, "v", "left").select("sig", "v", "n", F.coalesce("label", "v").alias("label"))
+    open_ = scratch.keep(placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("v").alias("one")).where("x <> y").select("sig", "one"), "open")
+    placed = scratch.keep(placed.join(open_, "sig").select("v", "n", "label", "one").distinct(), "unsettled")
+    clusters = components(placed.select(F.col("v").alias("a"), F.col("one").alias("b")), scratch, "clusters")
+    there = placed.select("v", "n", "label").distinct().join(clusters.select("v", F.col("label").alias("cluster")), "v")
+    sizes = scratch.keep(there.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes-of-clusters")
+    there = there.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    there = scratch.keep(there.join(texts, "v").select("cluster", "v", "n", "label", "block", "blocks", "text").mapInArrow(_profile(n), _PROFILE), "profiles")
+    fixed = there.select("cluster", F.col("block").alias("meets"), F.lit(0).alias("kind"), "v", "n", "label", "profile")
+    moving = there.select("cluster", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("meets"), F.lit(1).alias("kind"), "v", "n", "label", "profile")
+    dealt = fixed.unionByName(moving).repartition("cluster", "meets").sortWithinPartitions("cluster", "meets", "kind")
+    more = verify(dealt.mapInArrow(_near(num, den), "a long, b long").distinct(), "links-1")
+    labels = components(links.unionByName(more), scratch, "last")
     least = rows.where("n > 0").join(labels, "v", "left").select("v", "doc_id", F.coalesce("label", "v").alias("label"))
     names = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = least.select("v", "label").distinct().join(names, "label").select("v", "component_id")
