@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import tokens as tk
-from weft.llm.common import ship
+from weft.llm.common import Scratch, ship
 
 ITEMS = 2000
 ITEM_BYTES = 16 << 20
@@ -155,7 +155,7 @@ def _scan(items, k: int, radius: int, least: float):
         for b in batches:
             for i, j, data, offs in tk.texts(b.column(1)):
                 _, _, h, first = tk.words(data, offs, lower=True)
-                if not any(len(h) for _ in (0,)):
+                if not len(h):
                     continue
                 rows, found = [], []
                 for r in _touched(bench, h, first):
@@ -202,7 +202,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without those whose doc_id is contaminated."""
-    bad = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    found = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = Scratch(spark).keep(found, "contaminated")  # a table, so that Spark knows its size before it picks the join
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 

@@ -54,10 +54,11 @@ def _tail(a: Column) -> Column:
     return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and MEASURES of each row. Arrays stay inside their row: nothing is shuffled."""
+def measure(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id and MEASURES of each row, and with whole the row itself as _row. Arrays stay inside their row: nothing is shuffled."""
     t = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", t.alias("_t"))
+    row = ["_row"] if whole else []
+    d = docs.select("doc_id", t.alias("_t"), *[F.struct(*[docs[c] for c in docs.columns]).alias(x) for x in row])
     squeezed = F.regexp_replace("_t", "[\\x20\\x09-\\x0D]+", "")
     d = d.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != ""))
     d = d.withColumn("_h", F.transform(words_of(F.col("_t")), lambda w: F.xxhash64(w)))
@@ -69,8 +70,8 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
-        "_h",
-    )
+        "_h", *row,
+    )
     m = F.greatest(F.size("_h") - 2, F.lit(0))
     triples = F.zip_with(F.zip_with(F.slice("_h", 1, m), F.slice("_h", 2, m), lambda a, b: F.xxhash64(a, b)), F.slice("_h", 3, m), lambda a, b: F.xxhash64(a, b))
     d = d.withColumn("_s", F.sort_array(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -79,15 +80,15 @@ def measure(docs: DataFrame) -> DataFrame:
     found = F.filter(F.zip_with("_s", twice, lambda s, x: F.when(x, s["i"])), lambda i: i.isNotNull())
     d = d.withColumn("_p", F.sort_array(found))
     covered = F.aggregate(F.zip_with("_p", _tail(F.col("_p")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda x, y: x + y)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_exclaims")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_exclaims", *row)
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measurements, and fail_bits with bit r.bit set for each rule r that fails."""
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, whole: bool = False) -> DataFrame:
+    """doc_id, the measurements, and fail_bits with bit r.bit set for each rule r that fails (and with whole the row as _row)."""
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, whole).withColumn("fail_bits", bits)
 
 
 def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
@@ -115,9 +116,8 @@ def ablations(rows: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES)
 
 
 def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The rows of docs that pass the policy, all their columns. Rows are judged by doc_id; equal ids are judged together and stay if any of them passes."""
-    ok = ledger(docs).where(passes(policy)).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ok, docs["doc_id"].eqNullSafe(ok["_kept_id"]), "left_semi")
+    """The rows of docs that pass the policy, all their columns. Every row is judged by itself, where it is."""
+    return ledger(docs, whole=True).where(passes(policy)).select("_row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
