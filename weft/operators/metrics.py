@@ -106,3 +106,16 @@ def running_counts(events: DataFrame) -> DataFrame:
     one = F.lit(1)
     y = events.select("event", n(one, "src").alias("out_degree"), n(one, "dst").alias("in_degree"))
     return pair.join(y, "event")
+
+
+def hits_by_type(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+    """E09. Hits@K and reciprocal ranks within each type's pool, weighted by the queries of the type. ranks: type, rank."""
+    per = ranks.groupBy("type").agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"h{k}") for k in ks], F.avg(1.0 / F.col("rank")).alias("m"), F.count("*").alias("n"))
+    w = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    return per.agg(*[F.round(w(f"h{k}"), 6).alias(f"hits_{k}") for k in ks], F.round(w("m"), 6).alias("mrr"), F.sum("n").alias("n"))
+
+
+def tuning_score(x: DataFrame, majority: float = 0.45) -> DataFrame:
+    """E13. Mean of four rescaled terms, each 0 at chance and 1 at best: AUC, top-1 accuracy over the majority share, rho, pair accuracy."""
+    terms = ((F.col("auc") - 0.5) * 2, (F.col("accuracy") - majority) / (1 - majority), F.col("rho"), (F.col("pairs") - 0.5) * 2)
+    return x.withColumn("score", F.round(sum(terms[1:], terms[0]) / 4, 6))

@@ -142,3 +142,15 @@ def check_assignment(assigned: DataFrame, nodes: DataFrame) -> None:
     twice = assigned.groupBy("label").agg(F.countDistinct("part").alias("n")).where("n > 1").limit(5).collect()
     if twice:
         raise ValueError(f"in two parts: {[r.label for r in twice]}")
+
+
+def replay_negatives(events: DataFrame, train_nodes: DataFrame, n_nodes: int, k: int, seed: int) -> DataFrame:
+    """T15. Up to k train nodes drawn for each event, neither end of it, in place of the end that is in train (the target
+    where both are). events: edge, src, dst; train_nodes: id (dense), label."""
+    t = train_nodes.select("label")
+    x = events.join(t.select(F.col("label").alias("dst"), F.lit(True).alias("_d")), "dst", "left").join(t.select(F.col("label").alias("src"), F.lit(True).alias("_s")), "src", "left")
+    x = x.where("_d or _s").withColumn("side", F.when(F.coalesce("_d", F.lit(False)), "dst").otherwise("src"))
+    c = x.select("edge", "src", "dst", "side", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1))).alias("i")).withColumn("id", F.pmod(draw(F.lit(seed), F.col("edge"), F.col("i")), F.lit(n_nodes)))
+    c = c.join(train_nodes.select("id", F.col("label").alias("negative")), "id").where("negative <> src and negative <> dst")
+    first = c.groupBy("edge", "src", "dst", "side", "negative").agg(F.min("i").alias("i"))
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("edge", "src", "dst").orderBy("i", "negative"))).where(F.col("_r") <= k).select("edge", "side", "negative")

@@ -316,3 +316,27 @@ def s22(spark, d):
 @query("s22_cache_missing", "select c_custkey id from customer where c_custkey not in (select s_suppkey from supplier)")
 def s22m(spark, d):
     return features.missing(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
+
+
+@query("t15_replay_negatives", f"with {_E}, {_N}, tr as (select id, label from (select row_number() over (order by k) - 1 id, 'p' || k as label from range(200) r(k))), x as (select edge, src, dst, 'dst' side from e where dst in (select label from tr)), c as (select edge, src, dst, side, tr.label negative, min(i) i from x, range(6) r(i) join tr on tr.id = {_D.format('9, edge, i')} % 200 where tr.label not in (src, dst) group by edge, src, dst, side, tr.label) select edge, side, negative from c qualify row_number() over (partition by edge, src, dst order by i, negative) <= 3")
+def t15(spark, d):
+    nodes_ = spark.range(200).select("id", F.concat(F.lit("p"), "id").alias("label"))
+    return splits.replay_negatives(timed(spark, d), nodes_, 200, 3, 9)
+
+
+@query("e09_hits_by_type", f"with {_CAND}, t as (select query, score t from c where is_true), r as (select query, query % 4 as type, count(*) filter (where score > t and not is_true) + 1 rank from c join t using (query) group by query), p as (select type, avg((rank <= 1)::int) h1, avg((rank <= 3)::int) h3, avg((rank <= 10)::int) h10, avg(1.0 / rank) m, count(*) n from r group by type) select round(sum(h1 * n) / sum(n), 6) hits_1, round(sum(h3 * n) / sum(n), 6) hits_3, round(sum(h10 * n) / sum(n), 6) hits_10, round(sum(m * n) / sum(n), 6) mrr, sum(n)::bigint n from p")
+def e09(spark, d):
+    return metrics.hits_by_type(metrics.ranks_of_true(candidates(spark, d)).withColumn("type", F.col("query") % 4))
+
+
+@query("e13_tuning_score", "select s_suppkey, round(((auc - 0.5) * 2 + (accuracy - 0.45) / 0.55 + rho + (pairs - 0.5) * 2) / 4, 6) score from (select s_suppkey, s_suppkey % 10 / 10 auc, s_suppkey % 7 / 7 accuracy, s_suppkey % 3 / 3 rho, s_suppkey % 11 / 11 pairs from supplier)")
+def e13(spark, d):
+    k = F.col("s_suppkey")
+    x = table(spark, d, "supplier").select("s_suppkey", (k % 10 / 10).alias("auc"), (k % 7 / 7).alias("accuracy"), (k % 3 / 3).alias("rho"), (k % 11 / 11).alias("pairs"))
+    return metrics.tuning_score(x).select("s_suppkey", "score")
+
+
+@query("e02_e16_auc_by_pool", f"with {_Y}, r as (select source, quality, {_mid('score', 'source')} r from y), u as (select source, (sum(r) filter (where quality = 1) - count(*) filter (where quality = 1) * (count(*) filter (where quality = 1) + 1) / 2.0) / nullif(count(*) filter (where quality = 1) * count(*) filter (where quality = 0), 0) auc, count(*)::bigint n from r group by source) select source, round(auc, 6) auc, n from u")
+def e02(spark, d):
+    """The same AUC on other pools of negatives or other splits: one group for each."""
+    return metrics.auc(scored(spark, d), "quality", "score", ["source"])
