@@ -116,8 +116,11 @@ def ablations(rows: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES)
 
 
 def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The rows of docs that pass the policy, all their columns. Every row is judged by itself, where it is."""
-    return ledger(docs, whole=True).where(passes(policy)).select("_row.*")
+    """The rows of docs that pass the policy, all their columns. Every row is judged by itself, where it is.
+
+    A filter would be pushed below the measurements and evaluate them again for each rule; a generator stays above them.
+    """
+    return ledger(docs, whole=True).select(F.inline(F.when(passes(policy), F.array("_row"))))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
