@@ -14,4 +14,4 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9,
     "op10_warc": warc.op10,
 }
-SQL = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6}
+SQL = {"op1_substring_dedup": sql.OP1, "op7_ngram_jaccard_join": sql.OP7, "op10_warc": sql.OP10, "op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6}

@@ -45,3 +45,20 @@ m as (select j.*, max(r.i) over (partition by j.k order by j.j rows between 34 p
 select d.doc_id, len(d.ws)::bigint n_words, coalesce(a.n_removed, 0)::bigint n_removed, sha256(coalesce(a.kept, '')) kept_sha256
 from d left join (select k, count(*) filter (where gone) n_removed, string_agg(w, ' ' order by j) filter (where not gone) kept from m group by k) a on d.k = a.k
 """
+
+OP7 = f"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}'), lambda x: x <> '') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) i from d where len(ws) > 0)),
+n as (select doc_id, count(*)::bigint n from s group by doc_id),
+p as (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+w using key (a) as (select a, min(least(a, b)) c from e group by a union select e.a, min(w.c) c from w join e on e.b = w.a join recurring.w as m on m.a = e.a where w.c < m.c group by e.a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(w.c, d.doc_id) component_id from d left join n on n.doc_id = d.doc_id left join w on w.a = d.doc_id
+"""
+
+OP10 = """
+with d as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) x, min(page_id) over (partition by coalesce(html, '')) least_id from pages)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::int, 1)), '') payload_digest,
+  case when page_id = least_id then 'response' else 'revisit' end record_type, case when page_id <> least_id then least_id end refers_to from d
+"""
