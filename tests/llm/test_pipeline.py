@@ -38,7 +38,7 @@ def test_nulls_and_empty_tables(spark, tmp_path):
     for t in ("benchmark", "labels"):
         spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    long = " ".join(f"w{i}" for i in range(80))
+    long = " ".join(f"word{i}" for i in range(80))
     rows = spark.createDataFrame([(None, long, None, None, None), (1, None, "en", "s", 0), (2, long + " x", "en", "s", 1), (2, long + " x", "en", "s", 1)], schema)
     for docs, n in ((rows, 1), (rows.limit(0), 0)):
         for _, stage in corpus_pipeline.STAGES:
