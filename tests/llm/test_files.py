@@ -67,6 +67,16 @@ def test_round_trip(spark):
     assert tokenids.round_trip(spark, docs.limit(0)).count() == 0
 
 
+def test_parts_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokenids, "CACHE", 20)
+    t = Tokenizer.from_file(PATH)
+    texts = ["a <|startoftext|> b<|startoftext|>c <|startoftext|>", "", "x y z " * 9, "don't we'll É́ ﬁ ΑΣ Σ'S", "q1 q2 q3 q4 q5 q6 q7 q8 q9", "<|endoftext|>", "z <|startoftext|>"]
+    enc = tokenids.Encoder(PATH, True)
+    for x in texts + texts[::-1]:
+        raw = x.encode()
+        assert enc(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_query_3_is_whole(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     assert sorted(tuple(r) for r in tokenids.op3(spark, "/root/testdata/sf0.001").collect()) == expected(rows)

@@ -73,24 +73,24 @@ def table(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def pack(ids: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """32-bit words of a stream, and the bit offset in it of every STRIDE-th id of each block."""
-    n = length[ids].astype(np.int64)
-    if len(ids) and not n.all():
-        raise ValueError("an id has no code")
-    end = np.cumsum(n)
-    start = end - n
-    block = np.arange(len(ids)) // BLOCK
-    first = start[::BLOCK]
-    last = end[np.minimum(np.arange(1, len(first) + 1) * BLOCK, len(ids)) - 1] if len(ids) else first
-    words = (last - first + 31) // 32
-    base = (np.cumsum(words) - words) * 32
-    pos = start + (base - first)[block] if len(ids) else start
-    o = (pos & 31).astype(np.uint64)
-    v = code[ids] << (np.uint64(64) - o - n.astype(np.uint64))
-    w = pos >> 5
-    total = int(words.sum()) + 2
-    hi = np.bincount(w, weights=(v >> np.uint64(32)).astype(np.float64), minlength=total)
-    lo = np.bincount(w + 1, weights=(v & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total)
-    return (hi + lo).astype(np.uint64).astype(">u4"), pos[np.arange(0, len(ids), STRIDE)] if len(ids) else pos
+    words, marks, base = [], [], 0
+    for at in range(0, len(ids), BLOCK):
+        some = ids[at : at + BLOCK]
+        n = length[some].astype(np.int64)
+        if not n.all():
+            raise ValueError("an id has no code")
+        end = np.cumsum(n)
+        pos = end - n
+        o = (pos & 31).astype(np.uint64)
+        v = code[some] << (np.uint64(64) - o - n.astype(np.uint64))
+        w = pos >> 5
+        size = (int(end[-1]) + 31) // 32
+        hi = np.bincount(w, weights=(v >> np.uint64(32)).astype(np.float64), minlength=size + 1)
+        lo = np.bincount(w + 1, weights=(v & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=size + 1)
+        words.append((hi[:size] + lo[:size]).astype(np.uint32))
+        marks.append(pos[::STRIDE] + base)
+        base += size * 32
+    return (np.concatenate(words).astype(">u4"), np.concatenate(marks)) if words else (np.zeros(0, ">u4"), np.zeros(0, np.int64))
 
 
 def unpack(words: np.ndarray, checkpoints: np.ndarray, n: int, tab: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:

@@ -32,34 +32,42 @@ from weft.llm.common import Scratch, scratch_path, ship
 
 MAGIC = b"WEFTIDS1"
 FILE_IDS = 4_000_000  # ids in a file; bounds a reader's memory
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class Encoder:
-    """Ids of texts; parts seen before come from a cache."""
+    """Ids of texts; parts seen before come from a cache of sorted hashes and one flat array of ids."""
 
     def __init__(self, path: str, by_parts: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.by_parts = Tokenizer.from_file(path), by_parts
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        #: A special token put between parts, so that one call encodes many; parts that hold its string go alone.
+        self.mark = min(special) if special else None
         self.clear()
 
     def clear(self):
-        self.known: dict[int, int] = {}
-        self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _add(self, hashes, parts):
-        new = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        for h, e in zip(hashes, new):
-            ids, i = e.ids, len(self.known)
-            if i == len(self.start):
-                self.start, self.size = np.concatenate((self.start, self.start)), np.concatenate((self.size, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, self.flat))
-            self.known[h], self.start[i], self.size[i] = i, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        self.hashes, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts, and how many each has."""
+        alone = [i for i, p in enumerate(parts) if self.mark is None or self.mark[1] in p]
+        if len(alone) < len(parts) and self.mark:
+            some = [p for p in parts if self.mark[1] not in p]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark[1]} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cut = np.concatenate(([-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]))
+            if len(cut) != len(some) + 1:
+                raise ValueError("the tokenizer does not keep its special token apart")
+            size, ids = np.diff(cut) - 1, ids[ids != self.mark[0]]
+        else:
+            size, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for i in alone:  # rare, in ascending order
+            own = np.array(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, dtype=np.uint32)
+            at = int(size[:i].sum())
+            size, ids = np.insert(size, i, len(own)), np.concatenate((ids[:at], own, ids[at:]))
+        return ids, size
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         if not self.by_parts:
@@ -67,28 +75,45 @@ class Encoder:
             return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:])], add_special_tokens=False)]
         s, e, h, first = tk.words(data, offs)
         u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > CACHE:
+        if len(self.hashes) + len(u) > CACHE:
             self.clear()
-        known = self.known
-        keys = u.tolist()
-        missing = [i for i, x in enumerate(keys) if x not in known]
-        if missing:
-            raw = bytes(data)
-            self._add([keys[i] for i in missing], [raw[s[at[i]] : e[at[i]]].decode() for i in missing])
-        which = np.array([known[x] for x in keys], dtype=np.int64)[inv] if keys else np.zeros(0, np.int64)
-        size = self.size[which]
+        where = np.searchsorted(self.hashes, u)
+        new = np.ones(len(u), dtype=bool)
+        inside = where < len(self.hashes)
+        new[inside] = self.hashes[where[inside]] != u[inside]
+        if new.any():
+            raw, k = bytes(data), np.flatnonzero(new)
+            ids, size = self._encode([raw[x:y].decode() for x, y in zip(s[at[k]].tolist(), e[at[k]].tolist())])
+            self.start = np.insert(self.start, where[k], len(self.flat) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, where[k], size)
+            self.hashes = np.insert(self.hashes, where[k], u[k])
+            self.flat = np.concatenate((self.flat, ids))
+            where = np.searchsorted(self.hashes, u)
+        which = where[inv]
+        size = self.size[which].astype(np.int64)
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[which] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
         bound = np.concatenate(([0], end))[first]
         return [ids[a:b] for a, b in zip(bound[:-1], bound[1:])]
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, by_parts: bool) -> Encoder:
+    """A worker's encoder, kept from task to task with its cache."""
+    if (path, by_parts) not in _encoders:
+        _encoders.clear()
+        _encoders[path, by_parts] = Encoder(path, by_parts)
+    return _encoders[path, by_parts]
+
+
 def _encode(path: str, end_id: int, by_parts: bool):
     def run(batches):
-        encoder, part, row = Encoder(path, by_parts), TaskContext.get().partitionId(), 0
+        encode, part, row = encoder(path, by_parts), TaskContext.get().partitionId(), 0
         for b in batches:
             for i, j, data, offs in tk.texts(b.column(1)):
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder(data, offs)]
+                ids = [np.append(x, np.uint32(end_id)) for x in encode(data, offs)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64()), b.column(0).slice(i, j - i), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
                 ], ["part", "row", "doc_id", "ids"])
