@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import files
-from weft.llm.common import scratch_path, ship
+from weft.llm.common import Scratch, scratch_path, ship
 
 DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 16 << 20  # of a compressed file; the reader takes a file at a time
@@ -63,11 +63,16 @@ def _writer(folder: str, roll_bytes: int, date: str):
             files.put(folder, name, data)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, len(held), len(data), digest(data), ids[0], ids[-1]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
 
+        last = (None, None, None)
         for b in batches:
-            for page_id, url, html, first in zip(b.column(0), b.column(1), b.column(2), b.column(3)):
-                i, f = page_id.as_py(), first.as_py()
+            for page_id, url, html, key, first in zip(*(b.column(x) for x in range(5))):
+                i, k, f = page_id.as_py(), key.as_py(), first.as_py()
+                if f is not None:  # says what the rows of this id and payload refer to
+                    last = (i, k, f)
+                    continue
+                f = last[2] if last[:2] == (i, k) else None
                 payload = bytes(html.as_buffer()) if html.is_valid else b""
-                one = record(i, url.as_py(), payload, f, f is None or f == i, date)
+                one = record(i, url.as_py(), payload, f, f is None, date)
                 held.append(one)
                 size += len(one)
                 ids.append(i)
@@ -86,10 +91,15 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: int =
     p = pages.select("page_id", "url", "html")
     data = F.coalesce("html", F.lit("")).cast("binary")
     p = p.withColumn("_d", F.concat(F.sha1(data), F.octet_length(data).cast("string"))).withColumn("_long", F.octet_length(data) >= revisit_from)
-    first = p.where("_long").groupBy("_d").agg(F.min("page_id").alias("_first"))
-    full = p.join(first, "_d", "left").select("page_id", "url", "html", F.when(F.col("_long"), F.col("_first")).alias("_first"), "_d")
+    p = p.drop("_long").withColumn("_d", F.when(F.octet_length(data) >= revisit_from, F.col("_d")))
+    scratch = Scratch(spark)
+    keys = scratch.keep(p.where("_d is not null").groupBy("page_id", "_d").agg(F.count("*").alias("_n")), "payloads")
+    first = scratch.keep(keys.groupBy("_d").agg(F.min("page_id").alias("_first")), "firsts")
+    refers = keys.join(first, "_d").where("_first is not null and not (page_id <=> _first)")
+    # payloads move once: what a row refers to travels as a row of its own that sorts just before it
+    rows = p.withColumn("_first", F.lit(None).cast("long")).unionByName(refers.select("page_id", "_d", "_first"), allowMissingColumns=True)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = full.repartitionByRange(n, "page_id", "_d", "url").sortWithinPartitions("page_id", "_d", "url").drop("_d")
+    sorted_ = rows.repartitionByRange(n, "page_id", "_d").sortWithinPartitions("page_id", "_d", F.col("_first").isNull(), "url").select("page_id", "url", "html", "_d", "_first")
     out = sorted_.mapInArrow(_writer(folder, roll_bytes, date), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
     out.write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
