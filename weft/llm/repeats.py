@@ -296,7 +296,7 @@ def multikey_sort(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def stretch(n: int) -> int:
     """How many windows of one anchor are compared as one where possible. At an edge of a passage this takes about n / stretch
     comparisons of stretches and then stretch of windows, fewest near the root of n."""
-    return 32
+    return max(1, math.isqrt(n))
 
 
 def _place(rows):
