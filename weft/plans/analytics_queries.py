@@ -50,7 +50,7 @@ def a06(spark, d):
 
 @query("a07_growth_bands", A + ", g as (select pathway, step from (select distinct pathway from edges), range(40) r(step)), t as (select pathway, step, (select count(*) from edges e where e.pathway = g.pathway and e.local_order <= g.step) total from g) select step::int step, round(quantile_cont(total, 0.25), 4) low, round(quantile_cont(total, 0.5), 4) median, round(quantile_cont(total, 0.75), 4) high from t group by step")
 def a07(spark, d):
-    return analytics.growth_bands(graph(spark, d), 40)
+    return analytics.growth_bands(graph(spark, d))
 
 
 @query("a08_chain_lengths", A + "select pathway, max(local_order) + 1 as length from edges group by pathway")
