@@ -6,6 +6,8 @@ import numpy as np
 
 from weft.operators import analytics
 from weft.plans import analytics_queries as aq
+from weft.plans import ml_queries as mq
+from weft.plans import text_queries as tq
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +32,80 @@ def test_growth_bands_query(spark):
     last = max(x for _, x in rows)
     assert last > 40
     assert sorted(tuple(r) for r in aq.a07(spark, SMALL).collect()) == bands(rows, last)
+
+
+def unions(edges):
+    up = {}
+
+    def top(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
+def test_components_of_all_orders(spark):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    e = aq.sparse(spark, SMALL).collect()
+    assert len(e) == orders
+    want = unions([(r.src, r.dst) for r in e])
+    assert {r.label: r.component for r in aq.a09(spark, SMALL).collect()} == want
+    size = Counter(want.values())
+    assert len(size) > orders / 10 and max(size.values()) > 20
+    b = aq.a19(spark, SMALL).first()
+    share = lambda lo, hi: round(sum(n for n in size.values() if lo <= n <= hi) / len(want), 6)
+    assert (b.giant, b.over_20, b.from_6, b.from_2) == (round(max(size.values()) / len(want), 6), share(21, 10**9), share(6, 20), share(2, 5))
+    rest = sorted((-n, c) for c, n in size.items())[1:21]
+    assert sorted((-r["size"], r.component) for r in aq.a20(spark, SMALL).collect()) == rest
+    first = {}
+    for r in e:
+        for x in (r.src, r.dst):
+            first[x] = min(r.time, first.get(x, r.time))
+    got = {r.time: r.components for r in aq.a09t(spark, SMALL).collect()}
+    for at in (min(got), 50, max(got)):
+        assert got[at] == len(set(unions([(r.src, r.dst) for r in e if r.time <= at]).values()))
+
+
+def test_overlay_of_all_orders(spark):
+    orders = {r.o_orderkey: r for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect()}
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").collect()
+    of = lambda numbers, mark, k: {o: {mark + str(x[k]) for x in lines if x.l_orderkey == o and x.l_linenumber in numbers} for o in orders}
+    b, v, p = of((1, 2), "s", "l_suppkey"), of((2, 3), "[MUT] ", "l_partkey"), of((4,), "p", "l_partkey")
+    d = lambda o: "[DISEASE] " + orders[o].o_orderpriority
+    loss, gain = Counter(), Counter()
+    for o in orders:
+        if o % 2 == 0:
+            loss.update([(x, y, "disease_branch", None, 3 * o, o) for x in b[o] for y in v[o]])
+            loss.update([(y, d(o), "loss_of_function", None, 3 * o + 1, o) for y in v[o] if b[o]])
+        elif b[o]:
+            gain.update([(x, y, "reaction", "disease", 3 * o, o) for x in b[o] for y in p[o]])
+            gain.update([(y, x, "catalysis", "disease_aberrant", 3 * o, o) for x in b[o] for y in v[o]])
+            gain.update([(y, d(o), "aberrant_product", None, 3 * o + 1, o) for y in v[o]])
+            gain.update([(y, d(o), "disease_progression", None, 3 * o + 2, o) for y in p[o]])
+    take = lambda x: Counter((r.src, r.dst, r.type, r.subtype, r.time, r.reaction) for r in x.collect())
+    assert take(tq.d13(spark, SMALL)) == loss
+    assert take(tq.d14(spark, SMALL)) == gain
+    assert {r.reaction for r in tq.d10(spark, SMALL).collect()} == {o for o in orders if not b[o]}
+
+
+def test_causal_of_all_edges(spark):
+    e = mq.timed(spark, SMALL).collect()
+    at = {}
+    for r in e:
+        at.setdefault(r.dst, []).append((r.time, r.src, r.type))
+    for f, before, after in ((mq.t13, 10, None), (mq.t13b, None, 3)):
+        near = {}  # line items that share a number are one query
+        for r in e:
+            found = [x for x in sorted(at[r.dst], reverse=True)[:before] if x[0] < r.time]
+            near.setdefault(r.edge, []).extend((*x, r.time) for x in found)
+        want = {q: [(x[0], x[3]) for x in sorted(n, reverse=True)[:after]] for q, n in near.items() if n}
+        got = {x.query: (x.n, x.nearest) for x in f(spark, SMALL).collect()}
+        assert len(got) == len(want)
+        assert {q: n for q, (n, _) in got.items()} == {q: len(n) for q, n in want.items()}
+        once = {q for q, c in Counter(r.edge for r in e).items() if c == 1}
+        assert {q: d for q, (_, d) in got.items() if q in once} == {q: min(t - s for s, t in n) for q, n in want.items() if q in once}

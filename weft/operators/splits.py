@@ -110,11 +110,23 @@ def recent_any(edges: DataFrame, k: int) -> DataFrame:
 
 
 def causal(queries: DataFrame, neighbours: DataFrame, k: int | None = None) -> DataFrame:
-    """T13. Neighbours strictly before the query's time. On a table cut to k before (parity), or, with k, cut after."""
-    x = queries.join(neighbours.withColumnRenamed("time", "_t"), queries["node"] == neighbours["dst"]).where("_t < time")
-    x = x.withColumn("delta", F.greatest(F.col("time") - F.col("_t"), F.lit(0))).drop("dst")
+    """T13. Neighbours strictly before the query's time. On a table cut to k before (parity), or, with k, cut after.
+
+    With k, neighbours are numbered in order of time and counted up to each query's time, and only the last k numbers are
+    joined: a node's queries never meet all of its neighbours.
+    """
+    n = neighbours.withColumnRenamed("time", "_t")
     if k is None:
-        return x
+        x = queries.join(n, queries["node"] == n["dst"]).where("_t < time")
+        return x.withColumn("delta", F.greatest(F.col("time") - F.col("_t"), F.lit(0))).drop("dst")
+    n = n.where("_t is not null").withColumn("_p", F.row_number().over(Window.partitionBy("dst").orderBy("_t", "src", "type")))
+    at = queries.select("node", "time").where("time is not null").distinct().withColumn("_n", F.lit(0))
+    marks = at.unionByName(n.select(F.col("dst").alias("node"), F.col("_t").alias("time"), F.lit(1).alias("_n")))
+    so_far = Window.partitionBy("node").orderBy("time", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    upto = marks.withColumn("_c", F.sum("_n").over(so_far)).where("_n = 0 and _c > 0").select("node", "time", "_c")
+    x = queries.join(upto, ["node", "time"]).withColumn("_p", F.explode(F.sequence(F.greatest(F.col("_c") - (k - 1), F.lit(1)), F.col("_c")))).select(*queries.columns, F.col("_p").cast("int").alias("_p"))
+    x = x.join(n.withColumnRenamed("dst", "node"), ["node", "_p"]).drop("_p")
+    x = x.withColumn("delta", F.greatest(F.col("time") - F.col("_t"), F.lit(0)))
     w = Window.partitionBy("query").orderBy(F.desc("_t"), F.desc("src"), F.desc("type"))
     return x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

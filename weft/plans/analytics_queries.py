@@ -95,10 +95,14 @@ def a18(spark, d):
     return analytics.top(graph(spark, d), "pathway", 20)
 
 
+#: Labels of sparse() from here on are pairs of orders.
+PAIRS = 1_000_000_000_000
+
+
 def sparse(spark, d):
-    """Edges few enough to leave many components."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return o.select((F.col("o_custkey")).alias("src"), (1_000_000 + F.floor(F.col("o_orderkey") / 2) % 5000).alias("dst"), (F.col("o_orderkey") % 100).alias("time"))
+    """Every order, from a part of its customer's to its pair of orders: nodes of so few edges that many components are left."""
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_custkey") * 24 + F.col("o_orderkey") % 24).alias("src"), (PAIRS + F.floor(F.col("o_orderkey") / 2)).alias("dst"), (F.col("o_orderkey") % 100).alias("time"))
 
 
 _SPARSE = "e as (select o_custkey src, 1000000 + (o_orderkey // 2) % 5000 dst, o_orderkey % 100 as time from orders where o_orderkey % 3 = 0)"
@@ -141,5 +145,5 @@ def a19(spark, d):
 def a20(spark, d):
     e = sparse(spark, d)
     c = analytics.weak_components(e)
-    types = c.select("label", F.when(F.col("label") >= 1_000_000, "dst").otherwise("src").alias("type"))
+    types = c.select("label", F.when(F.col("label") >= PAIRS, "dst").otherwise("src").alias("type"))
     return analytics.inventory(c, e, types, 2, 20)

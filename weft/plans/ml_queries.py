@@ -105,14 +105,14 @@ def t12(spark, d):
 @query("t13_causal_filter", f"with {_E}, n as (select dst, src, time t from e qualify row_number() over (partition by dst order by time desc, src desc, type desc) <= 10), q as (select edge query, dst node, time from e where edge % 20 = 1) select query, count(*)::bigint n, min(time - t) nearest from q join n on node = dst and t < time group by query")
 def t13(spark, d):
     e = timed(spark, d)
-    q = e.where("edge % 20 = 1").select(F.col("edge").alias("query"), F.col("dst").alias("node"), "time")
+    q = e.select(F.col("edge").alias("query"), F.col("dst").alias("node"), "time")
     return splits.causal(q, splits.recent_in(e, 10)).groupBy("query").agg(F.count("*").alias("n"), F.min("delta").alias("nearest"))
 
 
 @query("t13_asof_first", f"with {_E}, q as (select edge query, dst node, time from e where edge % 50 = 1) select query, count(*)::bigint n, min(d) nearest from (select query, q.time - e.time d from q join e on node = dst and e.time < q.time qualify row_number() over (partition by query order by e.time desc, e.src desc, e.type desc) <= 3) group by query")
 def t13b(spark, d):
     e = timed(spark, d)
-    q = e.where("edge % 50 = 1").select(F.col("edge").alias("query"), F.col("dst").alias("node"), "time")
+    q = e.select(F.col("edge").alias("query"), F.col("dst").alias("node"), "time")
     return splits.causal(q, e.select("dst", "src", "time", "type"), 3).groupBy("query").agg(F.count("*").alias("n"), F.min("delta").alias("nearest"))
 
 
