@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from weft.operators import analytics
+from weft.operators import analytics, splits
 from weft.plans import analytics_queries as aq
 from weft.plans import ml_queries as mq
 from weft.plans import text_queries as tq
@@ -109,3 +109,23 @@ def test_causal_of_all_edges(spark):
         assert {q: n for q, (n, _) in got.items()} == {q: len(n) for q, n in want.items()}
         once = {q for q, c in Counter(r.edge for r in e).items() if c == 1}
         assert {q: d for q, (_, d) in got.items() if q in once} == {q: min(t - s for s, t in n) for q, n in want.items() if q in once}
+
+
+def test_negatives_fill_up_from_the_pool(spark):
+    n = 200
+    nodes = spark.createDataFrame([(f"p{i}", "a", i) for i in range(n)] + [("q0", "b", 0)], "label string, type string, id long")
+    taken = {"two": set(range(n)) - {17, 18, 150}, "one": set(range(n)) - {0}, "none": set(range(n)), "test": set(range(n)) - {5, 6, 199}, "few": {1}}
+    train = [(s, f"p{i}") for s, ids in taken.items() for i in ids]
+    rows = [(j * 10 + i, s, "p5" if s == "test" else "p1") for i, s in enumerate(taken) for j in range(40)]
+    e = spark.createDataFrame(rows, "edge long, src string, dst string")
+    got = {}
+    for r in splits.partner_free_negatives(e, spark.createDataFrame(train, "src string, dst string"), nodes, 2, 6).collect():
+        got.setdefault(r.edge, []).append(r.negative)
+    assert {edge: len(x) for edge, x in got.items()} == {edge: 2 for edge, _, _ in rows}
+    of = {s: [got[edge] for edge, x, _ in rows if x == s] for s in taken}
+    assert all(len(set(x)) == 2 for s in ("two", "test", "few") for x in of[s])
+    assert {y for x in of["two"] for y in x} == {"p17", "p18", "p150"}
+    assert {y for x in of["test"] for y in x} == {"p6", "p199"}
+    assert {y for x in of["one"] for y in x} == {"p0"}
+    assert len({y for x in of["none"] for y in x}) > 30
+    assert all("p1" not in x for x in of["few"])

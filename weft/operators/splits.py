@@ -86,14 +86,68 @@ def typed_negatives(edges: DataFrame, nodes: DataFrame, k: int, seed: int) -> Da
 
 
 def partner_free_negatives(edges: DataFrame, train: DataFrame, nodes: DataFrame, k: int, seed: int, tries: int = 16) -> DataFrame:
-    """T10. Up to k distinct nodes of the end's type that are neither the source nor one of its train partners.
+    """T10. k nodes of the end's type that are neither the end, nor the source, nor one of its train partners: distinct ones
+    where the pool has k, with replacement where it is smaller, any nodes where it is empty. Rows of one edge and source count as one.
 
-    tries x k drawn candidates stand for the pool, so a source is never paired with all nodes of a type.
+    The first k of tries x k drawn candidates are taken; edges that get fewer draw anew from their whole pool (_from_pool).
     """
-    some = typed_negatives(edges.select("edge", "src", "dst"), nodes, k * tries, seed).where("negative <> src")
-    free = some.join(train.select("src", F.col("dst").alias("negative")).distinct(), ["src", "negative"], "left_anti")
+    own = edges.select("edge", "src", "dst")
+    partners = train.select("src", F.col("dst").alias("negative")).distinct()
+    some = typed_negatives(own, nodes, k * tries, seed).where("negative <> src")
+    free = some.join(partners, ["src", "negative"], "left_anti").join(own.withColumnRenamed("dst", "negative"), ["edge", "src", "negative"], "left_anti")
     first = free.groupBy("edge", "src", "negative").agg(F.min("i").alias("i"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("edge", "src").orderBy("i", "negative"))).where(F.col("r") <= k).select("edge", "negative")
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("edge", "src").orderBy("i", "negative"))).where(F.col("r") <= k)
+    enough = first.where(F.col("r") == k).select("edge", "src")
+    short = own.join(enough, ["edge", "src"], "left_anti").groupBy("edge", "src").agg(F.min("dst").alias("dst"))
+    kept = first.join(enough, ["edge", "src"], "left_semi").select("edge", "negative")
+    return kept.unionByName(_from_pool(short, partners, nodes, k, seed, k * tries))
+
+
+def _from_pool(edges: DataFrame, partners: DataFrame, nodes: DataFrame, k: int, seed: int, start: int) -> DataFrame:
+    """k draws for each edge from the free nodes of the end's type, by rank among the free ids.
+
+    A source's taken ids of a type are numbered; an id has as many free ids below it as it exceeds its number. Ranks and
+    taken ids meet in running counts, so neither pools nor products of edges and partners are made.
+    """
+    by_label = nodes.select("label", "type", "id")
+    sizes = nodes.groupBy("type").agg(F.count("*").alias("n"))
+    e = edges.join(by_label.select(F.col("label").alias("dst"), "type", F.col("id").alias("v")), "dst").join(sizes, "type")
+    sources = e.select("src").distinct()
+    taken = partners.join(sources, "src", "left_semi").unionByName(sources.select("src", F.col("src").alias("negative"))).distinct()
+    taken = taken.join(by_label.withColumnRenamed("label", "negative"), "negative").select("src", "type", F.col("id").alias("at"))
+    taken = taken.withColumn("below", F.col("at") - F.row_number().over(Window.partitionBy("src", "type").orderBy("at")) + 1)
+
+    def counted(points: DataFrame, at: str) -> DataFrame:
+        """points: src, type, at. Adds the number of taken ids whose column `at` is at most that."""
+        marks = points.distinct().withColumn("_x", F.lit(0)).unionByName(taken.select("src", "type", F.col(at).alias("at"), F.lit(1).alias("_x")))
+        w = Window.partitionBy("src", "type").orderBy("at", F.desc("_x")).rowsBetween(Window.unboundedPreceding, 0)
+        return marks.withColumn("c", F.sum("_x").over(w)).where("_x = 0").drop("_x")
+
+    m = taken.groupBy("src", "type").agg(F.count("*").alias("m"))
+    e = e.join(m, ["src", "type"], "left").join(counted(e.select("src", "type", F.col("v").alias("at")), "at").withColumnRenamed("at", "v"), ["src", "type", "v"])
+    e = e.join(taken.select("src", "type", F.col("at").alias("v"), F.lit(True).alias("_t")), ["src", "type", "v"], "left")
+    open_end = F.col("_t").isNull()
+    e = e.withColumn("hole", F.when(open_end, F.col("v") - F.col("c"))).withColumn("p", F.col("n") - F.coalesce("m", F.lit(0)) - open_end.cast("int"))
+
+    d = lambda i: draw(F.lit(seed), F.col("edge"), F.lit(start) + i)
+
+    def floyd(acc, i):
+        j = F.col("p") - k + i
+        t = F.pmod(d(i), j + 1)
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t)))
+
+    each = F.sequence(F.lit(0), F.lit(k - 1))
+    ranks = F.when(F.col("p") >= k, F.aggregate(each, F.array().cast("array<bigint>"), floyd)).otherwise(F.transform(each, lambda i: F.pmod(d(i), F.col("p"))))
+    x = e.where("p > 0").withColumn("f", F.explode(ranks))
+    x = x.select("edge", "src", "type", (F.col("f") + F.coalesce((F.col("f") >= F.col("hole")).cast("int"), F.lit(0))).alias("at"))
+    x = x.join(counted(x.select("src", "type", "at"), "below"), ["src", "type", "at"]).select("edge", "type", (F.col("at") + F.col("c")).alias("id"))
+    found = x.join(by_label, ["type", "id"]).select("edge", F.col("label").alias("negative"))
+
+    starts = sizes.withColumn("lo", F.sum("n").over(Window.orderBy("type").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))  # one row for each type
+    total = sizes.agg(F.sum("n").alias("_all"))
+    y = e.where("p <= 0").select("edge", F.explode(F.transform(each, d)).alias("u")).join(F.broadcast(total)).withColumn("u", F.pmod("u", "_all"))  # one row
+    y = y.join(F.broadcast(starts), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("lo") + F.col("n"))).select("edge", "type", (F.col("u") - F.col("lo")).alias("id"))
+    return found.unionByName(y.join(by_label, ["type", "id"]).select("edge", F.col("label").alias("negative")))
 
 
 def recent_in(edges: DataFrame, k: int) -> DataFrame:
