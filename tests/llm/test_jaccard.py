@@ -92,3 +92,17 @@ def test_query_is_whole(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = sorted([tuple(r) for r in jaccard.op7(spark, "/root/testdata/sf0.001").collect()], key=str)
     assert got == brute(rows, 4, 85, 100)
+
+
+@pytest.mark.parametrize("num", [85, 80, 60, 30])
+def test_slack_is_covered_in_every_layout(num):
+    r = np.random.default_rng(num)
+    s = jaccard.Scheme(num, 100)
+    for size in [*range(4, 30), 60, 150]:
+        for _ in range(400 if size < 30 else 40):
+            both = r.integers(0, 2**64, size, dtype=np.uint64)
+            apart = int(size * (100 - num) / num)
+            x = r.integers(0, 2**64, int(r.integers(0, apart + 1)), dtype=np.uint64)
+            y = r.integers(0, 2**64, int(r.integers(0, apart - len(x) + 1)), dtype=np.uint64)
+            a, b = np.unique(np.concatenate((both, x))), np.unique(np.concatenate((both, y)))
+            assert len(np.intersect1d(s.signatures(a), s.signatures(b))) > min(s.slack(len(a)), s.slack(len(b))), (len(a), len(b))

@@ -1,10 +1,11 @@
 """Operator 7, n-gram Jaccard self-join by universe partition and pigeonhole.
 
 A text's set holds its distinct n-word shingles (A-Z lower-cased). Sets of similar size share a scheme, which cuts the
-universe of shingle hashes into m segments. Two sets with Jaccard t or more differ in at most H shingles, so if d segments
-are also indexed with one shingle left out (one-deletion neighbourhood) and (m - d - e) + 2 d > H, then either one of
-those d segments differs by at most one shingle, or at least e + 1 of the others are equal. m and d are chosen by the cost
-of the signatures they make. The slack is spent twice, by orders that all sets share: signatures with the largest hashes
+universe of shingle hashes into m segments. Two sets with Jaccard t or more differ in at most H shingles, so with m = H + 1 + e
+at least e + 1 segments are equal. Where d segments are also indexed with one shingle left out (one-deletion neighbourhood),
+each of them that matches may give no more than one common signature and set two differences free for the others, so there
+m + d = H + 1 + 2 e: j matches leave 2 e + 1 - 2 j equal segments of the others, and never fewer than e + 1 signatures are
+common. m and d are chosen by the cost of the signatures they make. The slack is spent twice, by orders that all sets share: signatures with the largest hashes
 are left out before the shuffle, as many as a set's own size allows, and each set skips its e most frequent signatures.
 
 Sets that are equal are one vertex. Candidates within a signature's group are checked against a pivot first (the set that
@@ -79,8 +80,8 @@ class Scheme:
         h = self.most_apart(top + top * self.den // self.num)
         e = 1 + h // 20
         best = None
-        for m in range((h + 1 + e) // 2 + e, h + 2 + e):
-            d = max(0, h + 1 + e - m)
+        for d in range((h + 1) // 2 + e, -1, -1):
+            m = h + 1 + (2 * e if d else e) - d
             if d > m:
                 continue
             tokens = top / m
@@ -114,7 +115,7 @@ class Scheme:
             tag = tk.mix((_U(band) << _U(32)) | np.arange(m, dtype=np.uint64))
             sig = tk.mix(whole ^ tag)
             plain = sig[d:]
-            keep = len(plain) - (len(plain) + 2 * d - e - h - 1)
+            keep = h + 1 + (2 * e if d else e) - 2 * d
             out.append(np.partition(plain, keep - 1)[:keep] if 0 < keep < len(plain) else plain)
             if d:
                 seg = np.repeat(np.arange(m), np.diff(at))[: at[d]]
