@@ -67,20 +67,10 @@ def test_classes(spark, seed, n, num, den):
     assert got == brute(rows, n, num, den)
 
 
-@pytest.mark.parametrize("num", [85, 60, 30])
-def test_every_close_pair_shares_signatures_beyond_the_slack(num):
-    r = np.random.default_rng(num)
-    s = jaccard.Scheme(num, 100)
-    for _ in range(300):
-        both = r.integers(0, 2**63, int(r.integers(1, 400)), dtype=np.uint64)
-        apart = int(len(both) * (100 - num) / num)
-        x = r.integers(0, 2**63, int(r.integers(0, apart + 1)), dtype=np.uint64)
-        y = r.integers(0, 2**63, apart - len(x), dtype=np.uint64)
-        a, b = np.unique(np.concatenate((both, x))), np.unique(np.concatenate((both, y)))
-        common = len(np.intersect1d(s.signatures(a), s.signatures(b)))
-        assert common >= 1
-        if not s.layout(s.band(min(len(a), len(b))))[1]:
-            assert common > min(s.slack(len(a)), s.slack(len(b)))
+def reaches(s, a, b):
+    """Whether two sets meet after both have skipped as many of their common plain signatures as they may."""
+    (pa, na), (pb, nb) = s.signatures(a), s.signatures(b)
+    return len(np.intersect1d(na, nb)) or len(np.intersect1d(pa, pb)) > min(s.slack(len(a)), s.slack(len(b)))
 
 
 def test_empty(spark):
@@ -98,11 +88,55 @@ def test_query_is_whole(spark):
 def test_slack_is_covered_in_every_layout(num):
     r = np.random.default_rng(num)
     s = jaccard.Scheme(num, 100)
-    for size in [*range(4, 30), 60, 150]:
+    for size in [*range(1, 30), 60, 150, 400]:
         for _ in range(400 if size < 30 else 40):
             both = r.integers(0, 2**64, size, dtype=np.uint64)
             apart = int(size * (100 - num) / num)
             x = r.integers(0, 2**64, int(r.integers(0, apart + 1)), dtype=np.uint64)
             y = r.integers(0, 2**64, int(r.integers(0, apart - len(x) + 1)), dtype=np.uint64)
             a, b = np.unique(np.concatenate((both, x))), np.unique(np.concatenate((both, y)))
-            assert len(np.intersect1d(s.signatures(a), s.signatures(b))) > min(s.slack(len(a)), s.slack(len(b))), (len(a), len(b))
+            assert reaches(s, a, b), (len(a), len(b))
+
+
+def test_neighbourhoods_are_allocated_wherever_sets_may_differ():
+    for num in (85, 80, 60):
+        s = jaccard.Scheme(num, 100)
+        for size in (13, 60, 300, 2000, 20000):
+            m, d, e, _ = s.layout(s.band(size))
+            assert d >= 1 and m + d == s.most_apart(s.tops[s.band(size)] + s.tops[s.band(size)] * 100 // num) + 1 + e
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    """Thue-Morse words and their complements, whose polynomial hashes modulo 2^64 are equal whatever the base."""
+    a = "".join("xy"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("xy", "yx"))
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 4):
+        got = sorted((tuple(r) for r in jaccard.join_classes(spark, docs, n, 85, 100).collect()), key=str)
+        assert got == brute(rows, n, 85, 100)
+
+
+def test_one_large_cluster_of_near_copies(spark, monkeypatch):
+    """Copies of one text with other edits each: many are close to the text but not to each other."""
+    for name, x in (("HELD", 64), ("PASSING", 256), ("TEXTS", 32)):
+        monkeypatch.setattr(jaccard, name, x)
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(160)]
+    rows = []
+    for i in range(1000):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 6])):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(x) for x in jaccard.join_classes(spark, docs, 4, 85, 100).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_one_row_of_each_class_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, 1), (None, long, 2), (None, "other words here and there", 3), (None, "other words here and there", 3), (5, long + " x", 4), (5, long + " x", 0), (6, "", 5), (6, None, 6), (7, " ", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int")
+    got = sorted((tuple(r) for r in jaccard.one_per_class(spark, docs).collect()), key=str)
+    assert got == sorted([(5, long + " x", 0), (None, "other words here and there", 3), (6, "", 5), (6, None, 6), (7, " ", 7)], key=str)

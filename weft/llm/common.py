@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators are space and U+0009 to U+000D, nothing else.
@@ -15,10 +17,13 @@ SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, `spark.checkpoint.dir`; where unset (tests), a new local one, set for the session."""
+    """The shared folder of the session, `spark.checkpoint.dir`; where unset (tests), a new local one, set for the session.
+    Only a session whose executors are threads of the driver may do without it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,8 +33,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weft/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a query's shuffle files when it ends, where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and are read again instead of recomputed."""
+    """Tables written to the shared folder: they cut lineage, survive lost executors and are read again instead of recomputed.
+
+    Tables are dropped as soon as no step reads them; what a returned DataFrame still reads is deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -37,15 +49,36 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         self.paths[label] = path
+        _left[path] = self.spark
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
-        """Delete tables that no later step reads, and let Spark free the shuffle files behind them."""
+        """Delete tables that no later step reads."""
         for label in labels:
-            delete(self.spark, self.paths.pop(label))
-        self.spark.sparkContext._jvm.System.gc()
+            path = self.paths.pop(label)
+            delete(self.spark, path)
+            _left.pop(path, None)
+
+
+#: Paths of scratch tables that are still there, with their sessions.
+_left: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in _left.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended before; its owner empties the folder
+            return
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -70,6 +103,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def row_key() -> Column:
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("")))
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id, text. Keys are digests: rows with the same key have the same id and text, and so the same result."""
+    return docs.select(row_key().alias("key"), "doc_id", "text")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

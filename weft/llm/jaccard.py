@@ -1,17 +1,18 @@
 """Operator 7, n-gram Jaccard self-join by universe partition and pigeonhole.
 
 A text's set holds its distinct n-word shingles (A-Z lower-cased). Sets of similar size share a scheme, which cuts the
-universe of shingle hashes into m segments. Two sets with Jaccard t or more differ in at most H shingles, so with m = H + 1 + e
-at least e + 1 segments are equal. Where d segments are also indexed with one shingle left out (one-deletion neighbourhood),
-each of them that matches may give no more than one common signature and set two differences free for the others, so there
-m + d = H + 1 + 2 e: j matches leave 2 e + 1 - 2 j equal segments of the others, and never fewer than e + 1 signatures are
-common. m and d are chosen by the cost of the signatures they make. The slack is spent twice, by orders that all sets share: signatures with the largest hashes
-are left out before the shuffle, as many as a set's own size allows, and each set skips its e most frequent signatures.
-
-Sets that are equal are one vertex. Candidates within a signature's group are checked against a pivot first (the set that
-shares most signatures with others). Groups that then still span several components are gathered into clusters, whose
-members meet in blocks: each task holds a bounded block of profiles and streams the cluster past it, and only pairs that
-sizes and profiles allow go on. Each pair that goes on is verified on whole texts.
+universe of shingle hashes into m segments, d of them indexed with their one-deletion neighbourhoods too. Two sets with
+Jaccard t or more differ in at most H shingles. A plain segment that differs takes one difference at least, and a segment
+whose neighbourhoods differ takes two, so where m + d = H + 1 + e, what matches weighs e + 1 at least (a plain segment 1,
+a neighbourhood 2). m and d are chosen by the cost of the signatures they make, with DELETIONS of the segments or more
+given to neighbourhoods. The slack e is spent on plain segments only: each set skips its e most frequent ones. Signatures
+with the largest hashes, as many as a set's own size allows, are left out before the shuffle.
+
+Sets that are equal are one vertex, named by a digest of the words. Candidates within a signature's group are compared
+with a pivot (the set that shares most signatures with others). In groups that then span several components, every set
+outside the group's largest component is compared with all of the group, in cells of bounded size. So all candidates
+share a signature; those that sizes and profiles (shingle counts by bucket, a bound of the difference) rule out go no
+further; the others are verified on the words themselves, a text travelling once for each set it is compared with.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer than n words make one
 shingle of all; rows with one id are rows of their own; null ids pass through, and a component of null ids only has a
@@ -29,9 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm import tokens as tk
-from weft.llm.common import Scratch, ship
+from weft.llm.common import Scratch, keyed, row_key, ship
 from weft.llm.components import components
-from weft.llm.repeats import keyed
 
 _U = np.uint64
 _I = np.int64
@@ -56,6 +56,8 @@ class Scheme:
     """Bands of set sizes, and for each band the partition and its allocation. The threshold is num / den."""
 
     RATIO = 1.5
+    #: One segment in so many is given to one-deletion neighbourhoods, and one at least where sets may differ at all.
+    DELETIONS = 64
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -75,20 +77,20 @@ class Scheme:
 
     @lru_cache(None)  # noqa: B019
     def layout(self, band: int) -> tuple[int, int, int, np.ndarray]:
-        """Segments m, of which d with deletions, slack e, and the upper edges of the segments."""
+        """Segments m, of which the first d with neighbourhoods, slack e, and the upper edges of the segments."""
         top = self.tops[band]
         h = self.most_apart(top + top * self.den // self.num)
+        if not h:
+            return 1, 0, 0, np.array([2**64 - 1], dtype=np.uint64)
         e = 1 + h // 20
         best = None
-        for d in range((h + 1) // 2 + e, -1, -1):
-            m = h + 1 + (2 * e if d else e) - d
-            if d > m:
-                continue
+        for d in range(1 + h // self.DELETIONS, (h + 1 + e) // 2 + 1):
+            m = h + 1 + e - d
             tokens = top / m
             cost = m + d * tokens + 4 * m * math.exp(1 - tokens)  # signatures, deletions, and groups of weak segments
             if best is None or cost < best[0]:
                 best = (cost, m, d)
-        _, m, d = best or (0, h + 1 + e, 0)
+        _, m, d = best
         edges = np.array([((i + 1) << 64) // m - 1 for i in range(m)], dtype=np.uint64)
         return m, d, e, edges
 
@@ -103,186 +105,294 @@ class Scheme:
     def slack(self, size: int) -> int:
         return min(self.layout(b)[2] for b, _ in self.roles(size))
 
-    def signatures(self, u: np.ndarray) -> np.ndarray:
+    def signatures(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of plain segments, and those of neighbourhoods."""
         value = tk.mix(u + _U(0x51ED270B))
         sums = np.zeros(len(u) + 1, dtype=np.uint64)
         np.cumsum(value, out=sums[1:])
-        out = []
+        plain, near = [], [np.zeros(0, dtype=np.uint64)]
         for band, h in self.roles(len(u)):
             m, d, e, edges = self.layout(band)
             at = np.concatenate(([0], np.searchsorted(u, edges, "right")))
             whole = sums[at[1:]] - sums[at[:-1]]
             tag = tk.mix((_U(band) << _U(32)) | np.arange(m, dtype=np.uint64))
             sig = tk.mix(whole ^ tag)
-            plain = sig[d:]
-            keep = h + 1 + (2 * e if d else e) - 2 * d
-            out.append(np.partition(plain, keep - 1)[:keep] if 0 < keep < len(plain) else plain)
+            keep = h + 1 + e - 2 * d  # what is left to the plain segments where no neighbourhood matches
+            if keep > 0:
+                plain.append(np.partition(sig[d:], keep - 1)[:keep] if keep < m - d else sig[d:])
             if d:
                 seg = np.repeat(np.arange(m), np.diff(at))[: at[d]]
-                out += [sig[:d], tk.mix((whole[seg] - value[: at[d]]) ^ tag[seg])]
-        return np.unique(np.concatenate(out))
+                near += [sig[:d], tk.mix((whole[seg] - value[: at[d]]) ^ tag[seg])]
+        return np.unique(np.concatenate(plain)) if plain else near[0], np.unique(np.concatenate(near))
+
+
+#: Texts that a task remembers, so that it indexes copies once.
+SEEN = 200_000
+_INDEX = "key binary, doc_id long, v long, other long, n int, e int, plain array<long>, near array<long>, profile binary"
+
+
+def profile(u: np.ndarray) -> np.ndarray:
+    """Number of shingles by bucket: two sets differ in at least as many shingles as their profiles."""
+    size = 64 if len(u) <= 1024 else 256 if len(u) <= 8192 else 1024
+    return np.minimum(np.bincount((u & _U(size - 1)).astype(_I), minlength=size), 65535).astype(np.uint16)
+
+
+def folded(p: np.ndarray, size: int) -> np.ndarray:
+    return p if p.shape[-1] == size else p.reshape(*p.shape[:-1], -1, size).sum(axis=-2)
+
+
+def _lists(x: list[np.ndarray]):
+    offsets = np.concatenate(([0], np.cumsum([len(y) for y in x]))).astype(np.int32)
+    flat = np.concatenate(x) if x else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(_I)))
 
 
 def _index(n: int, num: int, den: int):
     scheme = Scheme(num, den)
+    none = np.zeros(0, dtype=np.uint64)
 
     def run(batches):
+        seen: dict[bytes, int] = {}
         for b in batches:
             for i, j, data, offs in tk.texts(b.column(1)):
-                sets = shingle_sets(data, offs, n)
-                sigs = [scheme.signatures(u) if len(u) else u for u in sets]
-                ids = np.array([int(tk.mix(np.array([u.sum(dtype=np.uint64) ^ (_U(len(u)) << _U(40))], dtype=np.uint64))[0]) if len(u) else 0 for u in sets], dtype=np.uint64)
-                sizes = [len(u) for u in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-                flat = np.concatenate(sigs) if sigs else np.zeros(0, dtype=np.uint64)
+                if len(seen) > SEEN:
+                    seen.clear()
+                raw = bytes(data)
+                names = [tk.digest(b" ".join(raw[x:y].lower().split())) for x, y in zip(offs[:-1], offs[1:])]
+                ids = np.frombuffer(b"".join(names), dtype=_I).reshape(-1, 2)
+                sizes, slack, plain, near, profiles = [], [], [], [], []
+                for name, u in zip(names, shingle_sets(data, offs, n)):
+                    p, q = (none, none) if name in seen or not len(u) else scheme.signatures(u)
+                    seen[name] = 1
+                    sizes.append(len(u))
+                    slack.append(scheme.slack(len(u)) if len(p) else 0)
+                    plain.append(p)
+                    near.append(q)
+                    profiles.append(profile(u).tobytes() if len(p) or len(q) else None)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids.view(_I)), pa.array([scheme.slack(x) if x else 0 for x in sizes], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(_I))),
-                ], ["key", "doc_id", "n", "v", "e", "sigs"])
+                    b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(slack, pa.int32()),
+                    _lists(plain), _lists(near), pa.array(profiles, pa.binary()),
+                ], ["key", "doc_id", "v", "other", "n", "e", "plain", "near", "profile"])
 
     return run
 
 
-def _verify(n: int, num: int, den: int):
-    def run(batches):
-        seen: dict[int, np.ndarray] = {}
-
-        def of(v, text):
-            if v not in seen:
-                if len(seen) > 64:
-                    seen.clear()
-                raw = text.encode()
-                seen[v] = shingle_sets(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), n)[0]
-            return seen[v]
+def _allowed(num: int, den: int):
+    """From (a, b, na, nb, pa, pb): the pairs that sizes and profiles allow."""
 
+    def run(batches):
         for b in batches:
-            a, z = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ta, tz = b.column(2), b.column(3)
-            ok = []
-            for i, (x, y) in enumerate(zip(a, z)):
-                p, q = of(x, ta[i].as_py()), of(y, tz[i].as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            pa_, pb = ([np.frombuffer(x.as_buffer(), dtype=np.uint16).astype(_I) for x in b.column(i)] for i in (4, 5))
+            apart = np.array([int(np.abs(folded(x, min(len(x), len(y))) - folded(y, min(len(x), len(y)))).sum()) for x, y in zip(pa_, pb)], dtype=_I)
+            both = b.column(2).to_numpy() + b.column(3).to_numpy()
+            ok = pa.array(apart * (den + num) <= (den - num) * both)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     return run
 
 
-#: Sets that are held at once while the rest of their cluster streams past them, and the buckets of a set's profile.
-BLOCK = 512
-BUCKETS = 512
-_PROFILE = "cluster long, v long, n long, label long, block long, blocks long, profile binary"
+#: Sets that a cell holds, sets that pass by them in one cell, and texts that are compared with one text in one cell.
+HELD, PASSING, TEXTS = 512, 4096, 256
 
 
-def _profile(n: int):
-    """Number of shingles in each of BUCKETS buckets (at most 255): two sets differ in at least as many shingles as their profiles."""
+def _cells(num: int, den: int):
+    """From rows sorted by (sig, i, j, kind): pairs of a held set and a passing one of another component that sizes and profiles allow."""
 
     def run(batches):
+        key, held, block = None, [], []
         for b in batches:
-            out = []
-            for _, _, data, offs in tk.texts(b.column(6)):
-                for u in shingle_sets(data, offs, n):
-                    c = np.bincount((u & _U(BUCKETS - 1)).astype(_I), minlength=BUCKETS)
-                    out.append(np.minimum(c, 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(out, pa.binary())], _PROFILE.replace(" long", "").replace(" binary", "").split(", "))
+            sig, bi, bj, kind, v, n, label = (b.column(i).to_pylist() for i in range(7))
+            a, z = [], []
+            for i in range(len(v)):
+                if (sig[i], bi[i], bj[i]) != key:
+                    key, held, block = (sig[i], bi[i], bj[i]), [], []
+                p = np.frombuffer(b.column(7)[i].as_buffer(), dtype=np.uint16).astype(np.int32)
+                if kind[i] == 0:
+                    held.append((v[i], n[i], label[i], p))
+                    continue
+                if held and not block:
+                    for size in sorted({len(x[3]) for x in held}):
+                        mine = [x for x in held if len(x[3]) == size]
+                        block.append((*(np.array([x[c] for x in mine], dtype=_I) for c in range(3)), np.stack([x[3] for x in mine]), {}))
+                for hv, hn, hl, hp, folds in block:
+                    at = np.flatnonzero((hl != label[i]) & (num * hn <= den * n[i]) & (num * n[i] <= den * hn))
+                    if not len(at):
+                        continue
+                    size = min(len(p), hp.shape[1])
+                    if size not in folds:
+                        folds[size] = folded(hp, size)
+                    apart = np.abs(folds[size][at] - folded(p, size)).sum(axis=1)
+                    at = at[apart * (den + num) <= (den - num) * (hn[at] + n[i])]
+                    a += np.minimum(hv[at], v[i]).tolist()
+                    z += np.maximum(hv[at], v[i]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _near(num: int, den: int):
-    """From rows sorted by (cluster, meets, kind): pairs of a held set and a passing one that profiles and sizes allow."""
+def _verify(n: int, num: int, den: int):
+    """From rows sorted by (hub, cell, v is not null): hub, v, and whether the two texts' sets of shingles, as words, are close."""
 
     def run(batches):
-        key, held = None, []
-        block = None
+        key, ids, hub = None, {}, frozenset()
+
+        def shingles(text: str) -> set[bytes]:
+            ws = text.encode().translate(_LOWER).split()
+            raw = np.array([ids.setdefault(w, len(ids)) for w in ws], dtype=np.int32).tobytes()
+            return {raw[4 * i : 4 * (i + n)] for i in range(max(1, len(ws) - n + 1))}
+
         for b in batches:
-            cluster, meets, kind, v, n, label = (b.column(i).to_pylist() for i in range(6))
-            a, z = [], []
-            for i in range(len(v)):
-                mine = (cluster[i], meets[i])
-                if mine != key:
-                    key, held, block = mine, [], None
-                profile = np.frombuffer(b.column(6)[i].as_buffer(), dtype=np.uint8)
-                if kind[i] == 0:
-                    held.append((v[i], n[i], label[i], profile))
+            a, z, ok = [], [], []
+            for i, (h, c, v) in enumerate(zip(*(b.column(x).to_pylist() for x in range(3)))):
+                if v is None:
+                    ids = {}
+                    key, hub = (h, c), shingles(b.column(3)[i].as_py())
                     continue
-                if block is None:
-                    block = [np.array([x[j] for x in held], dtype=_I) for j in range(3)] + [np.stack([x[3] for x in held]).astype(np.int16)]
-                hv, hn, hl, hp = block
-                both = hn + n[i]
-                at = np.flatnonzero((hl != label[i]) & (num * hn <= den * n[i]) & (num * n[i] <= den * hn))
-                if len(at):
-                    apart = np.abs(hp[at] - profile.astype(np.int16)).sum(axis=1)
-                    at = at[apart * (den + num) <= (den - num) * both[at]]
-                    a += np.minimum(hv[at], v[i]).tolist()
-                    z += np.maximum(hv[at], v[i]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+                if key != (h, c):
+                    raise ValueError("a pair without its hub")
+                mine = shingles(b.column(3)[i].as_py())
+                both = len(hub & mine)
+                a.append(h)
+                z.append(v)
+                ok.append(den * both >= num * (len(hub) + len(mine) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(ok, pa.bool_())], ["hub", "v", "ok"])
 
     return run
 
 
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+class Join:
+    """One join over docs; `rows` has key, doc_id, n, v of every row, `labels` v and label (the least v of its component) of every linked vertex."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, n: int, num: int, den: int):
+        ship(spark)
+        self.scratch, self.docs, self.shape = Scratch(spark), keyed(docs), (n, num, den)
+        keep, drop = self.scratch.keep, self.scratch.drop
+        index = keep(self.docs.select("key", "text", "doc_id").mapInArrow(_index(n, num, den), _INDEX), "index")
+        if index.groupBy("v").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").limit(1).count():
+            raise ValueError("two texts share half a digest: give one of them another name")  # once in 2^64 pairs of texts
+        self.rows = keep(index.select("key", "doc_id", "n", "v"), "rows")
+        self.sets = keep(index.where("profile is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.min("key").alias("key")), "sets")
+        groups = self._groups(index)
+        drop("index")
+        self.texts = self._texts(groups)
+        done = self._verified(self._allowed(self._with_pivots(groups)), "pivots")
+        self.labels = components(done.where("ok").select("a", "b"), self.scratch, "first")
+        more = self._verified(self._in_cells(self._open(groups)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "cells")
+        if more.where("ok").limit(1).count():
+            links = done.unionByName(more).where("ok").select("a", "b")
+            self.labels = components(links, self.scratch, "last")
+        drop("texts", "sets", *(x for x in self.scratch.paths if x.startswith(("groups", "verified", "pairs"))))
+
+    def _groups(self, index: DataFrame) -> DataFrame:
+        """sig, v, n, score for signatures that sets may share, without what the slack allows to skip."""
+        kind = lambda name: F.transform(name, lambda s: F.struct(s.alias("sig"), F.lit(name == "near").alias("near")))
+        every = index.select("v", "n", "e", F.explode(F.concat(kind("plain"), kind("near"))).alias("s")).select("v", "n", "e", "s.sig", "s.near")
+        often = self.scratch.keep(every.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "often")
+        members = self.scratch.keep(every.join(often, "sig"), "members")  # a join alone, so that Spark can split a frequent signature
+        self.scratch.drop("often")
+        one = members.repartition("v").groupBy("v", "sig").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.first("near").alias("near"), F.first("c").alias("c"))
+        order = F.row_number().over(Window.partitionBy("v").orderBy("near", F.desc("c"), "sig"))
+        score = F.sum("c").over(Window.partitionBy("v"))
+        out = one.withColumn("r", order).withColumn("score", score).where("near or r > e").select("sig", "v", "n", "score")
+        out = self.scratch.keep(out, "groups")
+        self.scratch.drop("members")
+        return out
+
+    def _texts(self, groups: DataFrame) -> DataFrame:
+        shared = groups.groupBy("sig").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("sig")
+        involved = groups.join(shared, "sig").select("v").distinct().join(self.sets.select("v", "key"), "v")
+        return self.scratch.keep(self.docs.select("key", "text").join(involved, "key").select("v", "text"), "texts")
+
+    def _with_pivots(self, groups: DataFrame) -> DataFrame:
+        """a, b: each set of a group with the group's pivot."""
+        _, num, den = self.shape
+        pivot = groups.groupBy("sig").agg(F.count("*").alias("k"), F.max(F.struct("score", "v", "n")).alias("p")).where("k > 1")
+        pivot = self.scratch.keep(pivot.select("sig", F.col("p.v").alias("hub"), F.col("p.n").alias("hn")), "pairs-pivots")
+        close = (F.col("n") * num <= F.col("hn") * den) & (F.col("hn") * num <= F.col("n") * den)
+        met = groups.join(pivot, "sig").where("v <> hub").where(close)
+        return met.select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct()
+
+    def _allowed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose profiles allow them."""
+        _, num, den = self.shape
+        x, y = (self.sets.select(F.col("v").alias(c), F.col("n").alias(f"n{c}"), F.col("profile").alias(f"p{c}")) for c in "ab")
+        full = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "pa", "pb")
+        return full.mapInArrow(_allowed(num, den), "a long, b long")
+
+    def _verified(self, pairs: DataFrame, label: str) -> DataFrame:
+        """a, b, ok of each pair. The end that more pairs share is the hub, whose text goes once to each cell of TEXTS others."""
+        pairs = self.scratch.keep(pairs, f"pairs-allowed-{label}")
+        n = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("k"))
+        ka, kb = (n.select(F.col("x").alias(c), F.col("k").alias(f"k{c}")) for c in "ab")
+        both = pairs.join(ka, "a").join(kb, "b")
+        turned = F.col("ka") > F.col("kb")
+        hubs = both.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("v"), F.greatest("ka", "kb").alias("k"))
+        hubs = hubs.withColumn("cell", F.pmod(F.xxhash64("v"), F.ceil(F.col("k") / TEXTS)).cast("int"))
+        hubs = self.scratch.keep(hubs.select("hub", "cell", "v"), f"pairs-hubs-{label}")
+        heads = hubs.select("hub", "cell").distinct().select("hub", "cell", F.lit(None).cast("long").alias("v"), F.col("hub").alias("t"))
+        asked = self.scratch.keep(heads.unionByName(hubs.select("hub", "cell", "v", F.col("v").alias("t"))), f"pairs-asked-{label}")
+        told = asked.join(self.texts.withColumnRenamed("v", "t"), "t").select("hub", "cell", "v", "text")
+        dealt = told.repartition("hub", "cell").sortWithinPartitions("hub", "cell", F.col("v").asc_nulls_first())
+        done = dealt.mapInArrow(_verify(*self.shape), "hub long, v long, ok boolean")
+        return self.scratch.keep(done.select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"), "ok"), f"verified-{label}")
+
+    def _open(self, groups: DataFrame) -> DataFrame:
+        """Groups whose sets are in several components, with the group's largest one, `main`."""
+        placed = groups.select("sig", "v", "n").join(self.labels, "v", "left").select("sig", "v", "n", F.coalesce("label", "v").alias("label"))
+        placed = self.scratch.keep(placed, "groups-placed")
+        sizes = placed.groupBy("sig", "label").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("sig").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("all")).where("labels > 1")
+        main = self.scratch.keep(main.select("sig", F.col("x.label").alias("main"), F.col("x.k").alias("inside"), "all"), "groups-open")
+        return placed.join(main, "sig")
+
+    def _in_cells(self, groups: DataFrame) -> DataFrame:
+        _, num, den = self.shape
+        g = groups.withColumn("bi", F.ceil((F.col("all") - F.col("inside")) / HELD)).withColumn("bj", F.ceil(F.col("all") / PASSING))
+        g = self.scratch.keep(g.join(self.sets.select("v", "profile"), "v").select("sig", "v", "n", "label", "main", "bi", "bj", "profile"), "groups-profiles")
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        own = lambda c: F.pmod(F.xxhash64("v"), F.col(c))
+        held = g.where("label <> main").select("sig", own("bi").alias("i"), upto("bj").alias("j"), F.lit(0).alias("kind"), "v", "n", "label", "profile")
+        passing = g.select("sig", upto("bi").alias("i"), own("bj").alias("j"), F.lit(1).alias("kind"), "v", "n", "label", "profile")
+        dealt = held.unionByName(passing).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "kind")
+        return dealt.mapInArrow(_cells(num, den), "a long, b long")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """key, doc_id, n, v, label (null for empty sets) of every row."""
+    join = Join(spark, docs, n, num, den)
+    out = join.rows.join(join.labels, "v", "left")
+    return out.select("key", "doc_id", "n", "v", F.when(F.col("n") > 0, F.coalesce("label", "v")).alias("label"))
+
+
 def join_classes(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links with Jaccard num / den or more) of every row."""
-    ship(spark)
     scratch = Scratch(spark)
-    docs = keyed(docs)
-    indexed = scratch.keep(docs.select("key", "text", "doc_id").mapInArrow(_index(n, num, den), "key long, doc_id long, n long, v long, e int, sigs array<long>"), "index")
-    rows = indexed.select("doc_id", "n", "v")
-    exploded = indexed.select("v", "n", "e", F.explode("sigs").alias("sig"))
-    often = scratch.keep(exploded.groupBy("sig").agg(F.count("*").alias("_c")).where("_c > 1").select("sig"), "often")
-    members = exploded.join(often, "sig").groupBy("sig", "v").agg(F.min("n").alias("n"), F.min("e").alias("e"))
-    members = scratch.keep(members, "members")
-    scratch.drop("often")
-    sizes = scratch.keep(members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    frequent = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("c"), "sig"))
-    members = members.join(sizes, "sig").withColumn("_r", frequent).where("_r > e").select("sig", "v", "n", "c")
-    groups = scratch.keep(members, "groups")
-    scratch.drop("members")
-    scores = groups.groupBy("v").agg(F.sum("c").alias("score"))
-    groups = scratch.keep(groups.join(scores, "v").select("sig", "v", "n", "score"), "scored")
-    scratch.drop("groups")
-
-    home = indexed.where("n > 0").groupBy("v").agg(F.min("key").alias("key"))
-    involved = groups.select("v").distinct().join(home, "v")
-    texts = docs.select("key", "text").join(involved.hint("shuffle_hash"), "key").groupBy("v").agg(F.first("text").alias("text"))
-    texts = scratch.keep(texts, "texts")
-
-    def verify(pairs: DataFrame, label: str) -> DataFrame:
-        ta, tb = texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), texts.select(F.col("v").alias("b"), F.col("text").alias("tb"))
-        full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return scratch.keep(full.mapInArrow(_verify(n, num, den), "a long, b long, ok boolean"), label).where("ok").select("a", "b")
-
-    best = scratch.keep(groups.groupBy("sig").agg(F.max(F.struct("score", "v", "n")).alias("x")).select("sig", F.col("x.v").alias("p"), F.col("x.n").alias("pn")), "pivots")
-    close = (F.col("n") * num <= F.col("pn") * den) & (F.col("pn") * num <= F.col("n") * den)
-    pairs = groups.join(best, "sig").where("v <> p").where(close).select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-    links = verify(pairs, "links-0")
-    labels = components(links, scratch, "first")
-
-    # groups that still span several components, gathered into clusters of sets that may yet be linked
-    placed = groups.join(labels, "v", "left").select("sig", "v", "n", F.coalesce("label", "v").alias("label"))
-    open_ = scratch.keep(placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("v").alias("one")).where("x <> y").select("sig", "one"), "open")
-    placed = scratch.keep(placed.join(open_, "sig").select("v", "n", "label", "one").distinct(), "unsettled")
-    clusters = components(placed.select(F.col("v").alias("a"), F.col("one").alias("b")), scratch, "clusters")
-    there = placed.select("v", "n", "label").distinct().join(clusters.select("v", F.col("label").alias("cluster")), "v")
-    sizes = scratch.keep(there.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes-of-clusters")
-    there = there.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
-    there = scratch.keep(there.join(texts, "v").select("cluster", "v", "n", "label", "block", "blocks", "text").mapInArrow(_profile(n), _PROFILE), "profiles")
-    fixed = there.select("cluster", F.col("block").alias("meets"), F.lit(0).alias("kind"), "v", "n", "label", "profile")
-    moving = there.select("cluster", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("meets"), F.lit(1).alias("kind"), "v", "n", "label", "profile")
-    dealt = fixed.unionByName(moving).repartition("cluster", "meets").sortWithinPartitions("cluster", "meets", "kind")
-    more = verify(dealt.mapInArrow(_near(num, den), "a long, b long").distinct(), "links-1")
-    labels = components(links.unionByName(more), scratch, "last")
-    least = rows.where("n > 0").join(labels, "v", "left").select("v", "doc_id", F.coalesce("label", "v").alias("label"))
-    names = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = least.select("v", "label").distinct().join(names, "label").select("v", "component_id")
-    out = rows.join(classes, "v", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = scratch.keep(_classes(spark, docs, n, num, den).select("doc_id", "n", "label"), "classes")
+    names = scratch.keep(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
+    out = rows.join(names, "label", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose doc_id is their component's least. Rows that share that id all stay."""
-    firsts = join_classes(spark, docs, n, num, den).where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_first"]), "left_semi")
+    """One row of docs for each class: that of the least doc_id (nulls last). Rows with empty sets are classes of their own and all stay.
+
+    Rows that share that id and text count as one row; of those the least by their other columns stays.
+    """
+    scratch = Scratch(spark)
+    rows = scratch.keep(_classes(spark, docs, n, num, den), "classes")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.key").alias("key"))
+    times = rows.where("label is not null").groupBy("key").agg(F.count("*").alias("times"))
+    first = scratch.keep(first.join(times, "key"), "first")
+    mine = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))
+    kept = mine.join(first, "key", "left")
+    empty = F.length(F.regexp_replace(F.coalesce("row.text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
+    out = kept.where((F.col("times") == 1) | empty).select("row")
+    if first.where("times > 1").limit(1).count():
+        out = out.unionByName(kept.where("times > 1").groupBy("key").agg(F.min("row").alias("row")).select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import tokens as tk
-from weft.llm.common import Scratch, ship
+from weft.llm.common import Scratch, keyed, ship
 
 _I = np.int64
 
@@ -41,11 +41,6 @@ class Unit:
         return h, first
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text. Rows with the same key have the same id and text, and so the same result."""
-    return docs.select(F.xxhash64(F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull()).alias("key"), "doc_id", "text")
-
-
 def _scan(unit: Unit):
     def run(batches):
         for b in batches:

@@ -1,17 +1,21 @@
 """Vectorised hashing of texts inside Arrow batches: words, n-grams, and windows sampled by their smallest n-gram.
 
-All hashes are 64-bit, polynomial with a fixed random byte table and a final mix, so equal strings hash alike on every
-executor. Work goes in pieces of bounded size; a text longer than a piece is hashed piece by piece.
+Hashes are 64-bit, polynomial with a fixed random byte table and a final mix, so equal strings hash alike on every
+executor. Arithmetic modulo 2^64 has known collisions between long structured strings, so words of over LONG bytes are
+hashed by BLAKE2. These hashes only propose: where a result hangs on equality, callers compare strings, or digests of
+128 bits made of the strings themselves. Work goes in pieces of bounded size; a longer text is hashed piece by piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20  # bytes hashed at once
+LONG = 64  # bytes of a word above which it is hashed by BLAKE2
 _U = np.uint64
 _TABLE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -96,9 +100,16 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.n
         h = Hasher(_TABLE[data[a : ends[j - 1]]])
         hashes[i:j] = h(starts[i:j] - a, ends[i:j] - a)
         i = j
+    for i in np.flatnonzero(ends - starts > LONG):
+        hashes[i] = np.frombuffer(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), dtype=np.uint64)[0]
     return starts, ends, hashes, np.searchsorted(starts, offs)
 
 
+def digest(data: bytes) -> bytes:
+    """128 bits that stand for a string."""
+    return blake2b(data, digest_size=16).digest()
+
+
 def byte_tokens(data: np.ndarray) -> np.ndarray:
     return _TABLE[data]
 
