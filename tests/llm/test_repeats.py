@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,10 +61,8 @@ def test_bytes(spark, monkeypatch, seed, n, k, windows, group):
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(repeats.tk, "CHUNK", 64)
     texts = corpus(5, 20)
-    import numpy as np
-
     data = "\n".join(x or "" for x in texts).encode()
-    t, b = repeats.Unit("bytes", 30, 4).tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    t, b, _, _ = repeats.Unit("bytes", 30, 4).tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     r = repeats.tk.windows_by_anchor(t, b, 30, 4)
     assert r["count"].sum() == len(data) - 29
     whole = repeats.tk.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
@@ -71,6 +70,35 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert len(set(whole[2].tolist())) == len(set(data.split()))
 
 
+def test_suffixes_in_order():
+    r = random.Random(8)
+    for n in (5, 8, 13, 40, 100):
+        data = bytes(r.choice(b"ab") for _ in range(300)) + b"abc" * 100 + bytes(r.choice(b"ab") for _ in range(50)) + b"abc" * 60
+        pos = np.array(r.sample(range(len(data) - n), 300))
+        order, same = repeats.multikey_sort(np.frombuffer(data, np.uint8), pos, n)
+        got = [data[p : p + n] for p in pos[order]]
+        assert got == sorted(got)
+        assert same.tolist() == [False] + [x == y for x, y in zip(got, got[1:])]
+
+
+def test_only_what_the_automata_find_is_removed(spark, monkeypatch):
+    words = " ".join(f"u{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "a " + words), (2, "b " + words)], "doc_id long, text string")
+    assert {r.removed for r in repeats.repeated_words(spark, docs, 8, 3).collect()} == {30}
+    monkeypatch.setattr(repeats, "_automata", lambda shard_words: lambda batches: (x for b in batches for x in ()))
+    assert {r.removed for r in repeats.repeated_words(spark, docs, 8, 3).collect()} == {0}
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    a = "".join("xy"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("xy", "yx"))
+    texts = [f"p q {x} r s {y} t u v w" for x, y in ((a, b), (b, a), (a, a))] + [a + "!" + b, b + "?" + a]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for f, n, k, words in ((repeats.repeated_words, 6, 3, True), (repeats.repeated_bytes, 1500, 16, False)):
+        got = {r.doc_id: (r.n, r.removed, len(r.spans), bytes(r.kept)) for r in f(spark, docs, n, k).collect()}
+        assert got == dict(enumerate(brute(texts, n, words)))
+
+
 def test_nulls_repeats_and_empty(spark):
     long = " ".join(f"u{i}" for i in range(20))
     docs = spark.createDataFrame([(None, long), (None, long), (7, long + " tail"), (8, None)], "doc_id long, text string")

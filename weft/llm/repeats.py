@@ -15,9 +15,8 @@ from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import tokens as tk
@@ -34,29 +33,45 @@ class Unit:
     n: int
     k: int
 
-    def tokens(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """Tokens, each text's first token, the tokens' bytes (words parted by one space), and where each token begins there."""
         if self.by == "bytes":
-            return tk.byte_tokens(data), offs
-        _, _, h, first = tk.words(data, offs)
-        return h, first
+            return tk.byte_tokens(data), offs, data.tobytes(), np.arange(len(data) + 1)
+        s, e, h, first = tk.words(data, offs)
+        size = e - s
+        at = np.concatenate(([0], np.cumsum(size + 1)))
+        buf = np.full(int(at[-1]), 0x20, dtype=np.uint8)
+        owner = np.repeat(np.arange(len(s)), size)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        buf[at[owner] + step] = data[s[owner] + step]
+        return h, first, buf.tobytes(), at
+
+    def cut(self, tokens: list[bytes] | bytes, start: int, length: int) -> bytes:
+        piece = tokens[start : start + length]
+        return piece if self.by == "bytes" else b" ".join(piece)
 
 
 def _scan(unit: Unit):
+    gap = 1 if unit.by == "words" else 0
+
     def run(batches):
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, offs in tk.texts(b.column(1)):
-                r = tk.windows_by_anchor(*unit.tokens(data, offs), unit.n, unit.k)
+                t, bounds, buf, at = unit.tokens(data, offs)
+                r = tk.windows_by_anchor(t, bounds, unit.n, unit.k)
+                first = bounds[r["doc"]] + r["start"]
+                ends = at[first + r["count"] + unit.n - 1] - gap
+                ctx = [tk.digest(buf[x:y]) for x, y in zip(at[first].tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(r["h"].view(_I)), pa.array(r["ctx"].view(_I)), pa.array(keys[i:j][r["doc"]]), pa.array(r["start"].astype(np.int32)), pa.array(r["count"].astype(np.int32)),
-                ], ["h", "ctx", "key", "start", "n"])
+                    pa.array(r["h"].view(_I)), pa.array(ctx, pa.binary()), b.column(0).take(pa.array(i + r["doc"])), pa.array(r["start"].astype(np.int32)), pa.array(r["count"].astype(np.int32)), pa.array(r["off"].astype(np.int32)),
+                ], ["h", "ctx", "key", "start", "n", "off"])
 
     return run
 
 
 def recurring_runs(docs: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
-    """h, ctx, key, start, n of each run whose anchor occurs at least twice."""
-    a = scratch.keep(docs.select("key", "text").mapInArrow(_scan(unit), "h long, ctx long, key long, start int, n int"), "anchors")
+    """h, ctx (a digest of all tokens of the run), key, start, n, off of each run whose anchor occurs at least twice."""
+    a = scratch.keep(docs.select("key", "text").mapInArrow(_scan(unit), "h long, ctx binary, key binary, start int, n int, off int"), "anchors")
     often = scratch.keep(a.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "often")
     b = scratch.keep(a.join(often, "h"), "recurring")
     scratch.drop("anchors", "often")
@@ -64,70 +79,75 @@ def recurring_runs(docs: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
 
 
 def distinct_runs(recurring: DataFrame, scratch: Scratch) -> DataFrame:
-    """h, ctx, c (times it occurs), key (of one text that has it), n, n_ctx (distinct runs with that anchor).
+    """h, ctx, c (times it occurs), key and start (of one place of it), n, off, n_ctx (distinct runs with that anchor).
 
     Both sides of the join are tables, not aggregates, so that Spark can split an anchor that has very many runs.
     """
-    g = scratch.keep(recurring.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min("key").alias("key"), F.min("n").alias("n")), "distinct")
+    g = recurring.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("key", "start", "n", "off")).alias("x"))
+    g = scratch.keep(g.select("h", "ctx", "c", "x.*"), "distinct")
     return g.join(scratch.keep(g.groupBy("h").agg(F.count("*").alias("n_ctx")), "per-anchor"), "h")
 
 
+#: Keys of texts that a task remembers, so that of rows with one key it reads one.
+SEEN = 200_000
+_FETCHED = "h long, ctx binary, c long, n_ctx long, n int, off int, seg binary, wins array<binary>"
+
+
 def _fetch(unit: Unit):
-    """From (key, text, wanted runs) rows, each wanted run's own tokens: text for words, bytes for bytes, and window hashes where runs differ."""
+    """From (key, text, wanted runs) rows, each wanted run's own tokens, and digests of its windows where words of runs differ."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in batches:
-            want = b.column(2)
-            inner = want.values if not isinstance(want, pa.ChunkedArray) else want.combine_chunks().values
-            wo = np.asarray(want.offsets)
-            wh, wc, wn, wm = (inner.field(x).to_numpy(zero_copy_only=False) for x in ("h", "ctx", "c", "n_ctx"))
-            for i, j, data, offs in tk.texts(b.column(1)):
-                t, bounds = unit.tokens(data, offs)
-                r = tk.windows_by_anchor(t, bounds, unit.n, unit.k)
-                a, z = wo[i], wo[j]
-                owner = np.repeat(np.arange(j - i), np.diff(wo[i : j + 1])).astype(np.uint64)
-                sign = lambda h, c, d: tk.mix(h ^ tk.mix(c + tk.mix(d + np.uint64(1))))
-                wanted = sign(wh[a:z].astype(_I).view(np.uint64), wc[a:z].astype(_I).view(np.uint64), owner)
-                order = np.argsort(wanted)
-                mine = sign(r["h"], r["ctx"], r["doc"].astype(np.uint64))
-                at = np.searchsorted(wanted[order], mine)
-                at[at == len(order)] = 0
-                hit = np.flatnonzero(wanted[order][at] == mine) if len(order) else np.zeros(0, dtype=_I)
-                _, once = np.unique(mine[hit], return_index=True)
-                hit = np.sort(hit[once])
-                src = order[at[hit]] + a
-                doc, start, count = r["doc"][hit], r["start"][hit], r["count"][hit]
-                first = bounds[doc] + start
-                last = first + count + unit.n - 1
-                if unit.by == "bytes":
-                    segs = [data[x:y].tobytes() for x, y in zip(first, last)]
+            out = []
+            for key, text, want in zip(b.column(0), b.column(1), b.column(2)):
+                name = key.as_py()
+                if name in seen:
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(name)
+                raw = bytes(text.as_buffer())
+                tokens = raw.split() if unit.by == "words" else raw
+                for w in want.as_py():
+                    seg = unit.cut(tokens, w["start"], w["n"] + unit.n - 1)
                     wins = None
-                else:
-                    ws = [bytes(data[offs[d] : offs[d + 1]]).split() for d in range(j - i)] if len(hit) else []
-                    segs = [b" ".join(ws[d][s : s + c + unit.n - 1]) for d, s, c in zip(doc, start, count)]
-                    span = tk.Hasher(t)
-                    many = wm[src] > 1
-                    lens = np.where(many, count, 0)
-                    cum = np.cumsum(lens)
-                    pos = np.arange(int(cum[-1]) if len(cum) else 0) - np.repeat(cum - lens, lens) + np.repeat(first, lens)
-                    wins = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], cum)).astype(np.int32)), pa.array(span(pos, pos + unit.n).view(_I)))
-                cols = [pa.array(wh[src], pa.int64()), pa.array(wc[src], pa.int64()), pa.array(wn[src], pa.int64()), pa.array(wm[src], pa.int64()), pa.array(count.astype(np.int32)), pa.array(r["off"][hit].astype(np.int32)), pa.array(segs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols + ([wins] if wins is not None else []), ["h", "ctx", "c", "n_ctx", "n", "off", "seg"] + (["wins"] if wins is not None else []))
+                    if unit.by == "words" and w["n_ctx"] > 1:
+                        wins = [tk.digest(unit.cut(tokens, w["start"] + i, unit.n)) for i in range(w["n"])]
+                    out.append((w["h"], w["ctx"], w["c"], w["n_ctx"], w["n"], w["off"], seg, wins))
+                if len(out) >= 4096:
+                    yield _batch(out, _FETCHED)
+                    out = []
+            if out:
+                yield _batch(out, _FETCHED)
 
     return run
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, k in enumerate(kinds)], list(names))
+
+
 def fetch(docs: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """The tokens of distinct runs, from one text each. A text's list of runs is bounded by its length."""
-    per_doc = runs.groupBy("key").agg(F.collect_list(F.struct("h", "ctx", "c", "n_ctx")).alias("want"))
-    joined = docs.select("key", "text").join(per_doc.hint("shuffle_hash"), "key").select("key", "text", "want")
-    return joined.mapInArrow(_fetch(unit), "h long, ctx long, c long, n_ctx long, n int, off int, seg binary" + (", wins array<long>" if unit.by == "words" else ""))
+    """The tokens of distinct runs, from one text each (a few times where rows share a key). A text's list of runs is bounded by its length."""
+    per_doc = runs.groupBy("key").agg(F.collect_list(F.struct("h", "ctx", "c", "n_ctx", "start", "n", "off")).alias("want"))
+    joined = docs.select("key", "text").join(per_doc, "key").select("key", "text", "want")
+    return joined.mapInArrow(_fetch(unit), _FETCHED)
 
 
-def spans_by_text(recurring: DataFrame, located: DataFrame) -> DataFrame:
-    """key and its repeated spans (from, len in tokens), from spans relative to distinct runs."""
-    per = recurring.join(located, ["h", "ctx"]).select("key", F.struct((F.col("start") + F.col("rel")).alias("at"), "len").alias("s"))
-    return per.groupBy("key").agg(F.collect_list("s").alias("spans"))
+def spans_by_text(recurring: DataFrame, located: DataFrame, scratch: Scratch) -> DataFrame:
+    """key and its repeated spans (at, len in tokens), from spans (rel, len) relative to distinct runs.
+
+    A run's spans are one row before they meet its places, so the join makes as many rows as there are places.
+    """
+    per_run = scratch.keep(located.groupBy("h", "ctx").agg(F.collect_set(F.struct("rel", "len")).alias("rels")), "per-run")
+    met = recurring.join(per_run, ["h", "ctx"]).select("key", F.transform("rels", lambda x: F.struct((F.col("start") + x["rel"]).alias("at"), x["len"].alias("len"))).alias("s"))
+    per = met.groupBy("key").agg(F.flatten(F.collect_set("s")).alias("spans"))
+    return scratch.keep(per, "spans")
 
 
 def marked(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -166,7 +186,7 @@ def cut(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
                 kept.append(b" ".join(keep) if unit.by == "words" else keep.tobytes())
             yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(at, pa.list_(pa.struct([("at", pa.int64()), ("len", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n", "removed", "spans", "kept"])
 
-    joined = docs.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, "key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n long, removed long, spans array<struct<at: long, len: long>>, kept binary")
 
 
@@ -175,70 +195,101 @@ def cut(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
 
 def confirm(fetched: DataFrame) -> DataFrame:
     """h, ctx, at: which windows of a run that occurs once also start in another run with the same anchor."""
-    w = fetched.where("n_ctx > 1").select("h", "ctx", "c", F.posexplode("wins").alias("pos", "win"))
+    w = fetched.where("n_ctx > 1").select("h", "ctx", "c", F.posexplode("wins").alias("pos", "win")).distinct()
     often = w.groupBy("h", "win").agg(F.sum("c").alias("_c")).where("_c > 1").select("h", "win")
     return w.where("c = 1").join(often, ["h", "win"]).groupBy("h", "ctx").agg(F.collect_list("pos").alias("at"))
 
 
-#: Words of patterns compiled into one automaton; bounds a worker's memory (about 100 bytes a word).
+#: Words of patterns and texts that one automaton takes; bounds a worker's memory (about 100 bytes a word of a pattern).
 SHARD_WORDS = 400_000
+#: Passages and runs of one anchor that meet in one cell; an anchor with more has more cells.
+CELL = 2000
 
 
-def _automata(n: int, shard_words: int):
-    """Compile the confirmed passages of a shard of runs into an automaton and stream the shard's texts through it."""
+def _passages(n: int):
+    """h, seg of the passages of each run: all of it where it occurs twice, else its stretches of recurring windows."""
 
-    def locate(rows):
+    def run(batches):
+        for b in batches:
+            out = []
+            for h, c, count, seg, at in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if c > 1:
+                    out.append((h, seg))
+                elif at:
+                    m = np.zeros(count, dtype=bool)
+                    m[at] = True
+                    words = seg.split()
+                    out += [(h, b" ".join(words[s : s + ln + n - 1])) for s, ln in zip(*runs_of(m))]
+            yield _batch(out, "h long, seg binary")
+
+    return run
+
+
+def _automata(shard_words: int):
+    """From rows sorted by (h, i, j, kind): compile the passages (kind 0) of cells, up to a bound of words, into an automaton, and stream the cells' runs (kind 1) through it."""
+
+    def locate(passages, runs):
         import ahocorasick
 
         ids: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        seqs = []
-        for _, _, words, passages in rows:
-            seq = tuple([ids.setdefault(w, len(ids) + 1) for w in words])
-            seqs.append(seq)
-            for s, ln in passages:
-                automaton.add_word(seq[s : s + ln])
+        for words in passages:
+            automaton.add_word(tuple([ids.setdefault(w, len(ids) + 1) for w in words]))
         automaton.make_automaton()
         out = []
-        for (h, ctx, _, _), seq in zip(rows, seqs):
-            mask = np.zeros(len(seq) + 1, dtype=_I)
-            for end, length in automaton.iter(seq):
+        for h, ctx, words in runs:
+            mask = np.zeros(len(words) + 1, dtype=_I)
+            for end, length in automaton.iter(tuple([ids.get(w, 0) for w in words])):
                 mask[end - length + 1] += 1
                 mask[end + 1] -= 1
-            for s, ln in zip(*runs_of(np.cumsum(mask[:-1]) > 0)):
-                out.append((h, ctx, int(s), int(ln)))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "ctx", "rel", "len"])
+            out += [(h, ctx, int(s), int(ln)) for s, ln in zip(*runs_of(np.cumsum(mask[:-1]) > 0))]
+        return _batch(out, "h long, ctx binary, rel int, len int")
 
     def run(batches):
-        rows, size = [], 0
+        key, passages, runs, size = None, [], [], 0
         for b in batches:
-            for h, ctx, c, count, seg, at in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for h, i, j, kind, ctx, seg in zip(*(b.column(x).to_pylist() for x in range(6))):
+                if key != (h, i, j):
+                    if size >= shard_words and passages:
+                        yield locate(passages, runs)
+                        passages, runs, size = [], [], 0
+                    key = (h, i, j)
                 words = seg.split()
-                if c > 1:
-                    passages = [(0, len(words))]
-                elif at:
-                    m = np.zeros(count, dtype=bool)
-                    m[at] = True
-                    passages = [(int(s), int(ln) + n - 1) for s, ln in zip(*runs_of(m))]
-                else:
-                    continue
-                rows.append((h, ctx, words, passages))
                 size += len(words)
-                if size >= shard_words:
-                    yield locate(rows)
-                    rows, size = [], 0
-        if rows:
-            yield locate(rows)
+                if kind:
+                    runs.append((h, ctx, words))
+                else:
+                    passages.append(words)
+        if passages:
+            yield locate(passages, runs)
 
     return run
 
 
+def located_words(fetched: DataFrame, n: int, shard_words: int, scratch: Scratch) -> DataFrame:
+    """h, ctx, rel, len: where the automata find confirmed passages in distinct runs.
+
+    Passages keep nothing but their words and their anchor, which says what shard they and the runs that may hold them go to.
+    """
+    found = fetched.join(confirm(fetched), ["h", "ctx"], "left").select("h", "c", "n", "seg", "at")
+    passages = scratch.keep(found.mapInArrow(_passages(n), "h long, seg binary").distinct(), "passages")
+    runs = fetched.select("h", "ctx", "seg")
+    sizes = passages.groupBy("h").agg(F.ceil(F.count("*") / CELL).alias("bi"))
+    sizes = scratch.keep(sizes.join(runs.groupBy("h").agg(F.ceil(F.count("*") / CELL).alias("bj")), "h"), "cells")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c, by: F.pmod(F.xxhash64(by), F.col(c))
+    p = passages.join(sizes, "h").select("h", own("bi", "seg").alias("i"), upto("bj").alias("j"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("ctx"), "seg")
+    r = runs.join(sizes, "h").select("h", upto("bi").alias("i"), own("bj", "ctx").alias("j"), F.lit(1).alias("kind"), "ctx", "seg")
+    dealt = p.unionByName(r).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "kind")
+    return dealt.mapInArrow(_automata(shard_words), "h long, ctx binary, rel int, len int")
+
+
 def repeated_words(spark: SparkSession, docs: DataFrame, n: int = 35, k: int = 8, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Operator 1. Remove every word covered by a window of n words that also starts elsewhere.
 
-    Recurring passages are confirmed over all texts, compiled into sharded Aho-Corasick automata over word ids, and the
-    texts of each shard are streamed through its automaton to locate every occurrence. Passages and texts meet in a shard
-    because both hang on the same run, so no text visits a shard that cannot hold one of its passages.
+    Recurring passages are confirmed over all texts by digests of their windows, and compiled into sharded Aho-Corasick
+    automata over word ids. All text that holds an anchor of a passage is streamed through that passage's shard, each
+    distinct run of it once, and only what the automata find is removed, at every place of the run.
 
     Returns doc_id, n (words), removed (words), spans (maximal removed runs), kept (UTF-8, words joined by one space).
     Defined results: a null or empty text has no words; texts shorter than a window lose nothing; a repeated row counts as
@@ -248,11 +299,12 @@ def repeated_words(spark: SparkSession, docs: DataFrame, n: int = 35, k: int = 8
     unit, scratch = Unit("words", n, k), Scratch(spark)
     docs = keyed(docs)
     recurring = recurring_runs(docs, unit, scratch)
-    fetched = scratch.keep(fetch(docs, distinct_runs(recurring, scratch), unit), "passages")
-    shards = fetched.join(confirm(fetched), ["h", "ctx"], "left").select("h", "ctx", "c", "n", "seg", "at")
-    located = scratch.keep(shards.mapInArrow(_automata(n, shard_words), "h long, ctx long, rel int, len int"), "located")
-    scratch.drop("passages")
-    return cut(docs, spans_by_text(recurring, located), unit)
+    fetched = scratch.keep(fetch(docs, distinct_runs(recurring, scratch), unit), "fetched")
+    located = scratch.keep(located_words(fetched, n, shard_words, scratch), "located")
+    scratch.drop("fetched", "passages", "cells", "distinct", "per-anchor")
+    spans = spans_by_text(recurring, located, scratch)
+    scratch.drop("recurring", "located", "per-run")
+    return cut(docs, spans, unit)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,21 +321,45 @@ SORT_WINDOWS = 400_000
 GROUP_RUNS = 1000
 
 
-def multikey_sort(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the first key, ties by the next, and so on; only tied rows are looked at again. Returns the order and a mask of the rows equal to the row before in every key."""
-    order = np.argsort(keys[0], kind="stable")
-    same = np.concatenate(([False], keys[0][order][1:] == keys[0][order][:-1]))
-    for key in keys[1:]:
+def multikey_sort(data: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of data at pos by their first n bytes, and a mask of those equal to the one before in all of them.
+
+    Multikey quicksort with eight bytes as a character: all are sorted by the first, and then only ties by the next. Ties
+    whose members prove equal to the last byte are done.
+    """
+    steps = [*range(0, n - 7, 8)] + ([n - 8] if n % 8 and n > 8 else [])
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    view = np.ndarray((len(padded) - 7,), ">u8", padded.tobytes(), 0, (1,))
+    shift = np.uint64(8 * max(0, 8 - n))
+    char = lambda at, i: view[at + (steps or [0])[i]].astype(np.uint64) >> shift
+    first = char(pos, 0)
+    order = np.argsort(first, kind="stable")
+    same = np.concatenate(([False], first[order][1:] == first[order][:-1]))
+    done = np.zeros(len(pos), dtype=bool)
+    for i in range(1, len(steps)):
         tied = same.copy()
         tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(tied & ~done)
         if not len(at):
             break
+        if i in (3, 12, 24):  # are whole groups equal?
+            group = np.cumsum(~same)
+            pair = at[same[at]]
+            left = pair
+            for j in range(i, len(steps)):
+                left = left[char(pos[order[left]], j) == char(pos[order[left - 1]], j)]
+            unequal = np.zeros(int(group[-1]) + 1, dtype=bool)
+            unequal[group[np.setdiff1d(pair, left, assume_unique=True)]] = True
+            done[at] = ~unequal[group[at]]
+            at = at[~done[at]]
+            if not len(at):
+                break
         group = np.cumsum(~same)[at]
         sub = order[at]
-        again = np.lexsort((key[sub], group))
+        key = char(pos[sub], i)
+        again = np.lexsort((key, group))
         order[at] = sub[again]
-        g, x = group[again], key[order[at]]
+        g, x = group[again], key[again]
         same[at] = np.concatenate(([False], (g[1:] == g[:-1]) & (x[1:] == x[:-1])))
     return order, same
 
@@ -295,11 +371,10 @@ def stretch(n: int) -> int:
 
 
 def _place(rows):
-    """The rows' bytes end to end with their hasher, each row's base, anchor offset and anchor hash."""
+    """The rows' bytes end to end, each row's base, and its anchor's offset."""
     lens = np.array([len(r[5]) for r in rows])
     base = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(_I)
-    span = tk.Hasher(tk.byte_tokens(np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)))
-    return span, base, np.array([r[4] for r in rows], dtype=_I), np.array([r[0] for r in rows], dtype=_I).view(np.uint64)
+    return b"".join(r[5] for r in rows), base, np.array([r[4] for r in rows], dtype=_I)
 
 
 def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,25 +383,14 @@ def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-_BUCKET = "h long, ctx long, c long, rel int, cnt int, core long, whole long, wins array<long>"
-
-
-def _bucket_rows(h, ctx, c, rel, cnt, core=None, whole=None, wins=None):
-    n = len(rel)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([
-        pa.array(h), pa.array(ctx), pa.array(c), pa.array(rel.astype(np.int32)), pa.array(cnt.astype(np.int32)), none if core is None else core, none if whole is None else whole, pa.nulls(n, pa.list_(pa.int64())) if wins is None else wins,
-    ], ["h", "ctx", "c", "rel", "cnt", "core", "whole", "wins"])
+_BUCKET = "h long, ctx binary, c long, rel int, cnt int, core binary, whole binary, wins array<binary>"
 
 
 def _settle(rows, n: int):
-    """Spans of windows that start twice within these rows, by sorting all their windows."""
-    span, base, off, h = _place(rows)
+    """Spans of windows that start twice within these rows, by sorting all their suffixes."""
+    data, base, _ = _place(rows)
     owner, rel = _ragged(np.array([r[3] for r in rows]))
-    pos = base[owner] + rel
-    place = tk.mix(h[owner] ^ tk.mix((off[owner] - rel).astype(np.uint64)))
-    ends = [e for e in (8, 64) if e < n] + [n]
-    order, same = multikey_sort([place] + [span(pos + a, pos + e) for a, e in zip([0, *ends[:-1]], ends)])
+    order, same = multikey_sort(np.frombuffer(data, dtype=np.uint8), base[owner] + rel, n)
     group = np.cumsum(~same) - 1
     times = np.bincount(group, weights=np.array([min(r[2], 2) for r in rows])[owner][order])
     twice = np.zeros(len(owner), dtype=bool)
@@ -334,34 +398,23 @@ def _settle(rows, n: int):
     flat = np.flatnonzero(twice)
     new = np.concatenate(([True], (np.diff(flat) != 1) | (owner[flat][1:] != owner[flat][:-1]))) if len(flat) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    o = owner[flat[first]]
-    ids, ctx, c = (np.array([r[i] for r in rows], dtype=_I) for i in (0, 1, 2))
-    return _bucket_rows(ids[o], ctx[o], c[o], rel[flat[first]], np.diff(np.concatenate((first, [len(flat)]))))
+    counts = np.diff(np.concatenate((first, [len(flat)])))
+    return _batch([(*rows[o][:3], r, k, None, None, None) for o, r, k in zip(owner[flat[first]].tolist(), rel[flat[first]].tolist(), counts.tolist())], _BUCKET)
 
 
 def _outer(rows, n: int):
-    """Stretches of windows for the comparison across buckets: what all windows of the stretch share (core), all of it
-    where the stretch is whole, and the windows' own hashes."""
-    step = stretch(n)
-    span, base, off, h = _place(rows)
-    count = np.array([r[3] for r in rows], dtype=_I)
-    high, low = off, off - count + 1  # distance of the anchor from the first and from the last window's start
-    per = high // step - low // step + 1
-    owner, k = _ragged(per)
-    j = high[owner] // step - k
-    top, bottom = np.minimum(high[owner], (j + 1) * step - 1), np.maximum(low[owner], j * step)
-    rel, cnt = high[owner] - top, top - bottom + 1
-    anchor = base[owner] + off[owner]
-    tag = tk.mix(h[owner] ^ tk.mix(j.astype(np.uint64)))
-    core = tk.mix(tag ^ span(anchor - j * step, np.maximum(anchor - j * step, anchor - (j + 1) * step + 1 + n)))
-    full = cnt == step
-    whole = tk.mix(tag ^ ~span(anchor - top, anchor - bottom + n))
-    win_owner, w = _ragged(cnt)
-    pos = (anchor - top)[win_owner] + w
-    wins = tk.mix(tk.mix(h[owner][win_owner] ^ tk.mix((top[win_owner] - w).astype(np.uint64))) ^ span(pos, pos + n))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cnt))).astype(np.int32)), pa.array(wins.view(_I)))
-    ids, ctx, c = (np.array([r[i] for r in rows], dtype=_I)[owner] for i in (0, 1, 2))
-    return _bucket_rows(ids, ctx, c, rel, cnt, pa.array(core.view(_I)), pa.array(whole.view(_I), mask=~full), lists)
+    """Stretches of windows for the comparison across buckets: a digest of what all windows of the stretch share (core), of
+    all of it where the stretch is whole, and of the windows themselves, each with its distance from the anchor."""
+    step, out = stretch(n), []
+    sign = lambda j, x: tk.digest(j.to_bytes(4, "big") + x)
+    for h, ctx, c, count, off, seg in rows:
+        for j in range((off - count + 1) // step, off // step + 1):  # by the windows' distance from the anchor
+            top, bottom = min(off, (j + 1) * step - 1), max(off - count + 1, j * step)
+            core = seg[max(0, off - j * step) : max(0, off - (j + 1) * step + 1 + n)]
+            whole = sign(j, seg[off - top : off - bottom + n]) if top - bottom + 1 == step else None
+            wins = [sign(d, seg[off - d : off - d + n]) for d in range(top, bottom - 1, -1)]
+            out.append((h, ctx, c, off - top, top - bottom + 1, sign(j, core), whole, wins))
+    return _batch(out, _BUCKET)
 
 
 def _buckets(n: int, sort_windows: int, group_runs: int):
@@ -371,6 +424,8 @@ def _buckets(n: int, sort_windows: int, group_runs: int):
         held, size, group, outside = [], 0, [], True
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if group and row[:2] == group[-1][:2]:
+                    continue  # fetched twice
                 if group and row[0] != group[-1][0]:
                     if outside:
                         yield _outer(group, n)
@@ -435,7 +490,9 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, n: int = 400, k: int =
     alone = sorted_.where("core is null").select("h", "ctx", "rel", (F.col("cnt") + n - 1).alias("len"))
     whole = runs.where("n_ctx = 1").select("h", "ctx", F.lit(0).alias("rel"), (F.col("n") + n - 1).alias("len"))
     located = alone.unionByName(across_buckets(sorted_, n, scratch)).unionByName(whole)
-    return cut(docs, spans_by_text(recurring, located), unit)
+    spans = spans_by_text(recurring, located, scratch)
+    scratch.drop("recurring", "buckets", "runs", "distinct", "per-anchor", "per-run", "stretches", "outer", "cores", "windows")
+    return cut(docs, spans, unit)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

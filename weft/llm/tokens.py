@@ -126,7 +126,7 @@ def windows_by_anchor(tokens: np.ndarray, bounds: np.ndarray, n: int, k: int) ->
     """All windows of n tokens within one text, in runs of neighbours whose smallest k-gram (the anchor) is the same one.
 
     doc, start (of the first window, in its text), count (of windows), off (of the anchor after start), h (the anchor's
-    hash), ctx (hash of all the run covers). Equal windows have equal anchors at the same offset, wherever they stand.
+    hash). Equal windows have equal anchors at the same offset, wherever they stand.
     Long inputs go in pieces that share n - 1 tokens, so each window is in one run.
     """
     parts = []
@@ -151,9 +151,8 @@ def windows_by_anchor(tokens: np.ndarray, bounds: np.ndarray, n: int, k: int) ->
         first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1))))
         s0, s1, p = s[first], s[np.concatenate((first[1:] - 1, [len(s) - 1]))], p[first]
         doc = np.searchsorted(bounds, s0 + at, "right") - 1
-        shape = ((p - s0).astype(np.uint64) << _U(32)) | (s1 - s0).astype(np.uint64)
-        parts.append((doc, s0 + at - bounds[doc], s1 - s0 + 1, p - s0, g[p], mix(span(s0, s1 + n) ^ mix(shape))))
-    names = ("doc", "start", "count", "off", "h", "ctx")
+        parts.append((doc, s0 + at - bounds[doc], s1 - s0 + 1, p - s0, g[p]))
+    names = ("doc", "start", "count", "off", "h")
     if not parts:
-        return {x: np.zeros(0, dtype=np.uint64 if x in ("h", "ctx") else np.int64) for x in names}
+        return {x: np.zeros(0, dtype=np.uint64 if x == "h" else np.int64) for x in names}
     return {x: np.concatenate([y[i] for y in parts]) for i, x in enumerate(names)}
