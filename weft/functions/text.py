@@ -99,9 +99,7 @@ def sequence_type(seq: Column, share: float = 0.8) -> Column:
 def kmers(seq: Column, k: int = 4) -> Column:
     """P18. All windows of k letters ACGT (U read as T); windows with other letters are left out. Explode and count for frequencies."""
     t = F.replace(F.upper(seq), F.lit("U"), F.lit("T"))
-    n = F.length(t) - k + 1
-    windows = F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(windows, lambda w: w.rlike("^[ACGT]+$"))
+    return F.regexp_extract_all(t, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
 def amino_shares(seq: Column) -> Column:

@@ -100,28 +100,36 @@ def summary(edges: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """A09. label, component (its least label). Labels fall to the least neighbour's and then jump to their label's label."""
-    both = _checkpoint(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    state = _checkpoint(both.groupBy(F.col("src").alias("label")).agg(F.least(F.min("src"), F.min("dst")).alias("component")))
-    while True:
-        near = both.join(state, both["dst"] == state["label"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = state.join(near, state["label"] == near["src"]).select("label", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        jump = state.select(F.col("label").alias("mid"), F.col("component").alias("jump"))
-        new = _checkpoint(step.join(jump, "mid").select("label", "old", F.least("mid", "jump").alias("component")))
-        state = new.select("label", "component")
-        if not new.where("component <> old").limit(1).count():
-            return state
-
+    """A09. label, component (its least label).
 
-def trim(edges: DataFrame, inward: bool = True, outward: bool = True) -> DataFrame:
-    """Edges left after taking out, again and again, nodes without edges in (or out)."""
+    Alternating stars: every node's greater neighbours are hung on the least thing it sees, then every node hangs itself and
+    its lesser neighbours on the least of them, until nothing changes. Then each node hangs on its component's least label.
+    """
+    e = _checkpoint(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null").distinct())
+    labels = edges.select(F.explode(F.array("src", "dst")).alias("label")).where("label is not null").distinct()
+    e, before = e.where("u <> v"), None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _checkpoint(large)
+        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = _checkpoint(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return labels.join(e, F.col("label") == F.col("u"), "left").select("label", F.coalesce("v", "label").alias("component"))
+        before = now
+
+
+def trim(edges: DataFrame, peels: int = 3) -> DataFrame:
+    """Edges left after taking out, again and again, nodes without edges in or without edges out. Several layers go between two writes."""
     e = _checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
     n = e.count()
     while n:
         kept = e
-        if inward:
+        for _ in range(peels):
             kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        if outward:
             kept = kept.select("src", "dst").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         kept = _checkpoint(kept)
         m = kept.count()
@@ -132,8 +140,8 @@ def trim(edges: DataFrame, inward: bool = True, outward: bool = True) -> DataFra
 
 
 def is_acyclic(edges: DataFrame) -> bool:
-    """A11. A loop from a node to itself is a cycle."""
-    return not edges.where("src = dst").limit(1).count() and not trim(edges, inward=True, outward=False).limit(1).count()
+    """A11. A loop from a node to itself is a cycle; so is what no trimming removes."""
+    return not edges.where("src = dst").limit(1).count() and not trim(edges).limit(1).count()
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -192,28 +200,32 @@ def inventory(components: DataFrame, edges: DataFrame, types: DataFrame, least:
     return rest.join(kinds, "component").join(first, "component").orderBy(F.desc("size"), "component").limit(n)
 
 
-def forest_times(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def forest_times(edges: DataFrame) -> DataFrame:
     """A09, the series. Components after each time: nodes seen so far less the edges of a minimum spanning forest so far.
 
-    Boruvka rounds: every component takes its earliest edge out (ties by the edge itself) until none is left.
+    Boruvka rounds: every component takes its earliest edge out (ties by the edge itself); the components that edges join
+    become one by following each one's choice to its end, in doubling steps; edges between the same two keep the earliest.
     """
-    e = _checkpoint(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "time").groupBy("a", "b").agg(F.min("time").alias("time")))
-    comp = _checkpoint(nodes.select("label", F.col("label").alias("c")))
+    key = F.struct("time", "a", "b").alias("k")
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "time").groupBy("a", "b").agg(F.min("time").alias("time"))
+    e = _checkpoint(e.select(F.col("a").alias("x"), F.col("b").alias("y"), key))
     tree = None
-    while True:
-        ca, cb = comp.select(F.col("label").alias("a"), F.col("c").alias("ca")), comp.select(F.col("label").alias("b"), F.col("c").alias("cb"))
-        out = _checkpoint(e.join(ca, "a").join(cb, "b").where("ca <> cb"))
-        if not out.limit(1).count():
-            break
-        key = F.struct("time", "a", "b")
-        ends = out.select(key.alias("k"), F.explode(F.array("ca", "cb")).alias("c"))
-        best = _checkpoint(ends.groupBy("c").agg(F.min("k").alias("k")).select("k.time", "k.a", "k.b").distinct())
-        tree = best if tree is None else tree.unionByName(best)
-        joined = best.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        merged = weak_components(joined).select(F.col("label").alias("c"), F.col("component").alias("to"))
-        comp = _checkpoint(comp.join(merged, "c", "left").select("label", F.coalesce("to", "c").alias("c")))
+    while e.limit(1).count():
+        ends = e.select(F.inline(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("to"), "k"), F.struct(F.col("y").alias("c"), F.col("x").alias("to"), "k"))))
+        best = _checkpoint(ends.groupBy("c").agg(F.min(F.struct("k", "to")).alias("m")).select("c", "m.k", "m.to"))
+        tree = best.select("k").distinct() if tree is None else tree.unionByName(best.select("k").distinct())
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        up = _checkpoint(best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
+        while True:
+            jump = _checkpoint(up.join(up.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("to").alias("was"), F.col("next").alias("to")))
+            up = jump.select("c", "to")
+            if not jump.where("was <> to").limit(1).count():
+                break
+        ux, uy = (up.select(F.col("c").alias(c), F.col("to").alias(f"n{c}")) for c in "xy")
+        merged = e.join(ux, "x").join(uy, "y").where("nx <> ny")
+        e = _checkpoint(merged.groupBy(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).agg(F.min("k").alias("k")))
     seen = first_seen(edges).groupBy(F.col("first_time").alias("time")).agg(F.count("*").alias("d"))
     if tree is not None:
-        seen = seen.unionByName(tree.groupBy("time").agg((-F.count("*")).alias("d")))
+        seen = seen.unionByName(tree.groupBy(F.col("k.time").alias("time")).agg((-F.count("*")).alias("d")))
     w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)  # one row for each time
     return seen.groupBy("time").agg(F.sum("d").alias("d")).select("time", F.sum("d").over(w).alias("components"))

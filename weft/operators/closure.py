@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +13,23 @@ from pyspark.sql import functions as F
 MOST_LEVELS = 100
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`; where it is unset, a new local folder, but only if the executors are threads of the driver."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="weft-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder; where none is set, the plan simply grows."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    """A table written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/weft/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def direct(members: DataFrame) -> DataFrame:

@@ -144,15 +144,17 @@ def o02(spark, d):
 
 
 @query("o03_step_depth", """with recursive s as (select o_orderkey step, n_name pathway, row_number() over (partition by n_name order by o_orderdate, o_orderkey) - 1 i from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
-  g as (select step, pathway, i, i % 8 stage from s)
-  select step, pathway, stage::int local_order from g""")
+  l as (select a.pathway, a.step, b.step as next from s a join s b on a.pathway = b.pathway and a.i // 8 = b.i // 8 and b.i - a.i between 1 and 3),
+  w as (select pathway, step, 0 d from s where step not in (select next from l) union select l.pathway, l.next, d + 1 from w join l on w.pathway = l.pathway and w.step = l.step)
+  select step, pathway, max(d)::int local_order from w group by all""")
 def o03(spark, d):
     """Chains of eight steps with links that skip one and two; the depth is the longest way."""
     o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
     s = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     s = s.select(F.col("o_orderkey").alias("step"), F.col("n_name").alias("pathway"), (F.row_number().over(Window.partitionBy("n_name").orderBy("o_orderdate", "o_orderkey")) - 1).alias("i"))
-    t = s.select("pathway", F.col("step").alias("next"), F.col("i").alias("j"))
-    links = s.join(t, "pathway").where("j - i between 1 and 3 and floor(i / 8) = floor(j / 8)").select("pathway", "step", "next")
+    s = s.withColumn("block", F.floor(F.col("i") / 8))
+    t = s.select("pathway", "block", F.col("step").alias("next"), F.col("i").alias("j"))
+    links = s.join(t, ["pathway", "block"]).where("j - i between 1 and 3").select("pathway", "step", "next")
     return closure.step_depths(spark, s.select("pathway", "step"), links).select("step", "pathway", "local_order")
 
 

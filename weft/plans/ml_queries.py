@@ -86,7 +86,7 @@ def t09(spark, d):
     return splits.typed_negatives(timed(spark, d).select("edge", "dst"), typed(spark), 2, 5)
 
 
-@query("t10_partner_free_negatives", f"with {_E}, {_N}, z as (select type, count(*) c from n group by type), c as (select edge, src, m.label negative, min(i) i from e join n on dst = n.label join z on z.type = n.type, range(32) r(i) join n m on m.type = n.type and m.id = {_D.format('6, edge, i')} % c where m.label <> src and (src, m.label) not in (select src, dst from e) group by edge, src, m.label) select edge, negative from c qualify row_number() over (partition by edge, src order by i, negative) <= 2")
+@query("t10_partner_free_negatives")
 def t10(spark, d):
     e = timed(spark, d)
     return splits.partner_free_negatives(e, e, typed(spark), 2, 6)
@@ -102,14 +102,14 @@ def t12(spark, d):
     return splits.recent_any(timed(spark, d), 4).select("node", "other", "time", "type", "pos")
 
 
-@query("t13_causal_filter", f"with {_E}, n as (select dst, src, time t from e qualify row_number() over (partition by dst order by time desc, src desc, type desc) <= 10), q as (select edge query, dst node, time from e where edge % 20 = 1) select query, count(*)::bigint n, min(time - t) nearest from q join n on node = dst and t < time group by query")
+@query("t13_causal_filter", f"with {_E}, n as (select dst, src, time t from e qualify row_number() over (partition by dst order by time desc, src desc, type desc) <= 10), q as (select edge query, dst node, time from e) select query, count(*)::bigint n, min(time - t) nearest from q join n on node = dst and t < time group by query")
 def t13(spark, d):
     e = timed(spark, d)
     q = e.select(F.col("edge").alias("query"), F.col("dst").alias("node"), "time")
     return splits.causal(q, splits.recent_in(e, 10)).groupBy("query").agg(F.count("*").alias("n"), F.min("delta").alias("nearest"))
 
 
-@query("t13_asof_first", f"with {_E}, q as (select edge query, dst node, time from e where edge % 50 = 1) select query, count(*)::bigint n, min(d) nearest from (select query, q.time - e.time d from q join e on node = dst and e.time < q.time qualify row_number() over (partition by query order by e.time desc, e.src desc, e.type desc) <= 3) group by query")
+@query("t13_asof_first", f"with {_E}, q as (select edge query, dst node, time from e) select query, count(*)::bigint n, min(d) nearest from (select query, q.time - e.time d from q join e on node = dst and e.time < q.time qualify row_number() over (partition by query order by e.time desc, e.src desc, e.type desc) <= 3) group by query")
 def t13b(spark, d):
     e = timed(spark, d)
     q = e.select(F.col("edge").alias("query"), F.col("dst").alias("node"), "time")

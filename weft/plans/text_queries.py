@@ -185,7 +185,7 @@ def overlay_tables(spark, d):
     return r, b, v, p
 
 
-_O = """r as (select o_orderkey reaction, o_orderkey % 2 n_products, '[DISEASE] ' || o_orderpriority disease, o_orderkey * 3 as time from orders where o_orderkey % 5 = 0),
+_O = """r as (select o_orderkey reaction, o_orderkey % 2 n_products, '[DISEASE] ' || o_orderpriority disease, o_orderkey * 3 as time from orders),
 b as (select distinct l_orderkey reaction, 's' || l_suppkey branch from lineitem where l_linenumber <= 2), v as (select distinct l_orderkey reaction, '[MUT] ' || l_partkey variant from lineitem where l_linenumber in (2, 3)),
 p as (select distinct l_orderkey reaction, 'p' || l_partkey product from lineitem where l_linenumber = 4), x as (select * from r where reaction in (select reaction from b))"""
 
