@@ -72,6 +72,42 @@ def test_against_all_windows(spark, monkeypatch):
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_windows_that_are_fingerprinted_are_a_superset(spark):
+    """Windows that reach no shared shingle have similarity 0; of windows of 0.8 or more the radius loses few."""
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(500)]
+    lost = close = 0
+    for _ in range(300):
+        item = [r.choice(vocab) for _ in range(r.choice([20, 40, 80]))]
+        own, w = grams(item, 5), list(item)
+        for _ in range(r.choice([1, 1, 2])):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        text = [r.choice(vocab) for _ in range(30)] + w + [r.choice(vocab) for _ in range(30)]
+        for s in range(len(text) - len(item) + 1):
+            g = grams(text[s : s + len(item)], 5)
+            both = sum(min(c, own[x]) for x, c in g.items())
+            if both / (sum(g.values()) + sum(own.values()) - both) >= 0.8:
+                assert any(x in own for x in g)
+                raw = [" ".join(x).encode() for x in (text[s : s + len(item)], item)]
+                f = []
+                for x in raw:
+                    h = dc.tk.words(np.frombuffer(x, np.uint8), np.array([0, len(x)]), lower=True)[2]
+                    at = np.arange(len(h) - 4)
+                    f.append(int(dc.fingerprints(dc.signs(dc.tk.Hasher(h)(at, at + 5)).sum(axis=0, dtype=np.int32)[None, :])[0]))
+                close += 1
+                lost += (f[0] ^ f[1]).bit_count() > 20
+    assert close > 100 and lost <= 0.01 * close
+
+
+def test_large_benchmark_stays_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(dc, "ITEMS", 300)
+    texts = [f"item {i} " + " ".join(f"w{(i * 7 + j) % 997}" for j in range(8)) for i in range(1000)]
+    bench = spark.createDataFrame([(i, texts[i % 1000]) for i in range(3000)], "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(d, "x " + texts[d * 9]) for d in range(20)], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(spark, docs, bench).where("similarity = 1").collect()}
+    assert {(d, d * 9 + k) for d in range(20) for k in (0, 1000, 2000)} <= got
+
+
 def test_query_is_whole(spark):
     d = "/root/testdata/sf0.001"
     docs = [tuple(x) for x in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]

@@ -6,8 +6,9 @@ block, finds all items within the radius (pigeonhole); exact weighted-shingle si
 maxima of shingle counts) then decides. Windows that hold none of an item's shingles have similarity 0 with it, so only
 windows that reach a shared shingle are fingerprinted; this loses nothing.
 
-The benchmark is cut into blocks of at most ITEMS items, and each block goes to the tasks with the code: its size is
-bounded whatever the benchmark's, and a larger benchmark means more passes over the texts.
+Distinct item texts are written by executors into block files of at most ITEMS items and ITEM_BYTES bytes in the shared
+folder; the driver knows the files' names only. A task reads its texts once, a bounded buffer at a time, and takes one
+block after the other past each buffer. Item ids are joined to what was found.
 
 Defined results: null, empty and blank texts are never contaminated; such items match nothing; items of fewer words than
 a shingle are one shingle of all their words; A-Z are lower-cased; equal items are reported each; a repeated row is
@@ -16,18 +17,20 @@ reported for each of its rows; null doc_ids pass through; other columns are igno
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm import files
 from weft.llm import tokens as tk
-from weft.llm.common import Scratch, ship
+from weft.llm.common import Scratch, scratch_path, ship
 
 ITEMS = 2000
 ITEM_BYTES = 16 << 20
+BUFFER = 16 << 20  # bytes of texts that blocks pass by at once
 _U = np.uint64
 _I = np.int64
 
@@ -149,10 +152,18 @@ def matches(bench: Benchmark, w: np.ndarray, least: float):
             yield (cl["ids"][i], *best[i])
 
 
-def _scan(items, k: int, radius: int, least: float):
-    def run(batches):
-        bench = Benchmark(items, k, radius)
-        for b in batches:
+def _scan(paths: list[str], k: int, radius: int, least: float):
+    loaded: dict[str, Benchmark] = {}
+
+    def load(path: str) -> Benchmark:
+        if path not in loaded:
+            loaded.clear()
+            loaded[path] = Benchmark([(bytes.fromhex(i), t) for i, t in json.loads(files.get(path))], k, radius)
+        return loaded[path]
+
+    def scan(b: pa.Table):
+        for path in paths:
+            bench = load(path)
             for i, j, data, offs in tk.texts(b.column(1)):
                 _, _, h, first = tk.words(data, offs, lower=True)
                 if not len(h):
@@ -160,11 +171,23 @@ def _scan(items, k: int, radius: int, least: float):
                 rows, found = [], []
                 for r in _touched(bench, h, first):
                     for x in matches(bench, h[first[r] : first[r + 1]], least):
-                        rows.append(i + r)
+                        rows.append(i + int(r))
                         found.append(x)
                 if rows:
-                    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array([x[c] for x in found], t) for c, t in enumerate(kinds))], ["doc_id", "item_id", "similarity", "at", "n_words"])
+                    kinds = (pa.binary(), pa.float64(), pa.int64(), pa.int64())
+                    ids = b.column(0).combine_chunks().take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[c] for x in found], t) for c, t in enumerate(kinds))], ["doc_id", "item", "similarity", "at", "n_words"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= BUFFER:
+                yield from scan(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from scan(pa.Table.from_batches(held))
 
     return run
 
@@ -183,21 +206,39 @@ def _touched(bench: Benchmark, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=_I)
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items in blocks of bounded number and bytes."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    n, total = benchmark.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    parts = max(1, -(-n // ITEMS), -(-total // ITEM_BYTES))
-    b = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("b"))
-    return [[(r.item_id, r.text) for r in b.where(F.col("b") == i).sort("item_id", "text").collect()] for i in range(parts)]
+def _pack(folder: str):
+    def run(batches):
+        held, size = [], 0
+
+        def roll():
+            name = f"block-{held[0][0]}.json"
+            files.put(folder, name, json.dumps(held).encode())
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
+
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and (len(held) >= ITEMS or size + len(text) > ITEM_BYTES):
+                    yield roll()
+                    held, size = [], 0
+                held.append((item.hex(), text))
+                size += len(text)
+        if held:
+            yield roll()
+
+    return run
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
     """doc_id, item_id, similarity, at (first word of the best window), n_words, for each text and item that match."""
     ship(spark)
-    schema = "doc_id long, item_id long, similarity double, at long, n_words long"
-    found = [docs.select("doc_id", "text").mapInArrow(_scan(items, k, radius, least), schema) for items in blocks(benchmark) if items]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    scratch = Scratch(spark)
+    items = benchmark.where("text is not null").select(F.unhex(F.sha2("text", 256)).alias("item"), "item_id", "text")
+    texts = scratch.keep(items.groupBy("item").agg(F.first("text").alias("text")), "items")
+    parts = -(-texts.count() // ITEMS)
+    packed = scratch.keep(texts.repartition(max(1, parts), "item").sortWithinPartitions("item").mapInArrow(_pack(scratch_path(spark, "blocks")), "path string"), "blocks")
+    paths = sorted(r.path for r in packed.collect())  # one name for a block
+    found = docs.select("doc_id", "text").mapInArrow(_scan(paths, k, radius, least), "doc_id long, item binary, similarity double, at long, n_words long")
+    return found.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "similarity", "at", "n_words")
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

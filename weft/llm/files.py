@@ -14,3 +14,9 @@ def put(folder: str, name: str, data: bytes) -> None:
     with store.open_output_stream(tmp, compression=None) as f:
         f.write(data)
     store.move(tmp, f"{path}/{name}")
+
+
+def get(path: str) -> bytes:
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at, compression=None) as f:
+        return f.read()
