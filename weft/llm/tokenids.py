@@ -6,7 +6,7 @@ row), so the order of ids over all files is known without a sort of what was wri
 code lengths, the ids and sizes of its documents, checkpoints, and the blocks.
 
 A text is encoded by its parts between ASCII white space, each distinct part once per worker while its cache holds
-(CACHE parts, told apart by a 64-bit hash). The tokenizer drops white space before it splits, and none of its tokens spans any,
+(CACHE parts, by their bytes). The tokenizer drops white space before it splits, and none of its tokens spans any,
 so this gives the ids of the whole text; `by_parts=False` encodes texts whole, for tokenizers of which that is not so.
 
 Defined results: a null or empty text has the end id only; null doc_ids come first; rows with one id are in the order of
@@ -36,7 +36,7 @@ CACHE = 1_000_000
 
 
 class Encoder:
-    """Ids of texts; parts seen before come from a cache of sorted hashes and one flat array of ids."""
+    """Ids of texts; parts seen before come from a cache by their bytes and one flat array of ids."""
 
     def __init__(self, path: str, by_parts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,7 +49,8 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.hashes, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.slot: dict[bytes, int] = {}
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts, and how many each has."""
@@ -69,28 +70,40 @@ class Encoder:
             size, ids = np.insert(size, i, len(own)), np.concatenate((ids[:at], own, ids[at:]))
         return ids, size
 
+    @staticmethod
+    def _equal(data: np.ndarray, s: np.ndarray, e: np.ndarray, as_: np.ndarray) -> np.ndarray:
+        """Whether each word's bytes are those of the word it is taken for."""
+        size = e - s
+        same = size == size[as_]
+        size = np.where(same & (as_ != np.arange(len(s))), size, 0)
+        owner = np.repeat(np.arange(len(s)), size)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        same[owner[data[s[owner] + step] != data[s[as_[owner]] + step]]] = False
+        return same
+
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         if not self.by_parts:
             raw = bytes(data)
             return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:])], add_special_tokens=False)]
         s, e, h, first = tk.words(data, offs)
-        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(u) > CACHE:
+        _, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        other = ~self._equal(data, s, e, at[inv])
+        if other.any():  # words that share a hash with another word stand for themselves
+            at, inv = np.concatenate((at, np.flatnonzero(other))), inv.copy()
+            inv[other] = len(at) - other.sum() + np.arange(other.sum())
+        if len(self.slot) + len(at) > CACHE:
             self.clear()
-        where = np.searchsorted(self.hashes, u)
-        new = np.ones(len(u), dtype=bool)
-        inside = where < len(self.hashes)
-        new[inside] = self.hashes[where[inside]] != u[inside]
-        if new.any():
-            raw, k = bytes(data), np.flatnonzero(new)
-            ids, size = self._encode([raw[x:y].decode() for x, y in zip(s[at[k]].tolist(), e[at[k]].tolist())])
-            self.start = np.insert(self.start, where[k], len(self.flat) + np.cumsum(size) - size)
-            self.size = np.insert(self.size, where[k], size)
-            self.hashes = np.insert(self.hashes, where[k], u[k])
+        raw = bytes(data)
+        parts = [raw[x:y] for x, y in zip(s[at].tolist(), e[at].tolist())]
+        new = list(dict.fromkeys(p for p in parts if p not in self.slot))
+        if new:
+            ids, size = self._encode([p.decode() for p in new])
+            self.slot.update(zip(new, range(len(self.start), len(self.start) + len(new))))
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
             self.flat = np.concatenate((self.flat, ids))
-            where = np.searchsorted(self.hashes, u)
-        which = where[inv]
-        size = self.size[which].astype(np.int64)
+        which = np.array([self.slot[p] for p in parts], dtype=np.int64)[inv]
+        size = self.size[which]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[which] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
         bound = np.concatenate(([0], end))[first]
