@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -106,6 +107,38 @@ def test_warc(spark):
     assert [bytes(r.payload).decode() for r in warc.read(spark, folder).where("page_id = 4").collect()] == ["é" * 70000]
 
 
+def test_warc_files_depend_on_rows_only(spark):
+    """Ids with gaps, a heavy range, one id with very many rows, and null ids: two writes from other partitions give one manifest, and names sort by id."""
+    ids = [*range(0, 400), *range(10**12, 10**12 + 300), *[7 * 10**11] * 300, *[None] * 50, -(2**62), 2**62]
+    pages = spark.createDataFrame([(i, f"u{k}", f"<p>{k % 290}</p>") for k, i in enumerate(ids)], "page_id long, url string, html string")
+    made = []
+    for parts in (3, 7):
+        folder = scratch_path(spark, "warc-ranges")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = sorted(tuple(r) for r in warc.write(spark, pages.repartition(parts), folder, range_rows=16).select("name", "sha1", "records", F.coalesce("first_id", F.lit(2**62)), F.coalesce("last_id", F.lit(2**62))).collect())
+        made.append(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert made[0] == made[1] and sum(r[2] for r in made[0]) == len(ids)
+    assert max(r[2] for r in made[0]) <= 64 and [x for r in made[0] for x in r[3:]] == sorted(x for r in made[0] for x in r[3:])
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").collect()
+    names = [h["WARC-Record-ID"] for r in raw for h, _, _ in warc.records(bytes(r.content))]
+    assert len(names) == len(set(names)) == len(ids)
+    empty = warc.write(spark, pages.limit(0), scratch_path(spark, "warc-empty"))
+    assert empty.count() == 0
+
+
+def test_ids_of_words_with_equal_polynomial_hashes(monkeypatch):
+    a = "".join("xy"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("xy", "yx"))
+    t, enc = Tokenizer.from_file(PATH), tokenids.Encoder(PATH, True)
+    plain = tokenids.tk.words
+    for forged in (plain, lambda d, o: (lambda s, e, h, f: (s, e, h % np.uint64(2), f))(*plain(d, o))):  # hashes that collide all the time
+        monkeypatch.setattr(tokenids.tk, "words", forged)
+        for x in (f"{a} {b} word {a}", f"{b} one two three one four", "one two"):
+            raw = x.encode()
+            assert enc(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_query_10_is_whole(spark):
     out = warc.op10(spark, "/root/testdata/sf0.001")
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()

@@ -1,10 +1,14 @@
 """Operator 10, a deterministic sharded WARC writer and its reader.
 
-Rows are range-partitioned and sorted by page_id; each task writes its records as gzip members of their own, begins a new
-file when the compressed size reaches `roll_bytes`, and commits every file through a temporary name. The manifest (one row
-per file: name, records, bytes, SHA-1, first and last id) is written by the same job and commits the set. Headers, block
-and payload digests are made anew from the payload. Records with equal payloads of at least `revisit_from` bytes are
-written once: the smallest page_id is the response, the others are revisits that refer to it.
+Records are range-sorted by page_id. The ranges follow from the ids alone, not from a sample: ids that agree but for
+their low bits, as many bits as give ranges of about RANGE_ROWS rows; ranges that prove heavy are cut again, and one id
+with very many rows, like null ids, by the digest of the payload. Each range is written as gzip members, one for a
+record; a new file begins with a range and when the compressed size reaches `roll_bytes`; files are named by their range
+and committed through temporary names. So the files depend on the rows only, not on partitions or runs. The manifest (one
+row per file: name, records, bytes, SHA-1, first and last id) is written by the same job and commits the set. Headers,
+block and payload digests are made anew from the payload. Records with equal payloads of at least `revisit_from` bytes
+are written once: the smallest page_id is the response, the others are revisits that refer to it. A record's id names
+its page, its payload and its number among rows that agree in both, so no two are equal.
 
 Defined results: a null html is an empty payload; a null url leaves out the target header; control characters and spaces
 in a url are percent-encoded; rows that share the smallest page_id of their payload are responses all; a null page_id is
@@ -20,7 +24,6 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ from weft.llm.common import Scratch, scratch_path, ship
 
 DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 16 << 20  # of a compressed file; the reader takes a file at a time
+RANGE_ROWS = 2048  # rows of a range, about; four times as many make it heavy
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -36,15 +40,20 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, is_response: bool, date: str = DATE) -> bytes:
+def record_id(page_id, payload_digest: str, number: int) -> str:
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{payload_digest}:{number}>"
+
+
+def record(page_id, url, payload: bytes, refers_to, is_response: bool, number: int, date: str = DATE) -> bytes:
+    d = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if is_response else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if is_response else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if is_response else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, d, number)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    head += [f"WARC-Payload-Digest: sha1:{d}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if not is_response:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, d, 0)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -55,24 +64,30 @@ def _writer(folder: str, roll_bytes: int, date: str):
     names = ["name", "records", "bytes", "sha1", "first_id", "last_id"]
 
     def run(batches):
-        part, seq, held, size, ids = TaskContext.get().partitionId(), 0, [], 0, []
+        at, seq, held, size, ids = None, 0, [], 0, []
 
         def roll():
             data = b"".join(held)
-            name = f"part-{part:06d}-{seq:05d}.warc.gz"
+            name = f"part-{'null' if at[0] is None else f'{at[0] + 2**63:020d}'}-{at[1]:03d}-{seq:05d}.warc.gz"
             files.put(folder, name, data)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, len(held), len(data), digest(data), ids[0], ids[-1]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
 
-        last = (None, None, None)
+        last, number = (None, None, None), (None, None, -1)
         for b in batches:
-            for page_id, url, html, key, first in zip(*(b.column(x) for x in range(5))):
-                i, k, f = page_id.as_py(), key.as_py(), first.as_py()
+            for page_id, url, html, key, first, start, sub in zip(*(b.column(x) for x in range(7))):
+                i, k, f, here = page_id.as_py(), key.as_py(), first.as_py(), (start.as_py(), sub.as_py())
                 if f is not None:  # says what the rows of this id and payload refer to
                     last = (i, k, f)
                     continue
+                if held and here != at:
+                    yield roll()
+                    held, size, ids = [], 0, []
+                if here != at:
+                    at, seq = here, 0
+                number = (i, k, number[2] + 1 if number[:2] == (i, k) else 0)
                 f = last[2] if last[:2] == (i, k) else None
                 payload = bytes(html.as_buffer()) if html.is_valid else b""
-                one = record(i, url.as_py(), payload, f, f is None, date)
+                one = record(i, url.as_py(), payload, f, f is None, number[2], date)
                 held.append(one)
                 size += len(one)
                 ids.append(i)
@@ -85,23 +100,57 @@ def _writer(folder: str, roll_bytes: int, date: str):
     return run
 
 
-def write(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, revisit_from: int = 0, date: str = DATE) -> DataFrame:
+def ranges(pages: DataFrame, scratch: Scratch, range_rows: int) -> tuple[int, list[tuple[int, DataFrame]]]:
+    """The low bits that the ids of a range may differ in, and for each number of bits the heavy ranges, which are cut again (at 0 bits by payload).
+
+    Heavy ranges number no more than rows / (4 * range_rows).
+    """
+    n, lo, hi = pages.agg(F.count("page_id"), F.min("page_id"), F.max("page_id")).first()
+    bits = 0
+    while n and (hi >> bits) - (lo >> bits) + 1 > max(1, n // range_rows):
+        bits += 1
+    first, heavy, left = bits, [], pages.where("page_id is not null").select("page_id")
+    while n:
+        cell = F.shiftright("page_id", bits).alias("_cell")
+        found = scratch.keep(left.groupBy(cell).agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * range_rows).select("_cell"), f"heavy-{bits}")
+        if not found.limit(1).count():
+            break
+        heavy.append((bits, found))
+        if not bits:
+            break
+        left = left.join(found, F.shiftright("page_id", bits) == F.col("_cell"), "left_semi")
+        bits = max(0, bits - 6)
+    return first, heavy
+
+
+def write(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, revisit_from: int = 0, date: str = DATE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Write pages (page_id, url, html) to `folder`; returns the committed manifest."""
     ship(spark)
+    scratch = Scratch(spark)
     p = pages.select("page_id", "url", "html")
     data = F.coalesce("html", F.lit("")).cast("binary")
-    p = p.withColumn("_d", F.concat(F.sha1(data), F.octet_length(data).cast("string"))).withColumn("_long", F.octet_length(data) >= revisit_from)
-    p = p.drop("_long").withColumn("_d", F.when(F.octet_length(data) >= revisit_from, F.col("_d")))
-    scratch = Scratch(spark)
-    keys = scratch.keep(p.where("_d is not null").groupBy("page_id", "_d").agg(F.count("*").alias("_n")), "payloads")
+    size = F.octet_length(data)
+    p = p.withColumn("_d", F.concat(F.sha1(data), size.cast("string")))
+    keys = scratch.keep(p.where(size >= revisit_from).groupBy("page_id", "_d").agg(F.count("*").alias("_n")), "payloads")
     first = scratch.keep(keys.groupBy("_d").agg(F.min("page_id").alias("_first")), "firsts")
     refers = keys.join(first, "_d").where("_first is not null and not (page_id <=> _first)")
     # payloads move once: what a row refers to travels as a row of its own that sorts just before it
     rows = p.withColumn("_first", F.lit(None).cast("long")).unionByName(refers.select("page_id", "_d", "_first"), allowMissingColumns=True)
+    bits, heavy = ranges(pages, scratch, range_rows)
+    rows = rows.withColumn("_bits", F.lit(bits))
+    for b, found in heavy:
+        down = F.lit(b - 6 if b > 6 else 0 if b else -1)
+        there = (F.shiftright("page_id", b) == F.col("_cell")) & (F.col("_bits") == b)
+        rows = rows.join(found, there, "left").withColumn("_bits", F.when(F.col("_cell").isNotNull(), down).otherwise(F.col("_bits"))).drop("_cell")
+    low = F.greatest("_bits", F.lit(0))
+    start = F.call_function("shiftleft", F.call_function("shiftright", F.col("page_id"), low), low)
+    sub = F.when(F.col("page_id").isNull() | (F.col("_bits") < 0), F.conv(F.substring("_d", 1, 2), 16, 10).cast("int")).otherwise(0)
+    rows = rows.withColumn("_start", start).withColumn("_sub", sub)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = rows.repartitionByRange(n, "page_id", "_d").sortWithinPartitions("page_id", "_d", F.col("_first").isNull(), "url").select("page_id", "url", "html", "_d", "_first")
-    out = sorted_.mapInArrow(_writer(folder, roll_bytes, date), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
+    sorted_ = rows.repartition(n, "_start", "_sub").sortWithinPartitions("_start", "_sub", "page_id", "_d", F.col("_first").isNull(), "url")
+    out = sorted_.select("page_id", "url", "html", "_d", "_first", "_start", "_sub").mapInArrow(_writer(folder, roll_bytes, date), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
     out.write.parquet(f"{folder}/_manifest")
+    scratch.drop(*list(scratch.paths))
     return spark.read.parquet(f"{folder}/_manifest")
 
 
@@ -133,7 +182,7 @@ def records(data: bytes):
 
 
 def _reader(batches):
-    page = lambda x: int(v) if x and (v := re.fullmatch(r"<urn:x-page:(-?\d*)>", x)[1]) else None
+    page = lambda x: int(v) if x and (v := re.fullmatch(r"<urn:x-page:(-?\d+|null):\w+:\d+>", x)[1]) != "null" else None
     for b in batches:
         for content in b.column(0):
             out = []
