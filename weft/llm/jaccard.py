@@ -133,7 +133,7 @@ _INDEX = "key binary, doc_id long, v long, other long, n int, e int, plain array
 
 def profile(u: np.ndarray) -> np.ndarray:
     """Number of shingles by bucket: two sets differ in at least as many shingles as their profiles."""
-    size = 64 if len(u) <= 1024 else 256 if len(u) <= 8192 else 1024
+    size = 64 if len(u) <= 512 else 256 if len(u) <= 2048 else 1024 if len(u) <= 8192 else 4096  # an eighth of the shingles, or unlike sets look alike
     return np.minimum(np.bincount((u & _U(size - 1)).astype(_I), minlength=size), 65535).astype(np.uint16)
 
 
