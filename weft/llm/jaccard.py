@@ -11,7 +11,7 @@ with the largest hashes, as many as a set's own size allows, are left out before
 Sets that are equal are one vertex, named by a digest of the words. Candidates within a signature's group are compared
 with a pivot (the set that shares most signatures with others). In groups that then span several components, every set
 outside the group's largest component is compared with all of the group, in cells of bounded size. So all candidates
-share a signature; those that sizes and profiles (shingle counts by bucket, a bound of the difference) rule out go no
+share a signature; those that sizes and profiles (parities of shingle counts by bucket, a bound of the difference) rule out go no
 further; the others are verified on the words themselves, a text travelling once for each set it is compared with.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer than n words make one
@@ -132,13 +132,19 @@ _INDEX = "key binary, doc_id long, v long, other long, n int, e int, plain array
 
 
 def profile(u: np.ndarray) -> np.ndarray:
-    """Number of shingles by bucket: two sets differ in at least as many shingles as their profiles."""
-    size = 64 if len(u) <= 512 else 256 if len(u) <= 2048 else 1024 if len(u) <= 8192 else 4096  # an eighth of the shingles, or unlike sets look alike
-    return np.minimum(np.bincount((u & _U(size - 1)).astype(_I), minlength=size), 65535).astype(np.uint16)
+    """Parities of the numbers of shingles by bucket, as bits: where sets share a shingle both parities turn, so two sets differ in at least as many shingles as in parities."""
+    size = min(max(64, 1 << (4 * len(u) - 1).bit_length()), 65536)  # four buckets a shingle, so that few differences fall together
+    odd = np.bincount((u & _U(size - 1)).astype(_I), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def folded(p: np.ndarray, size: int) -> np.ndarray:
-    return p if p.shape[-1] == size else p.reshape(*p.shape[:-1], -1, size).sum(axis=-2)
+    return p if p.shape[-1] == size else np.bitwise_xor.reduce(p.reshape(*p.shape[:-1], -1, size), axis=-2)
+
+
+def least_apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Differences that profiles of one width show."""
+    return np.bitwise_count(p ^ q).sum(axis=-1, dtype=_I)
 
 
 def _lists(x: list[np.ndarray]):
@@ -182,8 +188,8 @@ def _allowed(num: int, den: int):
 
     def run(batches):
         for b in batches:
-            pa_, pb = ([np.frombuffer(x.as_buffer(), dtype=np.uint16).astype(_I) for x in b.column(i)] for i in (4, 5))
-            apart = np.array([int(np.abs(folded(x, min(len(x), len(y))) - folded(y, min(len(x), len(y)))).sum()) for x, y in zip(pa_, pb)], dtype=_I)
+            pa_, pb = ([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(i)] for i in (4, 5))
+            apart = np.array([least_apart(folded(x, min(len(x), len(y))), folded(y, min(len(x), len(y)))) for x, y in zip(pa_, pb)], dtype=_I)
             both = b.column(2).to_numpy() + b.column(3).to_numpy()
             ok = pa.array(apart * (den + num) <= (den - num) * both)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
@@ -206,7 +212,7 @@ def _cells(num: int, den: int):
             for i in range(len(v)):
                 if (sig[i], bi[i], bj[i]) != key:
                     key, held, block = (sig[i], bi[i], bj[i]), [], []
-                p = np.frombuffer(b.column(7)[i].as_buffer(), dtype=np.uint16).astype(np.int32)
+                p = np.frombuffer(b.column(7)[i].as_buffer(), dtype=np.uint64)
                 if kind[i] == 0:
                     held.append((v[i], n[i], label[i], p))
                     continue
@@ -221,7 +227,7 @@ def _cells(num: int, den: int):
                     size = min(len(p), hp.shape[1])
                     if size not in folds:
                         folds[size] = folded(hp, size)
-                    apart = np.abs(folds[size][at] - folded(p, size)).sum(axis=1)
+                    apart = least_apart(folds[size][at], folded(p, size))
                     at = at[apart * (den + num) <= (den - num) * (hn[at] + n[i])]
                     a += np.minimum(hv[at], v[i]).tolist()
                     z += np.maximum(hv[at], v[i]).tolist()
