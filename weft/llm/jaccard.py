@@ -346,13 +346,16 @@ class Join:
         return self.scratch.keep(done.select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"), "ok"), f"verified-{label}")
 
     def _open(self, groups: DataFrame) -> DataFrame:
-        """Groups whose sets are in several components, with the group's largest one, `main`."""
+        """Groups whose sets are in several components, with the group's largest one, `main`. Of groups with the same sets one is enough."""
         placed = groups.select("sig", "v", "n").join(self.labels, "v", "left").select("sig", "v", "n", F.coalesce("label", "v").alias("label"))
         placed = self.scratch.keep(placed, "groups-placed")
-        sizes = placed.groupBy("sig", "label").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("sig").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("all")).where("labels > 1")
-        main = self.scratch.keep(main.select("sig", F.col("x.label").alias("main"), F.col("x.k").alias("inside"), "all"), "groups-open")
-        return placed.join(main, "sig")
+        name = [F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"x{i}") for i in range(2)]
+        sizes = placed.groupBy("sig", "label").agg(F.count("*").alias("k"), *name)
+        same = [F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]
+        main = sizes.groupBy("sig").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("all"), *same).where("labels > 1")
+        main = main.select("sig", F.col("x.label").alias("main"), F.col("x.k").alias("inside"), "all", "x0", "x1")
+        main = main.groupBy("x0", "x1", "main", "inside", "all").agg(F.min("sig").alias("sig")).drop("x0", "x1")
+        return placed.join(self.scratch.keep(main, "groups-open"), "sig")
 
     def _in_cells(self, groups: DataFrame) -> DataFrame:
         _, num, den = self.shape
