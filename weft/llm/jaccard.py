@@ -133,7 +133,7 @@ _INDEX = "key binary, doc_id long, v long, other long, n int, e int, plain array
 
 def profile(u: np.ndarray) -> np.ndarray:
     """Parities of the numbers of shingles by bucket, as bits: where sets share a shingle both parities turn, so two sets differ in at least as many shingles as in parities."""
-    size = min(max(64, 1 << (4 * len(u) - 1).bit_length()), 65536)  # four buckets a shingle, so that few differences fall together
+    size = min(max(64, 1 << (2 * len(u) - 1).bit_length()), 65536)  # two buckets a shingle at least, so that few differences fall together
     odd = np.bincount((u & _U(size - 1)).astype(_I), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -283,14 +283,13 @@ class Join:
         self.sets = keep(index.where("profile is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.min("key").alias("key")), "sets")
         groups = self._groups(index)
         drop("index")
-        self.texts = self._texts(groups)
         done = self._verified(self._allowed(self._with_pivots(groups)), "pivots")
         self.labels = components(done.where("ok").select("a", "b"), self.scratch, "first")
         more = self._verified(self._in_cells(self._open(groups)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "cells")
         if more.where("ok").limit(1).count():
             links = done.unionByName(more).where("ok").select("a", "b")
             self.labels = components(links, self.scratch, "last")
-        drop("texts", "sets", *(x for x in self.scratch.paths if x.startswith(("groups", "verified", "pairs"))))
+        drop("sets", *(x for x in self.scratch.paths if x.startswith(("groups", "verified", "pairs"))))
 
     def _groups(self, index: DataFrame) -> DataFrame:
         """sig, v, n, score for signatures that sets may share, without what the slack allows to skip."""
@@ -307,10 +306,10 @@ class Join:
         self.scratch.drop("members")
         return out
 
-    def _texts(self, groups: DataFrame) -> DataFrame:
-        shared = groups.groupBy("sig").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("sig")
-        involved = groups.join(shared, "sig").select("v").distinct().join(self.sets.select("v", "key"), "v")
-        return self.scratch.keep(self.docs.select("key", "text").join(involved, "key").select("v", "text"), "texts")
+    def _texts(self, asked: DataFrame) -> DataFrame:
+        """t and text of the vertices that are asked for; rows with one key give it once."""
+        key = asked.select("t").distinct().join(self.sets.select(F.col("v").alias("t"), "key"), "t")
+        return self.docs.select("key", "text").join(key, "key").groupBy("t").agg(F.first("text").alias("text"))
 
     def _with_pivots(self, groups: DataFrame) -> DataFrame:
         """a, b: each set of a group with the group's pivot."""
@@ -340,7 +339,7 @@ class Join:
         hubs = self.scratch.keep(hubs.select("hub", "cell", "v"), f"pairs-hubs-{label}")
         heads = hubs.select("hub", "cell").distinct().select("hub", "cell", F.lit(None).cast("long").alias("v"), F.col("hub").alias("t"))
         asked = self.scratch.keep(heads.unionByName(hubs.select("hub", "cell", "v", F.col("v").alias("t"))), f"pairs-asked-{label}")
-        told = asked.join(self.texts.withColumnRenamed("v", "t"), "t").select("hub", "cell", "v", "text")
+        told = asked.join(self._texts(asked), "t").select("hub", "cell", "v", "text")
         dealt = told.repartition("hub", "cell").sortWithinPartitions("hub", "cell", F.col("v").asc_nulls_first())
         done = dealt.mapInArrow(_verify(*self.shape), "hub long, v long, ok boolean")
         return self.scratch.keep(done.select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"), "ok"), f"verified-{label}")
@@ -361,6 +360,7 @@ class Join:
         _, num, den = self.shape
         g = groups.withColumn("bi", F.ceil((F.col("all") - F.col("inside")) / HELD)).withColumn("bj", F.ceil(F.col("all") / PASSING))
         g = self.scratch.keep(g.join(self.sets.select("v", "profile"), "v").select("sig", "v", "n", "label", "main", "bi", "bj", "profile"), "groups-profiles")
+        self.scratch.drop("groups", "groups-placed", "groups-open")
         upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         own = lambda c: F.pmod(F.xxhash64("v"), F.col(c))
         held = g.where("label <> main").select("sig", own("bi").alias("i"), upto("bj").alias("j"), F.lit(0).alias("kind"), "v", "n", "label", "profile")
