@@ -140,3 +140,14 @@ def test_one_row_of_each_class_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key int")
     got = sorted((tuple(r) for r in jaccard.one_per_class(spark, docs).collect()), key=str)
     assert got == sorted([(5, long + " x", 0), (None, "other words here and there", 3), (6, "", 5), (6, None, 6), (7, " ", 7)], key=str)
+
+
+def test_profiles_never_show_more_differences_than_there_are():
+    r = np.random.default_rng(1)
+    for _ in range(500):
+        u = np.unique(r.integers(0, 2**63, int(r.integers(1, 3000))).astype(np.uint64))
+        kept = u[r.permutation(len(u))[: int(r.integers(1, len(u) + 1))]]
+        v = np.unique(np.concatenate((kept, r.integers(0, 2**63, int(r.integers(0, len(u) + 1))).astype(np.uint64))))
+        p, q = jaccard.profile(u), jaccard.profile(v)
+        size = min(len(p), len(q))
+        assert jaccard.least_apart(jaccard.folded(p, size), jaccard.folded(q, size)) <= len(np.setxor1d(u, v))
