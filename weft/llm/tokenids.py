@@ -19,6 +19,7 @@ import json
 import os
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from weft.llm.common import Scratch, scratch_path, ship
 MAGIC = b"WEFTIDS1"
 FILE_IDS = 4_000_000  # ids in a file; bounds a reader's memory
 CACHE = 1_000_000
+PLAIN = "|~"  # characters tried as marks between parts, before special tokens
 
 
 class Encoder:
@@ -43,32 +45,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_parts = Tokenizer.from_file(path), by_parts
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
-        #: A special token put between parts, so that one call encodes many; parts that hold its string go alone.
-        self.mark = min(special) if special else None
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip))
+        #: (string, id) that may stand between parts, so that one call encodes many; a part that holds one takes the next, or goes alone.
+        self.marks = [(x, i) for x in PLAIN for i in self._alone(x)] + [(x, i) for i, x in special[:1]]
         self.clear()
 
+    def _alone(self, x: str) -> list[int]:
+        """The id of x, if it has one and keeps it between white space."""
+        ids = self.tokenizer.encode(x, add_special_tokens=False).ids
+        between = self.tokenizer.encode(f"{x} a {x} b {x}", add_special_tokens=False).ids
+        return ids if len(ids) == 1 and between.count(ids[0]) == 3 and between[0] == between[-1] == ids[0] else []
+
     def clear(self):
         self.slot: dict[bytes, int] = {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts, and how many each has."""
-        alone = [i for i, p in enumerate(parts) if self.mark is None or self.mark[1] in p]
-        if len(alone) < len(parts) and self.mark:
-            some = [p for p in parts if self.mark[1] not in p]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark[1]} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            cut = np.concatenate(([-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]))
-            if len(cut) != len(some) + 1:
-                raise ValueError("the tokenizer does not keep its special token apart")
-            size, ids = np.diff(cut) - 1, ids[ids != self.mark[0]]
-        else:
-            size, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        for i in alone:  # rare, in ascending order
-            own = np.array(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, dtype=np.uint32)
-            at = int(size[:i].sum())
-            size, ids = np.insert(size, i, len(own)), np.concatenate((ids[:at], own, ids[at:]))
-        return ids, size
+        left, found = list(range(len(parts))), []
+        for mark, own in self.marks:
+            some = [i for i in left if mark not in parts[i]]
+            if not some:
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {mark} ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cut = np.concatenate(([-1], np.flatnonzero(ids == own), [len(ids)]))
+            if len(cut) == len(some) + 1:  # else a part without the mark has its id
+                found.append((some, ids[ids != own], np.diff(cut) - 1))
+                left = [i for i in left if mark in parts[i]]
+        for i in left:  # rare
+            ids = np.array(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, dtype=np.uint32)
+            found.append(([i], ids, np.array([len(ids)])))
+        if len(found) == 1:
+            return found[0][1:]
+        at = np.concatenate([x[0] for x in found])
+        ids, size = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+        begin, order = np.cumsum(size) - size, np.argsort(at)
+        begin, size = begin[order], size[order]
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
 
     @staticmethod
     def _equal(data: np.ndarray, s: np.ndarray, e: np.ndarray, as_: np.ndarray) -> np.ndarray:
@@ -95,14 +108,18 @@ class Encoder:
             self.clear()
         raw = bytes(data)
         parts = [raw[x:y] for x, y in zip(s[at].tolist(), e[at].tolist())]
-        new = list(dict.fromkeys(p for p in parts if p not in self.slot))
-        if new:
+        found = np.fromiter(map(self.slot.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [parts[i] for i in missing.tolist()]
             ids, size = self._encode([p.decode() for p in new])
-            self.slot.update(zip(new, range(len(self.start), len(self.start) + len(new))))
+            known = len(self.start)
+            self.slot.update(zip(new, range(known, known + len(new))))
+            found[missing] = known + np.arange(len(new))
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.flat = np.concatenate((self.flat, ids))
-        which = np.array([self.slot[p] for p in parts], dtype=np.int64)[inv]
+        which = found[inv]
         size = self.size[which]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[which] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
