@@ -1,8 +1,10 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 import public_tokenizers
 import pytest
@@ -143,3 +145,19 @@ def test_query_10_is_whole(spark):
     out = warc.op10(spark, "/root/testdata/sf0.001")
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     assert sorted((r.page_id, r.payload_bytes) for r in out.collect()) == sorted((r.page_id, len((r.html or "").encode())) for r in pages)
+
+
+def test_parts_of_random_texts():
+    letters = [*"abJKIſ|~ \n\t.,'Σςs=<é1", "<|endoftext|>", "<|ENDOFTEXT|>", "'S", "'ll", "́", "̸", "̌", " ", " ", "ﬀ", "İ", "K", "日", "​", "\x00"]
+    draw, whole, parts = random.Random(3), tokenids.Encoder(PATH, False), tokenids.Encoder(PATH, True)
+    assert parts.fine
+    for _ in range(200):
+        column = pa.array(["".join(draw.choices(letters, k=draw.randrange(40))) for _ in range(20)])
+        for _, _, data, offs in tokenids.tk.texts(column):
+            assert [x.tolist() for x in parts(data, offs)] == [x.tolist() for x in whole(data, offs)]
+
+
+def test_counts_of_ids():
+    rows = [np.array(x, dtype="<u4").tobytes() for x in ([1, 5, 5], [], [1])]
+    (out,) = tokenids._count([pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])])
+    assert out.to_pylist() == [{"id": 1, "n": 2}, {"id": 5, "n": 2}]

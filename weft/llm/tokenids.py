@@ -8,6 +8,8 @@ code lengths, the ids and sizes of its documents, checkpoints, and the blocks.
 A text is encoded by its parts between ASCII white space, each distinct part once per worker while its cache holds
 (CACHE parts, by their bytes). The tokenizer drops white space before it splits, and none of its tokens spans any,
 so this gives the ids of the whole text; `by_parts=False` encodes texts whole, for tokenizers of which that is not so.
+Where the tokenizer lower-cases and keeps ASCII letters and punctuation (but for the apostrophe) in different tokens, parts
+are also cut between the two and lower-cased, so that fewer are distinct; a tokenizer that fails a trial is not treated so.
 
 Defined results: a null or empty text has the end id only; null doc_ids come first; rows with one id are in the order of
 a hash of their texts and each keeps its own ids; other columns are ignored; an empty table gives an empty result.
@@ -34,6 +36,11 @@ from weft.llm.common import Scratch, scratch_path, ship
 MAGIC = b"WEFTIDS1"
 FILE_IDS = 4_000_000  # ids in a file; bounds a reader's memory
 CACHE = 1_000_000
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_KIND = np.zeros(256, dtype=np.uint8)  # 1 letter, 2 punctuation
+_KIND[list((LETTERS + LETTERS.upper()).encode())] = 1
+_KIND[list(PUNCTUATION.encode())] = 2
 PLAIN = "|~"  # characters tried as marks between parts, before special tokens
 
 
@@ -48,8 +55,30 @@ class Encoder:
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip))
         #: (string, id) that may stand between parts, so that one call encodes many; a part that holds one takes the next, or goes alone.
         self.marks = [(x, i) for x in PLAIN for i in self._alone(x)] + [(x, i) for i, x in special[:1]]
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fine = by_parts and self._trial()
         self.clear()
 
+    def _trial(self) -> bool:
+        """Whether case does not matter, and letters and punctuation that meet give the ids that each gives alone."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        own = {x: ids(x) for x in LETTERS + PUNCTUATION}
+        return all(ids(x.upper()) == own[x] for x in LETTERS) and all(ids(x + y) == own[x] + own[y] and ids(y + x) == own[y] + own[x] for x in LETTERS for y in PUNCTUATION)
+
+    def _split(self, data: np.ndarray, offs: np.ndarray):
+        """The bytes that are encoded; start, end and hash of each part, and each text's first part."""
+        bounds = offs
+        if self.fine and len(data):
+            low = data.copy()
+            low[:-1] |= (((data[:-1] - np.uint8(65)) < 26) & (data[1:] < 128)).astype(np.uint8) << 5  # a letter before a combining mark stays
+            low[-1:] |= ((data[-1:] - np.uint8(65)) < 26).astype(np.uint8) << 5
+            raw = low.tobytes()
+            if not any(x in raw for x in self.added):  # an added token is found in the text as it stands
+                kind = _KIND[data]
+                data, bounds = low, np.concatenate((offs, np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1))
+        s, e, h, _ = tk.words(data, bounds)
+        return data, s, e, h, np.searchsorted(s, offs)
+
     def _alone(self, x: str) -> list[int]:
         """The id of x, if it has one and keeps it between white space."""
         ids = self.tokenizer.encode(x, add_special_tokens=False).ids
@@ -98,7 +127,7 @@ class Encoder:
         if not self.by_parts:
             raw = bytes(data)
             return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:])], add_special_tokens=False)]
-        s, e, h, first = tk.words(data, offs)
+        data, s, e, h, first = self._split(data, offs)
         _, at, inv = np.unique(h, return_index=True, return_inverse=True)
         other = ~self._equal(data, s, e, at[inv])
         if other.any():  # words that share a hash with another word stand for themselves
@@ -155,8 +184,8 @@ def _encode(path: str, end_id: int, by_parts: bool):
 def _count(batches):
     total = np.zeros(0, dtype=np.int64)
     for b in batches:
-        for x in b.column(0):
-            c = np.bincount(np.frombuffer(x.as_buffer(), dtype="<u4"))
+        for _, _, data, _ in tk.texts(b.column(0)):
+            c = np.bincount(data.view("<u4"))
             if len(c) > len(total):
                 total = np.concatenate((total, np.zeros(len(c) - len(total), dtype=np.int64)))
             total[: len(c)] += c
