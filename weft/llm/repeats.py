@@ -193,11 +193,18 @@ def cut(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
 # Operator 1 ----------------------------------------------------------------------------------------------------------
 
 
-def confirm(fetched: DataFrame) -> DataFrame:
-    """h, ctx, at: which windows of a run that occurs once also start in another run with the same anchor."""
-    w = fetched.where("n_ctx > 1").select("h", "ctx", "c", F.posexplode("wins").alias("pos", "win")).distinct()
-    often = w.groupBy("h", "win").agg(F.sum("c").alias("_c")).where("_c > 1").select("h", "win")
-    return w.where("c = 1").join(often, ["h", "win"]).groupBy("h", "ctx").agg(F.collect_list("pos").alias("at"))
+def confirm(fetched: DataFrame, scratch: Scratch) -> DataFrame:
+    """h, ctx, at: which windows of a run that occurs once also start in another run.
+
+    Windows of one run differ from one another, so a window recurs where its run does or where two runs hold it. A run that
+    was fetched twice changes nothing. The steps are tables, so that the shuffle files of each go before the next begins.
+    """
+    w = fetched.where("n_ctx > 1").select("h", "ctx", "c", F.posexplode("wins").alias("pos", "win"))
+    often = w.groupBy("win").agg(F.max("c").alias("_c"), F.min("ctx").alias("_a"), F.max("ctx").alias("_b")).where("_c > 1 or _a <> _b").select("win")
+    often = scratch.keep(often, "often-windows")
+    at = scratch.keep(w.where("c = 1").join(often, "win").groupBy("h", "ctx").agg(F.collect_set("pos").alias("at")), "confirmed")
+    scratch.drop("often-windows")
+    return at
 
 
 #: Words of patterns and texts that one automaton takes; bounds a worker's memory (about 100 bytes a word of a pattern).
@@ -271,8 +278,11 @@ def located_words(fetched: DataFrame, n: int, shard_words: int, scratch: Scratch
 
     Passages keep nothing but their words and their anchor, which says what shard they and the runs that may hold them go to.
     """
-    found = fetched.join(confirm(fetched), ["h", "ctx"], "left").select("h", "c", "n", "seg", "at")
+    part = fetched.where("c = 1").join(confirm(fetched, scratch), ["h", "ctx"]).select("h", "c", "n", "seg", "at")
+    whole = fetched.where("c > 1").select("h", "c", "n", "seg", F.lit(None).cast("array<int>").alias("at"))
+    found = whole.unionByName(part)
     passages = scratch.keep(found.mapInArrow(_passages(n), "h long, seg binary").distinct(), "passages")
+    scratch.drop("confirmed")
     runs = fetched.select("h", "ctx", "seg")
     sizes = passages.groupBy("h").agg(F.ceil(F.count("*") / CELL).alias("bi"))
     sizes = scratch.keep(sizes.join(runs.groupBy("h").agg(F.ceil(F.count("*") / CELL).alias("bj")), "h"), "cells")
@@ -300,8 +310,9 @@ def repeated_words(spark: SparkSession, docs: DataFrame, n: int = 35, k: int = 8
     docs = keyed(docs)
     recurring = recurring_runs(docs, unit, scratch)
     fetched = scratch.keep(fetch(docs, distinct_runs(recurring, scratch), unit), "fetched")
+    scratch.drop("distinct", "per-anchor")
     located = scratch.keep(located_words(fetched, n, shard_words, scratch), "located")
-    scratch.drop("fetched", "passages", "cells", "distinct", "per-anchor")
+    scratch.drop("fetched", "passages", "cells")
     spans = spans_by_text(recurring, located, scratch)
     scratch.drop("recurring", "located", "per-run")
     return cut(docs, spans, unit)
