@@ -59,6 +59,12 @@ class Scratch:
         _left[path] = self.spark
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, label: str) -> str:
+        """A new path in the shared folder, dropped as tables are."""
+        self.paths[label] = path = scratch_path(self.spark, label)
+        _left[path] = self.spark
+        return path
+
     def drop(self, *labels: str) -> None:
         """Delete tables that no later step reads."""
         for label in labels:
@@ -87,6 +93,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder within the shared one; nothing happens where there is none."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if fs.exists(a) and not fs.rename(a, b):
+        raise OSError(f"could not move {path} to {to}")
+
+
 _shipped: set[str] = set()
 
 

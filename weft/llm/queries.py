@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL beside them."""
 
-from weft.llm import chat, decontaminate, jaccard, mixing, quality, repeats, sharding, sql, tokenids, warc
+from weft.llm import chat, clicks, decontaminate, jaccard, mixing, quality, repeats, sharding, sql, tokenids, warc
 
 QUERIES = {
     "op1_substring_dedup": repeats.op1,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_warc": warc.op10,
+    "op13_click_windows": clicks.op13,
 }
-SQL = {"op1_substring_dedup": sql.OP1, "op7_ngram_jaccard_join": sql.OP7, "op10_warc": sql.OP10, "op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6}
+SQL = {"op1_substring_dedup": sql.OP1, "op7_ngram_jaccard_join": sql.OP7, "op10_warc": sql.OP10, "op2_quality_rules": sql.OP2, "op6_chat_formatting": sql.OP6, "op13_click_windows": sql.OP13}

@@ -62,3 +62,40 @@ select page_id, payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::int, 1)), '') payload_digest,
   case when page_id = least_id then 'response' else 'revisit' end record_type, case when page_id <> least_id then least_id end refers_to from d
 """
+
+
+def crc32(data: str) -> str:
+    """DuckDB expression: crc32 of an ASCII string; needs the one-row table `crc` (column t, the table of 256 entries)."""
+    return f"xor(list_reduce(list_transform(string_split({data}, ''), lambda x: ascii(x)::bigint), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::bigint), 4294967295)"
+
+
+CRC = "crc as (select list(v order by i) t from (select i, list_reduce(range(8), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) v from range(256) r(i)))"
+
+OP11 = """
+select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, doc_id = max(doc_id) over w kept, sha256(coalesce(text, '')) text_sha256
+from documents window w as (partition by coalesce(text, ''))
+"""
+
+OP13 = f"""
+with recursive {CRC},
+j as (select *, unnest(range(0, click_id % 3 + 1)) j from clicks where click_id >= 0 and arrived_at is not null),
+c as (select j.*, {crc32("(click_id || ':' || j)")} c from j, crc),
+h as (select *, epoch_us(arrived_at) // 3600000000 + 6 * j * (c % 10) as hour from c),
+l as (select *, hour + (c // 10) % 200 l from h),
+b as (select *, ((l - min(l) over ()) * 10 // (max(l) over () - min(l) over () + 1)) batch,
+  sha256(concat_ws('|', coalesce(client_id::varchar, ''), coalesce(kind, ''), coalesce(floor(100 * value + 0.5)::bigint::varchar, ''), coalesce(epoch_us(ts)::varchar, ''), coalesce(props, ''), c % 3)) hash from l),
+m as (select k, (select max(hour) from b where batch < k) m from range(11) t(k)),
+p as (select hour, coalesce((select min(k) from m where k between 1 and 9 and hour + 48 < m - 24) - 1, 9) past from (select distinct hour from b)),
+r as (select b.click_id, b.hour, b.batch, b.hash, p.past, row_number() over (partition by b.click_id order by b.batch, b.hour, b.hash) rn
+  from b join m on m.k = b.batch join p on p.hour = b.hour where b.batch = 0 or b.hour >= m.m - 24),
+w as (select click_id, rn, rn as opener, hour as start_hour, past, batch from r where rn = 1 union all
+  select r.click_id, r.rn, case when w.past < r.batch or r.hour > w.start_hour + 48 then r.rn else w.opener end,
+    case when w.past < r.batch or r.hour > w.start_hour + 48 then r.hour else w.start_hour end, case when w.past < r.batch or r.hour > w.start_hour + 48 then r.past else w.past end, r.batch
+  from w join r on r.click_id = w.click_id and r.rn = w.rn + 1),
+f as (select w.click_id, w.opener, any_value(w.start_hour) start_hour, any_value(w.past) past, max(w.rn) last, count(*) - 1 n_repeats, count(*) filter (where r.hash <> o.hash) n_conflicts,
+    list(r.hash) filter (where r.hash <> o.hash) others, any_value(o.hash) hash
+  from w join r on r.click_id = w.click_id and r.rn = w.rn join r o on o.click_id = w.click_id and o.rn = w.opener group by w.click_id, w.opener)
+select f.click_id, f.start_hour, least(f.past, n.batch)::bigint closed_batch, n_repeats::bigint n_repeats, n_conflicts::bigint n_conflicts,
+  coalesce(list_sum(list_transform(others, lambda x: {crc32("x")})), 0)::bigint conflict_crc, f.hash
+from f left join r n on n.click_id = f.click_id and n.rn = f.last + 1, crc
+"""
