@@ -20,3 +20,9 @@ def get(path: str) -> bytes:
     store, at = fs.FileSystem.from_uri(path)
     with store.open_input_stream(at, compression=None) as f:
         return f.read()
+
+
+def find(path: str) -> bytes | None:
+    """What get() returns, or None where there is no such file."""
+    store, at = fs.FileSystem.from_uri(path)
+    return get(path) if store.get_file_info(at).type == fs.FileType.File else None
