@@ -9,7 +9,7 @@ corpus from what the sweep wrote (combined in each task first). Frequent pairs,
 a table that every worker loads; all others by a join, so the table's bound cuts nothing off.
 
 A text is encoded by pieces that begin at a space after a character that is no white space: neither tokenizer joins bytes
-over such a place (tests hold pieces against whole texts; `Side` checks B's vocabulary). Pieces are cached in each worker.
+over such a place (tests hold pieces against whole texts; `side_b` checks B's vocabulary). Pieces are cached in each worker.
 
 Defined results: texts that are null, empty, or that a tokenizer does not give back byte by byte have no tokens: zeros and
 ''; null and repeated ids and repeated rows each keep a row of their own; other columns are ignored; an empty table gives
@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from weft.llm import files
 from weft.llm.common import Scratch, ship, table
 
-BLOCK = 4096  # events in a row
-CACHE = 300_000  # pieces
-CACHED_CHARS = 64  # longer pieces are encoded each time
+BLOCK = 8192  # events in a row
+CACHE = 400_000  # pieces, and
+CACHED_CHARS = 16 << 20  # their characters, after which a worker forgets them
+JOINED = 512  # new pieces encoded by one call
 FREQUENT = 1_000_000  # pairs in the workers' table, 24 MB
 PAIRS = 2_000_000  # pairs combined in a task before they are sent on
 _CUT = re.compile(r"(?<=\S)(?= (?!\Z))")
 
-EVENTS = "row long, doc_id long, offset long, side int, ids binary, lengths binary"
+EVENTS = "row long, doc_id long, offset long, side int, n int, ids binary"
 SWEPT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, counts binary"
 
 
@@ -52,36 +54,95 @@ def pieces(text: str) -> list[str]:
 
 
 class Side:
-    """Ids of pieces and their byte lengths; whether they give the piece back."""
+    """A tokenizer: encode gives the ids of each of many space + pieces, whole those of one long text that begins with a space."""
 
-    def __init__(self, encode, token_bytes: list[bytes]):
-        self.encode, self.bytes = encode, token_bytes
+    def __init__(self, encode, whole, token_bytes: list[bytes]):
+        self.encode, self.whole, self.bytes = encode, whole, token_bytes
         self.size = np.array([len(x) for x in token_bytes], np.int64)
-        self.clear()
-
-    def clear(self) -> None:
+        self.kind = _kind(self.size)
+
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the pieces, how many each has, and whether they give it back."""
+        ids, counts, good = [], [], []
+        for i in range(0, len(new), JOINED):
+            some = new[i : i + JOINED]
+            found = self._joined(some)
+            if found is None:
+                each = self.encode(some)
+                found = np.array(list(chain.from_iterable(each)), np.int64), np.array([len(x) for x in each])
+                good += [b"".join([self.bytes[j] for j in x]) == b" " + t.encode() for t, x in zip(some, each)]
+            else:
+                good += [True] * len(some)
+            ids.append(found[0])
+            counts.append(found[1])
+        return np.concatenate(ids).astype(self.kind), np.concatenate(counts), np.array(good)
+
+    def _joined(self, some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As learn, of pieces encoded as one text and cut where each ends; None where that cannot be."""
+        if any([not x or x[-1].isspace() for x in some]):
+            return None
+        text = " " + " ".join(some)
+        found = self.whole(text)
+        if b"".join([self.bytes[j] for j in found]) != text.encode():
+            return None
+        ids = np.array(found, np.int64)
+        stops, ends = np.cumsum([len(x.encode()) + 1 for x in some]), np.cumsum(self.size[ids])
+        at = np.searchsorted(ends, stops)
+        return (ids, np.diff(at, prepend=-1)) if (ends[at] == stops).all() else None
+
+
+def _kind(sizes: np.ndarray) -> type:
+    return np.uint16 if len(sizes) <= 1 << 16 else np.uint32
+
+
+class Encoder:
+    """Both sides, with the pieces that were seen before: one flat array of ids for each side."""
+
+    def __init__(self, paths: tuple[str, str]):
+        self.sides = (side_a(paths[0]), side_b(paths[1]))
+        self._clear()
+
+    def _clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.good: list[bool] = []
-
-    def __call__(self, docs: list[list[str]]) -> list[np.ndarray | None]:
-        """The ids of each document, None where its bytes differ."""
-        if len(self.slot) > CACHE:
-            self.clear()
-        new = list({x for d in docs for x in d if x not in self.slot})
-        known, at = len(self.ids), dict.fromkeys(new)
-        for i, (x, ids) in enumerate(zip(new, self.encode(new) if new else ())):
-            at[x] = known + i
-            self.ids.append(np.array(ids, np.int32))
-            self.good.append(b"".join([self.bytes[j] for j in ids]) == b" " + x.encode())
-        self.slot.update((x, i) for x, i in at.items() if len(x) <= CACHED_CHARS)
-        out = []
-        for d in docs:
-            found = [at[x] if x in at else self.slot[x] for x in d]
-            out.append(np.concatenate([self.ids[i] for i in found]) if all([self.good[i] for i in found]) else None)
-        if len(self.slot) < len(self.ids) - 10_000:  # long pieces pile up
-            self.clear()
-        return out
+        self.chars = 0
+        self.flat = [np.zeros(0, s.kind) for s in self.sides]
+        self.start, self.count = ([np.zeros(0, np.int64)] * 2 for _ in range(2))
+        self.good = np.zeros(0, bool)
+
+    def __call__(self, docs: list[list[str]]) -> tuple[list[bool], list[list[np.ndarray]]]:
+        """Whether both sides give back each document, and its ids for each side."""
+        if len(self.slot) > CACHE or self.chars > CACHED_CHARS:
+            self._clear()
+        flat = list(chain.from_iterable(docs))
+        codes = np.fromiter(map(self.slot.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            lost = [flat[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lost))
+            self._learn(new)
+            codes[missing] = [self.slot[x] for x in lost]
+        first = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+        bad = np.concatenate(([0], np.cumsum(~self.good[codes])))
+        ids = []
+        for flat_ids, start, count in zip(self.flat, self.start, self.count):
+            n = count[codes]
+            end = np.concatenate(([0], np.cumsum(n)))
+            got = flat_ids[np.repeat(start[codes] - end[:-1], n) + np.arange(end[-1])]
+            ids.append(np.split(got, end[first[1:-1]]))
+        return (bad[first[1:]] == bad[first[:-1]]).tolist(), ids
+
+    def _learn(self, new: list[str]) -> None:
+        known = len(self.good)
+        good = np.ones(len(new), bool)
+        for k, side in enumerate(self.sides):
+            ids, n, fine = side.learn(new)
+            self.start[k] = np.concatenate((self.start[k], len(self.flat[k]) + np.cumsum(n) - n))
+            self.count[k] = np.concatenate((self.count[k], n))
+            self.flat[k] = np.concatenate((self.flat[k], ids))
+            good &= fine
+        self.good = np.concatenate((self.good, good))
+        self.slot.update(zip(new, range(known, known + len(new))))
+        self.chars += sum(map(len, new))
 
 
 def byte_level() -> dict[str, int]:
@@ -103,7 +164,8 @@ def side_a(path: str) -> Side:
         raise ValueError("ids of A are not dense")
     added = {i: x.content for i, x in t.get_added_tokens_decoder().items()}
     known = [added[i].encode() if i in added else bytes([to[c] for c in x]) for x, i in vocabulary]
-    return Side(lambda new: [e.ids for e in t.encode_batch_fast([" " + x for x in new], add_special_tokens=False)], known)
+    one = lambda x: t.encode_batch_fast([x], add_special_tokens=False)[0].ids
+    return Side(lambda new: [e.ids for e in t.encode_batch_fast([" " + x for x in new], add_special_tokens=False)], one, known)
 
 
 def side_b(path: str) -> Side:
@@ -114,39 +176,37 @@ def side_b(path: str) -> Side:
     if any("▁" in x.lstrip("▁") for x in names):
         raise ValueError("a piece of B goes on after a space; pieces of texts cannot be encoded alone")
     known = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-    return Side(lambda new: sp.encode(new, num_threads=1), known)
+    return Side(lambda new: sp.encode(new, num_threads=1), lambda text: sp.encode(text[1:]), known)  # it adds a space itself
 
 
-_sides: dict[tuple[str, str], tuple[Side, Side]] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def events(paths: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of events of both sides."""
-    if paths not in _sides:
-        _sides[paths] = side_a(paths[0]), side_b(paths[1])
-    sides = _sides[paths]
+    """Blocks of events of both sides; a document without tokens has one row, of side 2."""
+    if paths not in _encoders:
+        _encoders[paths] = Encoder(paths)
+    encoder = _encoders[paths]
     for batch in batches:
         rows, ids, texts = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")
         at = 0
         while at < len(rows):
             some, chars = [], 0
-            while at + len(some) < len(rows) and chars < 1 << 22:
+            while at + len(some) < len(rows) and chars < 1 << 21:
                 some.append(texts[at + len(some)].as_py() or "")
                 chars += len(some[-1])
-            cut = [pieces(t) if t else [] for t in some]
-            full = [i for i, t in enumerate(some) if t]
-            got = [dict(zip(full, s([cut[i] for i in full]))) for s in sides]
+            good, found = encoder([pieces(t) if t else [] for t in some])
             out = []
-            for i in range(len(some)):
-                both = [g.get(i) for g in got]
-                if both[0] is None or both[1] is None:
-                    out.append((rows[at + i], ids[at + i], 0, 2, b"", b""))
+            for i, t in enumerate(some):
+                if not t or not good[i]:
+                    out.append((rows[at + i], ids[at + i], 0, 2, 0, b""))
                     continue
-                for k, x in enumerate(both):
-                    size = sides[k].size[x]
-                    begin = np.cumsum(size) - size
-                    for j in range(0, len(x), BLOCK):
-                        out.append((rows[at + i], ids[at + i], int(begin[j]), k, x[j : j + BLOCK].tobytes(), size[j : j + BLOCK].astype(np.int32).tobytes()))
+                for k, side in enumerate(encoder.sides):
+                    offset = 0
+                    for j in range(0, len(found[k][i]), BLOCK):
+                        x = found[k][i][j : j + BLOCK]
+                        out.append((rows[at + i], ids[at + i], offset, k, len(x), pa.compress(x.tobytes(), "zstd", asbytes=True)))
+                        offset += int(side.size[x].sum())
                 if len(out) > 256:
                     yield _batch(out)
                     out = []
@@ -156,8 +216,8 @@ def events(paths: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterato
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["row", "doc_id", "offset", "side", "ids", "lengths"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["row", "doc_id", "offset", "side", "n", "ids"])
 
 
 class Sweep:
@@ -169,38 +229,52 @@ class Sweep:
         self.ids, self.ends = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
         self.sha, self.n, self.groups, self.links = hashlib.sha256(), [0, 0], 0, 0
         self.codes: list[np.ndarray] = []
+        self.counted = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, side: int, offset: int, ids: np.ndarray, lengths: np.ndarray) -> None:
         self.n[side] += len(ids)
         self.ids[side] = np.concatenate((self.ids[side], ids))
         self.ends[side] = np.concatenate((self.ends[side], offset + np.cumsum(lengths, dtype=np.int64)))
         a, b = self.ends
-        cuts = np.intersect1d(a, b, assume_unique=True)
-        if not len(cuts):
+        if not len(a) or not len(b):
+            return
+        at = np.searchsorted(b, a)  # the B token in which, or with which, each A token ends
+        both = b[np.minimum(at, len(b) - 1)] == a
+        last = np.flatnonzero(both)
+        if not len(last):
             return
-        na, nb = np.searchsorted(a, cuts[-1], "right"), np.searchsorted(b, cuts[-1], "right")
-        self._emit(self.ids[0][:na], a[:na], self.ids[1][:nb], b[:nb], cuts)
+        na, nb = last[-1] + 1, at[last[-1]] + 1
+        self._emit(self.ids[0][:na], a[:na], self.ids[1][:nb], b[:nb], at[:na], both[:na])
         self.ids, self.ends = [self.ids[0][na:], self.ids[1][nb:]], [a[na:], b[nb:]]
 
-    def _emit(self, a, a_end, b, b_end, cuts) -> None:
-        """Groups end at the cuts; links are the stretches between neighbouring ends."""
-        stops = np.union1d(a_end, b_end)
-        self.codes.append((a[np.searchsorted(a_end, stops)] << 32) | b[np.searchsorted(b_end, stops)])
-        self.links += len(stops)
-        ga, gb = np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right")  # tokens up to each cut
-        of_a, of_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-        before_b = np.concatenate(([0], gb[:-1]))
+    def _emit(self, a, a_end, b, b_end, at, both) -> None:
+        """Groups end where both sides do; links are the stretches that end with an A token, and those that end with a B token alone."""
+        in_a = np.searchsorted(a_end, b_end)
+        alone = a_end[in_a] != b_end
+        self.codes += [(a << 32) | b[at], (a[in_a[alone]] << 32) | b[alone]]
+        self.links += len(a) + int(alone.sum())
+        ga, gb = np.flatnonzero(both) + 1, np.flatnonzero(~alone) + 1  # tokens up to each group's end
+        at_a = np.arange(len(a)) + np.concatenate(([0], gb[:-1]))[np.cumsum(both) - both]
+        at_b = np.arange(len(b)) + ga[np.cumsum(~alone) - ~alone]
         order = np.empty(len(a) + len(b), np.int64)
         kind = np.zeros(len(order), np.int8)
-        at_a, at_b = np.arange(len(a)) + before_b[of_a], np.arange(len(b)) + ga[of_b]
         order[at_a], order[at_b] = a, b
         kind[at_a[ga - 1]], kind[at_b[gb - 1]] = 1, 2
         self.sha.update(b";"[: self.groups > 0])
-        text = self._decimals(int(order.max()))
-        parts = text[kind, order].tolist()
+        parts = self._decimals(int(order.max()))[kind, order].tolist()
         parts[-1] = parts[-1][:-1]
         self.sha.update(b"".join(parts))
-        self.groups += len(cuts)
+        self.groups += len(ga)
+        if len(self.codes) > 64:
+            self._count()
+
+    def _count(self) -> None:
+        """Pairs so far, with their counts."""
+        pairs, counts = np.unique(np.concatenate(self.codes), return_counts=True)
+        if len(self.counted[0]):
+            pairs, inv = np.unique(np.concatenate((self.counted[0], pairs)), return_inverse=True)
+            counts = np.bincount(inv, np.concatenate((self.counted[1], counts))).astype(np.int64)
+        self.counted, self.codes = (pairs, counts), []
 
     @classmethod
     def _decimals(cls, most: int) -> np.ndarray:
@@ -211,24 +285,28 @@ class Sweep:
     def result(self) -> tuple:
         if not self.n[0]:
             return 0, 0, 0, 0, "", b"", b""
-        pairs, counts = np.unique(np.concatenate(self.codes), return_counts=True)
+        if self.codes:
+            self._count()
+        pairs, counts = self.counted
         return *self.n, self.groups, self.links, self.sha.hexdigest(), pairs.tobytes(), counts.astype(np.int32).tobytes()
 
 
-def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sweep(sizes: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SWEPT.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]
     make = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
     now, state, out, held = None, None, [], 0
     for batch in batches:
-        for row, doc_id, offset, side, ids, lengths in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "offset", "side", "ids", "lengths"))):
+        for row, doc_id, offset, side, n, data in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "offset", "side", "n", "ids"))):
             if now is None or row != now[0]:
                 if now is not None:
                     out.append((*now, *state.result()))
                     held += len(out[-1][-2])
                 now, state = (row, doc_id), Sweep()
             if side < 2:
-                state.add(side, offset, np.frombuffer(ids, np.int32).astype(np.int64), np.frombuffer(lengths, np.int32))
+                kind = _kind(sizes[side])
+                ids = np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
+                state.add(side, offset, ids, sizes[side][ids])
             if len(out) >= 512 or held > 1 << 23:
                 yield make(out)
                 out, held = [], 0
@@ -293,7 +371,8 @@ def align(spark: SparkSession, docs: DataFrame, paths: tuple[str, str], frequent
     scratch, kept = Scratch(spark), Scratch(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     united = rows.mapInArrow(partial(events, paths), EVENTS)
-    swept = scratch.keep(united.repartition("row").sortWithinPartitions("row", "offset", "side").mapInArrow(sweep, SWEPT), "swept")
+    sizes = side_a(paths[0]).size, side_b(paths[1]).size
+    swept = scratch.keep(united.repartition("row").sortWithinPartitions("row", "offset", "side").mapInArrow(partial(sweep, sizes), SWEPT), "swept", "zstd")
     counted = scratch.keep(swept.select("pairs", "counts").mapInArrow(_combined, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "counted")
     b = F.col("pair").bitwiseAND(0xFFFFFFFF)
     tops = counted.groupBy(b.alias("b")).agg(F.max("n").alias("top"))

@@ -47,12 +47,12 @@ class Scratch:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, label)
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         finally:
             self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         self.paths[label] = path
