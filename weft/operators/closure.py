@@ -9,9 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Longest chain followed; relations are guarded against cycles by the path walked so far.
-MOST_LEVELS = 100
-
 
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; where it is unset, a new local folder, but only if the executors are threads of the driver."""
@@ -48,11 +45,12 @@ def catalysts(reactions: DataFrame, catalysis: DataFrame) -> DataFrame:
 
 
 def walks(members: DataFrame) -> DataFrame:
-    """root, node, path of every walk down from a parent, no node twice in a walk. Copies are kept."""
+    """root, node, path of every walk down from a parent, no node twice in a walk. Copies are kept. Walks are as many as there
+    are ways, so ask for them only where ways matter: leaf_counts, depths and reachable carry totals instead."""
     m = _checkpoint(members.select("parent", "child"))
     front = m.where("parent <> child").select(F.col("parent").alias("root"), F.col("child").alias("node"), F.array("parent", "child").alias("path"))
     out = None
-    for _ in range(MOST_LEVELS):
+    while True:
         front = _checkpoint(front)
         if not front.limit(1).count():
             break
@@ -67,12 +65,39 @@ def leaves(members: DataFrame) -> DataFrame:
     return w.join(members.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("root", F.col("node").alias("leaf"), "path")
 
 
-def reachable(members: DataFrame) -> DataFrame:
-    """M07, M13. root, node: distinct, with the root itself."""
-    roots = members.select(F.col("parent").alias("root")).distinct()
+def leaf_counts(members: DataFrame) -> DataFrame:
+    """M02. root, leaf, n: in how many ways each leaf is reached; copies of a relation count each, no node twice in a way.
+
+    Parents are released when all their children are done and add up their children's totals, so a shared child is
+    summed once and not once for each way to it. What leads into a cycle is never released and is walked.
+    """
+    m = _checkpoint(members.where("parent <> child").groupBy("parent", "child").agg(F.count("*").alias("k")))
+    parents = m.select(F.col("parent").alias("node")).distinct()
+    done = front = _checkpoint(m.select(F.col("child").alias("node")).distinct().join(parents, "node", "left_anti").select("node", F.col("node").alias("leaf"), F.lit(1).cast("long").alias("n")))
+    state = _checkpoint(m.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("left")))
+    while True:
+        told = m.join(front.select(F.col("node").alias("child")).distinct(), "child").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("seen"))
+        state = _checkpoint(state.join(told, "node", "left").select("node", (F.col("left") - F.coalesce("seen", F.lit(0))).alias("left")))
+        ready = state.where("left = 0").select(F.col("node").alias("parent"))
+        front = _checkpoint(m.join(ready, "parent").join(done, m["child"] == done["node"]).groupBy("parent", "leaf").agg(F.sum(F.col("k") * F.col("n")).alias("n")).select(F.col("parent").alias("node"), "leaf", "n"))
+        state = _checkpoint(state.where("left > 0"))
+        if not front.limit(1).count():
+            break
+        done = done.unionByName(front)
+    out = done.where("node <> leaf").select(F.col("node").alias("root"), "leaf", "n")
+    if state.limit(1).count():
+        rest = reachable(members, state.select(F.col("node").alias("root"))).select(F.col("node").alias("parent")).distinct()
+        ways = leaves(members.join(rest, "parent", "left_semi")).join(state.select(F.col("node").alias("root")), "root", "left_semi")
+        out = out.unionByName(ways.groupBy("root", "leaf").agg(F.count("*").alias("n")))
+    return out
+
+
+def reachable(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """M07, M13. root, node: distinct, with the root itself. roots: where to begin, else every parent."""
+    roots = members.select(F.col("parent").alias("root")).distinct() if roots is None else roots.select("root").distinct()
     m = _checkpoint(members.select("parent", "child"))
     all_ = front = _checkpoint(roots.select("root", F.col("root").alias("node")))
-    for _ in range(MOST_LEVELS):
+    while True:
         step = front.join(m, front["node"] == m["parent"]).select("root", F.col("child").alias("node")).distinct()
         front = _checkpoint(step.join(all_, ["root", "node"], "left_anti"))
         if not front.limit(1).count():
@@ -89,10 +114,25 @@ def ordered_distinct(x: DataFrame, root: str, member: str, pos: str, name: str)
 
 
 def depths(tree: DataFrame) -> DataFrame:
-    """O01. node, depth: the longest chain of parents above."""
-    w = walks(tree).groupBy("node").agg(F.max(F.size("path") - 1).alias("depth"))
-    roots = tree.select(F.col("parent").alias("node")).distinct().join(tree.select(F.col("child").alias("node")), "node", "left_anti")
-    return w.unionByName(roots.select("node", F.lit(0).alias("depth")))
+    """O01. node, depth: the longest chain of parents above, no node twice in a chain.
+
+    A node is released when all its parents are done, and takes the greatest depth plus one; what lies behind a cycle is walked.
+    """
+    m = _checkpoint(tree.select("parent", "child").where("parent <> child").distinct())
+    nodes = tree.select(F.col("parent").alias("node")).union(tree.select("child")).distinct()
+    into = m.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("left"))
+    state = nodes.join(into, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"))
+    state = _checkpoint(state.select("node", "left", F.when(F.col("left") == 0, 0).alias("depth"), (F.col("left") == 0).alias("go")))
+    while state.where("go").limit(1).count():
+        told = state.where("go").join(m, F.col("node") == m["parent"]).groupBy(F.col("child").alias("node")).agg(F.count("*").alias("seen"), (F.max("depth") + 1).alias("d"))
+        left = F.col("left") - F.coalesce("seen", F.lit(0))
+        state = _checkpoint(state.join(told, "node", "left").select("node", left.alias("left"), F.greatest("depth", "d").alias("depth"), (F.col("seen").isNotNull() & (left == 0)).alias("go")))
+    done = state.where("left = 0").select("node", "depth")
+    late = state.where("left > 0").select("node")
+    if not late.limit(1).count():
+        return done
+    ways = walks(tree).join(late, "node", "left_semi").groupBy("node").agg(F.max(F.size("path") - 1).alias("depth"))
+    return done.unionByName(ways)
 
 
 def deepest_parent(members: DataFrame, depth: DataFrame) -> DataFrame:

@@ -211,12 +211,24 @@ def check_assignment(assigned: DataFrame, nodes: DataFrame) -> None:
 
 
 def replay_negatives(events: DataFrame, train_nodes: DataFrame, n_nodes: int, k: int, seed: int) -> DataFrame:
-    """T15. Up to k train nodes drawn for each event, neither end of it, in place of the end that is in train (the target
-    where both are). events: edge, src, dst; train_nodes: id (dense), label."""
-    t = train_nodes.select("label")
-    x = events.join(t.select(F.col("label").alias("dst"), F.lit(True).alias("_d")), "dst", "left").join(t.select(F.col("label").alias("src"), F.lit(True).alias("_s")), "src", "left")
-    x = x.where("_d or _s").withColumn("side", F.when(F.coalesce("_d", F.lit(False)), "dst").otherwise("src"))
-    c = x.select("edge", "src", "dst", "side", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1))).alias("i")).withColumn("id", F.pmod(draw(F.lit(seed), F.col("edge"), F.col("i")), F.lit(n_nodes)))
-    c = c.join(train_nodes.select("id", F.col("label").alias("negative")), "id").where("negative <> src and negative <> dst")
-    first = c.groupBy("edge", "src", "dst", "side", "negative").agg(F.min("i").alias("i"))
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy("edge", "src", "dst").orderBy("i", "negative"))).where(F.col("_r") <= k).select("edge", "side", "negative")
+    """T15. k distinct train nodes for each event, neither end of it (all there are where the pool is smaller), in place of
+    the end that is in train (the target where both are). events: edge, src, dst; train_nodes: id (dense), label.
+
+    Ranks among the free nodes are drawn without repetition by Floyd's method; the ids of the ends, two at most, are stepped over.
+    """
+    t = train_nodes.select("label", "id")
+    x = events.join(t.select(F.col("label").alias("dst"), F.col("id").alias("_d")), "dst", "left").join(t.select(F.col("label").alias("src"), F.col("id").alias("_s")), "src", "left")
+    x = x.where("_d is not null or _s is not null").withColumn("side", F.when(F.col("_d").isNotNull(), "dst").otherwise("src"))
+    lo, hi = F.least("_d", "_s"), F.greatest("_d", "_s")
+    x = x.withColumn("_lo", lo).withColumn("_hi", F.when(hi > lo, hi)).withColumn("_p", F.lit(n_nodes).cast("long") - 1 - F.col("_hi").isNotNull().cast("int"))
+
+    def floyd(acc, i):
+        j = F.greatest(F.col("_p") - k, F.lit(0)) + i
+        u = F.pmod(draw(F.lit(seed), F.col("edge"), i), j + 1)
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, u), j).otherwise(u)))
+
+    each = F.when(F.col("_p") > 0, F.sequence(F.lit(0).cast("long"), F.least(F.col("_p"), F.lit(k)) - 1)).otherwise(F.array().cast("array<bigint>"))
+    drawn = x.select("edge", "side", "_lo", "_hi", F.explode(F.aggregate(each, F.array().cast("array<bigint>"), floyd)).alias("id"))
+    step = drawn.withColumn("id", F.col("id") + (F.col("id") >= F.col("_lo")).cast("int"))
+    step = step.withColumn("id", F.col("id") + F.coalesce((F.col("id") >= F.col("_hi")).cast("int"), F.lit(0)))
+    return step.join(t, "id").select("edge", "side", F.col("label").alias("negative"))

@@ -175,7 +175,7 @@ def m01(spark, d):
 
 @query("m02_leaves_with_copies", f"with recursive {_MEM}, w as (select parent root, child node from mem union all select root, child from w join mem on node = parent) select root, node leaf, count(*)::bigint n from w where node not in (select parent from mem) group by all")
 def m02(spark, d):
-    return closure.leaves(members(spark, d)).groupBy("root", "leaf").agg(F.count("*").alias("n"))
+    return closure.leaf_counts(members(spark, d))
 
 
 @query("m04_ordered_union", "with x as (select l_orderkey root, l_linenumber pos, 'b' || (l_partkey % 50) member from lineitem) select root, list(member order by pos, member) members from (select root, member, min(pos) pos from x group by all) group by root")
@@ -202,7 +202,9 @@ def m07(spark, d):
 
 @query("m08_distinct_leaves", f"with recursive {_MEM}, w as (select distinct parent root, parent node from mem union select root, child from w join mem on node = parent) select root, count(*)::bigint n_leaves, min(node) first_leaf from w where node not in (select parent from mem) group by root")
 def m08(spark, d):
-    return closure.leaves(members(spark, d)).select("root", "leaf").distinct().groupBy("root").agg(F.count("*").alias("n_leaves"), F.min("leaf").alias("first_leaf"))
+    m = members(spark, d)
+    ends = closure.reachable(m).join(m.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    return ends.groupBy("root").agg(F.count("*").alias("n_leaves"), F.min("node").alias("first_leaf"))
 
 
 @query("m13_pathway_reactions", f"with recursive {_TREE}, w as (select parent root, child node from tree union all select root, child from w join tree on node = parent), o as (select 'c' || o_custkey c, o_orderkey from orders) select root, count(distinct o_orderkey)::bigint n_reactions from w join o on node = c group by root")

@@ -318,10 +318,14 @@ def s22m(spark, d):
     return features.missing(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
 
 
-@query("t15_replay_negatives", f"with {_E}, {_N}, tr as (select id, label from (select row_number() over (order by k) - 1 id, 'p' || k as label from range(200) r(k))), x as (select edge, src, dst, 'dst' side from e where dst in (select label from tr)), c as (select edge, src, dst, side, tr.label negative, min(i) i from x, range(6) r(i) join tr on tr.id = {_D.format('9, edge, i')} % 200 where tr.label not in (src, dst) group by edge, src, dst, side, tr.label) select edge, side, negative from c qualify row_number() over (partition by edge, src, dst order by i, negative) <= 3")
+@query("t15_replay_negatives", f"""with {_E}, tr as (select p_partkey id, 'p' || p_partkey as label from part), tn as (select count(*) n from tr),
+  x as (select edge, 'dst' side, least(b.id, a.id) lo, case when a.id <> b.id then greatest(a.id, b.id) end hi, n - 1 - (case when a.id <> b.id then 1 else 0 end) p from e join tr b on b.label = dst left join tr a on a.label = src, tn),
+  f as (select *, list_reduce(list_transform(range(least(3, p)), lambda i: [i]), lambda acc, i: list_append(acc, case when list_contains(acc, {_D.format('9, edge, i[1]')} % (greatest(p - 3, 0) + i[1] + 1)) then greatest(p - 3, 0) + i[1] else {_D.format('9, edge, i[1]')} % (greatest(p - 3, 0) + i[1] + 1) end), []::bigint[]) drawn from x),
+  g as (select edge, side, lo, hi, unnest(drawn) id from f), h as (select edge, side, hi, id + (id >= lo)::int id from g)
+  select edge, side, label negative from h join tr on tr.id = h.id + coalesce((h.id >= hi)::int, 0)""")
 def t15(spark, d):
-    nodes_ = spark.range(200).select("id", F.concat(F.lit("p"), "id").alias("label"))
-    return splits.replay_negatives(timed(spark, d), nodes_, 200, 3, 9)
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(F.lit("p"), "p_partkey").alias("label"))
+    return splits.replay_negatives(timed(spark, d), parts, parts.count(), 3, 9)
 
 
 @query("e09_hits_by_type", f"with {_CAND}, t as (select query, score t from c where is_true), r as (select query, query % 4 as type, count(*) filter (where score > t and not is_true) + 1 rank from c join t using (query) group by query), p as (select type, avg((rank <= 1)::int) h1, avg((rank <= 3)::int) h3, avg((rank <= 10)::int) h10, avg(1.0 / rank) m, count(*) n from r group by type) select round(sum(h1 * n) / sum(n), 6) hits_1, round(sum(h3 * n) / sum(n), 6) hits_3, round(sum(h10 * n) / sum(n), 6) hits_10, round(sum(m * n) / sum(n), 6) mrr, sum(n)::bigint n from p")
