@@ -113,3 +113,24 @@ def test_query_is_whole(spark):
     docs = [tuple(x) for x in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(x) for x in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
     assert {(x.doc_id, x.item_id) for x in dc.op9(spark, d).collect()} == set(brute(docs, items))
+
+
+def test_clean_rows_stay_whatever_shares_their_id(spark):
+    item = " ".join(f"question{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, " ".join(f"other{i}" for i in range(9)))], "item_id long, text string")
+    rows = [(1, f"before {item} after"), (1, "a clean text with words of its own in it"), (None, item), (None, "another clean text that has nothing"), (None, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    left = dc.remove_contaminated(spark, docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, (rows[1], *rows[3:])))
+    assert dc.remove_contaminated(spark, docs, bench.limit(0)).count() == len(rows)
+
+
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = sorted(map(str, dc.contaminated(spark, docs, bench).collect()))
+    monkeypatch.setattr(dc, "ITEMS", 7)
+    texts = bench.where("text is not null").select("text").distinct().count()
+    assert texts > 21
+    assert sorted(map(str, dc.contaminated(spark, docs, bench).collect())) == whole

@@ -151,3 +151,13 @@ def test_profiles_never_show_more_differences_than_there_are():
         p, q = jaccard.profile(u), jaccard.profile(v)
         size = min(len(p), len(q))
         assert jaccard.least_apart(jaccard.folded(p, size), jaccard.folded(q, size)) <= len(np.setxor1d(u, v))
+
+
+def test_vertices_that_clash_are_named_anew(spark):
+    from weft.llm.common import Scratch
+
+    rows = [("a", 1, 10), ("b", 1, 10), ("c", 1, 11), ("d", 1, 12), ("e", 2, 10), ("f", 3, 5)]
+    index = spark.createDataFrame(rows, "key string, v long, other long")
+    got = {r.key: r.v for r in jaccard.renamed(index, Scratch(spark).keep).collect()}
+    assert got["a"] == got["b"] == 1 and got["e"] == 2 and got["f"] == 3
+    assert len(set(got.values())) == 5

@@ -58,3 +58,10 @@ def test_edges_and_drawing(spark):
 def test_draws_follow_rates(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     assert abs(mixing.draw(docs, docs.select("doc_id", F.lit(0.3).alias("rate"))).count() - 1200) < 120
+
+
+def test_labels_of_one_id_do_not_depend_on_order(spark):
+    docs = spark.createDataFrame([(i, "some words here" if i % 2 else "other things there") for i in range(20)], "doc_id long, text string")
+    rows = [(i, i % 2, 0) for i in range(20)] + [(i, 1, 1) for i in range(5)] + [(i, 0, None) for i in range(3, 12)]
+    models = [mixing.fit(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int").repartition(n)) for x, n in ((rows, 1), (rows[::-1], 1), (sorted(rows, key=str), 3))]
+    assert models[0] == models[1] == models[2]

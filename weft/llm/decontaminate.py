@@ -7,8 +7,8 @@ maxima of shingle counts) then decides. Windows that hold none of an item's shin
 windows that reach a shared shingle are fingerprinted; this loses nothing.
 
 Distinct item texts are written by executors into block files of at most ITEMS items and ITEM_BYTES bytes in the shared
-folder; the driver knows the files' names only. A task reads its texts once, a bounded buffer at a time, and takes one
-block after the other past each buffer. Item ids are joined to what was found.
+folder, each with its index, built once; the driver knows the files' names only. The blocks pass over the texts one after
+the other, so that a worker loads an index once, and a task takes a bounded buffer of texts at a time. Item ids are joined to what was found.
 
 Defined results: null, empty and blank texts are never contaminated; such items match nothing; items of fewer words than
 a shingle are one shingle of all their words; A-Z are lower-cased; equal items are reported each; a repeated row is
@@ -17,7 +17,8 @@ reported for each of its rows; null doc_ids pass through; other columns are igno
 
 from __future__ import annotations
 
-import json
+import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import files
 from weft.llm import tokens as tk
-from weft.llm.common import Scratch, scratch_path, ship
+from weft.llm.common import Scratch, row_key, ship
 
 ITEMS = 2000
 ITEM_BYTES = 16 << 20
@@ -152,18 +153,21 @@ def matches(bench: Benchmark, w: np.ndarray, least: float):
             yield (cl["ids"][i], *best[i])
 
 
-def _scan(paths: list[str], k: int, radius: int, least: float):
-    loaded: dict[str, Benchmark] = {}
+_loaded: dict[str, Benchmark] = {}
 
-    def load(path: str) -> Benchmark:
-        if path not in loaded:
-            loaded.clear()
-            loaded[path] = Benchmark([(bytes.fromhex(i), t) for i, t in json.loads(files.get(path))], k, radius)
-        return loaded[path]
 
+def _load(path: str) -> Benchmark:
+    """A block's index, which stays in the worker until another block is asked for."""
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = pickle.loads(zlib.decompress(files.get(path)))
+    return _loaded[path]
+
+
+def _scan(path: str, least: float, k: int):
     def scan(b: pa.Table):
-        for path in paths:
-            bench = load(path)
+        if b.num_rows:
+            bench = _load(path)
             for i, j, data, offs in tk.texts(b.column(1)):
                 _, _, h, first = tk.words(data, offs, lower=True)
                 if not len(h):
@@ -176,7 +180,7 @@ def _scan(paths: list[str], k: int, radius: int, least: float):
                 if rows:
                     kinds = (pa.binary(), pa.float64(), pa.int64(), pa.int64())
                     ids = b.column(0).combine_chunks().take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[c] for x in found], t) for c, t in enumerate(kinds))], ["doc_id", "item", "similarity", "at", "n_words"])
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[c] for x in found], t) for c, t in enumerate(kinds))], [b.column_names[0], "item", "similarity", "at", "n_words"])
 
     def run(batches):
         held, size = [], 0
@@ -206,13 +210,15 @@ def _touched(bench: Benchmark, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=_I)
 
 
-def _pack(folder: str):
+def _pack(folder: str, k: int, radius: int):
+    """Blocks of items are indexed once and written."""
+
     def run(batches):
         held, size = [], 0
 
         def roll():
-            name = f"block-{held[0][0]}.json"
-            files.put(folder, name, json.dumps(held).encode())
+            name = f"block-{held[0][0].hex()}"
+            files.put(folder, name, zlib.compress(pickle.dumps(Benchmark(held, k, radius)), 1))
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
 
         for b in batches:
@@ -220,7 +226,7 @@ def _pack(folder: str):
                 if held and (len(held) >= ITEMS or size + len(text) > ITEM_BYTES):
                     yield roll()
                     held, size = [], 0
-                held.append((item.hex(), text))
+                held.append((item, text))
                 size += len(text)
         if held:
             yield roll()
@@ -230,22 +236,33 @@ def _pack(folder: str):
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
     """doc_id, item_id, similarity, at (first word of the best window), n_words, for each text and item that match."""
+    return _matched(spark, docs.select("doc_id", "text"), "doc_id long", benchmark, k, least, radius)
+
+
+def _matched(spark: SparkSession, docs: DataFrame, name: str, benchmark: DataFrame, k: int, least: float, radius: int) -> DataFrame:
+    """docs: what names a row, and text. Blocks of items pass over the texts one after the other, so a worker loads each block's index once."""
     ship(spark)
     scratch = Scratch(spark)
     items = benchmark.where("text is not null").select(F.unhex(F.sha2("text", 256)).alias("item"), "item_id", "text")
     texts = scratch.keep(items.groupBy("item").agg(F.first("text").alias("text")), "items")
     parts = -(-texts.count() // ITEMS)
-    packed = scratch.keep(texts.repartition(max(1, parts), "item").sortWithinPartitions("item").mapInArrow(_pack(scratch_path(spark, "blocks")), "path string"), "blocks")
+    packed = scratch.keep(texts.repartition(max(1, parts), "item").sortWithinPartitions("item").mapInArrow(_pack(scratch.folder("index"), k, radius), "path string"), "blocks")
     paths = sorted(r.path for r in packed.collect())  # one name for a block
-    found = docs.select("doc_id", "text").mapInArrow(_scan(paths, k, radius, least), "doc_id long, item binary, similarity double, at long, n_words long")
-    return found.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "similarity", "at", "n_words")
-
-
-def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without those whose doc_id is contaminated."""
-    found = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    out = None
+    for path in paths:
+        found = docs.mapInArrow(_scan(path, least, k), f"{name}, item binary, similarity double, at long, n_words long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], f"{name}, item binary, similarity double, at long, n_words long")
+    return out.join(items.select("item", "item_id"), "item").select(name.split()[0], "item_id", "similarity", "at", "n_words")
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
+    """The rows of docs without those whose text is contaminated. Rows are told apart by id and text, so a clean row stays
+    whatever else has its id; null and empty texts stay; an empty benchmark or table changes nothing; other columns pass."""
+    found = _matched(spark, docs.select(row_key().alias("_bad"), "text"), "_bad binary", benchmark, k, least, radius).select("_bad").distinct()
     bad = Scratch(spark).keep(found, "contaminated")  # a table, so that Spark knows its size before it picks the join
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.withColumn("_key", row_key()).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

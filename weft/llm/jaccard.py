@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -269,6 +270,16 @@ def _verify(n: int, num: int, den: int):
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def renamed(index: DataFrame, keep) -> DataFrame:
+    """index with a vertex v for each digest (v, other). Where texts share the half v, all but one of them are named anew by a hash of both halves, until none do."""
+    for i in count():
+        clash = index.groupBy("v").agg(F.min("other").alias("_x"), F.max("other").alias("_y")).where("_x <> _y")
+        if not clash.limit(1).count():
+            return index
+        mine = F.when(F.col("other") != F.col("_x"), F.xxhash64("v", "other", F.lit(i))).otherwise(F.col("v"))
+        index = keep(index.join(clash.drop("_y"), "v", "left").withColumn("v", mine).drop("_x").select(*index.columns), f"index-{i}")
+
+
 class Join:
     """One join over docs; `rows` has key, doc_id, n, v of every row, `labels` v and label (the least v of its component) of every linked vertex."""
 
@@ -277,12 +288,11 @@ class Join:
         self.scratch, self.docs, self.shape = Scratch(spark), keyed(docs), (n, num, den)
         keep, drop = self.scratch.keep, self.scratch.drop
         index = keep(self.docs.select("key", "text", "doc_id").mapInArrow(_index(n, num, den), _INDEX), "index")
-        if index.groupBy("v").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").limit(1).count():
-            raise ValueError("two texts share half a digest: give one of them another name")  # once in 2^64 pairs of texts
+        index = renamed(index, keep)
         self.rows = keep(index.select("key", "doc_id", "n", "v"), "rows")
         self.sets = keep(index.where("profile is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.min("key").alias("key")), "sets")
         groups = self._groups(index)
-        drop("index")
+        drop(*(x for x in list(self.scratch.paths) if x.startswith("index")))
         done = self._verified(self._allowed(self._with_pivots(groups)), "pivots")
         self.labels = components(done.where("ok").select("a", "b"), self.scratch, "first")
         more = self._verified(self._in_cells(self._open(groups)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "cells")

@@ -9,7 +9,7 @@ The residual is weighted by the inverse of the domains' second moments (a small
 length is 1 and each document moves by its posteriors times the weighted residual, then is cut off at 0. Rates are written every few steps, so that plans stay short.
 
 Defined results: a null, empty or blank text has no tokens, the prior as its posteriors, and no influence; labels with a
-null doc_id or of absent documents are not used; without labels the domains are equally likely; repeated rows count each;
+null doc_id or of absent documents are not used; of several labels of one id the greatest domain counts (toxic over junk over clean); without labels the domains are equally likely; repeated rows count each;
 null ids pass through; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -44,7 +44,7 @@ def buckets(text: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], list[list[float]]]:
     """Log prior odds against the first domain, and for every other domain the log odds of each bucket."""
-    lab = labels.where("doc_id is not null").select("doc_id", domain().alias("domain")).dropDuplicates(["doc_id"])
+    lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(domain()).alias("domain"))
     sample = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows
     seen = rows.select("domain", F.explode(buckets(F.col("text"))).alias("b")).groupBy("domain", "b").count()
