@@ -50,9 +50,9 @@ def is_variant_name(name: Column) -> Column:
     return F.coalesce(name.rlike(VARIANT_NAME), F.lit(False))
 
 
-def is_variant_group(name: Column, members: Column) -> Column:
+def is_variant_group(name: Column, members: Column, words: str = VARIANT_WORDS) -> Column:
     """P10."""
-    return (F.coalesce(F.size(members), F.lit(0)) > 0) & F.coalesce(F.lower(name).rlike(VARIANT_WORDS), F.lit(False))
+    return (F.coalesce(F.size(members), F.lit(0)) > 0) & F.coalesce(F.lower(name).rlike(words), F.lit(False))
 
 
 def mim_ids(text: Column, any_case: bool = False) -> Column:

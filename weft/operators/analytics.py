@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.closure import _checkpoint
+from weft.operators.closure import staged
 from weft.operators.edges import endpoints
 
 
@@ -105,17 +105,17 @@ def weak_components(edges: DataFrame) -> DataFrame:
     Alternating stars: every node's greater neighbours are hung on the least thing it sees, then every node hangs itself and
     its lesser neighbours on the least of them, until nothing changes. Then each node hangs on its component's least label.
     """
-    e = _checkpoint(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null").distinct())
+    e = staged(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null").distinct())
     labels = edges.select(F.explode(F.array("src", "dst")).alias("label")).where("label is not null").distinct()
     e, before = e.where("u <> v"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = _checkpoint(large)
+        large = staged(large)
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _checkpoint(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
+        e = staged(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return labels.join(e, F.col("label") == F.col("u"), "left").select("label", F.coalesce("v", "label").alias("component"))
@@ -124,14 +124,14 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 def trim(edges: DataFrame, peels: int = 3) -> DataFrame:
     """Edges left after taking out, again and again, nodes without edges in or without edges out. Several layers go between two writes."""
-    e = _checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
+    e = staged(edges.select("src", "dst").where("src <> dst").distinct())
     n = e.count()
     while n:
         kept = e
         for _ in range(peels):
             kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             kept = kept.select("src", "dst").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = _checkpoint(kept)
+        kept = staged(kept)
         m = kept.count()
         if m == n:
             return kept
@@ -153,22 +153,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     e = trim(edges)
     found = None
     while e.limit(1).count():
-        colour = _checkpoint(endpoints(e.withColumn("time", F.lit(0))).select("label").distinct().select("label", F.col("label").alias("colour")))
+        colour = staged(endpoints(e.withColumn("time", F.lit(0))).select("label").distinct().select("label", F.col("label").alias("colour")))
         while True:
             told = e.join(colour, e["src"] == colour["label"]).groupBy("dst").agg(F.min("colour").alias("c"))
-            new = _checkpoint(colour.join(told, colour["label"] == told["dst"], "left").select("label", F.col("colour").alias("old"), F.least("colour", "c").alias("colour")))
+            new = staged(colour.join(told, colour["label"] == told["dst"], "left").select("label", F.col("colour").alias("old"), F.least("colour", "c").alias("colour")))
             colour = new.select("label", "colour")
             if not new.where("old <> colour").limit(1).count():
                 break
         a, b = colour.select(F.col("label").alias("src"), F.col("colour").alias("ca")), colour.select(F.col("label").alias("dst"), F.col("colour").alias("cb"))
-        inner = _checkpoint(e.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"))
-        back = front = _checkpoint(colour.where("label = colour"))
+        inner = staged(e.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"))
+        back = front = staged(colour.where("label = colour"))
         while True:
-            front = _checkpoint(inner.join(front, inner["dst"] == front["label"]).select(F.col("src").alias("label"), F.col("ca").alias("colour")).distinct().join(back, ["label", "colour"], "left_anti"))
+            front = staged(inner.join(front, inner["dst"] == front["label"]).select(F.col("src").alias("label"), F.col("ca").alias("colour")).distinct().join(back, ["label", "colour"], "left_anti"))
             if not front.limit(1).count():
                 break
             back = back.unionByName(front)
-        got = _checkpoint(back.select("label", F.col("colour").alias("component")))
+        got = staged(back.select("label", F.col("colour").alias("component")))
         found = got if found is None else found.unionByName(got)
         rest = e.join(got.select(F.col("label").alias("src")), "src", "left_anti").join(got.select(F.col("label").alias("dst")), "dst", "left_anti").select("src", "dst")
         e = trim(rest)
@@ -208,22 +208,22 @@ def forest_times(edges: DataFrame) -> DataFrame:
     """
     key = F.struct("time", "a", "b").alias("k")
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "time").groupBy("a", "b").agg(F.min("time").alias("time"))
-    e = _checkpoint(e.select(F.col("a").alias("x"), F.col("b").alias("y"), key))
+    e = staged(e.select(F.col("a").alias("x"), F.col("b").alias("y"), key))
     tree = None
     while e.limit(1).count():
         ends = e.select(F.inline(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("to"), "k"), F.struct(F.col("y").alias("c"), F.col("x").alias("to"), "k"))))
-        best = _checkpoint(ends.groupBy("c").agg(F.min(F.struct("k", "to")).alias("m")).select("c", "m.k", "m.to"))
+        best = staged(ends.groupBy("c").agg(F.min(F.struct("k", "to")).alias("m")).select("c", "m.k", "m.to"))
         tree = best.select("k").distinct() if tree is None else tree.unionByName(best.select("k").distinct())
         back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
-        up = _checkpoint(best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
+        up = staged(best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
         while True:
-            jump = _checkpoint(up.join(up.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("to").alias("was"), F.col("next").alias("to")))
+            jump = staged(up.join(up.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("to").alias("was"), F.col("next").alias("to")))
             up = jump.select("c", "to")
             if not jump.where("was <> to").limit(1).count():
                 break
         ux, uy = (up.select(F.col("c").alias(c), F.col("to").alias(f"n{c}")) for c in "xy")
         merged = e.join(ux, "x").join(uy, "y").where("nx <> ny")
-        e = _checkpoint(merged.groupBy(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).agg(F.min("k").alias("k")))
+        e = staged(merged.groupBy(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).agg(F.min("k").alias("k")))
     seen = first_seen(edges).groupBy(F.col("first_time").alias("time")).agg(F.count("*").alias("d"))
     if tree is not None:
         seen = seen.unionByName(tree.groupBy(F.col("k.time").alias("time")).agg((-F.count("*")).alias("d")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft.operators import closure, edges, reactions
 from weft.sources.xml import Stores, stores
 
-_C = closure._checkpoint
+_C = closure.staged
 
 
 @dataclass

@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/weft/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -47,11 +47,11 @@ def catalysts(reactions: DataFrame, catalysis: DataFrame) -> DataFrame:
 def walks(members: DataFrame) -> DataFrame:
     """root, node, path of every walk down from a parent, no node twice in a walk. Copies are kept. Walks are as many as there
     are ways, so ask for them only where ways matter: leaf_counts, depths and reachable carry totals instead."""
-    m = _checkpoint(members.select("parent", "child"))
+    m = staged(members.select("parent", "child"))
     front = m.where("parent <> child").select(F.col("parent").alias("root"), F.col("child").alias("node"), F.array("parent", "child").alias("path"))
     out = None
     while True:
-        front = _checkpoint(front)
+        front = staged(front)
         if not front.limit(1).count():
             break
         out = front if out is None else out.unionByName(front)
@@ -71,16 +71,16 @@ def leaf_counts(members: DataFrame) -> DataFrame:
     Parents are released when all their children are done and add up their children's totals, so a shared child is
     summed once and not once for each way to it. What leads into a cycle is never released and is walked.
     """
-    m = _checkpoint(members.where("parent <> child").groupBy("parent", "child").agg(F.count("*").alias("k")))
+    m = staged(members.where("parent <> child").groupBy("parent", "child").agg(F.count("*").alias("k")))
     parents = m.select(F.col("parent").alias("node")).distinct()
-    done = front = _checkpoint(m.select(F.col("child").alias("node")).distinct().join(parents, "node", "left_anti").select("node", F.col("node").alias("leaf"), F.lit(1).cast("long").alias("n")))
-    state = _checkpoint(m.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("left")))
+    done = front = staged(m.select(F.col("child").alias("node")).distinct().join(parents, "node", "left_anti").select("node", F.col("node").alias("leaf"), F.lit(1).cast("long").alias("n")))
+    state = staged(m.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("left")))
     while True:
         told = m.join(front.select(F.col("node").alias("child")).distinct(), "child").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("seen"))
-        state = _checkpoint(state.join(told, "node", "left").select("node", (F.col("left") - F.coalesce("seen", F.lit(0))).alias("left")))
+        state = staged(state.join(told, "node", "left").select("node", (F.col("left") - F.coalesce("seen", F.lit(0))).alias("left")))
         ready = state.where("left = 0").select(F.col("node").alias("parent"))
-        front = _checkpoint(m.join(ready, "parent").join(done, m["child"] == done["node"]).groupBy("parent", "leaf").agg(F.sum(F.col("k") * F.col("n")).alias("n")).select(F.col("parent").alias("node"), "leaf", "n"))
-        state = _checkpoint(state.where("left > 0"))
+        front = staged(m.join(ready, "parent").join(done, m["child"] == done["node"]).groupBy("parent", "leaf").agg(F.sum(F.col("k") * F.col("n")).alias("n")).select(F.col("parent").alias("node"), "leaf", "n"))
+        state = staged(state.where("left > 0"))
         if not front.limit(1).count():
             break
         done = done.unionByName(front)
@@ -95,11 +95,11 @@ def leaf_counts(members: DataFrame) -> DataFrame:
 def reachable(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """M07, M13. root, node: distinct, with the root itself. roots: where to begin, else every parent."""
     roots = members.select(F.col("parent").alias("root")).distinct() if roots is None else roots.select("root").distinct()
-    m = _checkpoint(members.select("parent", "child"))
-    all_ = front = _checkpoint(roots.select("root", F.col("root").alias("node")))
+    m = staged(members.select("parent", "child"))
+    all_ = front = staged(roots.select("root", F.col("root").alias("node")))
     while True:
         step = front.join(m, front["node"] == m["parent"]).select("root", F.col("child").alias("node")).distinct()
-        front = _checkpoint(step.join(all_, ["root", "node"], "left_anti"))
+        front = staged(step.join(all_, ["root", "node"], "left_anti"))
         if not front.limit(1).count():
             break
         all_ = all_.unionByName(front)
@@ -118,15 +118,15 @@ def depths(tree: DataFrame) -> DataFrame:
 
     A node is released when all its parents are done, and takes the greatest depth plus one; what lies behind a cycle is walked.
     """
-    m = _checkpoint(tree.select("parent", "child").where("parent <> child").distinct())
+    m = staged(tree.select("parent", "child").where("parent <> child").distinct())
     nodes = tree.select(F.col("parent").alias("node")).union(tree.select("child")).distinct()
     into = m.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("left"))
     state = nodes.join(into, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"))
-    state = _checkpoint(state.select("node", "left", F.when(F.col("left") == 0, 0).alias("depth"), (F.col("left") == 0).alias("go")))
+    state = staged(state.select("node", "left", F.when(F.col("left") == 0, 0).alias("depth"), (F.col("left") == 0).alias("go")))
     while state.where("go").limit(1).count():
         told = state.where("go").join(m, F.col("node") == m["parent"]).groupBy(F.col("child").alias("node")).agg(F.count("*").alias("seen"), (F.max("depth") + 1).alias("d"))
         left = F.col("left") - F.coalesce("seen", F.lit(0))
-        state = _checkpoint(state.join(told, "node", "left").select("node", left.alias("left"), F.greatest("depth", "d").alias("depth"), (F.col("seen").isNotNull() & (left == 0)).alias("go")))
+        state = staged(state.join(told, "node", "left").select("node", left.alias("left"), F.greatest("depth", "d").alias("depth"), (F.col("seen").isNotNull() & (left == 0)).alias("go")))
     done = state.where("left = 0").select("node", "depth")
     late = state.where("left > 0").select("node")
     if not late.limit(1).count():
@@ -147,14 +147,14 @@ def step_depths(spark: SparkSession, steps: DataFrame, links: DataFrame) -> Data
     Steps are released when all links into them were seen. Steps of a cycle never are: those that a root reaches keep the
     depth they have, the others get one more than the deepest (1 where there is none).
     """
-    e = _checkpoint(links.select("pathway", "step", "next").join(steps.select("pathway", F.col("step").alias("next")), ["pathway", "next"]))
+    e = staged(links.select("pathway", "step", "next").join(steps.select("pathway", F.col("step").alias("next")), ["pathway", "next"]))
     into = e.groupBy("pathway", F.col("next").alias("step")).agg(F.count("*").alias("left"))
     state = steps.join(into, ["pathway", "step"], "left").select("pathway", "step", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("int").alias("depth"))
-    state = _checkpoint(state.withColumn("depth", F.when(F.col("left") == 0, 0)).withColumn("go", F.col("left") == 0))
+    state = staged(state.withColumn("depth", F.when(F.col("left") == 0, 0)).withColumn("go", F.col("left") == 0))
     while state.where("go").limit(1).count():
         told = state.where("go").join(e, ["pathway", "step"]).groupBy("pathway", F.col("next").alias("step")).agg(F.count("*").alias("seen"), (F.max("depth") + 1).alias("d"))
         x = state.join(told, ["pathway", "step"], "left")
         left = F.col("left") - F.coalesce("seen", F.lit(0))
-        state = _checkpoint(x.select("pathway", "step", left.alias("left"), F.greatest("depth", "d").alias("depth"), (F.col("seen").isNotNull() & (left == 0)).alias("go")))
+        state = staged(x.select("pathway", "step", left.alias("left"), F.greatest("depth", "d").alias("depth"), (F.col("seen").isNotNull() & (left == 0)).alias("go")))
     deepest = state.groupBy("pathway").agg(F.max("depth").alias("_max"))
     return state.join(deepest, "pathway").select("pathway", "step", F.coalesce("depth", F.col("_max") + 1, F.lit(1)).alias("local_order"))

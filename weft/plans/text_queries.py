@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import text as t
-from weft.operators import overlay, reactions
+from weft.operators import disease, overlay, reactions
 from weft.plans.registry import query, table
 
 
@@ -37,11 +37,8 @@ def p05(spark, d):
 def p09(spark, d):
     h = F.col("html")
     x = table(spark, d, "pages")
-    old, t.VARIANT_WORDS = t.VARIANT_WORDS, t.VARIANT_WORDS + "|the"
-    try:
-        return x.select("page_id", t.is_variant_name(h).alias("named"), t.is_variant_group(h, F.when(F.col("page_id") % 2 == 0, F.array("url"))).alias("grouped"))
-    finally:
-        t.VARIANT_WORDS = old
+    grouped = t.is_variant_group(h, F.when(F.col("page_id") % 2 == 0, F.array("url")), t.VARIANT_WORDS + "|the")
+    return x.select("page_id", t.is_variant_name(h).alias("named"), grouped.alias("grouped"))
 
 
 @query("p11_p12_p14_disease", "with x as (select item_id, 'see (Name ' || item_id || '; MIM:' || (item_id * 7) || ') and mim:12 MIM:' || (item_id * 7) || ' MIM:3 ' || substr(text, 1, 40) s, 'it causes SCID-' || item_id || ' often' u from benchmark) select item_id, list_distinct_ordered ids, 'Name ' || item_id as label, 'SCID-' || item_id cause, '[DISEASE] Name ' || item_id || ' (OMIM:' || ids[1] || ')' node from (select *, case when item_id * 7 = 3 then ['3'] else [(item_id * 7)::varchar, '3'] end ids, case when item_id * 7 = 3 then ['3'] else [(item_id * 7)::varchar, '3'] end list_distinct_ordered from x)".replace("list_distinct_ordered ids, 'Name '", "ids, 'Name '"))
@@ -211,3 +208,67 @@ def d10(spark, d):
 def d11(spark, d):
     x = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("reaction"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
     return overlay.by_first(x, "label", "seq")
+
+def staged_overlay(spark, d):
+    """Orders as disease reactions: left are suppliers (nodes of the healthy graph, but for every fourth) and a mutant of every second order; every
+    third customer's group of two is a catalyst; products are the parts of every fifth order, whose labels only the healthy file has."""
+    o, x, c, s, p = (table(spark, d, n) for n in ("orders", "lineitem", "customer", "supplier", "part"))
+    k = F.col("o_orderkey")
+    none = lambda kind="string": F.lit(None).cast(kind)
+    arr = "array<string>"
+    r = o.select(k.alias("reaction"), F.concat(F.lit("order "), k).alias("name"), F.array(F.concat(F.lit("see MIM:"), F.col("o_custkey") % 50)).alias("comments"), F.col("o_orderpriority").alias("disease"), F.array(F.lit("1")).alias("pathway_omim"), k.alias("step_key"))
+    lefts = x.select(F.col("l_orderkey").alias("reaction"), F.concat(F.lit("s"), "l_suppkey").alias("id")).distinct().unionByName(o.where(k % 2 == 0).select(k.alias("reaction"), F.concat(F.lit("m"), k).alias("id")))
+    rights = x.where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("reaction"), F.concat(F.lit("p"), "l_partkey").alias("id")).distinct()
+    cats = o.where("o_custkey % 3 = 0").select(k.alias("reaction"), F.concat(F.lit("g"), "o_custkey").alias("id"))
+
+    def rows(df, id_, source, store, label=None, members=None, mod=False):
+        own = (none(), none(), F.array().cast(arr), F.array().cast(arr), F.array().cast(arr), members if members is not None else F.array().cast(arr), F.array().cast(arr), F.lit(False), F.lit(mod))
+        names = ("db_id", "uniprot", "omim", "mutations", "clingen", "members", "components", "is_complex", "has_mod")
+        return df.select(id_.alias("id"), F.lit(source).alias("source"), F.lit(store).alias("store"), id_.alias("name"), (label if label is not None else id_).alias("label"), *(v.alias(n) for v, n in zip(own, names)))
+
+    cust = c.where("c_custkey % 3 = 0")
+    v = lambda mark: F.concat(F.lit(mark), "c_custkey")
+    entities = rows(s, F.concat(F.lit("s"), "s_suppkey"), 0, 0).unionByName(rows(o.where(k % 2 == 0), F.concat(F.lit("m"), k), 0, 0, mod=True))
+    entities = entities.unionByName(rows(cust, v("g"), 0, 4, members=F.array(v("v"), v("w")))).unionByName(rows(cust, v("v"), 0, 0)).unionByName(rows(cust, v("w"), 1, 0)).unionByName(rows(cust, v("v"), 1, 0, label=F.lit("hidden")))
+    entities = entities.unionByName(rows(p, F.concat(F.lit("p"), "p_partkey"), 1, 0, label=F.concat(F.lit("part "), "p_partkey")))
+    nodes = s.where("s_suppkey % 4 > 0").select(F.concat(F.lit("N"), "s_suppkey").alias("label"), F.concat(F.lit(" S"), "s_suppkey").alias("name"), none().alias("db_id"), none(arr).alias("aliases"))
+    return r, lefts, rights, cats, entities, nodes
+
+
+_V = """r as (select o_orderkey reaction, 1000 + row_number() over (order by o_orderkey) as time, '[DISEASE] ' || o_orderpriority || ' (OMIM:' || case when o_custkey % 3 = 0 or o_orderkey % 2 = 0 then 1 else o_custkey % 50 end || ')' disease, o_custkey % 3 = 0 cat, o_custkey, o_orderkey % 2 = 0 mut, o_orderkey % 5 = 0 gain from orders),
+b as (select distinct l_orderkey reaction, 'N' || l_suppkey branch from lineitem where l_suppkey % 4 > 0),
+x as (select * from r where reaction in (select reaction from b)),
+v as (select reaction, '[MUT] ' || unnest(case when cat then ['v' || o_custkey, 'w' || o_custkey] when mut then ['m' || reaction] else ['order ' || reaction] end) variant from x),
+p as (select distinct l_orderkey reaction, 'part ' || l_partkey product from lineitem where l_orderkey % 5 = 0)"""
+
+
+@query("d09_d16_overlay_edges", f"with {_V} select branch src, variant dst, 'disease_branch' as type, null::varchar subtype, time, reaction from x join b using (reaction) join v using (reaction) where not gain union all select variant, disease, 'loss_of_function', null, time + 1, reaction from x join v using (reaction) where not gain union all select branch, product, 'reaction', 'disease', time, reaction from x join b using (reaction) join p using (reaction) union all select variant, branch, 'catalysis', 'disease_aberrant', time, reaction from x join v using (reaction) join b using (reaction) where gain union all select variant, disease, 'aberrant_product', null, time + 1, reaction from x join v using (reaction) where gain union all select product, disease, 'disease_progression', null, time + 2, reaction from x join p using (reaction)")
+def d09(spark, d):
+    out = disease.apply(*staged_overlay(spark, d), base=1000, fuzzy=False).edges
+    return out.select("src", "dst", "type", "subtype", F.col("time").cast("long").alias("time"), "reaction")
+
+
+@query("m11_variant_ends", "with c as (select c_custkey k from customer where c_custkey % 3 = 0) select 'g' || k root, unnest(['v' || k, 'w' || k]) node from c")
+def m11(spark, d):
+    *_, cats, entities, _ = staged_overlay(spark, d)
+    groups = entities.where("store = 4").select("id")
+    return disease.variants(groups, entities).select("root", "node")
+
+
+@query("m12_end_labels", "select 'p' || p_partkey root, 'part ' || p_partkey as label from part union all select 's' || s_suppkey, 's' || s_suppkey from supplier union all select 'g' || c_custkey, 'v' || c_custkey from customer where c_custkey % 3 = 0")
+def m12(spark, d):
+    *_, entities, _ = staged_overlay(spark, d)
+    roots = entities.where("substring(id, 1, 1) in ('p', 's', 'g')").select("id").distinct()
+    return disease.end_labels(roots, entities).select("root", "label")
+
+
+@query("d02_pathway_diseases", "select page_id pathway, case when page_id % 3 = 0 then 'vocab ' || page_id when page_id % 3 = 1 then 'Name ' || page_id else url end disease, case when page_id % 3 = 0 then ['5'] when page_id % 3 = 1 then [(page_id + 100)::varchar, 'x' || page_id] else ['x' || page_id] end omim from pages")
+def d02(spark, d):
+    k = F.col("page_id")
+    one = lambda db, value: F.struct(F.lit(db).alias("db"), value.cast("string").alias("id"))
+    x = table(spark, d, "pages").select(
+        k.alias("pathway"), F.col("url").alias("display"), F.when(k % 3 == 1, F.array(F.lit("first"), F.concat(F.lit("(Name "), k, F.lit("; MIM:"), k + 100, F.lit(") mim:"), k + 100))).alias("comments"),
+        F.when(k % 3 == 0, F.concat(F.lit("vocab "), k)).alias("vocabulary"), F.when(k % 3 == 0, F.array(F.lit("5"), F.lit("5"))).alias("vocabulary_omim"),
+        F.when(k % 3 > 0, F.array(one("ChEBI", k), one("MONDO", F.concat(F.lit("x"), k)), one("OMIM", F.lit("")))).alias("xrefs"),
+    )
+    return disease.mined(x)
