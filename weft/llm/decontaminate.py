@@ -246,7 +246,7 @@ def _matched(spark: SparkSession, docs: DataFrame, name: str, benchmark: DataFra
     items = benchmark.where("text is not null").select(F.unhex(F.sha2("text", 256)).alias("item"), "item_id", "text")
     texts = scratch.keep(items.groupBy("item").agg(F.first("text").alias("text")), "items")
     parts = -(-texts.count() // ITEMS)
-    packed = scratch.keep(texts.repartition(max(1, parts), "item").sortWithinPartitions("item").mapInArrow(_pack(scratch.folder("index"), k, radius), "path string"), "blocks")
+    packed = scratch.keep(texts.coalesce(max(1, parts)).sortWithinPartitions("item").mapInArrow(_pack(scratch.folder("index"), k, radius), "path string"), "blocks")
     paths = sorted(r.path for r in packed.collect())  # one name for a block
     out = None
     for path in paths:
