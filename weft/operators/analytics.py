@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.closure import staged
 from weft.operators.edges import endpoints
+from weft.operators.rank import running_sums
 
 
 def first_seen(edges: DataFrame) -> DataFrame:
@@ -25,15 +26,13 @@ def recruitment_tail(edges: DataFrame, share: float = 0.8) -> DataFrame:
 def growth(edges: DataFrame) -> DataFrame:
     """A05. Edges of each type up to each time that has any."""
     n = edges.groupBy("type", "time").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("type").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return n.select("type", "time", F.sum("n").over(w).alias("total"))
+    return running_sums(n, ["type"], "time", {"total": F.col("n")}).select("type", "time", "total")
 
 
 def recruitment(edges: DataFrame) -> DataFrame:
     """A06. New nodes at each time and all so far."""
     n = first_seen(edges).groupBy(F.col("first_time").alias("time")).agg(F.count("*").alias("new"))
-    w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)  # one row for each time
-    return n.select("time", "new", F.sum("new").over(w).alias("total"))
+    return running_sums(n, [], "time", {"total": F.col("new")})
 
 
 def growth_bands(edges: DataFrame, max_step: int | None = None) -> DataFrame:
@@ -227,5 +226,4 @@ def forest_times(edges: DataFrame) -> DataFrame:
     seen = first_seen(edges).groupBy(F.col("first_time").alias("time")).agg(F.count("*").alias("d"))
     if tree is not None:
         seen = seen.unionByName(tree.groupBy(F.col("k.time").alias("time")).agg((-F.count("*")).alias("d")))
-    w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)  # one row for each time
-    return seen.groupBy("time").agg(F.sum("d").alias("d")).select("time", F.sum("d").over(w).alias("components"))
+    return running_sums(staged(seen.groupBy("time").agg(F.sum("d").alias("d"))), [], "time", {"components": F.col("d")}).select("time", "components")

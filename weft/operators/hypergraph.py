@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import hyperedge_name
+from weft.operators.rank import global_rank
 
 
 def _nodes(incidence: DataFrame, *by: str) -> DataFrame:
@@ -53,10 +54,8 @@ def last_emission(edges: DataFrame) -> DataFrame:
 
 def by_time(edges: DataFrame) -> DataFrame:
     """H10. One hyperedge for each distinct time, ids by sorted time: edge_id, node, each pair once."""
-    from pyspark.sql import Window
-
     pairs = edges.select("time", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ids = pairs.select("time").distinct().withColumn("edge_id", (F.row_number().over(Window.orderBy("time")) - 1).cast("long"))  # one row for each time
+    ids = global_rank(pairs.select("time").distinct(), F.col("time"), [F.col("time")], "edge_id")
     return pairs.join(ids, "time").select("edge_id", "node")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.rank import global_rank, running_sums
+
 
 def draw(*parts: Column) -> Column:
     """A number below 2^32 from the MD5 of the parts."""
@@ -19,8 +21,8 @@ def timed(edges: DataFrame) -> DataFrame:
 def temporal_cut(edges: DataFrame, test_share: float) -> DataFrame:
     """T02. One row: the least time up to which there are (1 - test_share) of the edges."""
     n = edges.groupBy("time").agg(F.count("*").alias("n"))
-    w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)  # one row for each time
-    x = n.select("time", F.sum("n").over(w).alias("up"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    total = n.agg(F.sum("n").alias("total"))
+    x = running_sums(n, [], "time", {"up": F.col("n")}).join(F.broadcast(total))  # total has one row
     return x.where(F.col("up") >= (1 - test_share) * F.col("total")).agg(F.min("time").alias("cut"))
 
 
@@ -60,12 +62,15 @@ def order_bins(edges: DataFrame, bins: int) -> DataFrame:
 
 
 def order_targets(edges: DataFrame) -> DataFrame:
-    """T07. min_max and log_min_max of the time; a span under 1 counts as 1."""
-    m = edges.agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
+    """T07. min_max and log_min_max of the time, where a span under 1 counts as 1, and rank: the position among all edges
+    (by time, then edge) over the greatest one."""
+    m = edges.agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"), F.count("*").alias("_n"))
     x = edges.join(F.broadcast(m))  # m has one row
     t, span = F.col("time") - F.col("_lo"), F.col("_hi") - F.col("_lo")
     top = F.log1p(span.cast("double"))
-    return x.withColumn("min_max", t / F.greatest(span, F.lit(1))).withColumn("log_min_max", F.log1p(t.cast("double")) / F.when(top > 0, top).otherwise(1.0)).drop("_lo", "_hi")
+    x = x.withColumn("min_max", t / F.greatest(span, F.lit(1))).withColumn("log_min_max", F.log1p(t.cast("double")) / F.greatest(top, F.lit(1.0)))
+    x = global_rank(x, F.col("time"), [F.col("edge")], "_r")
+    return x.withColumn("rank", F.col("_r") / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_lo", "_hi", "_n", "_r")
 
 
 def uniform_negatives(edges: DataFrame, nodes: DataFrame, n_nodes: int, k: int, seed: int) -> DataFrame:

@@ -63,9 +63,9 @@ def t06(spark, d):
     return splits.order_bins(split(spark, d), 4).groupBy("split", "bin").agg(F.count("*").alias("n"))
 
 
-@query("t07_order_targets", f"with {_E}, m as (select min(time) lo, max(time) hi from e) select edge, round((time - lo) / greatest(hi - lo, 1), 6) min_max, round(ln(1 + time - lo) / ln(1 + hi - lo), 6) log_min_max from e, m")
+@query("t07_order_targets", f"with {_E}, m as (select min(time) lo, max(time) hi from e) select edge, round((time - lo) / greatest(hi - lo, 1), 6) min_max, round(ln(1 + time - lo) / greatest(ln(1 + hi - lo), 1), 6) log_min_max, round((row_number() over (order by time, edge) - 1) / greatest(count(*) over () - 1, 1), 6) as rank from e, m")
 def t07(spark, d):
-    return splits.order_targets(timed(spark, d)).select("edge", F.round("min_max", 6).alias("min_max"), F.round("log_min_max", 6).alias("log_min_max"))
+    return splits.order_targets(timed(spark, d)).select("edge", F.round("min_max", 6).alias("min_max"), F.round("log_min_max", 6).alias("log_min_max"), F.round("rank", 6).alias("rank"))
 
 
 _N = f"n as (select 'p' || k as label, 't' || (k % 3) as type, (row_number() over (partition by k % 3 order by k) - 1) id, k from range(500) r(k))"
@@ -232,6 +232,32 @@ def l08(spark, d):
     return metrics.running_counts(e)
 
 
+_EV = "with e as (select event_id event, user_id % 60 src, (user_id * 7 + event_id) % 60 dst, event_type as type, epoch_us(ts) as time, row_number() over (order by ts, event_id) pos from events)"
+
+
+def history(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("event"), (F.col("user_id") % 60).alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % 60).alias("dst"), F.col("event_type").alias("type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"))
+
+
+@query("l08_transitivity", _EV + """, c as (select type, src, dst, pos, row_number() over (partition by type, src, dst order by pos) n from e),
+  p as (select distinct type, src, dst from e), t as (select x.type, x.src i, x.dst k, y.dst j from p x join p y on x.type = y.type and x.dst = y.src join p z on z.type = x.type and z.src = x.src and z.dst = y.dst),
+  q as (select e.event, e.type, e.src i, e.dst j, e.pos, t.k from e left join t on t.type = e.type and t.i = e.src and t.j = e.dst),
+  r as (select q.*, a.n na from q asof left join c a on a.type = q.type and a.src = q.i and a.dst = q.k and q.pos > a.pos)
+  select event, coalesce(sum(na * b.n), 0)::bigint transitivity from r asof left join c b on b.type = r.type and b.src = r.k and b.dst = r.j and r.pos > b.pos group by event""")
+def l08_transitivity(spark, d):
+    from weft.operators import replay
+
+    return replay.transitivity(replay.positions(history(spark, d)))
+
+
+@query("l08_likeness", _EV + ", n as (select c_custkey as label, c_acctbal a, c_nationkey % 5 as kind from customer) select event, round(-abs(x.a - y.a), 2) sim_a, (x.kind = y.kind)::int same from e left join n x on x.label = src left join n y on y.label = dst")
+def l08_likeness(spark, d):
+    from weft.operators import replay
+
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("label"), F.col("c_acctbal").alias("a"), (F.col("c_nationkey") % 5).alias("kind"))
+    return replay.likeness(history(spark, d), n, ["a"], "kind").withColumn("sim_a", F.round("sim_a", 2))
+
+
 @query("l09_softmax", "select event_id, round(exp(value - max(value) over w) / sum(exp(value)) over w * exp(max(value) over w), 6) p from (select event_id, user_id, value / 100 as value from events) window w as (partition by user_id)")
 def l09(spark, d):
     return metrics.softmax(table(spark, d, "events").select("event_id", "user_id", (F.col("value") / 100).alias("value")), "user_id", "value").select("event_id", F.round("p", 6).alias("p"))
