@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import analytics
+from weft.operators import analytics, report
+from weft.operators.closure import staged
 from weft.plans import adapter
 from weft.plans.graph_queries import graph
 from weft.plans.registry import query, table
@@ -58,6 +59,50 @@ def a08(spark, d):
     return analytics.chain_lengths(graph(spark, d))
 
 
+_TYPE = "case left(label, 1) when 's' then 'protein' when 'p' then 'complex' when 'c' then 'small_molecule' end"
+
+
+def node_types(g):
+    """Suppliers are proteins, parts complexes, customers small molecules."""
+    first = F.substring("label", 1, 1)
+    kind = F.when(first == "s", "protein").when(first == "p", "complex").when(first == "c", "small_molecule")
+    return analytics.endpoints(g).select("label").distinct().select("label", kind.alias("type"))
+
+
+@query("a01_profile", "with recursive " + adapter.SQL + _DEG + f""", b as (select distinct src a, dst b from edges union select dst, src from edges), w using key (a) as (select a, min(least(a, b)) c from b group by a union select b.a, min(w.c) c from w join b on b.b = w.a join recurring.w as m on m.a = b.a where w.c < m.c group by b.a),
+  r as (select distinct src a, dst b from edges union select r.a, e.dst from r join edges e on r.b = e.src), mutual as (select x.a, min(x.b) m from r x join r y on x.a = y.b and x.b = y.a group by x.a),
+  ch as (select pathway, max(local_order) + 1 as n from edges where pathway is not null and local_order is not null group by pathway)
+  select 'node_type' item, {_TYPE} as key, count(*)::double as value from deg group by all union all select 'edge_type', type, count(*) from edges group by type
+  union all (select 'hub', label, degree from deg order by degree desc, label limit 10) union all select 'orphan_edges', '', count(*) filter (where pathway is null or local_order is null) from edges
+  union all select 'chain', 'pathways', count(*) from ch union all select 'chain', 'min', min(n) from ch union all select 'chain', 'median', quantile_cont(n, 0.5) from ch union all select 'chain', 'max', max(n) from ch
+  union all select 'components', 'weak', count(distinct c) from w union all select 'components', 'strong', count(distinct least(label, coalesce(m, label))) from deg left join mutual on a = label
+  union all select 'dag', '', (select count(*) = 0 from r where a = b)::int""")
+def a01_profile(spark, d):
+    g = staged(graph(spark, d))
+    return report.profile(g, node_types(g))
+
+
+@query("a02_full_table", "with recursive " + adapter.SQL + f""", g as (select distinct pathway, src, dst, type, time from edges), n as (select pathway, label, count(*) degree, min(time) seen from (select pathway, src as label, time from g union all select pathway, dst, time from g) group by all),
+  b as (select pathway || src a, pathway || dst b from g union select pathway || dst, pathway || src from g), w using key (a) as (select a, min(least(a, b)) c from b group by a union select b.a, min(w.c) c from w join b on b.b = w.a join recurring.w as m on m.a = b.a where w.c < m.c group by b.a),
+  r as (select pathway, src a, dst b from g union select r.pathway, r.a, g.dst from r join g on r.pathway = g.pathway and r.b = g.src), cyc as (select distinct pathway from r where a = b),
+  s as (select pathway, c, count(*) s from n join w on a = pathway || label group by all), k as (select pathway, count(*) wccs, max(s) largest, count(*) filter (where s = 1) isolated from s group by pathway),
+  l as (select pathway, max(seen) l from n group by pathway), f as (select pathway, count(*)::bigint nodes, round(avg(degree), 6) degree_avg, max(degree)::bigint degree_max, round(100 * avg((seen > 0.8 * case when l = 0 then 1 else l end)::int), 6) tail_pct,
+    round(100 * avg(({_TYPE} = 'protein')::int), 6) pct_protein, round(100 * avg(({_TYPE} = 'complex')::int), 6) pct_complex, round(100 * avg(({_TYPE} = 'small_molecule')::int), 6) pct_small_molecule from n join l using (pathway) group by pathway),
+  h as (select pathway, count(*)::bigint edges, count(distinct time)::bigint ranks, round(100 * avg((type = 'reaction')::int), 6) pct_reaction from g group by pathway)
+  select pathway, nodes, edges, case when nodes > 1 then round(edges / (nodes * (nodes - 1)), 9) else 0 end density, degree_avg, degree_max, pathway not in (from cyc) is_dag, wccs::bigint wccs, round(100 * largest / nodes, 6) largest_wcc_pct, isolated::bigint isolated, ranks, tail_pct, pct_protein, pct_complex, pct_small_molecule, pct_reaction
+  from f join h using (pathway) join k using (pathway)""")
+def a02_full(spark, d):
+    g = staged(graph(spark, d))
+    return report.table(g, node_types(g))
+
+
+@query("a08_chain_histogram", A + """, ch as (select pathway, max(local_order) + 1 as n from edges group by pathway), t as (select max(n) top, quantile_cont(n, 0.5) median from ch),
+  x as (select unnest(range(24)) bin, top, median from t), y as (select bin, pow(10, bin * (log10(top + 1.0) / 24)) low, pow(10, (bin + 1) * (log10(top + 1.0) / 24)) high, median from x)
+  select bin::int bin, round(low, 6) low, round(high, 6) high, (select count(*) from ch where n >= low and (n < high or bin = 23))::bigint pathways, median from y""")
+def a08_histogram(spark, d):
+    return report.chain_histogram(graph(spark, d))
+
+
 @query("a12_degree_distribution", A + _DEG + ", n as (select degree, count(*)::bigint nodes from deg group by degree) select degree, nodes, round(sum(nodes) over (order by degree desc) / (select sum(nodes) from n), 6) ccdf from n")
 def a12(spark, d):
     return analytics.degree_distribution(graph(spark, d))
