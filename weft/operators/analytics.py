@@ -26,13 +26,13 @@ def recruitment_tail(edges: DataFrame, share: float = 0.8) -> DataFrame:
 def growth(edges: DataFrame) -> DataFrame:
     """A05. Edges of each type up to each time that has any."""
     n = edges.groupBy("type", "time").agg(F.count("*").alias("n"))
-    return running_sums(n, ["type"], "time", {"total": F.col("n")}).select("type", "time", "total")
+    return running_sums(staged(n), ["type"], "time", {"total": F.col("n")}).select("type", "time", "total")
 
 
 def recruitment(edges: DataFrame) -> DataFrame:
     """A06. New nodes at each time and all so far."""
     n = first_seen(edges).groupBy(F.col("first_time").alias("time")).agg(F.count("*").alias("new"))
-    return running_sums(n, [], "time", {"total": F.col("new")})
+    return running_sums(staged(n), [], "time", {"total": F.col("new")})
 
 
 def growth_bands(edges: DataFrame, max_step: int | None = None) -> DataFrame:

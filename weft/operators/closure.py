@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -23,12 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+    """A table written to the shared folder and read again: lineage ends there, and a lost executor loses nothing. It is deleted
+    when the driver ends, since a result may read it until then."""
     path = f"{shared_dir(df.sparkSession)}/weft/loop-{uuid.uuid4().hex}"
+    _left[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of loop tables, with their sessions.
+_left: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in _left.items():
+        sc = spark.sparkContext
+        if sc._jsc is None or sc._jsc.sc().isStopped():  # the session has ended before; its owner empties the folder
+            continue
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def direct(members: DataFrame) -> DataFrame:
     """M05."""
     return members.select("parent", "child")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.closure import staged
 from weft.operators.rank import global_rank, running_sums
 
 
@@ -20,7 +21,7 @@ def timed(edges: DataFrame) -> DataFrame:
 
 def temporal_cut(edges: DataFrame, test_share: float) -> DataFrame:
     """T02. One row: the least time up to which there are (1 - test_share) of the edges."""
-    n = edges.groupBy("time").agg(F.count("*").alias("n"))
+    n = staged(edges.groupBy("time").agg(F.count("*").alias("n")))
     total = n.agg(F.sum("n").alias("total"))
     x = running_sums(n, [], "time", {"up": F.col("n")}).join(F.broadcast(total))  # total has one row
     return x.where(F.col("up") >= (1 - test_share) * F.col("total")).agg(F.min("time").alias("cut"))
