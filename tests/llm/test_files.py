@@ -117,7 +117,7 @@ def test_warc_files_depend_on_rows_only(spark):
     for parts in (3, 7):
         folder = scratch_path(spark, "warc-ranges")
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        rows = sorted(tuple(r) for r in warc.write(spark, pages.repartition(parts), folder, range_rows=16).select("name", "sha1", "records", F.coalesce("first_id", F.lit(2**62)), F.coalesce("last_id", F.lit(2**62))).collect())
+        rows = sorted(tuple(r) for r in warc.write(spark, pages.repartition(parts), folder, roll_bytes=4000, range_rows=16).select("name", "sha1", "records", F.coalesce("first_id", F.lit(2**62)), F.coalesce("last_id", F.lit(2**62))).collect())
         made.append(rows)
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert made[0] == made[1] and sum(r[2] for r in made[0]) == len(ids)
@@ -129,6 +129,24 @@ def test_warc_files_depend_on_rows_only(spark):
     assert empty.count() == 0
 
 
+def test_warc_files_reach_their_size(spark):
+    """Files end by compressed size over the ends of ranges: small ranges share a file, a large one is cut. A record longer than a file stays whole."""
+    text = lambda k: "".join(hashlib.sha256(f"{k}-{i}".encode()).hexdigest() for i in range(4))
+    ids = [*range(0, 3000, 7), *range(10**9, 10**9 + 300), *[10**15] * 200, *[None] * 60]
+    pages = spark.createDataFrame([(i, None, text(k)) for k, i in enumerate(ids)], "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-sizes")
+    made = sorted(tuple(r) for r in warc.write(spark, pages, folder, roll_bytes=64000, range_rows=8).select("name", "bytes", "records", "first_id").collect())
+    assert len(made) > 6 and sum(r[2] for r in made) == len(ids)
+    assert all(abs(r[1] - 64000) <= 64000 // warc.SEGMENTS + 1000 for r in made[:-1]), made
+    assert [r[0] for r in made] == [f"part-{i:012d}.warc.gz" for i in range(len(made))]
+    assert warc.read(spark, folder).count() == len(ids)
+    big = scratch_path(spark, "warc-big")
+    long = spark.createDataFrame([(1, None, text(1)), (2, None, "".join(text(i) for i in range(400))), (3, None, text(3))], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.write(spark, long, big, roll_bytes=20000).select("records", "bytes").collect())
+    assert [r[0] for r in got] == [1, 2] and got[1][1] > 20000
+    warc.check(spark, big)
+
+
 def test_ids_of_words_with_equal_polynomial_hashes(monkeypatch):
     a = "".join("xy"[bin(i).count("1") % 2] for i in range(2048))
     b = a.translate(str.maketrans("xy", "yx"))

@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from weft.llm import files
 from weft.llm.common import Scratch, scratch_path, ship
+from weft.operators.rank import global_rank, running_sums
 
 DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 16 << 20  # of a compressed file; the reader takes a file at a time
+SEGMENTS = 32  # of a file
 RANGE_ROWS = 2048  # rows of a range, about; four times as many make it heavy
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -60,17 +62,16 @@ def record(page_id, url, payload: bytes, refers_to, is_response: bool, number: i
     return z.compress(raw) + z.flush()
 
 
-def _writer(folder: str, roll_bytes: int, date: str):
-    names = ["name", "records", "bytes", "sha1", "first_id", "last_id"]
+def _segments(segment_bytes: int, date: str):
+    names = ["start", "sub", "seq", "records", "bytes", "first_id", "last_id", "data"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
         at, seq, held, size, ids = None, 0, [], 0, []
 
-        def roll():
-            data = b"".join(held)
-            name = f"part-{'null' if at[0] is None else f'{at[0] + 2**63:020d}'}-{at[1]:03d}-{seq:05d}.warc.gz"
-            files.put(folder, name, data)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, len(held), len(data), digest(data), ids[0], ids[-1]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
+        def cut():
+            row = (*at, seq, len(held), size, ids[0], ids[-1], b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
         last, number = (None, None, None), (None, None, -1)
         for b in batches:
@@ -80,7 +81,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
                     last = (i, k, f)
                     continue
                 if held and here != at:
-                    yield roll()
+                    yield cut()
                     held, size, ids = [], 0, []
                 if here != at:
                     at, seq = here, 0
@@ -91,9 +92,38 @@ def _writer(folder: str, roll_bytes: int, date: str):
                 held.append(one)
                 size += len(one)
                 ids.append(i)
-                if size >= roll_bytes:
-                    yield roll()
+                if size >= segment_bytes:
+                    yield cut()
                     seq, held, size, ids = seq + 1, [], 0, []
+        if held:
+            yield cut()
+
+    return run
+
+
+def _writer(folder: str):
+    names = ["name", "records", "bytes", "sha1", "first_id", "last_id"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+
+    def run(batches):
+        at, held, n, ids = None, [], 0, []
+
+        def roll():
+            data = b"".join(held)
+            name = f"part-{at:012d}.warc.gz"
+            files.put(folder, name, data)
+            row = (name, n, len(data), digest(data), ids[0], ids[-1])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
+
+        for b in batches:
+            for file, records_, first, last, data in zip(*(b.column(x) for x in range(5))):
+                if held and file.as_py() != at:
+                    yield roll()
+                    held, n, ids = [], 0, []
+                at = file.as_py()
+                held.append(bytes(data.as_buffer()))
+                n += records_.as_py()
+                ids += [first.as_py(), last.as_py()]
         if held:
             yield roll()
 
@@ -148,7 +178,17 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: int =
     rows = rows.withColumn("_start", start).withColumn("_sub", sub)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = rows.repartition(n, "_start", "_sub").sortWithinPartitions("_start", "_sub", "page_id", "_d", F.col("_first").isNull(), "url")
-    out = sorted_.select("page_id", "url", "html", "_d", "_first", "_start", "_sub").mapInArrow(_writer(folder, roll_bytes, date), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
+    cut = sorted_.select("page_id", "url", "html", "_d", "_first", "_start", "_sub").mapInArrow(
+        _segments(max(1, roll_bytes // SEGMENTS), date), "start long, sub int, seq int, records long, bytes long, first_id long, last_id long, data binary"
+    )
+    segments = scratch.keep(cut, "segments", "none")
+    order = global_rank(segments.select("start", "sub", "seq", "bytes"), F.col("start"), [F.col("start").asc_nulls_last(), F.col("sub"), F.col("seq")], "pos")
+    order = scratch.keep(order, "order")
+    places = running_sums(order, [], "pos", {"_before": F.col("bytes")}, inclusive=False)
+    places = places.select(F.col("start").alias("_a"), F.col("sub").alias("_b"), F.col("seq").alias("_c"), "pos", F.floor(F.col("_before") / roll_bytes).alias("file"))
+    placed = segments.join(places, F.col("start").eqNullSafe(F.col("_a")) & (F.col("sub") == F.col("_b")) & (F.col("seq") == F.col("_c")))
+    dealt = placed.select("file", "pos", "records", "first_id", "last_id", "data").repartition(n, "file").sortWithinPartitions("file", "pos")
+    out = dealt.select("file", "records", "first_id", "last_id", "data").mapInArrow(_writer(folder), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
     out.write.parquet(f"{folder}/_manifest")
     scratch.drop(*list(scratch.paths))
     return spark.read.parquet(f"{folder}/_manifest")
