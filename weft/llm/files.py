@@ -26,3 +26,19 @@ def find(path: str) -> bytes | None:
     """What get() returns, or None where there is no such file."""
     store, at = fs.FileSystem.from_uri(path)
     return get(path) if store.get_file_info(at).type == fs.FileType.File else None
+
+
+def create(folder: str):
+    """A new file in the folder under a name of its own: its address and a stream to write to. What an attempt that failed
+    leaves there is named by no row, and goes with the folder."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    name = uuid.uuid4().hex
+    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}", compression=None)
+
+
+def parts(path: str, spans: list[tuple[int, int]]) -> list[bytes]:
+    """The bytes of each (offset, length) of a file."""
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as f:
+        return [f.read_at(length, offset) for offset, length in spans]

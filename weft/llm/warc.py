@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -62,15 +63,25 @@ def record(page_id, url, payload: bytes, refers_to, is_response: bool, number: i
     return z.compress(raw) + z.flush()
 
 
-def _segments(segment_bytes: int, date: str):
-    names = ["start", "sub", "seq", "records", "bytes", "first_id", "last_id", "data"]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+SEGMENT = "start long, sub int, seq int, records long, bytes long, first_id long, last_id long, blob string, offset long"
+
+
+def _segments(folder: str, segment_bytes: int, date: str):
+    """Segments go into one file for each task, in the shared folder; only rows that say where they lie move on."""
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
 
     def run(batches):
         at, seq, held, size, ids = None, 0, [], 0, []
+        blob, out, offset = None, None, 0
 
         def cut():
-            row = (*at, seq, len(held), size, ids[0], ids[-1], b"".join(held))
+            nonlocal blob, out, offset
+            if out is None:
+                blob, out = files.create(folder)
+            out.write(b"".join(held))
+            row = (*at, seq, len(held), size, ids[0], ids[-1], blob, offset)
+            offset += size
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
         last, number = (None, None, None), (None, None, -1)
@@ -97,6 +108,8 @@ def _segments(segment_bytes: int, date: str):
                     seq, held, size, ids = seq + 1, [], 0, []
         if held:
             yield cut()
+        if out is not None:
+            out.close()
 
     return run
 
@@ -106,25 +119,25 @@ def _writer(folder: str):
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches):
-        at, held, n, ids = None, [], 0, []
+        at, rows = None, []
 
         def roll():
-            data = b"".join(held)
-            name = f"part-{at:012d}.warc.gz"
+            data = []
+            for blob, those in itertools.groupby(rows, key=lambda r: r[4]):
+                data += files.parts(blob, [(r[5], r[3]) for r in those])
+            data, name = b"".join(data), f"part-{at:012d}.warc.gz"
             files.put(folder, name, data)
-            row = (name, n, len(data), digest(data), ids[0], ids[-1])
+            row = (name, sum(r[0] for r in rows), len(data), digest(data), rows[0][1], rows[-1][2])
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
         for b in batches:
-            for file, records_, first, last, data in zip(*(b.column(x) for x in range(5))):
-                if held and file.as_py() != at:
+            for file, *row in zip(*(b.column(x).to_pylist() for x in range(7))):
+                if rows and file != at:
                     yield roll()
-                    held, n, ids = [], 0, []
-                at = file.as_py()
-                held.append(bytes(data.as_buffer()))
-                n += records_.as_py()
-                ids += [first.as_py(), last.as_py()]
-        if held:
+                    rows = []
+                at = file
+                rows.append(row)
+        if rows:
             yield roll()
 
     return run
@@ -178,17 +191,13 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: int =
     rows = rows.withColumn("_start", start).withColumn("_sub", sub)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = rows.repartition(n, "_start", "_sub").sortWithinPartitions("_start", "_sub", "page_id", "_d", F.col("_first").isNull(), "url")
-    cut = sorted_.select("page_id", "url", "html", "_d", "_first", "_start", "_sub").mapInArrow(
-        _segments(max(1, roll_bytes // SEGMENTS), date), "start long, sub int, seq int, records long, bytes long, first_id long, last_id long, data binary"
-    )
-    segments = scratch.keep(cut, "segments", "none")
-    order = global_rank(segments.select("start", "sub", "seq", "bytes"), F.col("start"), [F.col("start").asc_nulls_last(), F.col("sub"), F.col("seq")], "pos")
-    order = scratch.keep(order, "order")
-    places = running_sums(order, [], "pos", {"_before": F.col("bytes")}, inclusive=False)
-    places = places.select(F.col("start").alias("_a"), F.col("sub").alias("_b"), F.col("seq").alias("_c"), "pos", F.floor(F.col("_before") / roll_bytes).alias("file"))
-    placed = segments.join(places, F.col("start").eqNullSafe(F.col("_a")) & (F.col("sub") == F.col("_b")) & (F.col("seq") == F.col("_c")))
-    dealt = placed.select("file", "pos", "records", "first_id", "last_id", "data").repartition(n, "file").sortWithinPartitions("file", "pos")
-    out = dealt.select("file", "records", "first_id", "last_id", "data").mapInArrow(_writer(folder), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
+    blobs = scratch.folder("blobs")
+    cut = sorted_.select("page_id", "url", "html", "_d", "_first", "_start", "_sub").mapInArrow(_segments(blobs, max(1, roll_bytes // SEGMENTS), date), SEGMENT)
+    segments = scratch.keep(cut, "segments")
+    order = scratch.keep(global_rank(segments, F.col("start"), [F.col("start").asc_nulls_last(), F.col("sub"), F.col("seq")], "pos"), "order")
+    places = running_sums(order, [], "pos", {"before": F.col("bytes")}, inclusive=False).withColumn("file", F.floor(F.col("before") / roll_bytes))
+    dealt = places.repartition(n, "file").sortWithinPartitions("file", "pos")
+    out = dealt.select("file", "records", "first_id", "last_id", "bytes", "blob", "offset").mapInArrow(_writer(folder), "name string, records long, bytes long, sha1 string, first_id long, last_id long")
     out.write.parquet(f"{folder}/_manifest")
     scratch.drop(*list(scratch.paths))
     return spark.read.parquet(f"{folder}/_manifest")
