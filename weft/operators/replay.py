@@ -55,6 +55,16 @@ def _triples(e: DataFrame) -> DataFrame:
     return all_ways.select("type", "i", "k", "j").unionByName(at_i).unionByName(at_j).unionByName(back)
 
 
+def growth(e: DataFrame, t: DataFrame) -> DataFrame:
+    """type, src, dst, pos, g: by how much the event at pos adds to the ways of two events from src to dst, one row for each
+    middle node. t: the triples type, i, k, j to look at."""
+    half = lambda x, y, a: t.join(e.select("type", F.col("src").alias(x), F.col("dst").alias(y), "pos"), ["type", x, y]).select("type", "i", "k", "j", "pos", F.lit(a).alias("a"), F.lit(1 - a).alias("b"))
+    steps = half("i", "k", 1).unionByName(half("k", "j", 0)).groupBy("type", "i", "k", "j", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    steps = running_sums(staged(steps), ["type", "i", "k", "j"], "pos", {"na": F.col("a"), "nb": F.col("b")}, inclusive=False)
+    g = F.col("a") * F.col("nb") + F.col("b") * F.col("na") + F.col("a") * F.col("b")
+    return steps.select("type", F.col("i").alias("src"), F.col("j").alias("dst"), "pos", g.alias("g"))
+
+
 def transitivity(e: DataFrame) -> DataFrame:
     """event, transitivity: over all k, how many earlier events of the type lead from src to k, times how many from k to dst.
     e: events with pos (from positions() or replayed()).
@@ -62,12 +72,7 @@ def transitivity(e: DataFrame) -> DataFrame:
     The sum is carried as growth: an event i to k adds the count of k to j so far, and the other way round. Growth is summed
     for each pair and position before the pair's own events look it up, so a pair's events are not repeated for each k.
     """
-    t = staged(_triples(e))
-    half = lambda x, y, a: t.join(e.select("type", F.col("src").alias(x), F.col("dst").alias(y), "pos"), ["type", x, y]).select("type", "i", "k", "j", "pos", F.lit(a).alias("a"), F.lit(1 - a).alias("b"))
-    steps = half("i", "k", 1).unionByName(half("k", "j", 0)).groupBy("type", "i", "k", "j", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    steps = running_sums(staged(steps), ["type", "i", "k", "j"], "pos", {"na": F.col("a"), "nb": F.col("b")}, inclusive=False)
-    growth = F.col("a") * F.col("nb") + F.col("b") * F.col("na") + F.col("a") * F.col("b")
-    up = steps.select("type", F.col("i").alias("src"), F.col("j").alias("dst"), "pos", growth.alias("g"), F.lit(None).cast(e.schema["event"].dataType).alias("event"))
+    up = growth(e, staged(_triples(e))).withColumn("event", F.lit(None).cast(e.schema["event"].dataType))
     asked = e.select("type", "src", "dst", "pos", F.lit(0).cast("long").alias("g"), "event")
     each = up.unionByName(asked).groupBy("type", "src", "dst", "pos").agg(F.sum("g").alias("g"), F.max("event").alias("event"))
     return running_sums(staged(each), ["type", "src", "dst"], "pos", {"transitivity": F.col("g")}, inclusive=False).where("event is not null").select("event", "transitivity")
