@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.closure import reachable
+
 
 def first_seen_vocabulary(x: DataFrame, value: str, order: str, unknown: bool) -> DataFrame:
     """F11, F12. value, id from 0 in the order of first sight, and <unk> after the last if wanted. One row for each value."""
@@ -24,6 +26,50 @@ def pooled(members: DataFrame, features: DataFrame, key: str) -> DataFrame:
     return m.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("feature"))
 
 
+def _means(x: DataFrame, key: str) -> DataFrame:
+    """key, mean: of x (key, vec), position by position."""
+    each = x.select(key, F.posexplode("vec").alias("pos", "v")).groupBy(key, "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("mean"))
+
+
+def nested_pooled(members: DataFrame, things: DataFrame, nodes: DataFrame, kind: str = "complex") -> DataFrame:
+    """F09. label, feature of every complex among the nodes: the mean feature of all leaves inside it, however deep.
+
+    members: parent, child (ids). things: id, label, ord; a complex stands for the first thing of its label. nodes: label, type,
+    ord, feature; one row for each label. A thing counts once however many ways lead to it, so cycles end; things whose
+    label is no node lead nowhere. Leaves count if their feature is as wide as that of the first leaf that has one. A complex
+    without such leaves has zeros; where no leaf has a feature, nothing is known and features are null.
+    """
+    is_complex = F.col("type") == kind
+    known = things.join(nodes.select("label", "type", "feature"), "label").select("id", "label", "ord", "type", "feature")
+    width = nodes.where(~F.coalesce(is_complex, F.lit(False)) & F.col("feature").isNotNull()).agg(F.min_by(F.size("feature"), F.struct("ord", "label")).alias("width"))
+    roots = known.where(is_complex).groupBy("label").agg(F.min_by("id", F.struct("ord", "id")).alias("root"))
+    inner = members.select("parent", "child").join(known.where(is_complex).select(F.col("id").alias("parent")), "parent", "left_semi")
+    inner = inner.join(known.select(F.col("id").alias("child")), "child", "left_semi").distinct()
+    leaves = known.where(~F.coalesce(is_complex, F.lit(False))).join(F.broadcast(width), F.size("feature") == F.col("width")).select(F.col("id").alias("node"), F.col("feature").alias("vec"))
+    found = reachable(inner, roots).join(leaves, "node").select("root", "vec")
+    out = nodes.where(is_complex).select("label").join(roots, "label", "left").join(_means(found, "root"), "root", "left").join(F.broadcast(width))
+    return out.select("label", F.when(F.col("width").isNotNull(), F.coalesce("mean", F.array_repeat(F.lit(0.0), F.col("width")))).alias("feature"))
+
+
+def terms_appended(nodes: DataFrame, terms: DataFrame, vectors: DataFrame, prefix: str = "GO:") -> DataFrame:
+    """F10. nodes with the mean vector of their terms behind their feature; zeros where no term has a vector.
+
+    nodes: label, location, feature; a null feature stays null. terms: label, term; repeated ones count each, and a location that
+    begins with the prefix is one more. vectors: term, vec; one row for each term, all of one width.
+    """
+    at = nodes.where(F.col("location").startswith(prefix)).select("label", F.col("location").alias("term"))
+    # Vectors are averaged with counts, so a term of a thousand repeats is read once.
+    n = terms.select("label", "term").unionByName(at).groupBy("label", "term").agg(F.count("*").alias("n"))
+    x = n.join(vectors.select("term", "vec"), "term").select("label", "n", F.posexplode("vec").alias("pos", "v"))
+    x = x.groupBy("label", "pos").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v"))
+    mean = x.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("mean"))
+    width = vectors.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width"))
+    out = nodes.join(mean, "label", "left").join(F.broadcast(width))
+    own = F.transform("feature", lambda v: v.cast("double"))
+    return out.withColumn("feature", F.concat(own, F.coalesce("mean", F.array_repeat(F.lit(0.0), F.col("width"))))).select(*nodes.columns)
+
+
 def one_hot(value: Column, vocabulary: list[str]) -> Column:
     """F15. Zeros for values that are not in the vocabulary."""
     return F.array(*[F.coalesce((value == v).cast("int"), F.lit(0)) for v in vocabulary])

@@ -258,6 +258,25 @@ def l08_likeness(spark, d):
     return replay.likeness(history(spark, d), n, ["a"], "kind").withColumn("sim_a", F.round("sim_a", 2))
 
 
+def actors(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("label"), F.concat(F.lit("k"), F.col("c_nationkey") % 5).alias("kind"), (F.col("c_acctbal") / 1000).alias("a"))
+
+
+@query("l07_choice_model")
+def l07_choice(spark, d):
+    """All customers are alternatives. SQL cannot iterate to a maximum with a test of it; held against brute force in tests."""
+    from weft.operators import choice, replay
+
+    return choice.fit(choice.choice_tables(replay.positions(history(spark, d)), actors(spark, d)), choice.CHOICE)
+
+
+@query("l07_rate_model")
+def l07_rate(spark, d):
+    from weft.operators import choice, replay
+
+    return choice.fit(choice.rate_tables(replay.positions(history(spark, d)), actors(spark, d), ["a"]), choice.rates(["a"]))
+
+
 @query("l09_softmax", "select event_id, round(exp(value - max(value) over w) / sum(exp(value)) over w * exp(max(value) over w), 6) p from (select event_id, user_id, value / 100 as value from events) window w as (partition by user_id)")
 def l09(spark, d):
     return metrics.softmax(table(spark, d, "events").select("event_id", "user_id", (F.col("value") / 100).alias("value")), "user_id", "value").select("event_id", F.round("p", 6).alias("p"))
@@ -303,6 +322,39 @@ def f09(spark, d):
     return p.select("key", F.posexplode("feature").alias("pos", "v")).withColumn("v", F.round("v", 5))
 
 
+_NEST = """m as (select distinct 'n' || c_nationkey parent, 'c' || c_custkey child from customer union select 'c' || o_custkey, 'o' || o_orderkey from orders union select 'o' || l_orderkey, 'p' || l_partkey from lineitem),
+  r as (select parent as root, parent node from m union select r.root, m.child from r join m on m.parent = r.node), f as (select 'p' || vec_id node, embedding::double[] v from embeddings where vec_id % 7 <> 3),
+  l as (select root, unnest(v) v, unnest(range(64)) pos from r join f using (node)), a as (select root, pos, avg(v) v from l group by all), t as (select root, sum(v) total, max(v) filter (where pos = 63) last from a group by root)"""
+
+
+@query("f09_nested_pooling", f"with recursive {_NEST} select x.parent as label, 64 width, round(coalesce(total, 0), 6) total, round(coalesce(last, 0), 6) as last from (select parent from m union select child from m where child not like 'p%') x left join t on root = parent")
+def f09_nested(spark, d):
+    """Nations hold customers, customers orders, orders parts; every seventh part's vector is too short and does not count."""
+    c, o, l, v = (table(spark, d, x) for x in ("customer", "orders", "lineitem", "embeddings"))
+    tag = lambda mark, col: F.concat(F.lit(mark), F.col(col))
+    m = c.select(tag("n", "c_nationkey").alias("parent"), tag("c", "c_custkey").alias("child"))
+    m = m.union(o.select(tag("c", "o_custkey"), tag("o", "o_orderkey"))).union(l.select(tag("o", "l_orderkey"), tag("p", "l_partkey"))).distinct()
+    ids = m.select(F.col("parent").alias("id")).union(m.select("child")).distinct()
+    vec = v.select(tag("p", "vec_id").alias("label"), F.when(F.col("vec_id") % 7 == 3, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("feature"))
+    part = F.col("id").startswith("p")
+    # Part 0, with its whole vector, is the first leaf.
+    order = F.when(part, F.substring("id", 2, 20).cast("long"))
+    nodes = ids.select(F.col("id").alias("label"), F.when(part, "protein").otherwise("complex").alias("type"), F.coalesce(order, F.lit(2**62)).alias("ord")).join(vec, "label", "left")
+    x = features.nested_pooled(m, ids.select("id", F.col("id").alias("label"), F.lit(0).alias("ord")), nodes)
+    return x.select("label", F.size("feature").alias("width"), F.round(F.aggregate("feature", F.lit(0.0), lambda a, y: a + y), 6).alias("total"), F.round(F.element_at("feature", -1), 6).alias("last"))
+
+
+@query("f10_terms_appended", """with t as (select l_suppkey s, 'GO:' || l_partkey term from lineitem union all select s_suppkey, 'GO:' || s_nationkey from supplier where s_nationkey % 2 = 0),
+  x as (select s, unnest(embedding::double[]) v, unnest(range(64)) pos from t join embeddings on term = 'GO:' || vec_id), a as (select s, pos, avg(v) v from x group by all), b as (select s, sum(v) total, max(v) filter (where pos = 63) last from a group by s)
+  select s_suppkey as label, 65 width, round(s_acctbal::double, 6) as first, round(coalesce(total, 0), 6) total, round(coalesce(last, 0), 6) as last from supplier left join b on s = s_suppkey""")
+def f10(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("label"), F.concat(F.when(F.col("s_nationkey") % 2 == 0, "GO:").otherwise("X:"), "s_nationkey").alias("location"), F.array(F.col("s_acctbal").cast("double")).alias("feature"))
+    terms = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("label"), F.concat(F.lit("GO:"), "l_partkey").alias("term"))
+    v = table(spark, d, "embeddings").select(F.concat(F.lit("GO:"), "vec_id").alias("term"), F.col("embedding").alias("vec"))
+    x = features.terms_appended(s, terms, v)
+    return x.select("label", F.size("feature").alias("width"), F.round(F.element_at("feature", 1), 6).alias("first"), F.round(F.aggregate(F.slice("feature", 2, 64), F.lit(0.0), lambda a, y: a + y), 6).alias("total"), F.round(F.element_at("feature", -1), 6).alias("last"))
+
+
 @query("f11_vocabulary", "with v as (select p_type, min(p_partkey) o from part group by p_type) select p_type, row_number() over (order by o) - 1 id from v union all select '<unk>', count(*) from v")
 def f11(spark, d):
     return features.first_seen_vocabulary(table(spark, d, "part"), "p_type", "p_partkey", True)
