@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.operators import closure, edges, reactions
+from weft.operators import closure, edges, hypergraph, reactions
 from weft.sources.xml import Stores, stores
 
 _C = closure.staged
 
+#: Stores in the order in which they name a hypergraph's nodes; the last one counts.
+HYPER_STORES = ("protein", "small_molecule", "physical_entity", "complex", "dna", "rna")
+
 
 @dataclass
 class PathwayGraph:
@@ -43,6 +46,21 @@ def build_graph(spark: SparkSession, path: str, reaction_partners: bool = False,
     return from_stores(spark, stores(spark, path), reaction_partners, include_complexes)
 
 
+def _kinded(spark: SparkSession, s: Stores, e: DataFrame, mem: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """R04. The emissions with their kind."""
+    all_dna = mem.join(e.select(F.col("id").alias("child"), (F.col("kind") == "dna").alias("d")), "child", "left").groupBy(F.col("parent").alias("id")).agg(F.min(F.coalesce("d", F.lit(False))).alias("all_dna"))
+    moved = reactions.translocations(left, right)
+    cast = reactions.broadcasts(left.join(all_dna, "id", "left").withColumn("dna", (F.col("kind") == "dna") | ((F.col("kind") == "physical_entity") & F.coalesce("all_dna", F.lit(False)))), right)
+    return _C(reactions.kinds(emissions(spark, s), moved, cast))
+
+
+def _catalysts(s: Stores, mem: DataFrame, name: DataFrame) -> DataFrame:
+    """M06. reaction, control, k, catalyst: one level of the controller expanded, k its position."""
+    group = mem.groupBy(F.col("parent").alias("controller")).agg(F.collect_list("child").alias("m"))
+    cat = s.catalysis.join(group, "controller", "left").select("reaction", "control", F.posexplode(F.coalesce("m", F.array("controller"))).alias("k", "id"))
+    return cat.join(name.select("id", F.col("label").alias("catalyst")), "id").select("reaction", "control", "k", "catalyst")
+
+
 def from_stores(spark: SparkSession, s: Stores, reaction_partners: bool = False, include_complexes: bool = True) -> PathwayGraph:
     e = _C(s.entity.select("id", "kind", "store_rank", "doc_order", "name", "location", "members", "components", "label"))
     s = Stores(e, _C(s.reaction), s.catalysis, _C(s.step), _C(s.pathway), s.xref)
@@ -50,13 +68,8 @@ def from_stores(spark: SparkSession, s: Stores, reaction_partners: bool = False,
     name = e.select("id", "kind", "name", "location", "label")
     part = lambda side: s.reaction.select("reaction", F.posexplode(side).alias("pos", "id")).join(name, "id")
     left, right = _C(part("left")), _C(part("right"))
-    all_dna = mem.join(e.select(F.col("id").alias("child"), (F.col("kind") == "dna").alias("d")), "child", "left").groupBy(F.col("parent").alias("id")).agg(F.min(F.coalesce("d", F.lit(False))).alias("all_dna"))
-    moved = reactions.translocations(left, right)
-    cast = reactions.broadcasts(left.join(all_dna, "id", "left").withColumn("dna", (F.col("kind") == "dna") | ((F.col("kind") == "physical_entity") & F.coalesce("all_dna", F.lit(False)))), right)
-    em = _C(reactions.kinds(emissions(spark, s), moved, cast))
-    group = mem.groupBy(F.col("parent").alias("controller")).agg(F.collect_list("child").alias("m"))
-    cat = s.catalysis.join(group, "controller", "left").select("reaction", "control", F.posexplode(F.coalesce("m", F.array("controller"))).alias("k", "id"))
-    cat = cat.join(name.select("id", F.col("label").alias("catalyst")), "id").select("reaction", "control", "k", "catalyst")
+    em = _kinded(spark, s, e, mem, left, right)
+    cat = _catalysts(s, mem, name).select("reaction", "control", "k", "catalyst")
 
     plain = em.where("kind = 'reaction'")
     if include_complexes:
@@ -100,6 +113,58 @@ def from_stores(spark: SparkSession, s: Stores, reaction_partners: bool = False,
     return PathwayGraph(nodes, graph)
 
 
+@dataclass
+class PathwayHypergraph:
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def build_hypergraph(spark: SparkSession, path: str) -> PathwayHypergraph:
+    return hyper_from_stores(spark, stores(spark, path))
+
+
+def hyper_from_stores(spark: SparkSession, s: Stores) -> PathwayHypergraph:
+    """H01 to H09. Hyperedges over labels, and the nodes in them with their type. Complexes are no nodes: each one's members
+    are an edge at the time of the first reaction that holds it at any depth (orphan, and without a time, if none does). Nodes come in the order of the participants; leaves of one
+    complex in the order of the ids on the way to them."""
+    e = _C(s.entity.select("id", "kind", "store_rank", "doc_order", "name", "location", "members", "components", "label"))
+    s = Stores(e, _C(s.reaction), s.catalysis, _C(s.step), _C(s.pathway), s.xref)
+    mem = e.select(F.col("id").alias("parent"), F.posexplode("members").alias("k", "child"))
+    name = e.select("id", "kind", "name", "location", "label")
+    part = lambda side: s.reaction.select("reaction", F.posexplode(side).alias("pos", "id")).join(name, "id")
+    left, right = _C(part("left")), _C(part("right"))
+    em = _kinded(spark, s, e, mem.select("parent", "child"), left, right)
+    inside = e.where("kind = 'complex'").select(F.col("id").alias("parent"), F.explode(F.when(F.size("members") > 0, F.col("members")).otherwise(F.col("components"))).alias("child"))
+    flat = _C(closure.leaves(inside).join(e.where("kind = 'complex'").select(F.col("id").alias("leaf")), "leaf", "left_anti").groupBy("root", "leaf").agg(F.min(F.concat_ws("/", "path")).alias("p")))
+
+    def flattened(x: DataFrame) -> DataFrame:
+        """H01. reaction, pos, node (a label): complexes become their leaves, then groups their members."""
+        x = x.join(flat.withColumnRenamed("root", "id"), "id", "left").where("kind <> 'complex' or leaf is not null").select("reaction", F.coalesce("leaf", "id").alias("id"), "pos", F.coalesce("p", F.lit("")).alias("p"))
+        x = x.join(mem.withColumnRenamed("parent", "id"), "id", "left").select("reaction", F.coalesce("child", "id").alias("id"), F.struct("pos", "p", F.coalesce("k", F.lit(0)).alias("k")).alias("o"))
+        first = x.join(name.select("id", F.col("label").alias("node")), "id").groupBy("reaction", "node").agg(F.min("o").alias("o"))
+        return first.select("reaction", "node", (F.row_number().over(Window.partitionBy("reaction").orderBy("o", "node")) - 1).alias("pos"))
+
+    cat = _catalysts(s, mem.select("parent", "child"), name).select("reaction", "control", F.col("k").alias("pos"), F.col("catalyst").alias("node"))
+    found = hypergraph.emitted(em, _C(flattened(left)), _C(flattened(right)), cat)
+
+    is_complex = e.where("kind = 'complex'").select("id", "components")
+    comp = is_complex.select(F.col("id").alias("parent"), F.explode("components").alias("child")).join(is_complex.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child")
+    held = left.unionByName(right).where("kind = 'complex'").select(F.col("id").alias("root"), "reaction").distinct()
+    seen = closure.reachable(comp, held.select("root")).join(held, "root").join(em.select("reaction", "time", "local_order", "pathway"), "reaction")
+    seen = seen.groupBy(F.col("node").alias("root")).agg(F.min("time").alias("time"), *[F.min_by(c, "time").alias(c) for c in ("local_order", "pathway")])
+    nested = comp.select(F.col("parent").alias("root"), F.lit(True).alias("is_hierarchical")).distinct()
+    bodies = flat.join(name.select(F.col("id").alias("leaf"), "label"), "leaf").groupBy("root", "label").agg(F.min("p").alias("pos"))
+    bodies = bodies.groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("nodes"))
+    whole = bodies.join(seen, "root", "left").join(nested, "root", "left").select(
+        F.concat("root", F.lit("::complex")).alias("edge"), F.lit("complex").alias("type"), F.lit(None).cast("string").alias("direction"), "time", "local_order", "pathway",
+        F.lit(None).cast("string").alias("control_type"), "nodes", F.coalesce("is_hierarchical", F.lit(False)).alias("is_hierarchical"), F.col("time").isNull().alias("orphan"),
+    )
+    out = _C(found.unionByName(whole, allowMissingColumns=True))
+    labels = out.select(F.explode("nodes").alias("label")).distinct()
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(HYPER_STORES) for x in (k, i)])
+    return PathwayHypergraph(edges.annotate(labels, e.select("label", F.col("kind").alias("type"), order[F.col("kind")].alias("store_rank"), "doc_order")), out)
+
+
 def _with_complexes(graph, e, mem, name, touched, include: bool):
     """G08, G09."""
     first = touched.where("kind = 'complex'").groupBy("id").agg(F.min("time").alias("first"))

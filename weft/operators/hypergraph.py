@@ -35,6 +35,38 @@ def catalysis_hyperedges(reactions: DataFrame, left: DataFrame) -> DataFrame:
     return x.select("time", F.col("control").alias("control_type"), F.inline(rows))
 
 
+def emitted(emissions: DataFrame, left: DataFrame, right: DataFrame, catalysts: DataFrame) -> DataFrame:
+    """H02 to H04, H09. edge, type, direction, time, local_order, pathway, control_type, nodes of all reactions, by their kind.
+
+    A translocation has a tail (all on its left) and a head (all on its right), no event and no catalysis, since both sides are
+    the same things in two places. Any other reaction has reactants, products and the event of both; where it has reactants,
+    each catalysed one has the catalysts (tail) and the reactants (head) besides. A side without nodes has no edge, and a node
+    counts once in an edge, at its first position. A reaction that is emitted again has the time of the last emission.
+
+    emissions: reaction, time, local_order, pathway, kind. left, right: reaction, pos, node. catalysts: reaction, control, pos, node.
+    """
+    last = emissions.groupBy("reaction").agg(F.max("time").alias("time"), *[F.max_by(c, "time").alias(c) for c in ("local_order", "pathway", "kind")])
+    at = lambda n: F.struct(F.lit(n).alias("side"), F.col("pos").cast("long").alias("pos")).alias("pos")
+    side = lambda x, n, d: x.select("reaction", F.lit(d).alias("direction"), at(n), "node")
+    sides = side(left, 0, "tail").unionByName(side(right, 1, "head")).join(last.select("reaction", "kind"), "reaction")
+    moves = F.col("kind") == "translocation"
+    tail = F.col("direction") == "tail"
+    none = F.lit(None).cast("string").alias("control_type")
+    part = F.when(moves, F.concat(F.lit("translocation_"), "direction")).when(tail, "reactants").otherwise("products")
+    kind = F.when(moves, "translocation").when(tail, "reactants").otherwise("products")
+    inc = sides.select("reaction", part.alias("part"), kind.alias("type"), "direction", none, "pos", "node")
+    inc = inc.unionByName(sides.where(~moves).select("reaction", F.lit("reaction").alias("part"), F.lit("reaction").alias("type"), F.lit("event").alias("direction"), none, "pos", "node"))
+    fixed = lambda x, n, d: x.select("reaction", F.lit(f"catalysis_{d}").alias("part"), F.lit("catalysis").alias("type"), F.lit(d).alias("direction"), F.col("control").alias("control_type"), at(n), "node")
+    stays = last.where(~moves).select("reaction")
+    cats = catalysts.join(left.select("reaction").distinct(), "reaction", "left_semi").join(stays, "reaction", "left_semi")
+    heads = left.join(cats.groupBy("reaction").agg(F.max("control").alias("control")), "reaction")
+    inc = inc.unionByName(fixed(cats, 0, "tail")).unionByName(fixed(heads, 0, "head"))
+    by = ["reaction", "part", "type", "direction", "control_type"]
+    once = inc.groupBy(*by, "node").agg(F.min("pos").alias("pos")).withColumnRenamed("node", "label")
+    x = _nodes(once, *by).join(last, "reaction")
+    return x.select(F.concat(F.col("reaction").cast("string"), F.lit("::"), "part").alias("edge"), "type", "direction", "time", "local_order", "pathway", "control_type", "nodes")
+
+
 def first_sight(reactions: DataFrame, participants: DataFrame) -> DataFrame:
     """H05. Each label's earliest rank with that reaction's pathway and local order."""
     x = participants.join(reactions, "reaction")

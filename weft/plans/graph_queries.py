@@ -226,6 +226,22 @@ def h04(spark, d):
     return hypergraph.catalysis_hyperedges(adapter.reactions(spark, d), adapter.side(spark, d, "left"))
 
 
+@query("h03_emission_by_kind", A + """, kind as (select o_orderkey reaction, o_orderstatus = 'P' moves from orders), x as (select * from reaction join kind using (reaction)),
+  inc as (select reaction, case when moves then 'translocation_tail' else 'reactants' end part, case when moves then 'translocation' else 'reactants' end as type, 'tail' direction, null control_type, 0 s, pos, label from x join lefts using (reaction)
+  union all select reaction, case when moves then 'translocation_head' else 'products' end, case when moves then 'translocation' else 'products' end, 'head', null, 1, pos, label from x join rights using (reaction)
+  union all select reaction, 'reaction', 'reaction', 'event', null, s, pos, label from (select reaction, 0 s, pos, label from lefts union all select reaction, 1, pos, label from rights) join x using (reaction) where not moves
+  union all select reaction, 'catalysis_tail', 'catalysis', 'tail', control, 0, 0, catalyst from x where not moves and reaction in (select reaction from lefts)
+  union all select reaction, 'catalysis_head', 'catalysis', 'head', control, 0, pos, label from x join lefts using (reaction) where not moves)
+  select reaction || '::' || part as edge, type, direction, time, local_order, pathway, control_type, list(label order by s, pos) nodes from inc join reaction using (reaction) group by all""")
+def h03(spark, d):
+    """Orders of status P are translocations."""
+    r = adapter.reactions(spark, d)
+    moves = table(spark, d, "orders").select(F.col("o_orderkey").alias("reaction"), F.when(F.col("o_orderstatus") == "P", "translocation").otherwise("reaction").alias("kind"))
+    side = lambda n: adapter.side(spark, d, n).withColumnRenamed("label", "node")
+    cat = r.select("reaction", "control", F.lit(0).alias("pos"), F.col("catalyst").alias("node"))
+    return hypergraph.emitted(r.join(moves, "reaction"), side("left"), side("right"), cat)
+
+
 @query("h05_first_sight", A + "select label, min(time) as time, arg_min(pathway, time) pathway, arg_min(local_order, time) local_order from lefts join reaction using (reaction) group by label")
 def h05(spark, d):
     return hypergraph.first_sight(adapter.reactions(spark, d), adapter.side(spark, d, "left"))
