@@ -1,6 +1,7 @@
 """Quality rules, chat formatting, sharding, and the pipeline's edges."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -70,6 +71,26 @@ def test_walk_is_bounded_and_moves_little():
     assert sum(a[k] != b[k] for k in a) < 0.2 * total
 
 
+def test_walk_equals_a_ring_walked_key_by_key():
+    """At the query's factor of 1.0: every key goes clockwise to the first virtual node whose shard has room."""
+    r = random.Random(8)
+    for shards, cells in ((24, 512), (5, 64), (1, 16)):
+        counts = {c: r.choice((0, 1, 2, 9)) for c in range(cells)}
+        counts[r.randrange(cells)] = 400  # a hot cell overflows many shards
+        nodes = sorted((int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:8], "big") % cells, s) for s in range(shards) for v in range(16))
+        total = sum(counts.values())
+        room = {s: total // shards + (s < total % shards) for s in range(shards)}
+        used, want = Counter(), {}
+        for cell in range(cells):
+            for i in range(counts[cell]):
+                turn = [x for x in nodes if x[0] >= cell] + [x for x in nodes if x[0] < cell]
+                shard = next(s for _, s in turn if used[s] < room[s])
+                want[cell, i] = (shard, used[shard])
+                used[shard] += 1
+        got = {(c, i): (s, slot + i - lo) for c, lo, hi, s, slot in sharding.walk(counts, shards, 16, cells, 1.0) for i in range(lo, hi)}
+        assert got == want
+
+
 def test_sharding(spark):
     rows = [(i if i % 5 else None, None if i % 7 == 0 else f"text {i % 11} é") for i in range(500)]
     out = sharding.assign(spark, spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, shard int"), 24).collect()
