@@ -1,5 +1,8 @@
 """Hand-derived cases of single rules."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,13 @@ def test_fold_keeps_what_is_not_written(spark):
         assert (r.type, r.time, r.local_order, r.pathway, r.catalysis_type) == ("reaction", 1, 4, None, "INHIBITION")
 
 
+def test_ranks_do_not_send_the_true_ones_to_the_driver(spark):
+    c = spark.range(1200).selectExpr("id div 12 query", "id * 31 % 101 score", "id % 12 = 0 is_true")
+    r = metrics.ranks_of_true(c)
+    assert "Broadcast" not in r._jdf.queryExecution().executedPlan().toString()
+    assert r.count() == 100
+
+
 def test_splits_and_targets(spark):
     e = spark.createDataFrame([(i, "a", "b", t_) for i, t_ in enumerate([0, 0, 1, 2, 3])], "edge int, src string, dst string, time int")
     x = splits.temporal_split(e, 0.2)
