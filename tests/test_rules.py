@@ -58,6 +58,28 @@ def test_ranks_do_not_send_the_true_ones_to_the_driver(spark):
     assert r.count() == 100
 
 
+def test_long_chains_are_told_in_few_rounds(spark):
+    n = 3000
+    e = spark.range(n).select(F.col("id").alias("src"), F.explode(F.array(F.col("id") + 1, F.col("id") + 5)).alias("dst"))
+    back = e.union(spark.createDataFrame([(n + 4, 2)], e.schema))
+    began = time.time()
+    assert analytics.is_acyclic(e) and not analytics.is_acyclic(back)
+    turned = e.select((-F.col("src")).alias("src"), (-F.col("dst")).alias("dst"))
+    assert analytics.is_acyclic(turned)
+    assert time.time() - began < 120  # trimming takes hundreds of rounds
+
+
+def test_acyclic_against_brute_force(spark):
+    rng = random.Random(7)
+    for n in (0, 4, 8, 11):
+        pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(8 + n)}
+        pairs = {p for p in pairs if p[0] != p[1]}
+        left = set(pairs)
+        while (kept := {p for p in left if any(q[1] == p[0] for q in left)}) != left:
+            left = kept
+        assert analytics.is_acyclic(spark.createDataFrame(sorted(pairs), "src int, dst int")) == (not left)
+
+
 def test_splits_and_targets(spark):
     e = spark.createDataFrame([(i, "a", "b", t_) for i, t_ in enumerate([0, 0, 1, 2, 3])], "edge int, src string, dst string, time int")
     x = splits.temporal_split(e, 0.2)

@@ -121,11 +121,12 @@ def weak_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def trim(edges: DataFrame, peels: int = 3) -> DataFrame:
-    """Edges left after taking out, again and again, nodes without edges in or without edges out. Several layers go between two writes."""
+def trim(edges: DataFrame, peels: int = 3, rounds: int | None = None) -> DataFrame:
+    """Edges left after taking out, again and again (or `rounds` times), nodes without edges in or without edges out. Several layers go between two writes."""
     e = staged(edges.select("src", "dst").where("src <> dst").distinct())
-    n = e.count()
-    while n:
+    n, left = e.count(), rounds
+    while n and left != 0:
+        left = None if left is None else left - 1
         kept = e
         for _ in range(peels):
             kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -139,8 +140,35 @@ def trim(edges: DataFrame, peels: int = 3) -> DataFrame:
 
 
 def is_acyclic(edges: DataFrame) -> bool:
-    """A11. A loop from a node to itself is a cycle; so is what no trimming removes."""
-    return not edges.where("src = dst").limit(1).count() and not trim(edges).limit(1).count()
+    """A11. A loop from a node to itself is a cycle; what is left after some trimming is followed.
+
+    Every node chooses one edge (first to its least neighbour); doubling steps lead each along the choices to an end, which gives
+    its length, or never to one: a cycle. Nodes with an edge to a greater length choose that instead; where there is
+    none, lengths fall along all edges and there is no cycle. Lengths only grow, so it ends; long chains take
+    as many steps as their length has binary digits.
+    """
+    if edges.where("src = dst").limit(1).count():
+        return False
+    e = trim(edges, rounds=1)
+    choice = staged(e.groupBy("src").agg(F.min("dst").alias("dst")))
+    while True:
+        at, most = choice.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(1).cast("long").alias("n")), choice.count()
+        jumps = 0
+        while True:
+            far = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("n").alias("more"))
+            at = staged(at.join(far, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.col("next").isNotNull().alias("on")))
+            jumps += 1
+            if not at.where("on").limit(1).count():
+                break
+            if 2 ** (jumps - 1) >= most:
+                return False
+        length = at.select("node", "n")
+        ahead = e.join(length.select(F.col("node").alias("dst"), F.col("n").alias("d")), "dst", "left").select("src", "dst", F.coalesce("d", F.lit(0)).alias("d"))
+        best = ahead.groupBy("src").agg(F.max("d").alias("d"), F.min_by("dst", F.struct(-F.col("d"), F.col("dst"))).alias("better"))
+        better = staged(best.join(length.withColumnRenamed("node", "src"), "src").where("d + 1 > n").select("src", "better"))
+        if not better.limit(1).count():
+            return True
+        choice = staged(choice.join(better, "src", "left").select("src", F.coalesce("better", "dst").alias("dst")))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
