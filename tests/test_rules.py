@@ -80,6 +80,20 @@ def test_acyclic_against_brute_force(spark):
         assert analytics.is_acyclic(spark.createDataFrame(sorted(pairs), "src int, dst int")) == (not left)
 
 
+def test_grouped_fold_equals_the_log(spark):
+    rng = random.Random(4)
+    some = lambda: sorted(rng.sample("abcdef", rng.randrange(0, 5)))
+    rows = [(i, rng.choice([None, *"abcdef"]), rng.choice(["ACTIVATION", None]), rng.choice(["p", "q", None]), i, rng.choice([i, None]), some(), some()) for i in rng.sample(range(200), 60)]
+    r = spark.createDataFrame(rows, "reaction long, catalyst string, control string, pathway string, time long, local_order long, lefts array<string>, rights array<string>")
+    side = lambda c: r.select("reaction", F.posexplode(c).alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
+    log = edges.catalysis_writes(r, side("lefts")).unionByName(edges.reaction_writes(r, side("lefts"), side("rights")))
+    want, got = edges.fold(log), edges.folded(r, 3)
+    assert want.count() > 30 and got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # writes are spelt out behind the shuffle
+
+
 def test_splits_and_targets(spark):
     e = spark.createDataFrame([(i, "a", "b", t_) for i, t_ in enumerate([0, 0, 1, 2, 3])], "edge int, src string, dst string, time int")
     x = splits.temporal_split(e, 0.2)

@@ -41,3 +41,15 @@ def side(spark, d: str, name: str) -> DataFrame:
     key, mark = ("l_suppkey", "s") if name == "left" else ("l_partkey", "p")
     x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), F.concat(F.lit(mark), key).alias("label")).distinct()
     return x.withColumn("pos", (F.row_number().over(Window.partitionBy("reaction").orderBy("label")) - 1).cast("long"))
+
+
+def sides(spark, d: str) -> DataFrame:
+    """reaction, lefts, rights: the labels of both sides in their order."""
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), "l_suppkey", "l_partkey").repartition("reaction")
+    labels = lambda mark, key: F.transform(F.sort_array(F.collect_set(F.struct(F.concat(F.lit(mark), key).alias("l")))), lambda s: s["l"])
+    return x.groupBy("reaction").agg(labels("s", "l_suppkey").alias("lefts"), labels("p", "l_partkey").alias("rights"))
+
+
+def parts(spark, d: str) -> int:
+    """So many parts that about a million writes fall to each."""
+    return max(spark.sparkContext.defaultParallelism, table(spark, d, "lineitem").count() // 200_000)
