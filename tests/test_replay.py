@@ -42,6 +42,19 @@ def test_transitivity_starts_from_training_totals(spark):
     assert {r.event: r.transitivity for r in replay.transitivity(e).collect()} == brute(train + scored)
 
 
+def test_transitivity_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(2**60 + i, rng.randrange(5), rng.randrange(5), rng.choice("xy"), i) for i in range(120)]
+    e = replay.positions(spark.createDataFrame(rows, "event long, src int, dst int, type string, time long"))
+    want = {}
+    for event, i, j, kind, at in rows:
+        n = lambda x, y: sum(r[1] == x and r[2] == y and r[3] == kind and r[4] < at for r in rows)  # noqa: E731, B023
+        want[event] = sum(n(i, k) * n(k, j) for k in range(5))
+    for block in (1, 7, 1000):
+        got = replay.transitivity(e, block)
+        assert {r.event: r.transitivity for r in got.collect()} == want
+
+
 def test_transitivity_of_nothing(spark):
     assert replay.transitivity(replay.positions(spark.createDataFrame([], SCHEMA))).count() == 0
 

@@ -6,7 +6,7 @@ lesser event id. Rows with a null end, type or time have no statistics and count
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.closure import staged
@@ -65,17 +65,47 @@ def growth(e: DataFrame, t: DataFrame) -> DataFrame:
     return steps.select("type", F.col("i").alias("src"), F.col("j").alias("dst"), "pos", g.alias("g"))
 
 
-def transitivity(e: DataFrame) -> DataFrame:
+#: Events of a block of transitivity(), of all types.
+BLOCK = 400_000
+
+
+def _ways(rows):
+    """event, transitivity of one type's block: counts of pairs at its start (pos -1), then its events in their order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = rows.sort_by("pos")
+    out, into, sums = {}, {}, []
+    for x, y, pos, n in zip(*(rows.column(c).to_pylist() for c in ("src", "dst", "pos", "n"))):
+        a, b = out.setdefault(x, {}), into.setdefault(y, {})
+        if pos >= 0:
+            small, large = (a, b) if len(a) <= len(b) else (b, a)
+            sums.append(sum(v * large[k] for k, v in small.items() if k in large))
+        a[y] = b[x] = a.get(y, 0) + n
+    return pa.table({"event": rows.column("event").filter(pc.greater_equal(rows.column("pos"), 0)), "transitivity": pa.array(sums, pa.int64())})
+
+
+def transitivity(e: DataFrame, block: int = BLOCK) -> DataFrame:
     """event, transitivity: over all k, how many earlier events of the type lead from src to k, times how many from k to dst.
     e: events with pos (from positions() or replayed()).
 
-    The sum is carried as growth: an event i to k adds the count of k to j so far, and the other way round. Growth is summed
-    for each pair and position before the pair's own events look it up, so a pair's events are not repeated for each k.
+    Positions are cut into blocks of `block`. A block gets its events and, at its start, the counts of the legs that its pairs
+    ask for; within it the counts are kept up to date and each event's sum is made anew. So neither a hub's ways are spelt out nor
+    a row made for each event and triangle: rows grow with the events, and with blocks times the triangles of their pairs.
     """
-    up = growth(e, staged(_triples(e))).withColumn("event", F.lit(None).cast(e.schema["event"].dataType))
-    asked = e.select("type", "src", "dst", "pos", F.lit(0).cast("long").alias("g"), "event")
-    each = up.unionByName(asked).groupBy("type", "src", "dst", "pos").agg(F.sum("g").alias("g"), F.max("event").alias("event"))
-    return running_sums(staged(each), ["type", "src", "dst"], "pos", {"transitivity": F.col("g")}, inclusive=False).where("event is not null").select("event", "transitivity")
+    t = staged(_triples(e))
+    cut = F.floor(F.col("pos") / block).alias("block")
+    asked = e.select("type", cut, F.col("src").alias("i"), F.col("dst").alias("j")).distinct().join(t, ["type", "i", "j"])
+    legs = asked.select("type", "block", F.inline(F.array(F.struct(F.col("i").alias("src"), F.col("k").alias("dst")), F.struct(F.col("k").alias("src"), F.col("j").alias("dst"))))).distinct()
+    zero = F.lit(0).cast("long")
+    counts = e.groupBy("type", cut, "src", "dst").agg(F.count("*").alias("n")).select("type", "block", "src", "dst", "n", F.lit(False).alias("leg"))
+    marks = counts.unionByName(legs.select("type", "block", "src", "dst", zero.alias("n"), F.lit(True).alias("leg"))).groupBy("type", "block", "src", "dst").agg(F.sum("n").alias("n"), F.max("leg").alias("leg"))
+    before = Window.partitionBy("type", "src", "dst").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = marks.withColumn("n", F.sum("n").over(before)).where("leg and n > 0")
+    none = F.lit(None).cast(e.schema["event"].dataType)
+    rows = start.select("type", "block", "src", "dst", F.lit(-1).cast("long").alias("pos"), "n", none.alias("event"))
+    rows = rows.unionByName(e.select("type", cut, "src", "dst", F.col("pos").cast("long").alias("pos"), F.lit(1).cast("long").alias("n"), "event"))
+    return rows.groupBy("type", "block").applyInArrow(_ways, f"event {e.schema['event'].dataType.simpleString()}, transitivity long")
 
 
 def likeness(events: DataFrame, nodes: DataFrame, scores: list[str], kind: str) -> DataFrame:
