@@ -51,11 +51,18 @@ def test_fold_keeps_what_is_not_written(spark):
         assert (r.type, r.time, r.local_order, r.pathway, r.catalysis_type) == ("reaction", 1, 4, None, "INHIBITION")
 
 
-def test_ranks_do_not_send_the_true_ones_to_the_driver(spark):
-    c = spark.range(1200).selectExpr("id div 12 query", "id * 31 % 101 score", "id % 12 = 0 is_true")
-    r = metrics.ranks_of_true(c)
-    assert "Broadcast" not in r._jdf.queryExecution().executedPlan().toString()
-    assert r.count() == 100
+def test_grouped_fold_equals_the_log(spark):
+    rng = random.Random(4)
+    some = lambda: sorted(rng.sample("abcdef", rng.randrange(0, 5)))
+    rows = [(i, rng.choice([None, *"abcdef"]), rng.choice(["ACTIVATION", None]), rng.choice(["p", "q", None]), i, rng.choice([i, None]), some(), some()) for i in rng.sample(range(200), 60)]
+    r = spark.createDataFrame(rows, "reaction long, catalyst string, control string, pathway string, time long, local_order long, lefts array<string>, rights array<string>")
+    side = lambda c: r.select("reaction", F.posexplode(c).alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
+    log = edges.catalysis_writes(r, side("lefts")).unionByName(edges.reaction_writes(r, side("lefts"), side("rights")))
+    want, got = edges.fold(log), edges.folded(r, 3)
+    assert want.count() > 30 and got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # writes are spelt out behind the shuffle
 
 
 def test_long_chains_are_told_in_few_rounds(spark):
@@ -80,18 +87,20 @@ def test_acyclic_against_brute_force(spark):
         assert analytics.is_acyclic(spark.createDataFrame(sorted(pairs), "src int, dst int")) == (not left)
 
 
-def test_grouped_fold_equals_the_log(spark):
-    rng = random.Random(4)
-    some = lambda: sorted(rng.sample("abcdef", rng.randrange(0, 5)))
-    rows = [(i, rng.choice([None, *"abcdef"]), rng.choice(["ACTIVATION", None]), rng.choice(["p", "q", None]), i, rng.choice([i, None]), some(), some()) for i in rng.sample(range(200), 60)]
-    r = spark.createDataFrame(rows, "reaction long, catalyst string, control string, pathway string, time long, local_order long, lefts array<string>, rights array<string>")
-    side = lambda c: r.select("reaction", F.posexplode(c).alias("pos", "label")).withColumn("pos", F.col("pos").cast("long"))
-    log = edges.catalysis_writes(r, side("lefts")).unionByName(edges.reaction_writes(r, side("lefts"), side("rights")))
-    want, got = edges.fold(log), edges.folded(r, 3)
-    assert want.count() > 30 and got.columns == want.columns
-    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
-    plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1  # writes are spelt out behind the shuffle
+def test_ranks_do_not_send_the_true_ones_to_the_driver(spark):
+    c = spark.range(1200).selectExpr("id div 12 query", "id * 31 % 101 score", "id % 12 = 0 is_true")
+    r = metrics.ranks_of_true(c)
+    assert "Broadcast" not in r._jdf.queryExecution().executedPlan().toString()
+    assert r.count() == 100
+
+
+def test_disease_ranks_need_no_single_task(spark):
+    r = spark.createDataFrame([(i, None if i % 9 == 0 else i * 7 % 50) for i in range(100)], "reaction long, step_key long")
+    x = overlay.ranked(r, 4)
+    assert "SinglePartition" not in x._jdf.queryExecution().executedPlan().toString()
+    want = sorted((-1 if r.step_key is None else r.step_key, r.reaction) for r in r.collect())
+    assert [y.reaction for y in x.orderBy("time").collect()] == [y for _, y in want]
+    assert x.agg(F.min("time"), F.max("time")).first()[:] == (5, 104)
 
 
 def test_splits_and_targets(spark):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from weft.operators import closure
+from weft.operators.rank import global_rank
 
 
 def name_index(nodes: DataFrame) -> DataFrame:
@@ -89,8 +91,12 @@ def diseases(pathways: DataFrame, members: DataFrame) -> DataFrame:
 
 def ranked(reactions: DataFrame, base: int) -> DataFrame:
     """D10, D15. time = base + 1 + rank by step key; a reaction without an anchor uses its rank too."""
-    w = Window.orderBy("step_key", "reaction")  # the reactions of one disease file
-    return reactions.withColumn("time", F.lit(base) + F.row_number().over(w))
+    if not isinstance(reactions.schema["step_key"].dataType, NumericType):
+        w = Window.orderBy("step_key", "reaction")  # the reactions of one disease file
+        return reactions.withColumn("time", F.lit(base) + F.row_number().over(w))
+    by = F.coalesce(F.col("step_key").cast("double"), F.lit(float("-inf")))  # nulls come first
+    x = global_rank(reactions, by, [F.col("step_key"), F.col("reaction")], "time")
+    return x.withColumn("time", F.lit(base) + 1 + F.col("time"))
 
 
 def loss_edges(reactions: DataFrame, branches: DataFrame, variants: DataFrame) -> DataFrame:
