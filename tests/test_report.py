@@ -47,3 +47,18 @@ def test_chain_histogram(spark):
     assert all(r.low <= 10 < r.high for r in got if r.pathways == 2)
     one = sorted(tuple(r) for r in report.chain_histogram(spark.createDataFrame(rows[:1], SCHEMA)).collect())
     assert one == [(0, 0.5, 1.5, 1, 1.0), (1, 1.5, 2.5, 0, 1.0)]
+
+
+def test_growth_bands_read_the_edges_once(spark):
+    from weft.operators import analytics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([("p", i) for i in range(5)] + [("q", 2)], "pathway string, local_order long").coalesce(1)
+    x = analytics.growth_bands(e.mapInArrow(count, e.schema))
+    assert x.count() == 5 and seen.value == 6

@@ -37,10 +37,10 @@ def recruitment(edges: DataFrame) -> DataFrame:
 
 def growth_bands(edges: DataFrame, max_step: int | None = None) -> DataFrame:
     """A07. For steps 0 to the greatest local order (or max_step, if less) the median and quartiles over pathways of edges up to that local order."""
-    top = F.max("local_order").cast("int")
-    last = edges.agg((top if max_step is None else F.least(top, F.lit(max_step))).alias("_last"))
-    grid = edges.select("pathway").distinct().join(F.broadcast(last)).select("pathway", F.explode(F.sequence(F.lit(0), "_last")).alias("step"))  # last has one row
-    n = edges.groupBy("pathway", F.col("local_order").cast("int").alias("step")).agg(F.count("*").alias("n"))
+    n = staged(edges.groupBy("pathway", F.col("local_order").cast("int").alias("step")).agg(F.count("*").alias("n")))
+    top = F.max("step")
+    last = n.agg((top if max_step is None else F.least(top, F.lit(max_step))).alias("_last"))
+    grid = n.select("pathway").distinct().join(F.broadcast(last)).select("pathway", F.explode(F.sequence(F.lit(0), "_last")).alias("step"))  # last has one row
     w = Window.partitionBy("pathway").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     total = grid.join(n, ["pathway", "step"], "left").select("step", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("total"))
     q = lambda p: F.round(F.percentile("total", F.lit(p)), 4)
