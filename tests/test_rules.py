@@ -94,6 +94,12 @@ def test_ranks_do_not_send_the_true_ones_to_the_driver(spark):
     assert r.count() == 100
 
 
+def test_pathway_table_in_one_pass(spark):
+    rows = [("a", "b", "reaction", 3, 1, "p"), ("a", "c", None, 5, 0, "p"), ("b", "a", "catalysis", 2, None, "p"), ("x", None, "reaction", None, 4, "q"), ("x", "y", "reaction", 1, 1, None)]
+    e = spark.createDataFrame(rows, "src string, dst string, type string, time long, local_order long, pathway string")
+    assert sorted(map(tuple, analytics.pathway_table(e).collect())) == [("p", 3, 5, 2, 0.5, 3), ("q", 1, None, 5, 1.0, 1)]
+
+
 def test_disease_ranks_need_no_single_task(spark):
     r = spark.createDataFrame([(i, None if i % 9 == 0 else i * 7 % 50) for i in range(100)], "reaction long, step_key long")
     x = overlay.ranked(r, 4)

@@ -52,6 +52,18 @@ def chain_lengths(edges: DataFrame) -> DataFrame:
     return edges.groupBy("pathway").agg((F.max("local_order") + 1).alias("length"))
 
 
+def pathway_table(edges: DataFrame) -> DataFrame:
+    """A02. Of each pathway its edges, last time, chain, share of reaction edges and nodes, in one pass: an edge counts with its source."""
+    zero, none = F.lit(0), lambda kind: F.lit(None).cast(kind)
+    kind = F.col("type") == "reaction"
+    own = F.struct(F.col("src").alias("label"), F.lit(1).alias("e"), kind.cast("int").alias("r"), kind.isNotNull().cast("int").alias("k"), F.col("time").cast("long").alias("t"), F.col("local_order").cast("long").alias("o"))
+    far = F.struct(F.col("dst").alias("label"), zero.alias("e"), zero.alias("r"), zero.alias("k"), none("long").alias("t"), none("long").alias("o"))
+    x = edges.where("pathway is not null").select("pathway", F.inline(F.array(own, far)))
+    n = x.groupBy("pathway", "label").agg(F.sum("e").alias("e"), F.sum("r").alias("r"), F.sum("k").alias("k"), F.max("t").alias("t"), F.max("o").alias("o"))
+    share = F.round(F.try_divide(F.sum("r"), F.sum("k")), 6)
+    return n.groupBy("pathway").agg(F.sum("e").alias("n_edges"), F.max("t").alias("last_time"), (F.max("o") + 1).alias("chain"), share.alias("reaction_share"), F.count("label").alias("n_nodes"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """label, n_out, n_in, degree."""
     x = edges.select(F.inline(F.array(F.struct(F.col("src").alias("label"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("label"), F.lit(0).alias("o")))))

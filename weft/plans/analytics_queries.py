@@ -23,10 +23,7 @@ def a01(spark, d):
 
 @query("a02_pathway_table", A + ", x as (select pathway, src as label, time from edges union all select pathway, dst, time from edges), e as (select pathway, count(*)::bigint n_edges, max(time) last_time, max(local_order) + 1 chain, round(avg((type = 'reaction')::int), 6) reaction_share from edges group by pathway) select pathway, n_edges, last_time, chain, reaction_share, n_nodes from e join (select pathway, count(distinct label)::bigint n_nodes from x group by pathway) using (pathway)")
 def a02(spark, d):
-    g = graph(spark, d)
-    e = g.groupBy("pathway").agg(F.count("*").alias("n_edges"), F.max("time").alias("last_time"), (F.max("local_order") + 1).alias("chain"), F.round(F.avg((F.col("type") == "reaction").cast("int")), 6).alias("reaction_share"))
-    n = g.select("pathway", F.explode(F.array("src", "dst")).alias("label")).groupBy("pathway").agg(F.countDistinct("label").alias("n_nodes"))
-    return e.join(n, "pathway")
+    return analytics.pathway_table(graph(spark, d))
 
 
 @query("a03_first_seen", A + _SEEN + "select label, first_time from seen")
