@@ -9,6 +9,10 @@ from weft.operators.closure import staged
 from weft.operators.rank import global_rank, running_sums
 
 
+#: So many taken ids of a source and type are kept beside each of its edges; more are joined.
+INLINE = 1024
+
+
 def draw(*parts: Column) -> Column:
     """A number below 2^32 from the MD5 of the parts."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
@@ -95,18 +99,48 @@ def partner_free_negatives(edges: DataFrame, train: DataFrame, nodes: DataFrame,
     """T10. k nodes of the end's type that are neither the end, nor the source, nor one of its train partners: distinct ones
     where the pool has k, with replacement where it is smaller, any nodes where it is empty. Rows of one edge and source count as one.
 
-    The first k of tries x k drawn candidates are taken; edges that get fewer draw anew from their whole pool (_from_pool).
+    The first k of tries x k drawn candidates are taken; edges that get fewer draw anew from their whole pool (_from_pool). An edge
+    draws beside the list of its source's taken ids until it has k, so candidates are no rows. Sources with more than INLINE
+    taken ids of a type and edges with ends of several types draw by joins (_by_joins), with the same result.
     """
-    own = edges.select("edge", "src", "dst")
+    own = edges.select("edge", "src", "dst").where("src is not null")
     partners = train.select("src", F.col("dst").alias("negative")).distinct()
+    by_label = nodes.select("label", "type", "id")
+    sizes = nodes.groupBy("type").agg(F.count("*").alias("n"))
+    itself = own.select("src").distinct().select("src", F.col("src").alias("negative"))
+    taken = partners.unionByName(itself).join(by_label.withColumnRenamed("label", "negative"), "negative").select("src", "type", "id").distinct()
+    first = Window.partitionBy("src", "type").orderBy("id")
+    taken = taken.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= INLINE + 1).groupBy("src", "type").agg(F.collect_list("id").alias("taken"))
+    x = own.join(by_label.withColumnRenamed("label", "dst"), "dst", "left").repartition("edge", "src").groupBy("edge", "src")
+    x = x.agg(F.min("dst").alias("dst"), F.collect_set("id").alias("ends"), F.min("type").alias("type"), F.max("type").alias("_t"))
+    x = x.join(F.broadcast(sizes), "type", "left").join(taken, ["src", "type"], "left").withColumn("taken", F.coalesce("taken", F.slice("ends", 1, 0)))  # sizes has a row for each type
+    rest = F.coalesce((F.col("type") != F.col("_t")) | (F.size("taken") > INLINE), F.lit(False))
+
+    def take(acc, i):
+        """acc with the i-th draw behind it, where that is free and acc not full; a draw is made only if it is needed."""
+        free = lambda c: ~F.array_contains("taken", c) & ~F.array_contains("ends", c) & ~F.array_contains(acc, c)
+        drawn = F.array(F.pmod(draw(F.lit(seed), F.col("edge"), i), F.col("n")))
+        return F.when(F.size(acc) < k, F.transform(drawn, lambda c: F.when(free(c), F.concat(acc, F.array(c))).otherwise(acc))[0]).otherwise(acc)
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(k * tries - 1)), F.array().cast("array<bigint>"), take)
+    x = staged(x.select("edge", "src", "dst", "type", F.when(~rest, found).alias("found")))
+    kept = x.where(F.size("found") == k).select("edge", "type", F.explode("found").alias("id")).join(by_label, ["type", "id"]).select("edge", F.col("label").alias("negative"))
+    short, hard = x.where(F.size("found") < k).select("edge", "src", "dst"), x.where("found is null").select("edge", "src")
+    if hard.limit(1).count():
+        more, few = _by_joins(own.join(hard, ["edge", "src"], "left_semi"), partners, nodes, k, seed, tries)
+        kept, short = kept.unionByName(more), short.unionByName(few)
+    return kept.unionByName(_from_pool(short, partners, nodes, k, seed, k * tries)) if short.limit(1).count() else kept
+
+
+def _by_joins(own: DataFrame, partners: DataFrame, nodes: DataFrame, k: int, seed: int, tries: int) -> tuple[DataFrame, DataFrame]:
+    """edge, negative of the edges that get k of their draws; and the others (edge, src, dst). Every draw is a row."""
     some = typed_negatives(own, nodes, k * tries, seed).where("negative <> src")
     free = some.join(partners, ["src", "negative"], "left_anti").join(own.withColumnRenamed("dst", "negative"), ["edge", "src", "negative"], "left_anti")
     first = free.groupBy("edge", "src", "negative").agg(F.min("i").alias("i"))
     first = first.withColumn("r", F.row_number().over(Window.partitionBy("edge", "src").orderBy("i", "negative"))).where(F.col("r") <= k)
     enough = first.where(F.col("r") == k).select("edge", "src")
     short = own.join(enough, ["edge", "src"], "left_anti").groupBy("edge", "src").agg(F.min("dst").alias("dst"))
-    kept = first.join(enough, ["edge", "src"], "left_semi").select("edge", "negative")
-    return kept.unionByName(_from_pool(short, partners, nodes, k, seed, k * tries))
+    return first.join(enough, ["edge", "src"], "left_semi").select("edge", "negative"), short
 
 
 def _from_pool(edges: DataFrame, partners: DataFrame, nodes: DataFrame, k: int, seed: int, start: int) -> DataFrame:
