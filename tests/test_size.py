@@ -29,3 +29,21 @@ def test_draws_beside_the_source_are_those_of_the_joins(spark, monkeypatch):
     monkeypatch.setattr(splits, "_by_joins", no)
     one = e.where("edge > 8")
     assert take(one, nodes) == Counter({x: n for x, n in here.items() if x[0] > 8})
+
+
+def test_pooling_pairs_only_what_holds_a_vector(spark, monkeypatch):
+    m = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(12)] + [("c12", "q"), ("c12", "r"), ("d", "p"), ("d", "q"), ("p", "d")], "parent string, child string")
+    things = [*[(f"c{k}", "complex", k, None) for k in range(13)], ("d", "complex", 20, None), ("p", "protein", 30, [1.0, 3.0]), ("q", "protein", 31, None), ("r", "protein", 32, [1.0])]
+    n = spark.createDataFrame(things, "label string, type string, ord long, feature array<float>")
+    t = n.select(F.col("label").alias("id"), "label", "ord")
+    plain, pairs = features.reachable, []
+
+    def counted(*a):
+        found = plain(*a)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(features, "reachable", counted)
+    got = {r.label: r.feature for r in features.nested_pooled(m, t, n).collect()}
+    assert got == {**{f"c{k}": [0.0, 0.0] for k in range(13)}, "d": [1.0, 3.0]}
+    assert pairs == [2]  # p with itself and with d

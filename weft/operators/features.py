@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.closure import reachable
+from weft.operators.closure import reachable, staged
 
 
 def first_seen_vocabulary(x: DataFrame, value: str, order: str, unknown: bool) -> DataFrame:
@@ -26,12 +26,6 @@ def pooled(members: DataFrame, features: DataFrame, key: str) -> DataFrame:
     return m.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("feature"))
 
 
-def _means(x: DataFrame, key: str) -> DataFrame:
-    """key, mean: of x (key, vec), position by position."""
-    each = x.select(key, F.posexplode("vec").alias("pos", "v")).groupBy(key, "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("mean"))
-
-
 def nested_pooled(members: DataFrame, things: DataFrame, nodes: DataFrame, kind: str = "complex") -> DataFrame:
     """F09. label, feature of every complex among the nodes: the mean feature of all leaves inside it, however deep.
 
@@ -39,17 +33,24 @@ def nested_pooled(members: DataFrame, things: DataFrame, nodes: DataFrame, kind:
     ord, feature; one row for each label. A thing counts once however many ways lead to it, so cycles end; things whose
     label is no node lead nowhere. Leaves count if their feature is as wide as that of the first leaf that has one. A complex
     without such leaves has zeros; where no leaf has a feature, nothing is known and features are null.
+
+    The walk goes up from the leaves that count, so what leads to none of them is never paired.
     """
-    is_complex = F.col("type") == kind
-    known = things.join(nodes.select("label", "type", "feature"), "label").select("id", "label", "ord", "type", "feature")
-    width = nodes.where(~F.coalesce(is_complex, F.lit(False)) & F.col("feature").isNotNull()).agg(F.min_by(F.size("feature"), F.struct("ord", "label")).alias("width"))
-    roots = known.where(is_complex).groupBy("label").agg(F.min_by("id", F.struct("ord", "id")).alias("root"))
-    inner = members.select("parent", "child").join(known.where(is_complex).select(F.col("id").alias("parent")), "parent", "left_semi")
-    inner = inner.join(known.select(F.col("id").alias("child")), "child", "left_semi").distinct()
-    leaves = known.where(~F.coalesce(is_complex, F.lit(False))).join(F.broadcast(width), F.size("feature") == F.col("width")).select(F.col("id").alias("node"), F.col("feature").alias("vec"))
-    found = reachable(inner, roots).join(leaves, "node").select("root", "vec")
-    out = nodes.where(is_complex).select("label").join(roots, "label", "left").join(_means(found, "root"), "root", "left").join(F.broadcast(width))
-    return out.select("label", F.when(F.col("width").isNotNull(), F.coalesce("mean", F.array_repeat(F.lit(0.0), F.col("width")))).alias("feature"))
+    is_complex = F.coalesce(F.col("type") == kind, F.lit(False))
+    known = staged(things.join(nodes.select("label", is_complex.alias("inner"), "feature"), "label").select("id", "label", "ord", "inner", F.when(~F.col("inner"), F.col("feature")).alias("feature")))
+    width = nodes.where(~is_complex & F.col("feature").isNotNull()).agg(F.min_by(F.size("feature"), F.struct("ord", "label"))).first()[0]
+    out = nodes.where(is_complex).select("label")
+    if width is None:
+        return out.select("label", F.lit(None).cast("array<double>").alias("feature"))
+    leaves = known.where(~F.col("inner") & (F.size("feature") == width)).select(F.col("id").alias("root"), F.col("feature").alias("vec"))
+    roots = known.where("inner").groupBy("label").agg(F.min_by("id", F.struct("ord", "id")).alias("node"))
+    ends = known.where(F.col("inner") | (F.size("feature") == width)).select(F.col("id").alias("child"))
+    up = members.select("parent", "child").join(ends, "child", "left_semi").join(known.where("inner").select(F.col("id").alias("parent")), "parent", "left_semi").distinct()
+    found = reachable(up.select(F.col("child").alias("parent"), F.col("parent").alias("child")), leaves)
+    mean = found.repartition("node").join(leaves, "root").groupBy("node").agg(*[F.avg(F.col("vec")[i].cast("double")).alias(f"v{i}") for i in range(width)])
+    mean = mean.select("node", F.array(*[F.col(f"v{i}") for i in range(width)]).cast("array<double>").alias("mean"))
+    out = out.join(roots, "label", "left").join(mean, "node", "left")
+    return out.select("label", F.coalesce("mean", F.array_repeat(F.lit(0.0), width)).alias("feature"))
 
 
 def terms_appended(nodes: DataFrame, terms: DataFrame, vectors: DataFrame, prefix: str = "GO:") -> DataFrame:
