@@ -31,6 +31,18 @@ def test_draws_beside_the_source_are_those_of_the_joins(spark, monkeypatch):
     assert take(one, nodes) == Counter({x: n for x, n in here.items() if x[0] > 8})
 
 
+def test_add_if_absent_in_one_pass(spark):
+    r, left = adapter.reactions(spark, SMALL), adapter.side(spark, SMALL, "left")
+    x = r.join(adapter.sides(spark, SMALL, 4), "reaction").select("time", "lefts")
+    for a, b in ((10, 3), (3, 5), (2, 997)):
+        offered = edges.partner_writes(r.where(f"time % {a} = 0"), left, "k").select("src", "dst", "time")
+        there = edges.partner_writes(r.where(f"time % {b} = 0"), left, "k")
+        want = edges.first_only(there, offered, "time").collect()
+        got = edges.first_offered(edges.partners(x, 4), "time", F.col("time") % a == 0, F.col("time") % b == 0).collect()
+        assert sorted(map(tuple, got)) == sorted((w.src, w.dst, w.time) for w in want)
+    assert want
+
+
 def test_pooling_pairs_only_what_holds_a_vector(spark, monkeypatch):
     m = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(12)] + [("c12", "q"), ("c12", "r"), ("d", "p"), ("d", "q"), ("p", "d")], "parent string, child string")
     things = [*[(f"c{k}", "complex", k, None) for k in range(13)], ("d", "complex", 20, None), ("p", "protein", 30, [1.0, 3.0]), ("q", "protein", 31, None), ("r", "protein", 32, [1.0])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOG = ("src", "dst", "type", "time", "local_order", "pathway", "catalysis_type", "seq")
@@ -69,6 +69,21 @@ def first_only(existing: DataFrame, offered: DataFrame, order: str) -> DataFrame
     return new.groupBy("src", "dst").agg(*[F.min_by(c, order).alias(c) for c in keep], F.min(order).alias(order))
 
 
+def partners(reactions: DataFrame, parts: int | None = None) -> DataFrame:
+    """The pairs of partner_writes(), without seq: src, dst and the other columns of `reactions`, whose rows carry lefts, distinct labels.
+    A row for each source of a reaction, with all its partners, goes to the source's part of `parts`; pairs are spelt out there."""
+    rest = [c for c in reactions.columns if c != "lefts"]
+    x = reactions.select(*rest, "lefts", F.explode("lefts").alias("src"))
+    x = x.repartition(parts, "src") if parts else x.repartition("src")
+    return x.select("src", F.explode("lefts").alias("dst"), *rest).where("src <> dst")
+
+
+def first_offered(writes: DataFrame, order: str, offered: Column, existing: Column) -> DataFrame:
+    """G08, G09. first_only() where one table holds both: of the pairs that no `existing` row has, the least `order` of the `offered` rows."""
+    x = writes.groupBy("src", "dst").agg(F.min(F.when(offered, F.col(order))).alias(order), F.count_if(offered).alias("_o"), F.count_if(existing).alias("_e"))
+    return x.where("_o > 0 and _e = 0").select("src", "dst", order)
+
+
 def without_loops(edges: DataFrame) -> DataFrame:
     """G11."""
     return edges.where("src <> dst")

@@ -43,9 +43,9 @@ def side(spark, d: str, name: str) -> DataFrame:
     return x.withColumn("pos", (F.row_number().over(Window.partitionBy("reaction").orderBy("label")) - 1).cast("long"))
 
 
-def sides(spark, d: str) -> DataFrame:
-    """reaction, lefts, rights: the labels of both sides in their order."""
-    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), "l_suppkey", "l_partkey").repartition("reaction")
+def sides(spark, d: str, parts: int) -> DataFrame:
+    """reaction, lefts, rights: the labels of both sides in their order, in so many parts."""
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), "l_suppkey", "l_partkey").repartition(parts, "reaction")
     labels = lambda mark, key: F.transform(F.sort_array(F.collect_set(F.struct(F.concat(F.lit(mark), key).alias("l")))), lambda s: s["l"])
     return x.groupBy("reaction").agg(labels("s", "l_suppkey").alias("lefts"), labels("p", "l_partkey").alias("rights"))
 
