@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.closure import staged
@@ -78,9 +78,11 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
     return n.select("degree", "nodes", F.round(F.sum("nodes").over(w) / total, 6).alias("ccdf"))
 
 
-def clipped(edges: DataFrame, types: DataFrame, q: float = 0.99) -> DataFrame:
-    """A13. By node type: in and out degree limits at the q-th percentile, and nodes beyond either."""
-    d = degrees(edges).join(types, "label")
+def clipped(edges: DataFrame, types: DataFrame | Column, q: float = 0.99) -> DataFrame:
+    """A13. By node type: in and out degree limits at the q-th percentile, and nodes beyond either. types: label, type, or the type as a
+    function of label."""
+    d = degrees(edges)
+    d = staged(d.withColumn("type", types) if isinstance(types, Column) else d.join(types, "label"))  # read twice
     lim = d.groupBy("type").agg(F.percentile("n_in", F.lit(q)).alias("in_limit"), F.percentile("n_out", F.lit(q)).alias("out_limit"))
     return d.join(lim, "type").groupBy("type").agg(F.round(F.max("in_limit"), 4).alias("in_limit"), F.round(F.max("out_limit"), 4).alias("out_limit"), F.count_if((F.col("n_in") > F.col("in_limit")) | (F.col("n_out") > F.col("out_limit"))).alias("clipped"))
 

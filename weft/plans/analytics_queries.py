@@ -107,9 +107,7 @@ def a12(spark, d):
 
 @query("a13_clipped_degrees", A + _DEG + ", l as (select substr(label, 1, 1) as type, quantile_cont(n_in, 0.99) i, quantile_cont(n_out, 0.99) o from deg group by 1) select l.type, round(max(i), 4) in_limit, round(max(o), 4) out_limit, count(*) filter (where n_in > i or n_out > o)::bigint clipped from deg join l on substr(label, 1, 1) = l.type group by l.type")
 def a13(spark, d):
-    g = graph(spark, d)
-    types = g.select(F.explode(F.array("src", "dst")).alias("label")).distinct().select("label", F.substring("label", 1, 1).alias("type"))
-    return analytics.clipped(g, types)
+    return analytics.clipped(graph(spark, d), F.substring("label", 1, 1))
 
 
 @query("a14_type_breakdown", A + "select type, count(*)::bigint n, round(count(*) / (select count(*) from edges), 6) share from edges group by type")
