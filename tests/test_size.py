@@ -71,6 +71,6 @@ def test_base_time_without_a_fold(spark, monkeypatch):
     assert graph_queries.o08(spark, SMALL).collect() == [(want,)]
 
 
-def test_degrees_fold_once(spark):
-    for f in (analytics_queries.a13,):
+def test_degrees_and_first_times_fold_once(spark):
+    for f in (analytics_queries.a13, analytics_queries.a04):
         assert "lineitem" not in f(spark, SMALL)._jdf.queryExecution().toString()  # the fold is behind a staged table, not in each branch

@@ -17,7 +17,7 @@ def first_seen(edges: DataFrame) -> DataFrame:
 
 def recruitment_tail(edges: DataFrame, share: float = 0.8) -> DataFrame:
     """A04. Share of nodes first seen after `share` of the last first-seen time (taken as 1 where it is 0)."""
-    seen = first_seen(edges)
+    seen = staged(first_seen(edges))  # read twice
     top = seen.agg(F.max("first_time").alias("_t"))
     late = F.col("first_time") > share * F.when(F.col("_t") == 0, 1).otherwise(F.col("_t"))
     return seen.join(F.broadcast(top)).agg(F.round(F.avg(late.cast("double")), 6).alias("tail"))  # top has one row
