@@ -74,3 +74,21 @@ def test_base_time_without_a_fold(spark, monkeypatch):
 def test_degrees_and_first_times_fold_once(spark):
     for f in (analytics_queries.a13, analytics_queries.a04):
         assert "lineitem" not in f(spark, SMALL)._jdf.queryExecution().toString()  # the fold is behind a staged table, not in each branch
+
+
+def test_the_fold_in_numbers_is_that_of_the_labels(spark):
+    log = graph_queries.log(spark, SMALL)
+    want, got = edges.fold(log), graph_queries.graph(spark, SMALL)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    assert "SortAggregate" not in graph_queries.coded_graph(spark, SMALL)._jdf.queryExecution().executedPlan().toString()  # values of fixed width, so nothing is sorted for the fold
+
+
+def test_codes_keep_labels(spark, tmp_path):
+    spark.createDataFrame([(1, None, 7), (1, -3, 7), (1, 2, None), (2, 0, 5)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 4, None, 1), (2, -4, "F", 0)], "o_orderkey long, o_custkey long, o_orderstatus string, d int").selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "timestamp_seconds(d) o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(4, 1), (-4, 2)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, "A"), (2, None)], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    got = {tuple(r) for r in graph_queries.graph(spark, str(tmp_path)).collect()}
+    one = {(s, p, "reaction", 1, 0, "A", None) for s in ("s-3", "s2", None) for p in ("p7", None)} | {("c4", s, "catalysis", 1, 0, "A", "ACTIVATION") for s in ("s-3", "s2", None)}
+    assert got == one | {("c-4", "s0", "catalysis", 0, 0, None, "INHIBITION"), ("s0", "p5", "reaction", 0, 0, None, None)}

@@ -3,7 +3,7 @@ reactants, its parts products, its customer the catalyst; a customer's nation is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.rank import global_rank
@@ -26,11 +26,14 @@ edges as (select src, dst, arg_max(type, seq) as type, max(time) as time, arg_ma
 
 def reactions(spark, d: str) -> DataFrame:
     """reaction, catalyst, control, pathway, time (global rank), local_order (rank in its pathway)."""
-    o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
-    r = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
-        F.col("o_orderkey").alias("reaction"), F.concat(F.lit("c"), "o_custkey").alias("catalyst"),
-        F.when(F.col("o_orderstatus") == "F", "INHIBITION").otherwise("ACTIVATION").alias("control"), F.col("n_name").alias("pathway"), "o_orderdate",
-    )
+    control = F.when(F.col("o_orderstatus") == "F", "INHIBITION").otherwise("ACTIVATION")
+    return _ordered(spark, d, table(spark, d, "nation"), F.concat(F.lit("c"), "o_custkey"), control, "n_name")
+
+
+def _ordered(spark, d: str, nation: DataFrame, catalyst: Column, control: Column, pathway: str) -> DataFrame:
+    o, c = (table(spark, d, x) for x in ("orders", "customer"))
+    r = o.join(c, o.o_custkey == c.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    r = r.select(F.col("o_orderkey").alias("reaction"), catalyst.alias("catalyst"), control.alias("control"), F.col(pathway).alias("pathway"), "o_orderdate")
     r = global_rank(r, F.unix_micros(F.col("o_orderdate").cast("timestamp")), [F.col("reaction")], "time")
     w = Window.partitionBy("pathway").orderBy("time")
     return r.withColumn("local_order", (F.row_number().over(w) - 1).cast("long")).drop("o_orderdate")
@@ -53,3 +56,41 @@ def sides(spark, d: str, parts: int) -> DataFrame:
 def parts(spark, d: str) -> int:
     """So many parts that about a million writes fall to each."""
     return max(spark.sparkContext.defaultParallelism, table(spark, d, "lineitem").count() // 200_000)
+
+
+#: What labels begin with; a label's code is four times its number plus the place of its mark here.
+MARKS = "spc"
+#: The code of a null label: sets keep no nulls.
+NO_LABEL = -(2**63)
+
+
+def _code(mark: str, key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long") * 4 + MARKS.index(mark), F.lit(NO_LABEL))
+
+
+def _label(code: str) -> Column:
+    mark = F.substr(F.lit(MARKS), (F.col(code).bitwiseAND(3) + 1).cast("int"), F.lit(1))
+    return F.when(F.col(code) != NO_LABEL, F.concat(mark, F.shiftright(code, 2).cast("string"))).alias(code)
+
+
+def _pathways(spark, d: str) -> DataFrame:
+    """nation with a number for each name (25 rows)."""
+    return table(spark, d, "nation").withColumn("_pathway", F.dense_rank().over(Window.orderBy("n_name")))
+
+
+def coded(spark, d: str, parts: int) -> DataFrame:
+    """reactions() with both sides(), all in numbers: labels by their codes, pathways by those of their names, control as whether it inhibits.
+    So the fold aggregates values of fixed width, without sorts. Sides are in the order of codes; order within a side only counts for
+    a catalyst that stands on the left, which no customer does."""
+    r = _ordered(spark, d, _pathways(spark, d), _code("c", "o_custkey"), F.coalesce(F.col("o_orderstatus") == "F", F.lit(False)), "_pathway")
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), "l_suppkey", "l_partkey").repartition(parts, "reaction")
+    codes = lambda mark, key: F.sort_array(F.collect_set(_code(mark, key)))
+    return r.join(x.groupBy("reaction").agg(codes("s", "l_suppkey").alias("lefts"), codes("p", "l_partkey").alias("rights")), "reaction")
+
+
+def decoded(spark, d: str, edges: DataFrame) -> DataFrame:
+    """Folded edges of coded() reactions with labels, names and words again."""
+    names = _pathways(spark, d).groupBy("_pathway").agg(F.first("n_name").alias("_name"))
+    control = F.when(F.col("catalysis_type"), "INHIBITION").when(~F.col("catalysis_type"), "ACTIVATION")
+    x = edges.join(names, F.col("pathway") == F.col("_pathway"), "left")  # goes where no one asks for the name
+    return x.select(_label("src"), _label("dst"), "type", "time", "local_order", F.col("_name").alias("pathway"), control.alias("catalysis_type"))
