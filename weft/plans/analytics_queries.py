@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.operators import analytics, report
 from weft.operators.closure import staged
 from weft.plans import adapter
-from weft.plans.graph_queries import graph
+from weft.plans.graph_queries import coded_graph, graph
 from weft.plans.registry import query, table
 
 A = "with " + adapter.SQL
@@ -38,7 +38,7 @@ def a04(spark, d):
 
 @query("a05_edge_growth", A + "select type, time, (sum(count(*)) over (partition by type order by time))::bigint total from edges group by type, time")
 def a05(spark, d):
-    return analytics.growth(graph(spark, d))
+    return analytics.growth(coded_graph(spark, d))
 
 
 @query("a06_recruitment", A + _SEEN + "select first_time as time, count(*)::bigint as new, (sum(count(*)) over (order by first_time))::bigint total from seen group by first_time")
