@@ -43,7 +43,7 @@ def a05(spark, d):
 
 @query("a06_recruitment", A + _SEEN + "select first_time as time, count(*)::bigint as new, (sum(count(*)) over (order by first_time))::bigint total from seen group by first_time")
 def a06(spark, d):
-    return analytics.recruitment(graph(spark, d))
+    return analytics.recruitment(coded_graph(spark, d))
 
 
 @query("a07_growth_bands", A + ", g as (select pathway, step from (select distinct pathway from edges), (select unnest(range(max(local_order) + 1)) step from edges)), n as (select pathway, local_order step, count(*) n from edges group by all), t as (select pathway, step, sum(coalesce(n, 0)) over (partition by pathway order by step) total from g left join n using (pathway, step)) select step::int step, round(quantile_cont(total, 0.25), 4) low, round(quantile_cont(total, 0.5), 4) median, round(quantile_cont(total, 0.75), 4) high from t group by step")
