@@ -33,7 +33,7 @@ def a03(spark, d):
 
 @query("a04_recruitment_tail", A + _SEEN + "select round(avg((first_time > 0.8 * (select max(first_time) from seen))::int), 6) tail from seen")
 def a04(spark, d):
-    return analytics.recruitment_tail(graph(spark, d))
+    return analytics.recruitment_tail(coded_graph(spark, d))
 
 
 @query("a05_edge_growth", A + "select type, time, (sum(count(*)) over (partition by type order by time))::bigint total from edges group by type, time")
@@ -102,7 +102,7 @@ def a08_histogram(spark, d):
 
 @query("a12_degree_distribution", A + _DEG + ", n as (select degree, count(*)::bigint nodes from deg group by degree) select degree, nodes, round(sum(nodes) over (order by degree desc) / (select sum(nodes) from n), 6) ccdf from n")
 def a12(spark, d):
-    return analytics.degree_distribution(graph(spark, d))
+    return analytics.degree_distribution(coded_graph(spark, d))
 
 
 @query("a13_clipped_degrees", A + _DEG + ", l as (select substr(label, 1, 1) as type, quantile_cont(n_in, 0.99) i, quantile_cont(n_out, 0.99) o from deg group by 1) select l.type, round(max(i), 4) in_limit, round(max(o), 4) out_limit, count(*) filter (where n_in > i or n_out > o)::bigint clipped from deg join l on substr(label, 1, 1) = l.type group by l.type")
