@@ -114,3 +114,11 @@ def test_fit_of_nothing(spark):
     e = replay.positions(spark.createDataFrame([(1, 1, 1, "x", 0), (2, 1, 99, "x", 0), (3, None, 2, "x", 0)], SCHEMA))
     assert choice.fit(choice.choice_tables(e, nodes(spark)), choice.CHOICE).count() == 0
     assert choice.fit(choice.rate_tables(e, nodes(spark), ["s"]), choice.rates(["s"])).count() == 0
+
+
+def test_steps_shuffle_totals_only(spark):
+    e = replay.positions(spark.createDataFrame(some(60, 4), SCHEMA))
+    rows, _, names = choice.choice_tables(e, nodes(spark))
+    assert names and rows.count() > 60
+    plan = rows.groupBy("model", "grp", "bucket").agg({"n_same": "sum"})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # each group's bucket lies in one file that Spark knows of

@@ -5,7 +5,8 @@ conditional logits: an event's likelihood is exp(b x) of the one that was chosen
 be. That sum is never spelt out for each event. It starts from the standing of all alternatives before the first event, and
 each event changes the statistics of few: the sum at an event is the start plus the running sum of what the changes before it
 added and took away, and so are the moments that the gradient and the Hessian need. Rows are therefore as many as events and
-changes, not events times nodes. A step of Newton's method is one job over them; the driver sees a few totals for each type.
+changes, not events times nodes. They are written once by group and bucket of positions; a step of Newton's method is one job over
+them that shuffles totals of buckets only. The driver sees a few totals for each type.
 
 Rows are tagged by the model (an event type) and the group whose alternatives they change: the sender for choices, one
 group for rates. Positions are dense, so buckets of positions bound every window however large a group is.
@@ -19,13 +20,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.operators.closure import staged
+from weft.operators.closure import bucketed, staged
 from weft.operators.rank import running_sums
 from weft.operators.replay import growth
 
 STEPS = 50
 #: Positions in a bucket: the most events that a window of one group holds.
 BUCKET = 100_000
+#: Rows of a file of the table that each step of Newton's method reads.
+FILE = 250_000
 #: The statistics of each specification, the full one first; the first that can be fitted is taken.
 CHOICE = (
     ("inertia", "reciprocity", "transitivity", "same"), ("inertia", "reciprocity", "same"), ("inertia", "same"), ("inertia",),
@@ -55,7 +58,9 @@ def _tables(rows: DataFrame, chosen: Column, names: list[str]) -> DataFrame:
     bucket = F.floor(F.col("pos") / BUCKET).alias("bucket")
     changes = rows.select("model", "grp", bucket, "pos", F.lit(False).alias("asks"), *values("n", "o"))
     asks = rows.where(chosen).select("model", "grp", bucket, "pos", F.lit(True).alias("asks"), *values("o", "o"))
-    return staged(changes.unionByName(asks))
+    whole = staged(changes.unionByName(asks))
+    files = max(whole.sparkSession.sparkContext.defaultParallelism, whole.count() // FILE)
+    return bucketed(whole, ["model", "grp", "bucket"], files)
 
 
 def choice_tables(e: DataFrame, nodes: DataFrame, transitive: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:

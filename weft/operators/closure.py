@@ -32,8 +32,19 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Paths of loop tables, with their sessions.
+def bucketed(df: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """staged(), with all rows of a value of `by` in one of `parts` files that Spark knows of: steps that group by these columns do not shuffle."""
+    spark, name = df.sparkSession, f"weft_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weft/{name}"
+    _left[path] = spark
+    _named.append(name)
+    df.repartition(parts, *by).write.bucketBy(parts, *by).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+#: Paths of loop tables, with their sessions, and the names of those that have one.
 _left: dict[str, SparkSession] = {}
+_named: list[str] = []
 
 
 @atexit.register
@@ -42,6 +53,8 @@ def _sweep() -> None:
         sc = spark.sparkContext
         if sc._jsc is None or sc._jsc.sc().isStopped():  # the session has ended before; its owner empties the folder
             continue
+        if (name := path.rsplit("/", 1)[-1]) in _named:
+            spark.sql(f"drop table if exists {name}")
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
