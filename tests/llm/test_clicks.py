@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import os
 import zlib
 
 from weft.llm import clicks
@@ -72,3 +73,20 @@ def test_pages_keep_windows():
     clicks.fold(windows, [(3, 58, b"b" * 32, 2, 7), (3, 59, b"c" * 32, 3, 9), (4, 1, b"d" * 32, 1, 5)], 2, closed)
     assert closed == [(3, 10, 3, 2, 14, b"a" * 32, 2)]
     assert windows[3] == [59, 2, 0, 0, b"c" * 32] and windows[4] == [1, 0, 0, 0, b"d" * 32]
+
+
+def test_stores_hold_no_native_memory(spark, monkeypatch):
+    """Every start opens a store for each shuffle partition, so none may leave memory behind outside the heap."""
+    files, drop = [], clicks.Scratch.drop
+
+    def look(self, *labels):
+        if "checkpoint" in labels:
+            files.extend(f"{d}/{x}" for d, _, names in os.walk(self.paths["checkpoint"].removeprefix("file:") + "/state/0") for x in names)
+        drop(self, *labels)
+
+    monkeypatch.setattr(clicks.Scratch, "drop", look)
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(i % 90, at(i), at(i * 7 % 400), i % 5, "a", 1.0, "", 1, 1) for i in range(300)]
+    assert clicks.windows(spark, spark.createDataFrame(rows, SCHEMA), 4).count()
+    kinds = {os.path.splitext(x)[1] for x in files if "/_metadata/" not in x} - {".crc"}
+    assert ".snapshot" in kinds and kinds <= {".delta", ".snapshot"}, kinds
