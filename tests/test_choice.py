@@ -122,3 +122,38 @@ def test_steps_shuffle_totals_only(spark):
     assert names and rows.count() > 60
     plan = rows.groupBy("model", "grp", "bucket").agg({"n_same": "sum"})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # each group's bucket lies in one file that Spark knows of
+
+
+def test_choice_query_has_transitivity(spark, monkeypatch):
+    """Of all specifications the query tries the full one first: its terms are brute force's over all customers."""
+    from weft.plans import ml_queries
+
+    monkeypatch.setattr(ml_queries, "history", lambda *_: spark.createDataFrame(some(300, 1), SCHEMA).repartition(3))
+    monkeypatch.setattr(ml_queries, "actors", lambda *_: nodes(spark))
+    got = ml_queries.l07_choice(spark, None).collect()
+    for kind in "xy":
+        sets = choice_sets(some(300, 1), kind)
+        beta, value = newton(sets, [0, 1, 2, 3])
+        mine = [r for r in got if r.model == kind]
+        assert {(r.spec, r.events) for r in mine} == {("inertia + reciprocity + transitivity + same", len(sets))}
+        close({r.term: r.beta for r in mine} | {"ll": mine[0].log_likelihood}, dict(zip(("inertia", "reciprocity", "transitivity", "same"), beta)) | {"ll": value})
+
+
+def test_replay_equals_rows(spark, monkeypatch):
+    """Blocks, chunks, nodes without events, and too many nodes for a replay."""
+    rows = [(k, i, j, t, w) for k, i, j, t, w in some(240, 6) if 7 not in (i, j)] + [(1000, 2, 99, "x", 5)]
+    e = replay.positions(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    monkeypatch.setattr(choice, "BLOCK", 31)
+    monkeypatch.setattr(choice, "CELLS", 70)
+    n = spark.createDataFrame([(k, KINDS.get(k, "a")) for k in [*range(N), 20, 21]], "label long, kind string")
+    want = {(r.model, r.term): (r.beta, r.log_likelihood, r.events) for r in choice.fit(choice.choice_tables(e, n, True), choice.CHOICE).collect()}
+    found = choice.choice_replay(e, n)
+    assert found.rows.select("model", "block").distinct().count() > 8
+    assert "Exchange" not in found.rows.groupBy("model", "block").agg({"n": "sum"})._jdf.queryExecution().executedPlan().toString()
+    for dense in (8, 7):
+        monkeypatch.setattr(choice, "DENSE", dense)
+        assert (choice.choice_replay(e, n) is None) == (dense == 7)
+        got = {(r.model, r.term): (r.beta, r.log_likelihood, r.events) for r in choice.fit_choice(e, n).collect()}
+        assert len(got) == 8 and got.keys() == want.keys()
+        for k, v in want.items():
+            assert got[k][2] == v[2] and np.allclose(got[k], v, rtol=1e-6)

@@ -10,13 +10,20 @@ them that shuffles totals of buckets only. The driver sees a few totals for each
 
 Rows are tagged by the model (an event type) and the group whose alternatives they change: the sender for choices, one
 group for rates. Positions are dense, so buckets of positions bound every window however large a group is.
+
+Transitivity makes each event change as many alternatives as its ends have partners. Where the events of a type join few nodes
+these rows would be many times the events, so the choice model is replayed there instead (fit_choice()): a block of positions starts
+from the counts of all pairs, and each event's alternatives are weighed as they stand, while the counts are kept up to date.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from itertools import combinations_with_replacement
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +31,24 @@ from weft.operators.closure import bucketed, staged
 from weft.operators.rank import running_sums
 from weft.operators.replay import growth
 
+#: _weighed() travels with its code: the executors' Python workers need not find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STEPS = 50
 #: Positions in a bucket: the most events that a window of one group holds.
 BUCKET = 100_000
 #: Rows of a file of the table that each step of Newton's method reads.
 FILE = 250_000
+#: The most nodes that events of a type may join to be replayed.
+DENSE = 1_000
+#: Positions of a replayed block, its rows in a file, and alternatives that are weighed at a time.
+BLOCK, REPLAYED_FILE, CELLS = 200_000, 50_000, 32_768
 #: The statistics of each specification, the full one first; the first that can be fitted is taken.
 CHOICE = (
     ("inertia", "reciprocity", "transitivity", "same"), ("inertia", "reciprocity", "same"), ("inertia", "same"), ("inertia",),
 )
 UNKNOWN = "unk"
+MOVING = ("inertia", "reciprocity", "transitivity")
 
 
 def rates(scores: list[str]) -> tuple[tuple[str, ...], ...]:
@@ -46,6 +61,15 @@ def _events(e: DataFrame) -> DataFrame:
     return e.where("src <> dst").select("type", "src", "dst", "pos")
 
 
+def _kinds(nodes: DataFrame) -> DataFrame:
+    return nodes.select("label", F.coalesce("kind", F.lit(UNKNOWN)).alias("kind"))
+
+
+def _between(e: DataFrame, known: DataFrame) -> DataFrame:
+    """Events of two different nodes that are known (label)."""
+    return _events(e).join(known.select(F.col("label").alias("src")), "src", "left_semi").join(known.select(F.col("label").alias("dst")), "dst", "left_semi")
+
+
 def _new_and_old(deltas: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """deltas (keys, pos, d_<name>) with n_<name> and o_<name>: each statistic after and before the change."""
     x = running_sums(staged(deltas), keys, "pos", {f"n_{n}": F.col(f"d_{n}") for n in names})
@@ -68,11 +92,11 @@ def choice_tables(e: DataFrame, nodes: DataFrame, transitive: bool = False) -> t
 
     Alternatives are all nodes but the sender; events of a node with itself and events whose ends are no nodes are left out.
     A null kind is a kind of its own. Without `transitive` the statistic is left out, as in the second specification: the ways
-    through a node are as many as its events times its receivers, and each changes an alternative.
+    through a node are as many as its events times its receivers, and each changes an alternative. fit_choice() has it always.
     """
-    kinds = nodes.select("label", F.coalesce("kind", F.lit(UNKNOWN)).alias("kind"))
+    kinds = _kinds(nodes)
     end = lambda c: kinds.select(F.col("label").alias(c), F.col("kind").alias(f"{c}_kind"))
-    ev = staged(_events(e).join(kinds.select(F.col("label").alias("src")), "src", "left_semi").join(kinds.select(F.col("label").alias("dst")), "dst", "left_semi"))
+    ev = staged(_between(e, kinds))
     zero = lambda n: F.lit(0).cast("long").alias(n)
     one = lambda n: F.lit(1).cast("long").alias(n)
     parts = [
@@ -86,7 +110,7 @@ def choice_tables(e: DataFrame, nodes: DataFrame, transitive: bool = False) -> t
     deltas = parts[0]
     for p in parts[1:]:
         deltas = deltas.unionByName(p)
-    moving = ["inertia", "reciprocity", "transitivity"]
+    moving = list(MOVING)
     deltas = deltas.groupBy("type", "src", "dst", "pos").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in moving])
     same = (F.col("src_kind") == F.col("dst_kind")).cast("double")
     x = _new_and_old(deltas, ["type", "src", "dst"], moving).join(end("src"), "src").join(end("dst"), "dst")
@@ -103,8 +127,7 @@ def choice_tables(e: DataFrame, nodes: DataFrame, transitive: bool = False) -> t
 def rate_tables(e: DataFrame, nodes: DataFrame, scores: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows and start of the rate model. Alternatives are all nodes; nodes: label and scores, of which a null is 0."""
     known = nodes.select("label", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s_{c}") for c in scores])
-    ends = known.select("label")
-    ev = staged(_events(e).join(ends.withColumnRenamed("label", "src"), "src", "left_semi").join(ends.withColumnRenamed("label", "dst"), "dst", "left_semi"))
+    ev = staged(_between(e, known))
     half = lambda c, out: ev.select("type", F.col(c).alias("label"), "pos", F.lit(1 - out).cast("long").alias("d_in_degree"), F.lit(out).cast("long").alias("d_out_degree"))
     degrees = ["in_degree", "out_degree"]
     x = _new_and_old(half("src", 1).unionByName(half("dst", 0)), ["type", "label"], degrees).join(known, "label")
@@ -166,6 +189,127 @@ def _number(v) -> float:
     return float("nan") if v is None else float(v)
 
 
+class Replay:
+    """The choice model with all its statistics, event by event, for events that join at most `DENSE` nodes of each type.
+
+    rows: model, block, pos, s, d, n (the ends by their numbers in the type): at pos -1 how many events of a pair came before the block, then
+    the block's events. A step of Newton's method reads them in blocks, without a shuffle. seats: model -> for each number the
+    place of its kind, and how many nodes of that kind no event of the type joins; the rest of all nodes, which differ by their kinds
+    only, count as two alternatives with their numbers as weights.
+    """
+
+    names = [*MOVING, "same"]
+
+    def __init__(self, rows: DataFrame, seats: dict):
+        self.rows, self.seats = rows, seats
+        self.models = list(seats)
+
+    def totals(self, betas: dict) -> dict:
+        """As totals()."""
+        seats, k = self.seats, len(self.names)
+
+        def block(rows):
+            import pyarrow as pa
+
+            model = rows.column("model")[0].as_py()
+            found = _weighed(rows, seats[model], betas[model]) if model in betas else None
+            sums = np.zeros((0, 2 + k + k * k)) if found is None else np.concatenate([[found[0], found[3]], found[1], found[2].ravel()])[None]
+            at = [rows.column(c).slice(0, len(sums)) for c in ("model", "block")]
+            return pa.table([*at, pa.array(list(sums), pa.list_(pa.float64()))], ["model", "block", "sums"])
+
+        found = self.rows.groupBy("model", "block").applyInArrow(block, f"model {self.rows.schema['model'].dataType.simpleString()}, block long, sums array<double>").collect()
+        out = {}
+        for r in sorted(found, key=lambda r: r["block"]):
+            out[r["model"]] = out.get(r["model"], 0.0) + np.array(r["sums"], dtype=float)
+        return {m: (v[0], v[2 : 2 + k], v[2 + k :].reshape(k, k), int(v[1])) for m, v in out.items()}
+
+
+def _weighed(rows, seats: tuple, beta: np.ndarray) -> tuple:
+    """Log likelihood, gradient, Hessian of its negative and events of one type's block."""
+    rows = rows.sort_by("pos")
+    pos, s, d, n = (rows.column(c).to_numpy() for c in ("pos", "s", "d", "n"))
+    kind, others, rest = seats
+    size, before = len(kind), int((pos < 0).sum())
+    same = np.zeros((size, size + 2))  # behind the numbered nodes stand all others of the sender's kind, then all of other kinds
+    same[:, :size] = kind[:, None] == kind[None, :]
+    same[:, size] = 1.0
+    weight = np.ones((size, size + 2))
+    weight[:, size], weight[:, size + 1] = others, rest - others
+    np.fill_diagonal(weight, 0.0)
+    out = np.zeros((size, size))
+    out[s[:before], d[:before]] = n[:before]
+    into, ways = out.T.copy(), out @ out
+    s, d = s[before:].tolist(), d[before:].tolist()
+    value, grad, hess, many = 0.0, np.zeros(4), np.zeros((4, 4)), max(1, CELLS // (size + 2))
+    with np.errstate(all="ignore"):
+        weight = np.log(weight)
+        x = np.zeros((4, many, size + 2))
+        for lo in range(0, len(s), many):
+            a, b = s[lo : lo + many], d[lo : lo + many]
+            for c, (i, j) in enumerate(zip(a, b)):
+                x[0, c, :size], x[1, c, :size], x[2, c, :size] = out[i], into[i], ways[i]
+                ways[i] += out[j]
+                ways[:, j] += into[i]
+                out[i, j] += 1
+                into[j, i] += 1
+            m = len(a)
+            here, y = np.arange(m), x[:, :m]
+            y[3] = same[a]
+            u = weight[a]
+            for t in range(4):
+                if beta[t]:
+                    u += beta[t] * y[t]
+            top = u.max(1, keepdims=True)
+            chosen = u[here, b]
+            p = np.exp(u - top)
+            total = p.sum(1, keepdims=True)
+            value += float((chosen - (top + np.log(total))[:, 0]).sum())
+            p /= total
+            far = []
+            for t in range(4):
+                mean = (p * y[t]).sum(1)
+                grad[t] += (y[t, here, b] - mean).sum()
+                far.append(y[t] - mean[:, None])
+            for t in range(4):
+                w = p * far[t]
+                for v in range(t, 4):
+                    hess[t, v] += np.vdot(w, far[v])
+        hess = np.triu(hess) + np.triu(hess, 1).T
+    return value, grad, hess, len(s)
+
+
+def choice_replay(e: DataFrame, nodes: DataFrame) -> Replay | None:
+    """What choice_tables() reads, for Replay; None where the events of a type join more than `DENSE` nodes."""
+    kinds = _kinds(nodes)
+    ev = staged(_between(e, kinds).withColumnRenamed("type", "model"))
+    ends = staged(ev.select("model", F.explode(F.array("src", "dst")).alias("label")).distinct())
+    if ends.groupBy("model").count().where(F.col("count") > DENSE).limit(1).count():
+        return None
+    ids = staged(ends.withColumn("i", (F.row_number().over(Window.partitionBy("model").orderBy("label")) - 1).cast("long")))
+    size = staged(kinds.groupBy("kind").agg(F.count("*").alias("alike")))
+    total = size.agg(F.sum("alike")).first()[0]
+    seats: dict = {}
+    for r in sorted(ids.join(kinds, "label").join(size, "kind").select("model", "i", "kind", "alike").collect(), key=lambda r: r.i):
+        seats.setdefault(r.model, []).append((r.kind, r.alike))
+    for model, them in seats.items():
+        place = {k: at for at, k in enumerate(dict(them))}
+        kind = np.array([place[k] for k, _ in them])
+        seats[model] = (kind, np.array([alike for _, alike in them]) - np.bincount(kind)[kind], total - len(them))
+    x = ev
+    for end, to in (("src", "s"), ("dst", "d")):
+        x = x.join(ids.select("model", F.col("label").alias(end), F.col("i").alias(to)), ["model", end])
+    x = staged(x.select("model", F.floor(F.col("pos") / BLOCK).alias("block"), F.col("pos").cast("long").alias("pos"), "s", "d"))
+    pair = ["model", "s", "d"]
+    counts = staged(x.groupBy(*pair, "block").agg(F.count("*").alias("n")))
+    grid = counts.select(*pair).distinct().join(counts.select("model", "block").distinct(), "model")
+    up = Window.partitionBy(*pair).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = grid.join(counts, [*pair, "block"], "left").withColumn("n", F.sum("n").over(up)).where("n > 0")
+    columns = ["model", "block", "pos", "s", "d", "n"]
+    whole = start.withColumn("pos", F.lit(-1).cast("long")).select(*columns).unionByName(x.withColumn("n", F.lit(1).cast("long")).select(*columns))
+    files = max(ev.sparkSession.sparkContext.defaultParallelism, x.count() // REPLAYED_FILE)
+    return Replay(bucketed(whole, ["model", "block"], files), seats)
+
+
 class _Fit:
     """The driver's side of one model: which specification, where Newton's method stands, and where it tries next."""
 
@@ -208,15 +352,26 @@ def fit(tables: tuple[DataFrame, DataFrame, list[str]], specs: tuple[tuple[str,
     All types take a step together. The driver solves one small system for each type; types are a fixed vocabulary.
     """
     rows, start, names = tables
+    models = [r[0] for r in rows.select("model").distinct().collect()]
+    return _fitted(rows, models, names, specs, lambda betas: totals(rows, start, names, betas))
+
+
+def fit_choice(e: DataFrame, nodes: DataFrame, specs: tuple[tuple[str, ...], ...] = CHOICE) -> DataFrame:
+    """fit() of the choice model with all its statistics. e, nodes: as for choice_tables()."""
+    r = choice_replay(e, nodes)
+    return fit(choice_tables(e, nodes, transitive=True), specs) if r is None else _fitted(r.rows, r.models, r.names, specs, r.totals)
+
+
+def _fitted(rows: DataFrame, models: list, names: list[str], specs: tuple[tuple[str, ...], ...], step: Callable[[dict], dict]) -> DataFrame:
     specs = [s for s in specs if set(s) <= set(names)]
     spark: SparkSession = rows.sparkSession
-    fits = {r[0]: _Fit(names, specs) for r in rows.select("model").distinct().collect()}
+    fits = {m: _Fit(names, specs) for m in models}
     seen: dict = {}
     while True:
         open_ = {m: f.try_ for m, f in fits.items() if not f.done}
         if not open_:
             break
-        for m, (value, grad, hess, n) in totals(rows, start, names, open_).items():
+        for m, (value, grad, hess, n) in step(open_).items():
             seen[m] = n
             fits[m].take(value, grad, hess)
     out = []
