@@ -62,3 +62,65 @@ def test_growth_bands_read_the_edges_once(spark):
     e = spark.createDataFrame([("p", i) for i in range(5)] + [("q", 2)], "pathway string, local_order long").coalesce(1)
     x = analytics.growth_bands(e.mapInArrow(count, e.schema))
     assert x.count() == 5 and seen.value == 6
+
+
+def test_forests_join_what_the_edges_join(spark, monkeypatch):
+    """Chunks, forests that are let go, and several parts; loops and a null end too."""
+    import random
+
+    from weft.operators import analytics, forest
+
+    for name, n in (("CHUNK", 7), ("MOST", 9), ("PART", 20)):
+        monkeypatch.setattr(forest, name, n)
+    r = random.Random(1)
+    rows = [(r.randrange(-40, 40) * 9 + k, r.randrange(-40, 40) * 9 + k) for k in (0, 1) for _ in range(45)] + [(7000 + k, 7001 + k) for k in range(30)] + [(5, 5), (None, 8000), (8000, None)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in rows:
+        a, b = sorted((top(b if a is None else a), top(a if b is None else b)))
+        up[b] = a
+    want = {x: top(x) for x in up}
+    for kind in ("long", "int"):
+        e = spark.createDataFrame(rows, f"src {kind}, dst {kind}").repartition(3)
+        found = analytics.weak_components(e)
+        assert {x.label: x.component for x in found.collect()} == want and found.count() == len(want) and found.dtypes == [("label", e.dtypes[0][1]), ("component", e.dtypes[0][1])]
+        assert {x.component: x.size for x in analytics.component_sizes(e).collect()} == {c: sum(v == c for v in want.values()) for c in want.values()}
+    monkeypatch.undo()
+    at, links = forest.hung(spark.createDataFrame([(j, i) for j in range(60) for i in range(j)], "u long, v long").repartition(3))
+    assert at.count() == 60 and links.count() <= 8  # of 1770: what is left for the loop does not grow with the edges
+
+
+def test_queries_of_reports_write_numbers(spark, monkeypatch):
+    """The graph is written once, in numbers: its labels are spelt out where hubs are shown, and nowhere else."""
+    from weft.operators import report
+    from weft.plans import analytics_queries
+
+    written, plain = [], report.staged
+
+    def kept(df):
+        written.append(df.dtypes)
+        return plain(df)
+
+    monkeypatch.setattr(report, "staged", kept)
+    assert analytics_queries.a01_profile(spark, "/root/testdata/sf0.001").count() == 23
+    whole = [dict(x) for x in written if {"src", "dst"} <= set(dict(x))]
+    assert len(whole) == 1 and (whole[0]["src"], whole[0]["dst"]) == ("bigint", "bigint")
+
+
+def test_fold_by_target_is_that_by_source(spark):
+    from weft.plans import graph_queries
+
+    a, b = (graph_queries.coded_graph(spark, "/root/testdata/sf0.001", by) for by in ("src", "dst"))
+    assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    from weft.operators import edges
+
+    lefts = [(["c", "a", "b"], "b"), (["a", "b"], "c"), (["a", "c"], None), ([], "a")]  # a catalyst that stands on the left
+    rows = [(t, t, "p", "k", l, ["b", "d"], c) for t, (l, c) in enumerate(lefts * 2)]
+    r = spark.createDataFrame(rows, "time long, local_order long, pathway string, control string, lefts array<string>, rights array<string>, catalyst string")
+    a, b = (edges.folded(r, 3, by) for by in ("src", "dst"))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() > 6

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import forest
 from weft.operators.closure import staged
 from weft.operators.edges import endpoints
 from weft.operators.rank import running_sums
@@ -113,14 +114,42 @@ def summary(edges: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """A09. label, component (its least label).
+    """A09. label, component (its least label). Labels that are whole numbers are first hung in forests (forest.hung())."""
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null")
+    if e.schema["u"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        kind = e.schema["u"].dataType
+        at, tops = _hung_components(e)
+        found = at.join(tops, "v", "left").select("u", F.coalesce("c", "v").alias("c"))
+        return found.select(*[F.col(c).cast(kind).alias(n) for c, n in (("u", "label"), ("c", "component"))])
+    e = staged(e.distinct())
+    labels = e.select(F.explode(F.array("u", "v")).alias("label")).distinct()
+    stars = _stars(e.where("u <> v"))
+    return labels.join(stars, F.col("label") == F.col("u"), "left").select("label", F.coalesce("v", "label").alias("component"))
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """component (its least label), size."""
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null")
+    if e.schema["u"].dataType.typeName() != "long":
+        return weak_components(edges).groupBy("component").agg(F.count("*").alias("size"))
+    at, tops = _hung_components(e)
+    n = at.groupBy("v").agg(F.count("*").alias("n"))
+    return n.join(tops, "v", "left").groupBy(F.coalesce("c", "v").alias("component")).agg(F.sum("n").alias("size"))
+
+
+def _hung_components(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """forest.hung() nodes u, v, and v, c: the least label of v's component, where it is not v."""
+    at, links = forest.hung(e)
+    return at, _stars(staged(links)).select(F.col("u").alias("v"), F.col("v").alias("c"))
+
+
+def _stars(e: DataFrame) -> DataFrame:
+    """u, v: each node of the edges u > v that is not the least of its component, and the least.
 
     Alternating stars: every node's greater neighbours are hung on the least thing it sees, then every node hangs itself and
-    its lesser neighbours on the least of them, until nothing changes. Then each node hangs on its component's least label.
+    its lesser neighbours on the least of them, until nothing changes.
     """
-    e = staged(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null").distinct())
-    labels = edges.select(F.explode(F.array("src", "dst")).alias("label")).where("label is not null").distinct()
-    e, before = e.where("u <> v"), None
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -131,13 +160,19 @@ def weak_components(edges: DataFrame) -> DataFrame:
         e = staged(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return labels.join(e, F.col("label") == F.col("u"), "left").select("label", F.coalesce("v", "label").alias("component"))
+            return e
         before = now
 
 
-def trim(edges: DataFrame, peels: int = 3, rounds: int | None = None) -> DataFrame:
-    """Edges left after taking out, again and again (or `rounds` times), nodes without edges in or without edges out. Several layers go between two writes."""
-    e = staged(edges.select("src", "dst").where("src <> dst").distinct())
+def trim(edges: DataFrame, peels: int = 3, rounds: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """Edges left after taking out, again and again (or `rounds` times), nodes without edges in or without edges out. Several layers go between two writes.
+    ends (degrees() of the edges), if given: the first layer goes before anything is written or shuffled by it."""
+    e = edges.select("src", "dst").where("src <> dst")
+    if ends is not None:
+        inner = staged(ends.where("n_in > 0 and n_out > 0").select("label"))
+        for c in ("src", "dst"):
+            e = e.join(inner.withColumnRenamed("label", c), c, "left_semi")
+    e = staged(e.select("src", "dst").distinct())
     n, left = e.count(), rounds
     while n and left != 0:
         left = None if left is None else left - 1
@@ -186,12 +221,20 @@ def is_acyclic(edges: DataFrame) -> bool:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """A10. label, component (its least label) for nodes in components of two or more; all other nodes are their own.
+    """A10. label, component (its least label) for nodes in components of two or more; all other nodes are their own."""
+    found = strong_cores(trim(edges))
+    labels = edges.select(F.explode(F.array("src", "dst")).alias("label")).distinct()
+    if found is None:
+        return labels.select("label", F.col("label").alias("component"))
+    return labels.join(found, "label", "left").select("label", F.coalesce("component", "label").alias("component"))
+
+
+def strong_cores(e: DataFrame) -> DataFrame | None:
+    """label, component (its least label) of the nodes in strong components of two or more; None where there is none. e: what trim() left.
 
     Colouring: in what is left of the graph the least label that reaches each node is its colour; the nodes that reach
     back to their colour's node within the colour are one component and are taken out.
     """
-    e = trim(edges)
     found = None
     while e.limit(1).count():
         colour = staged(endpoints(e.withColumn("time", F.lit(0))).select("label").distinct().select("label", F.col("label").alias("colour")))
@@ -213,10 +256,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = got if found is None else found.unionByName(got)
         rest = e.join(got.select(F.col("label").alias("src")), "src", "left_anti").join(got.select(F.col("label").alias("dst")), "dst", "left_anti").select("src", "dst")
         e = trim(rest)
-    labels = edges.select(F.explode(F.array("src", "dst")).alias("label")).distinct()
-    if found is None:
-        return labels.select("label", F.col("label").alias("component"))
-    return labels.join(found, "label", "left").select("label", F.coalesce("component", "label").alias("component"))
+    return found
 
 
 def component_buckets(components: DataFrame) -> DataFrame:

@@ -40,22 +40,30 @@ def fold(log: DataFrame) -> DataFrame:
     return log.groupBy("src", "dst").agg(last("type"), last("time"), last("local_order"), last("pathway"), F.expr("max_by(catalysis_type, seq) filter (where type = 'catalysis')").alias("catalysis_type"))
 
 
-def folded(reactions: DataFrame, parts: int | None = None) -> DataFrame:
+def folded(reactions: DataFrame, parts: int | None = None, by: str = "src") -> DataFrame:
     """fold() of the catalysis and reaction writes of `reactions`, whose rows carry their sides: lefts and rights, distinct labels in
     their order. time differs from reaction to reaction.
 
-    A row for each source of a reaction, with all it leads to, goes to the source's part of `parts`; pairs are spelt out and folded there, so
+    A row for each source of a reaction, with all it leads to, goes to the source's part of `parts` (or, `by` dst, one for each target with
+    all that leads to it, to the target's); pairs are spelt out and folded there, so
     writes are neither sorted nor shuffled one by one. Within a reaction a pair is written once by each type at most: by catalysis
     last where the target stands behind the catalyst on the left side.
     """
     attributes = ["time", "local_order", "pathway", "control"]
-    own = F.struct(F.col("catalyst").alias("src"), F.lit(True).alias("_c"), F.array_position("lefts", F.col("catalyst")).alias("_at"), F.col("lefts").alias("_to"))
-    each = F.transform("lefts", lambda l: F.struct(l.alias("src"), F.lit(False).alias("_c"), F.lit(0).cast("long").alias("_at"), F.col("rights").alias("_to")))
-    none = F.slice(each, 1, 0)
-    x = reactions.select(*attributes, F.inline(F.concat(F.when(F.col("catalyst").isNotNull(), F.array(own)).otherwise(none), each)))
-    x = x.repartition(parts, "src") if parts else x.repartition("src")
-    x = x.select(*attributes, "src", "_c", "_at", F.posexplode("_to").alias("_pos", "dst"))
-    order = F.when(~F.col("_c"), 1).when(F.col("_pos") + 1 > F.col("_at"), 2).otherwise(0)
+    at = F.array_position("lefts", F.col("catalyst"))
+    ends = lambda here, c, at, pos, there: F.struct(here.alias(by), F.lit(c).alias("_c"), at.alias("_at"), pos.alias("_pos"), there.alias("_to"))
+    zero, none = F.lit(0).cast("long"), F.lit(0)
+    if by == "src":
+        own = F.array(ends(F.col("catalyst"), True, at, none, F.col("lefts")))
+        each = F.transform("lefts", lambda l: ends(l, False, zero, none, F.col("rights")))
+    else:
+        own = F.transform("lefts", lambda l, i: ends(l, True, at, i, F.array("catalyst")))
+        each = F.transform("rights", lambda r: ends(r, False, zero, none, F.col("lefts")))
+    x = reactions.select(*attributes, F.inline(F.concat(F.when(F.col("catalyst").isNotNull(), own).otherwise(F.slice(own, 1, 0)), each)))
+    x = x.repartition(parts, by) if parts else x.repartition(by)
+    other = "dst" if by == "src" else "src"
+    x = x.select(*attributes, by, "_c", "_at", "_pos", F.posexplode("_to").alias("_i", other))
+    order = F.when(~F.col("_c"), 1).when(F.col("_pos") + F.col("_i") + 1 > F.col("_at"), 2).otherwise(0)
     x = x.select("src", "dst", *attributes, "_c", (F.col("time") * 4 + order).alias("seq"))
     last = lambda c: F.max_by(c, "seq").alias(c)
     kind = F.when(F.max("seq") % 4 == 1, "reaction").otherwise("catalysis")

@@ -6,10 +6,10 @@ without a type reads unknown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.analytics import degrees, is_acyclic, strong_components, trim, weak_components
+from weft.operators.analytics import component_sizes, degrees, strong_cores, trim, weak_components
 from weft.operators.closure import staged
 
 BINS = 24
@@ -20,28 +20,43 @@ def _chains(edges: DataFrame) -> DataFrame:
     return known.groupBy("pathway").agg((F.max("local_order") + 1).cast("long").alias("length"))
 
 
-def profile(edges: DataFrame, types: DataFrame, hubs: int = 10) -> DataFrame:
+def _typed(nodes: DataFrame, types: DataFrame | Column) -> DataFrame:
+    return nodes.withColumn("type", types) if isinstance(types, Column) else nodes.join(types.select("label", "type"), "label", "left")
+
+
+def profile(edges: DataFrame, types: DataFrame | Column, hubs: int = 10, name: Column | None = None) -> DataFrame:
     """A01. item, key, value: what summary() leaves out. Items: node_type and edge_type (counts by type), hub (degree of the
     `hubs` nodes with most edges, ties by label), chain (pathways, min, median, max of the steps), orphan_edges (edges
     without a pathway or step), components (weak, strong) and dag (1 or 0). An empty graph has no types and no hubs, chains of
-    0, and is a dag."""
-    e = staged(edges.select("src", "dst", "type", "time", "pathway", "local_order").dropna(subset=["src", "dst"]))
+    0, and is a dag. types may be a function of label; name is what is shown of a label, itself if not given.
+
+    Edges are written once, and figures of edges and of nodes are each taken in one pass over them.
+    """
+    e = staged(edges.select("src", "dst", "type", "pathway", "local_order").dropna(subset=["src", "dst"]))
     row = lambda item, key, value: [F.lit(item).alias("item"), key.cast("string").alias("key"), value.cast("double").alias("value")]
     n = F.count("*")
-    d = degrees(e)
-    typed = d.join(types.select("label", "type"), "label", "left").groupBy(F.coalesce("type", F.lit("unknown")).alias("k")).agg(n.alias("n"))
+    d = staged(degrees(e).select("*", (F.col("label") if name is None else name).cast("string").alias("name")))
+    typed = _typed(d, types).groupBy(F.coalesce("type", F.lit("unknown")).alias("k")).agg(n.alias("n"))
+    orphan, loop = F.col("pathway").isNull() | F.col("local_order").isNull(), F.col("src") == F.col("dst")
+    by = staged(e.groupBy("type", "pathway").agg(n.alias("n"), F.max("local_order").alias("local_order"), F.count_if(orphan).alias("orphans"), F.count_if(loop).alias("loops")))
     parts = [
         typed.select(*row("node_type", F.col("k"), F.col("n"))),
-        e.groupBy(F.coalesce("type", F.lit("unknown")).alias("k")).agg(n.alias("n")).select(*row("edge_type", F.col("k"), F.col("n"))),
-        d.orderBy(F.desc("degree"), "label").limit(hubs).select(*row("hub", F.col("label"), F.col("degree"))),
-        e.agg(F.count_if(F.col("pathway").isNull() | F.col("local_order").isNull()).alias("n")).select(*row("orphan_edges", F.lit(""), F.col("n"))),
+        by.groupBy(F.coalesce("type", F.lit("unknown")).alias("k")).agg(F.sum("n").alias("n")).select(*row("edge_type", F.col("k"), F.col("n"))),
+        d.orderBy(F.desc("degree"), "name").limit(hubs).select(*row("hub", F.col("name"), F.col("degree"))),
+        by.agg(F.coalesce(F.sum("orphans"), F.lit(0)).alias("n")).select(*row("orphan_edges", F.lit(""), F.col("n"))),
     ]
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    c = _chains(e).agg(n.cast("double").alias("pathways"), zero(F.min("length")).alias("min"), zero(F.percentile("length", F.lit(0.5))).alias("median"), zero(F.max("length")).alias("max"))
+    c = _chains(by).agg(n.cast("double").alias("pathways"), zero(F.min("length")).alias("min"), zero(F.percentile("length", F.lit(0.5))).alias("median"), zero(F.max("length")).alias("max"))
     parts.append(c.select(F.inline(F.array(*[F.struct(*row("chain", F.lit(k), F.col(k))) for k in ("pathways", "min", "median", "max")]))))
-    for key, found in (("weak", weak_components(e)), ("strong", strong_components(e))):
-        parts.append(found.agg(F.countDistinct("component").alias("n")).select(*row("components", F.lit(key), F.col("n"))))
-    parts.append(e.limit(0).agg(F.lit(float(is_acyclic(e))).alias("n")).select(*row("dag", F.lit(""), F.col("n"))))
+    parts.append(component_sizes(e).agg(n.alias("n")).select(*row("components", F.lit("weak"), F.col("n"))))
+    rest = trim(e, ends=d)  # each node that is left leads to another, so there is a cycle if any is
+    cores = strong_cores(rest)
+    strong = d.agg(n.alias("n"))
+    if cores is not None:
+        strong = strong.unionByName(cores.agg((F.countDistinct("component") - n).alias("n"))).agg(F.sum("n").alias("n"))
+    parts.append(strong.select(*row("components", F.lit("strong"), F.col("n"))))
+    acyclic = cores is None and not by.where("loops > 0").limit(1).count()
+    parts.append(e.limit(0).agg(F.lit(float(acyclic)).alias("n")).select(*row("dag", F.lit(""), F.col("n"))))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

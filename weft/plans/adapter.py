@@ -68,14 +68,30 @@ def _code(mark: str, key: str) -> Column:
     return F.coalesce(F.col(key).cast("long") * 4 + MARKS.index(mark), F.lit(NO_LABEL))
 
 
-def _label(code: str) -> Column:
+def known(edges: DataFrame) -> DataFrame:
+    """Edges between codes of labels, without those that have a null end."""
+    return edges.where((F.col("src") != NO_LABEL) & (F.col("dst") != NO_LABEL))
+
+
+def kind(code: Column) -> Column:
+    """Suppliers are proteins, parts complexes, customers small molecules."""
+    return F.element_at(F.array(*map(F.lit, ("protein", "complex", "small_molecule"))), (code.bitwiseAND(3) + 1).cast("int"))
+
+
+def label(code: str) -> Column:
     mark = F.substr(F.lit(MARKS), (F.col(code).bitwiseAND(3) + 1).cast("int"), F.lit(1))
     return F.when(F.col(code) != NO_LABEL, F.concat(mark, F.shiftright(code, 2).cast("string"))).alias(code)
 
 
 def _pathways(spark, d: str) -> DataFrame:
-    """nation with a number for each name (25 rows)."""
-    return table(spark, d, "nation").withColumn("_pathway", F.dense_rank().over(Window.orderBy("n_name")))
+    """nation with a number for each name, null for none (25 rows)."""
+    return table(spark, d, "nation").withColumn("_pathway", F.when(F.col("n_name").isNotNull(), F.dense_rank().over(Window.orderBy("n_name"))))
+
+
+def graphs(spark, d: str) -> DataFrame:
+    """_pathway, graph, name: for each number of coded() pathways that of its graph, from 1, and the graph's name; no pathway has the empty one (25 rows)."""
+    x = _pathways(spark, d).select("_pathway", F.coalesce("n_name", F.lit("")).alias("name")).distinct()
+    return x.withColumn("graph", F.dense_rank().over(Window.orderBy("name")).cast("long"))
 
 
 def coded(spark, d: str, parts: int) -> DataFrame:
@@ -93,4 +109,4 @@ def decoded(spark, d: str, edges: DataFrame) -> DataFrame:
     names = _pathways(spark, d).groupBy("_pathway").agg(F.first("n_name").alias("_name"))
     control = F.when(F.col("catalysis_type"), "INHIBITION").when(~F.col("catalysis_type"), "ACTIVATION")
     x = edges.join(names, F.col("pathway") == F.col("_pathway"), "left")  # goes where no one asks for the name
-    return x.select(_label("src"), _label("dst"), "type", "time", "local_order", F.col("_name").alias("pathway"), control.alias("catalysis_type"))
+    return x.select(label("src"), label("dst"), "type", "time", "local_order", F.col("_name").alias("pathway"), control.alias("catalysis_type"))

@@ -59,13 +59,6 @@ def a08(spark, d):
 _TYPE = "case left(label, 1) when 's' then 'protein' when 'p' then 'complex' when 'c' then 'small_molecule' end"
 
 
-def node_types(g):
-    """Suppliers are proteins, parts complexes, customers small molecules."""
-    first = F.substring("label", 1, 1)
-    kind = F.when(first == "s", "protein").when(first == "p", "complex").when(first == "c", "small_molecule")
-    return analytics.endpoints(g).select("label").distinct().select("label", kind.alias("type"))
-
-
 @query("a01_profile", "with recursive " + adapter.SQL + _DEG + f""", b as (select distinct src a, dst b from edges union select dst, src from edges), w using key (a) as (select a, min(least(a, b)) c from b group by a union select b.a, min(w.c) c from w join b on b.b = w.a join recurring.w as m on m.a = b.a where w.c < m.c group by b.a),
   r as (select distinct src a, dst b from edges union select r.a, e.dst from r join edges e on r.b = e.src), mutual as (select x.a, min(x.b) m from r x join r y on x.a = y.b and x.b = y.a group by x.a),
   ch as (select pathway, max(local_order) + 1 as n from edges where pathway is not null and local_order is not null group by pathway)
@@ -75,8 +68,16 @@ def node_types(g):
   union all select 'components', 'weak', count(distinct c) from w union all select 'components', 'strong', count(distinct least(label, coalesce(m, label))) from deg left join mutual on a = label
   union all select 'dag', '', (select count(*) = 0 from r where a = b)::int""")
 def a01_profile(spark, d):
-    g = staged(graph(spark, d))
-    return report.profile(g, node_types(g))
+    """In numbers: labels are named where hubs are shown."""
+    g = adapter.known(coded_graph(spark, d, "dst"))
+    return report.profile(g, adapter.kind(F.col("label")), name=adapter.label("label"))
+
+
+def node_types(g):
+    """Suppliers are proteins, parts complexes, customers small molecules."""
+    first = F.substring("label", 1, 1)
+    kind = F.when(first == "s", "protein").when(first == "p", "complex").when(first == "c", "small_molecule")
+    return analytics.endpoints(g).select("label").distinct().select("label", kind.alias("type"))
 
 
 @query("a02_full_table", "with recursive " + adapter.SQL + f""", g as (select distinct pathway, src, dst, type, time from edges), n as (select pathway, label, count(*) degree, min(time) seen from (select pathway, src as label, time from g union all select pathway, dst, time from g) group by all),
