@@ -124,3 +124,22 @@ def test_fold_by_target_is_that_by_source(spark):
     r = spark.createDataFrame(rows, "time long, local_order long, pathway string, control string, lefts array<string>, rights array<string>, catalyst string")
     a, b = (edges.folded(r, 3, by) for by in ("src", "dst"))
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() > 6
+
+
+def test_query_of_the_table_writes_numbers(spark, monkeypatch):
+    """Ends and their graphs are one number each; the graph is written once, and a graph's name comes from its number."""
+    from weft.operators import report
+    from weft.plans import analytics_queries
+
+    written, plain = [], report.staged
+
+    def kept(df):
+        written.append(dict(df.dtypes))
+        return plain(df)
+
+    monkeypatch.setattr(report, "staged", kept)
+    got = analytics_queries.a02_full(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len({r.pathway for r in got}) == 25 and all(isinstance(r.pathway, str) for r in got)
+    whole = [x for x in written if {"src", "dst"} <= set(x)]
+    assert whole == [{"src": "bigint", "dst": "bigint", "type": "string", "time": "bigint"}]
+    assert all(x["node"] == "bigint" for x in written if "node" in x)

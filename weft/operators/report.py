@@ -6,10 +6,12 @@ without a type reads unknown.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.analytics import component_sizes, degrees, strong_cores, trim, weak_components
+from weft.operators.analytics import component_sizes, degrees, strong_cores, trim
 from weft.operators.closure import staged
 
 BINS = 24
@@ -69,27 +71,39 @@ def table(edges: DataFrame, types: DataFrame) -> DataFrame:
     nodes first seen after 0.8 of the last first-seen time (taken as 1 where it is 0); nodes never seen at a time do not count
     in it. Shares are in percent."""
     g = F.coalesce("pathway", F.lit(""))
-    mark = lambda c: F.concat(F.length(g).cast("string"), F.lit(":"), g, F.col(c).cast("string"))
-    e = staged(edges.dropna(subset=["src", "dst"]).select(g.alias("pathway"), mark("src").alias("src"), mark("dst").alias("dst"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), "type", "time"))
+    mark = F.concat(F.length(g).cast("string"), F.lit(":"), g)
+    e = edges.dropna(subset=["src", "dst"]).select(F.concat(mark, F.col("src").cast("string")).alias("src"), F.concat(mark, F.col("dst").cast("string")).alias("dst"), "type", "time")
+    before = lambda c: F.substring_index(c, ":", 1)
+    graph = lambda c: F.substr(F.col(c), F.length(before(c)) + 2, before(c).cast("int"))
+    label = F.substr(F.col("node"), F.length(before("node")) + 2 + F.length("pathway")).alias("label")
+    named = types.select(F.col("label").cast("string").alias("label"), "type")
+    return table_of_marked(e, graph, lambda nodes: _typed(nodes.withColumn("label", label), named))
+
+
+def table_of_marked(edges: DataFrame, graph: Callable[[str], Column], typed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """table() of edges src, dst, type, time whose ends tell what graph they belong to: graph(c) is that of the node in column c.
+    typed gives nodes (node, pathway) their type. Edges are written once."""
+    e = staged(edges.select("src", "dst", "type", "time"))
     share = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
-    of_edges = e.groupBy("pathway").agg(F.count("*").alias("edges"), F.countDistinct("time").alias("ranks"), share(F.coalesce(F.col("type") == "reaction", F.lit(False))).alias("pct_reaction"))
-    ends = e.select("pathway", "time", F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("a").alias("label")), F.struct(F.col("dst").alias("node"), F.col("b").alias("label")))))
-    nodes = staged(ends.groupBy("pathway", "node", "label").agg(F.count("*").alias("degree"), F.min("time").alias("seen")))
+    is_reaction = F.coalesce(F.col("type") == "reaction", F.lit(False))
+    n = e.groupBy(graph("src").alias("pathway"), "time").agg(F.count("*").alias("n"), F.count_if(is_reaction).alias("r"), F.count_if(F.col("src") == F.col("dst")).alias("l"))
+    of_edges = n.groupBy("pathway").agg(F.sum("n").alias("edges"), F.count("time").alias("ranks"), F.round(100 * (F.sum("r").cast("double") / F.sum("n")), 6).alias("pct_reaction"), F.sum("l").alias("_loops"))
+    ends = e.select("time", F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o")))))
+    nodes = staged(ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("o").alias("n_out"), F.min("time").alias("seen"))).withColumn("pathway", graph("node"))
     last = nodes.groupBy("pathway").agg(F.max("seen").alias("_l"))
     late = F.col("seen") > 0.8 * F.when(F.col("_l") == 0, 1).otherwise(F.col("_l"))
-    typed = nodes.join(types.select(F.col("label").cast("string").alias("label"), F.col("type")), "label", "left").join(last, "pathway")
     is_type = lambda t: share(F.coalesce(F.col("type") == t, F.lit(False))).alias(f"pct_{t}")
-    of_nodes = typed.groupBy("pathway").agg(
+    of_nodes = typed(nodes).join(last, "pathway").groupBy("pathway").agg(
         F.count("*").alias("nodes"), F.round(F.avg("degree"), 6).alias("degree_avg"), F.max("degree").alias("degree_max"), share(late).alias("tail_pct"),
         is_type("protein"), is_type("complex"), is_type("small_molecule"),
     )
-    sizes = weak_components(e).join(nodes.select(F.col("node").alias("label"), "pathway"), "label").groupBy("pathway", "component").agg(F.count("*").alias("_s"))
-    of_components = sizes.groupBy("pathway").agg(F.count("*").alias("wccs"), F.max("_s").alias("_largest"), F.count_if(F.col("_s") == 1).alias("isolated"))
-    cyclic = trim(e).select("src").union(e.where("src = dst").select("src")).join(nodes.select(F.col("node").alias("src"), "pathway"), "src").select("pathway").distinct().withColumn("_cycle", F.lit(True))
+    of_components = component_sizes(e).groupBy(graph("component").alias("pathway")).agg(F.count("*").alias("wccs"), F.max("size").alias("_largest"), F.count_if(F.col("size") == 1).alias("isolated"))
+    rest = trim(e, ends=nodes.select(F.col("node").alias("label"), "n_out", (F.col("degree") - F.col("n_out")).alias("n_in")))
+    cyclic = rest.select(graph("src").alias("pathway")).distinct().withColumn("_cycle", F.lit(True))
     x = of_nodes.join(of_edges, "pathway").join(of_components, "pathway").join(cyclic, "pathway", "left")
     pairs = F.col("nodes") * (F.col("nodes") - 1)
     return x.select(
-        "pathway", "nodes", "edges", F.when(pairs > 0, F.round(F.col("edges") / pairs, 9)).otherwise(0.0).alias("density"), "degree_avg", "degree_max", F.col("_cycle").isNull().alias("is_dag"),
+        "pathway", "nodes", "edges", F.when(pairs > 0, F.round(F.col("edges") / pairs, 9)).otherwise(0.0).alias("density"), "degree_avg", "degree_max", (F.col("_cycle").isNull() & (F.col("_loops") == 0)).alias("is_dag"),
         "wccs", F.round(100 * F.col("_largest") / F.col("nodes"), 6).alias("largest_wcc_pct"), "isolated", "ranks", "tail_pct", "pct_protein", "pct_complex", "pct_small_molecule", "pct_reaction",
     )
 

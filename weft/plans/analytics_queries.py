@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import analytics, report
-from weft.operators.closure import staged
 from weft.plans import adapter
 from weft.plans.graph_queries import coded_graph, graph
 from weft.plans.registry import query, table
@@ -73,13 +72,6 @@ def a01_profile(spark, d):
     return report.profile(g, adapter.kind(F.col("label")), name=adapter.label("label"))
 
 
-def node_types(g):
-    """Suppliers are proteins, parts complexes, customers small molecules."""
-    first = F.substring("label", 1, 1)
-    kind = F.when(first == "s", "protein").when(first == "p", "complex").when(first == "c", "small_molecule")
-    return analytics.endpoints(g).select("label").distinct().select("label", kind.alias("type"))
-
-
 @query("a02_full_table", "with recursive " + adapter.SQL + f""", g as (select distinct pathway, src, dst, type, time from edges), n as (select pathway, label, count(*) degree, min(time) seen from (select pathway, src as label, time from g union all select pathway, dst, time from g) group by all),
   b as (select pathway || src a, pathway || dst b from g union select pathway || dst, pathway || src from g), w using key (a) as (select a, min(least(a, b)) c from b group by a union select b.a, min(w.c) c from w join b on b.b = w.a join recurring.w as m on m.a = b.a where w.c < m.c group by b.a),
   r as (select pathway, src a, dst b from g union select r.pathway, r.a, g.dst from r join g on r.pathway = g.pathway and r.b = g.src), cyc as (select distinct pathway from r where a = b),
@@ -90,8 +82,17 @@ def node_types(g):
   select pathway, nodes, edges, case when nodes > 1 then round(edges / (nodes * (nodes - 1)), 9) else 0 end density, degree_avg, degree_max, pathway not in (from cyc) is_dag, wccs::bigint wccs, round(100 * largest / nodes, 6) largest_wcc_pct, isolated::bigint isolated, ranks, tail_pct, pct_protein, pct_complex, pct_small_molecule, pct_reaction
   from f join h using (pathway) join k using (pathway)""")
 def a02_full(spark, d):
-    g = staged(graph(spark, d))
-    return report.table(g, node_types(g))
+    """In numbers: a node of a graph is its label's code times one over the graphs, plus the graph's number."""
+    graphs = adapter.graphs(spark, d)
+    w = F.lit(graphs.count() + 1).cast("long")
+    g = adapter.known(coded_graph(spark, d, "dst"))
+    e = g.join(graphs.select("_pathway", "graph"), F.col("pathway").eqNullSafe(F.col("_pathway")))
+    own = lambda c: F.pmod(F.col(c), w)
+    code = F.call_function("div", F.col("node") - own("node"), w)
+    e = e.select(*[(F.col(c) * w + F.col("graph")).alias(c) for c in ("src", "dst")], "type", "time")
+    x = report.table_of_marked(e, own, lambda nodes: nodes.withColumn("type", adapter.kind(code)))
+    names = graphs.select(F.col("graph").alias("pathway"), "name").distinct()
+    return x.join(names, "pathway").select(F.col("name").alias("pathway"), *x.columns[1:])
 
 
 @query("a08_chain_histogram", A + """, ch as (select pathway, max(local_order) + 1 as n from edges group by pathway), t as (select max(n) top, quantile_cont(n, 0.5) median from ch),
