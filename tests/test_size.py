@@ -92,3 +92,15 @@ def test_codes_keep_labels(spark, tmp_path):
     got = {tuple(r) for r in graph_queries.graph(spark, str(tmp_path)).collect()}
     one = {(s, p, "reaction", 1, 0, "A", None) for s in ("s-3", "s2", None) for p in ("p7", None)} | {("c4", s, "catalysis", 1, 0, "A", "ACTIVATION") for s in ("s-3", "s2", None)}
     assert got == one | {("c-4", "s0", "catalysis", 0, 0, None, "INHIBITION"), ("s0", "p5", "reaction", 0, 0, None, None)}
+
+
+def test_partner_edges_are_spelt_out_in_their_part(spark):
+    """Equal to the pairs of both sides' joins; nothing is paired, or taken out, by a join of pairs."""
+    left = adapter.side(spark, SMALL, "left")
+    a, b = left.select("reaction", F.col("label").alias("x")), left.select("reaction", F.col("label").alias("y"))
+    same = a.join(b, "reaction").where("x < y and substr(x, -1) = substr(y, -1)")
+    want = edges.partner_writes(adapter.reactions(spark, SMALL), left, "left_reactant", same).groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("time").alias("time"))
+    got = graph_queries.g06(spark, SMALL)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join") <= 3  # customer, nation and the sides

@@ -104,6 +104,17 @@ def coded(spark, d: str, parts: int) -> DataFrame:
     return r.join(x.groupBy("reaction").agg(codes("s", "l_suppkey").alias("lefts"), codes("p", "l_partkey").alias("rights")), "reaction")
 
 
+def coded_lefts(spark, d: str, parts: int) -> DataFrame:
+    """time, lefts of reactions(), in numbers: the codes of the left side, but for null labels."""
+    x = table(spark, d, "lineitem").where("l_suppkey is not null").select(F.col("l_orderkey").alias("reaction"), _code("s", "l_suppkey").alias("l")).repartition(parts, "reaction")
+    return reactions(spark, d).select("reaction", "time").join(x.groupBy("reaction").agg(F.collect_set("l").alias("lefts")), "reaction").select("time", "lefts")
+
+
+def last_digit(code: str) -> Column:
+    """Of a label's code the last digit of the label."""
+    return F.abs(F.shiftright(code, 2)) % 10
+
+
 def decoded(spark, d: str, edges: DataFrame) -> DataFrame:
     """Folded edges of coded() reactions with labels, names and words again."""
     names = _pathways(spark, d).groupBy("_pathway").agg(F.first("n_name").alias("_name"))
